@@ -63,8 +63,9 @@ def differences(df, con, sql):
             problems.append(f"type of {n}: {kind} vs {kinds[n]}")
     if len(got) != len(want):
         problems.append(f"rows {len(got)} != {len(want)}")
-    only_got = [r for r in got if r not in set(want)]
-    only_want = [r for r in want if r not in set(got)]
+    seen_got, seen_want = set(got), set(want)
+    only_got = [r for r in got if r not in seen_want]
+    only_want = [r for r in want if r not in seen_got]
     if only_got or only_want:
         problems.append(f"only in Spark ({len(only_got)}): {only_got[:3]}; only in SQL ({len(only_want)}): {only_want[:3]}")
     return problems
