@@ -140,14 +140,14 @@ def with_order_buckets(df: DataFrame, columns: Sequence[str], buckets: int = 100
     found = df.agg(*[F.percentile_approx(col(c), probs, 10 * buckets).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     out = df
     for i, c in enumerate(columns):
-        inner = sorted(set(found[i] or []))
+        inner = sorted(set(found[i] or [0.0]))
         splits = [float("-inf"), *inner, float("inf")]
         out = Bucketizer(splits=splits, inputCol=c, outputCol=f"{c}__bucket", handleInvalid="keep").transform(out)
     return out
 
 
 def average_ranks(counts: DataFrame, keys: Sequence[str], bucket: str, value: str, n: str) -> DataFrame:
-    """Average rank of every distinct value inside each key group.
+    """Average rank of every distinct value inside each key group, and the group's ``total`` rows.
 
     ``counts`` holds one row per (keys, bucket, value) with its row count.  The
     only window over values is partitioned by bucket; the window over buckets
@@ -156,10 +156,12 @@ def average_ranks(counts: DataFrame, keys: Sequence[str], bucket: str, value: st
     keys = list(keys)
     per_bucket = counts.groupBy(*keys, bucket).agg(F.sum(n).alias("in_bucket"))
     over = Window.partitionBy(*keys).orderBy(bucket)
+    whole = Window.partitionBy(*keys)
     offsets = per_bucket.select(
         *keys,
         bucket,
         (F.sum("in_bucket").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bucket")).alias("before"),
+        F.sum("in_bucket").over(whole).alias("total"),
     )
     inside = Window.partitionBy(*keys, bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
