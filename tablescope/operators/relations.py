@@ -18,6 +18,7 @@ from tablescope.functions.columns import (
     require_columns,
     require_numeric,
 )
+from tablescope.functions.joins import lookup_join
 from tablescope.functions.labels import strength_label
 from tablescope.functions.numbers import pearson
 from tablescope.operators.order_stats import average_ranks, with_order_buckets
@@ -81,10 +82,7 @@ def _with_rank(joint: DataFrame, ranks: DataFrame, side: int, value: str) -> Dat
         F.col("avg_rank").alias(f"{value}_rank"),
         (F.col("n") * 100 >= F.col("total")).alias("hot"),
     )
-    hot = F.broadcast(own.where("hot").drop("hot"))
-    return joint.join(hot, on).unionByName(
-        joint.join(hot.select(*on), on, "left_anti").join(own.where("NOT hot").drop("hot"), on)
-    )
+    return lookup_join(joint, own.drop("hot"), on, own.where("hot").select(*on), how="inner")
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
