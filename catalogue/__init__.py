@@ -2,4 +2,4 @@
 most with an independent SQL statement that computes the same result."""
 
 from catalogue.registry import REGISTRY, Tables  # noqa: F401
-from catalogue import describe, models, profile, quality, relations, series  # noqa: F401,E402
+from catalogue import describe, maps, models, plans, profile, quality, questions, relations, series  # noqa: F401,E402

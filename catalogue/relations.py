@@ -168,7 +168,7 @@ def _(t):
 @query(
     "ranked_relationships_part",
     f"""SELECT var1, var2, {ROUNDED}, is_numeric, round(greatest(coalesce(abs(pearson), 0), mutual_info), 8) AS strength,
-      CASE WHEN is_numeric THEN 'Numeric-Numeric' ELSE 'Mixed' END AS pair_type FROM {MINED_PART}
+      CASE WHEN is_numeric THEN 'Numeric-Numeric' ELSE 'Mixed/Categorical' END AS pair_type FROM {MINED_PART}
     ORDER BY greatest(coalesce(abs(pearson), 0), mutual_info) DESC, var1, var2 LIMIT 10""",
 )
 def _(t):

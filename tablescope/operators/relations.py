@@ -308,7 +308,7 @@ def _strength() -> Column:
 def rank_relationships(relationships: DataFrame, top: int = 10) -> DataFrame:
     """The strongest pairs by the larger of |r| and mutual information."""
     # a top-k report over one row per column pair
-    kind = F.when(F.col("is_numeric"), "Numeric-Numeric").otherwise("Mixed")
+    kind = F.when(F.col("is_numeric"), "Numeric-Numeric").otherwise("Mixed/Categorical")
     return (
         relationships.withColumn("strength", _strength())
         .withColumn("pair_type", kind)
