@@ -9,14 +9,16 @@ inside it.  Neither scan shuffles more than the sliver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablescope.functions.columns import col, number, require_columns
+from tablescope.functions.columns import col, literal_rows, number, require_columns
 
-RANK_ERROR = 1e-5
-COLUMNS_PER_PASS = 200
+RANK_ERROR = 1e-4
+SLOTS = 64
+COLUMNS_PER_PASS = 50
 
 
 def melt_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -25,33 +27,37 @@ def melt_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     return wide.unpivot(list(keep), list(columns), "column", "value").where("value IS NOT NULL")
 
 
-def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rank_error: float) -> DataFrame:
-    """One row per column: count, extremes and a sketch bracket for every probability."""
-    slack = 5 * rank_error
+def _brackets(numbers: DataFrame, probs: Sequence[float], slack: float) -> list[dict]:
+    """Per column: count, extremes and a sketch bracket for every probability.
+
+    One job that returns a single row.  Small columns are bracketed by their
+    extremes, so the sketch's one-rank uncertainty cannot matter; they hold at
+    most ``10 / slack`` values.
+    """
     edges = []
     for p in probs:
         edges += [max(0.0, p - slack), min(1.0, p + slack)]
-    accuracy = int(round(1 / rank_error))
-    frames = []
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        part = columns[start : start + COLUMNS_PER_PASS]
-        wide = df.select(*[number(df, c).alias(c) for c in part]).agg(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count(col(c)).alias("n"),
-                    F.min(col(c)).alias("min"),
-                    F.max(col(c)).alias("max"),
-                    F.percentile_approx(col(c), edges, accuracy).alias("edges"),
-                ).alias(f"c{i}")
-                for i, c in enumerate(part)
-            ]
-        )
-        frames.append(wide.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(part))]))))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out.where("n > 0")
+    accuracy = int(round(5 / slack))
+    facts = numbers.agg(
+        *[
+            F.struct(
+                F.count(c).alias("n"),
+                F.min(c).alias("min"),
+                F.max(c).alias("max"),
+                F.percentile_approx(c, edges, accuracy).alias("edges"),
+            ).alias(c)
+            for c in numbers.columns
+        ]
+    ).first()
+    out = []
+    for c in numbers.columns:
+        n, least, most, found = facts[c]
+        if n * slack < 10:
+            ends = [(least, most)] * len(probs)
+        else:
+            ends = list(zip(found[0::2], found[1::2]))
+        out.append({"n": n, "min": least, "max": most, "ends": ends})
+    return out
 
 
 def exact_quantiles(
@@ -59,68 +65,113 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: ``column, n, min, max, q0, q1, ...``.
 
-    Columns without any value give no row.  The broadcast side has one row per
-    column and probability.  Below ``10 / rank_error`` rows the bracket is the
-    whole column, which is then bounded by that number.
+    Columns without any value give no row.  A first job sketches the brackets;
+    the returned plan scans the columns with the brackets as literals, and
+    shuffles only the values inside them (about ``10 * rank_error`` of a
+    column).  Inside a bracket values are ranked slot by slot, not in one sort.
     """
     columns = require_columns(df, columns)
-    slack = 5 * rank_error
-    brackets = _brackets(df, columns, probs, rank_error)
-    targets = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("which"),
-                    F.lit(float(p)).alias("p"),
-                    F.when(F.col("n") * slack < 10, F.col("min")).otherwise(F.col("edges")[2 * i]).alias("low"),
-                    F.when(F.col("n") * slack < 10, F.col("max")).otherwise(F.col("edges")[2 * i + 1]).alias("high"),
-                )
-                for i, p in enumerate(probs)
-            ]
+    frames = [
+        _quantiles(df, columns[start : start + COLUMNS_PER_PASS], probs, 5 * rank_error)
+        for start in range(0, len(columns), COLUMNS_PER_PASS)
+    ]
+    return reduce(DataFrame.unionAll, frames)
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], slack: float) -> DataFrame:
+    numbers = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    facts = _brackets(numbers, probs, slack)
+    which = [(i, j) for i in range(len(columns)) if facts[i]["n"] for j in range(len(probs))]
+    kinds = "column string, n bigint, min double, max double, " + ", ".join(f"q{j} double" for j in range(len(probs)))
+    if not which:
+        return df.sparkSession.createDataFrame([], kinds)
+
+    def below(i: int, j: int) -> Column:
+        return F.col(f"v{i}") < F.lit(facts[i]["ends"][j][0])
+
+    def within(i: int, j: int) -> Column:
+        low, high = facts[i]["ends"][j]
+        return F.col(f"v{i}").between(F.lit(low), F.lit(high))
+
+    def slot(i: int, j: int) -> Column:
+        low, high = facts[i]["ends"][j]
+        step = (F.col(f"v{i}") - F.lit(low)) / F.lit(high - low) * SLOTS if high > low else F.lit(0.0)
+        return F.least(F.lit(SLOTS), F.floor(step)).cast("int")
+
+    counts = numbers.agg(*[F.count(F.when(below(i, j), 1)).alias(f"b{i}_{j}") for i, j in which])
+    wanted = counts.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("place"),
+                        F.lit(j).alias("which"),
+                        F.col(f"b{i}_{j}").alias("below"),
+                        F.lit(probs[j] * (facts[i]["n"] - 1)).alias("position"),
+                    )
+                    for i, j in which
+                ]
+            )
         )
-    )
-    wanted = brackets.select("column", "n", "min", "max", targets)
-    inside = (
-        melt_numbers(df, columns)
-        .join(F.broadcast(wanted), "column")
-        .where(F.col("value") <= F.col("high"))
-        .groupBy("column", "which", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .agg(
-            F.count("*").alias("rows"),
-            *[F.first(c).alias(c) for c in ("n", "min", "max", "p")],
+    ).withColumn("rank", F.floor("position"))
+
+    cells = [
+        F.when(
+            within(i, j),
+            F.struct(
+                F.lit(i).alias("place"), F.lit(j).alias("which"), slot(i, j).alias("slot"), F.col(f"v{i}").alias("value")
+            ),
         )
+        for i, j in which
+    ]
+    any_inside = reduce(lambda a, b: a | b, [F.coalesce(within(i, j), F.lit(False)) for i, j in which])
+    keys = ["place", "which", "slot"]
+    inside = (
+        numbers.where(any_inside)
+        .select(F.inline(F.array_compact(F.array(*cells))))
+        .groupBy(*keys, "value")
+        .agg(F.count("*").alias("rows"))
     )
-    upto = Window.partitionBy("column", "which").orderBy(F.col("value").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    by_slot = Window.partitionBy("place", "which").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    slots = (
+        inside.groupBy(*keys)
+        .agg(F.sum("rows").alias("in_slot"))
+        .withColumn("before", F.sum("in_slot").over(by_slot) - F.col("in_slot"))
+        .drop("in_slot")
     )
-    position = F.col("p") * (F.col("n") - 1)
-    rank = F.floor(position)
-    ranked = inside.withColumn("upto", F.sum("rows").over(upto)).withColumn("position", position).withColumn("rank", rank)
-    found = ranked.groupBy("column", "which").agg(
-        *[F.first(c).alias(c) for c in ("n", "min", "max", "position", "rank")],
+    in_slot = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    # slots: at most SLOTS + 1 rows per column and probability; wanted: one
+    ranked = (
+        inside.withColumn("upto", F.sum("rows").over(in_slot))
+        .join(F.broadcast(slots), keys)
+        .join(F.broadcast(wanted), ["place", "which"])
+        .withColumn("upto", F.col("upto") + F.col("before") + F.col("below"))
+    )
+    found = ranked.groupBy("place", "which").agg(
+        *[F.first(c).alias(c) for c in ("below", "position", "rank")],
         F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("at"),
         F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value"))).alias("next"),
-        F.max(F.when(F.col("value").isNull(), F.col("upto"))).alias("below"),
-    )
-    last = F.col("rank") + 1 >= F.col("n")
-    missed = (
-        (F.coalesce(F.col("below"), F.lit(0)) > F.col("rank"))
-        | F.col("at").isNull()
-        | (~last & F.col("next").isNull())
     )
+    between = F.col("position") - F.col("rank")
+    missed = (F.col("below") > F.col("rank")) | F.col("at").isNull() | ((between > 0) & F.col("next").isNull())
     upper = F.coalesce(F.col("next"), F.col("at"))
     exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
-        F.col("at") + (upper - F.col("at")) * (F.col("position") - F.col("rank"))
+        F.col("at") + (upper - F.col("at")) * between
     )
-    return (
-        found.withColumn("exact", exact)
-        .groupBy("column")
-        .agg(
-            F.first("n").alias("n"),
-            F.first("min").alias("min"),
-            F.first("max").alias("max"),
-            *[F.max(F.when(F.col("which") == i, F.col("exact"))).alias(f"q{i}") for i in range(len(probs))],
-        )
+    by_column = found.groupBy("place").agg(
+        *[F.max(F.when(F.col("which") == j, exact)).alias(f"q{j}") for j in range(len(probs))]
+    )
+    names = literal_rows(
+        df.sparkSession,
+        [
+            [F.lit(i), F.lit(columns[i]), F.lit(f["n"]).cast("bigint"), F.lit(f["min"]), F.lit(f["max"])]
+            for i, f in enumerate(facts)
+            if f["n"]
+        ],
+        ["place", "column", "n", "min", "max"],
+    )
+    return by_column.join(F.broadcast(names), "place").drop("place").select(
+        "column", "n", "min", "max", *[f"q{j}" for j in range(len(probs))]
     )
 
 
@@ -129,7 +180,7 @@ def quantile_scalar(df: DataFrame, column: str, p: float) -> Column:
     return exact_quantiles(df, [column], [p]).select("q0").scalar()
 
 
-def with_order_buckets(df: DataFrame, columns: Sequence[str], buckets: int = 1000) -> DataFrame:
+def with_order_buckets(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
     """Add ``<column>__bucket``: an integer that grows with the value.
 
     The edges are sketch quantiles, so buckets hold similar numbers of rows;

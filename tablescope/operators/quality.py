@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablescope.functions.columns import beside, numeric_columns
+from tablescope.functions.columns import beside, number, numeric_columns
 from tablescope.functions.labels import missing_flag, score_band
 from tablescope.functions.numbers import share
-from tablescope.operators.order_stats import exact_quantiles, melt_numbers
+from tablescope.operators.order_stats import exact_quantiles
 from tablescope.operators.profile import missing_distribution, row_copies, table_stats
 
 
@@ -40,47 +40,43 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     return row_copies(df).where("copies > 1").drop("missing_in_row")
 
 
-def _fences(df: DataFrame, columns: Sequence[str], factor: float) -> DataFrame:
-    spread = F.lit(float(factor)) * (F.col("q1") - F.col("q0"))
-    return exact_quantiles(df, columns, [0.25, 0.75]).select(
-        "column",
-        "n",
-        "q0",
-        "q1",
-        (F.col("q0") - spread).alias("lower_bound"),
-        (F.col("q1") + spread).alias("upper_bound"),
-        F.col("min").alias("min_value"),
-        F.col("max").alias("max_value"),
-    )
-
-
 def iqr_audit(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
-    """Quartile fences and the number of values outside them, for every numeric column."""
+    """Quartile fences and the number of values outside them, for every numeric column.
+
+    The quartiles, one row per column, are read first; counting is then one
+    plain aggregate with the fences as literals.
+    """
     columns = list(columns or numeric_columns(df))
-    fences = _fences(df, columns, factor)
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    # fences: one row per column
-    counted = (
-        melt_numbers(df, columns)
-        .join(F.broadcast(fences), "column")
-        .groupBy("column")
-        .agg(
-            F.sum(F.when(outside, 1).otherwise(0)).alias("outliers"),
-            *[F.first(c).alias(c) for c in ("n", "q0", "q1", "lower_bound", "upper_bound", "min_value", "max_value")],
-        )
-    )
-    return counted.select(
-        "column",
-        F.col("n").alias("non_null"),
-        F.col("q0").alias("q1"),
-        F.col("q1").alias("q3"),
-        "lower_bound",
-        "upper_bound",
-        "outliers",
-        share(F.col("outliers"), F.col("n")).alias("outlier_pct"),
-        "min_value",
-        "max_value",
-    )
+    quartiles = exact_quantiles(df, columns, [0.25, 0.75]).collect()
+    rows = df.select(*[number(df, r["column"]).alias(f"v{i}") for i, r in enumerate(quartiles)])
+    aggregates, out = [], []
+    for i, r in enumerate(quartiles):
+        spread = factor * (r["q1"] - r["q0"])
+        low, high = r["q0"] - spread, r["q1"] + spread
+        value = F.col(f"v{i}")
+        aggregates.append(F.count(F.when((value < low) | (value > high), 1)).alias(f"o{i}"))
+        facts = {
+            "column": F.lit(r["column"]),
+            "non_null": F.lit(r["n"]).cast("bigint"),
+            "q1": F.lit(r["q0"]),
+            "q3": F.lit(r["q1"]),
+            "lower_bound": F.lit(low),
+            "upper_bound": F.lit(high),
+            "outliers": F.col(f"o{i}"),
+            "outlier_pct": share(F.col(f"o{i}"), F.lit(r["n"])),
+            "min_value": F.lit(r["min"]),
+            "max_value": F.lit(r["max"]),
+        }
+        out.append(F.struct(*[c.alias(name) for name, c in facts.items()]))
+    if not out:
+        return df.sparkSession.createDataFrame([], AUDIT_SCHEMA)
+    return rows.agg(*aggregates).select(F.inline(F.array(*out)))
+
+
+AUDIT_SCHEMA = (
+    "column string, non_null bigint, q1 double, q3 double, lower_bound double, upper_bound double, "
+    "outliers bigint, outlier_pct double, min_value double, max_value double"
+)
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:

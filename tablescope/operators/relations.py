@@ -23,10 +23,12 @@ from tablescope.functions.labels import strength_label
 from tablescope.functions.numbers import pearson
 from tablescope.operators.order_stats import average_ranks, with_order_buckets
 from tablescope.operators.profile import small_cardinalities
+from tablescope.session import checkpoint
 
 PAIRS_PER_PASS = 300
 LEAST_PAIRS = 5  # fixed value: complete pairs needed for a coefficient
 LEAST_MI_ROWS = 10  # fixed value: complete pairs needed for mutual information
+MERGED_ROWS = 1_000_000
 BINS = 10  # fixed value: equal-width bins, and the distinct values kept unbinned
 
 
@@ -68,21 +70,40 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return _union(frames).withColumn("pearson", enough)
 
 
-def _with_rank(joint: DataFrame, ranks: DataFrame, side: int, value: str) -> DataFrame:
-    """Look up the rank of ``value``; values that fill over 1 % of a pair's rows are broadcast.
+def _complete_views(frame: DataFrame, pairs: list[tuple[str, str]]):
+    """Which restriction of a column each pair needs.
 
-    At most 100 such values exist per pair and side, and a chunk has a bounded
-    number of pairs, so a hot value never drags all its rows into one task.
+    A pair uses the rows where both columns are present.  If the partner has no
+    gaps that is the column itself, shared by all such pairs.  Returns a function
+    from (column, partner) to a view name and the expressions of all views.
     """
-    on = ["pair", f"{value}_bucket", value]
-    own = ranks.where(F.col("side") == side).select(
-        "pair",
-        F.col("bucket").alias(f"{value}_bucket"),
+    gaps = frame.agg(*[(F.count("*") - F.count(c)).alias(c) for c in frame.columns]).first().asDict()
+
+    def given(x: str, y: str) -> str:
+        return x if x == y or gaps[y] == 0 else f"{x}_with_{y}"
+
+    views: dict[str, Column] = {}
+    for x, y in [q for p in pairs for q in (p, p[::-1])]:
+        name = given(x, y)
+        views[name] = F.col(x) if name == x else F.when(F.col(y).isNotNull(), F.col(x))
+    return given, views
+
+
+def _with_rank(joint: DataFrame, ranks: DataFrame, view: Column, value: str) -> DataFrame:
+    """Look up the rank of ``value`` in its view; values that fill over 1 % of a view are broadcast.
+
+    At most 100 such values exist per view, and a chunk has a bounded number of
+    views, so a hot value never drags all its rows into one task.
+    """
+    on = ["view", value]
+    own = ranks.select(
+        "view",
         F.col("value").alias(value),
         F.col("avg_rank").alias(f"{value}_rank"),
         (F.col("n") * 100 >= F.col("total")).alias("hot"),
     )
-    return lookup_join(joint, own.drop("hot"), on, own.where("hot").select(*on), how="inner")
+    rows = joint.withColumn("view", view)
+    return lookup_join(rows, own.drop("hot"), on, own.where("hot").select(*on), how="inner").drop("view")
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -90,41 +111,48 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
     Equal pairs of values are counted together first.  Ranks come from windows
     over value buckets of similar size, never from a sort of a whole column in
-    one task.
+    one task.  Both intermediate tables are read several times and therefore
+    checkpointed.
     """
     columns = require_columns(df, columns or numeric_columns(df), least=2)
     require_numeric(df, *columns)
     names = {c: f"v{i}" for i, c in enumerate(columns)}
-    base = with_order_buckets(df.select(*[number(df, c).alias(n) for c, n in names.items()]), list(names.values()))
+    numbers = df.select(*[number(df, c).alias(n) for c, n in names.items()])
+    base = with_order_buckets(numbers, list(names.values()))
     frames = []
     for chunk in _chunks(column_pairs(columns)):
-        cells = [
-            F.when(
-                F.col(names[a]).isNotNull() & F.col(names[b]).isNotNull(),
-                F.struct(
-                    F.lit(i).alias("pair"),
-                    F.col(names[a]).alias("x"),
-                    F.col(f"{names[a]}__bucket").cast("int").alias("x_bucket"),
-                    F.col(names[b]).alias("y"),
-                    F.col(f"{names[b]}__bucket").cast("int").alias("y_bucket"),
-                ),
+        inner = [(names[a], names[b]) for a, b in chunk]
+        given, views = _complete_views(numbers, inner)
+        number_of = {name: k for k, name in enumerate(views)}
+        ranked = [
+            F.struct(
+                F.lit(k).alias("view"),
+                F.col(f"{name.partition('_with_')[0]}__bucket").cast("int").alias("bucket"),
+                views[name].alias("value"),
             )
-            for i, (a, b) in enumerate(chunk)
+            for name, k in number_of.items()
         ]
-        joint = (
-            base.select(F.inline(F.array_compact(F.array(*cells))))
-            .groupBy("pair", "x", "x_bucket", "y", "y_bucket")
+        counts = (
+            base.select(F.inline(F.array(*ranked)))
+            .where("value IS NOT NULL")
+            .groupBy("view", "bucket", "value")
             .agg(F.count("*").alias("n"))
         )
-        sides = F.inline(
-            F.array(
-                F.struct(F.lit(1).alias("side"), F.col("x_bucket").alias("bucket"), F.col("x").alias("value")),
-                F.struct(F.lit(2).alias("side"), F.col("y_bucket").alias("bucket"), F.col("y").alias("value")),
-            )
+        ranks = checkpoint(average_ranks(counts, ["view"], "bucket", "value", "n"))
+        cells = [
+            F.struct(F.lit(i).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate(inner)
+        ]
+        joint = checkpoint(
+            numbers.select(F.inline(F.array(*cells)))
+            .where("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("pair", "x", "y")
+            .agg(F.count("*").alias("n"))
         )
-        counts = joint.select("pair", "n", sides).groupBy("pair", "side", "bucket", "value").agg(F.sum("n").alias("n"))
-        ranks = average_ranks(counts, ["pair", "side"], "bucket", "value", "n")
-        both = _with_rank(_with_rank(joint, ranks, 1, "x"), ranks, 2, "y")
+        left, right = (
+            F.array(*[F.lit(number_of[given(*q)]) for q in side])[F.col("pair")]
+            for side in (inner, [p[::-1] for p in inner])
+        )
+        both = _with_rank(_with_rank(joint, ranks, left, "x"), ranks, right, "y")
         n, x, y = F.col("n").cast("double"), F.col("x_rank"), F.col("y_rank")
         sums = both.groupBy("pair").agg(
             F.sum("n").alias("pairs"),
@@ -181,6 +209,24 @@ def bin_for_mi(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return picked.select(*[bins[c].alias(c) for c in columns])
 
 
+def _combine_rows(viewed: DataFrame, binned: DataFrame) -> DataFrame:
+    """The binned rows with a weight ``n``; equal rows are merged if few can differ.
+
+    With at most a million possible combinations the merge happens in the map
+    tasks and every later step works on that small table.
+    """
+    numeric = set(numeric_columns(viewed))
+    others = [c for c in viewed.columns if c not in numeric]
+    combinations_ = float((BINS + 1) ** len(numeric & set(viewed.columns)))
+    if others and combinations_ <= MERGED_ROWS:
+        kinds = viewed.agg(*[F.approx_count_distinct(c) for c in others]).first()
+        for k in kinds:
+            combinations_ *= 1.1 * k + 1
+    if combinations_ > MERGED_ROWS:
+        return binned.withColumn("n", F.lit(1).cast("bigint"))
+    return binned.groupBy(*binned.columns).agg(F.count("*").alias("n"))
+
+
 def mutual_information(
     df: DataFrame, columns: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
@@ -196,32 +242,27 @@ def mutual_information(
     if not pairs:
         raise ValueError("select at least 2 columns")
     used = list(dict.fromkeys(c for p in pairs for c in p))
-    base = df.select(*[clean(df, c).alias(f"v{used.index(c)}") for c in used])
-    holes = base.agg(*[(F.count("*") - F.count(c)).alias(c) for c in base.columns]).first().asDict()
-
-    def given(a: str, b: str) -> str:
-        x, y = f"v{used.index(a)}", f"v{used.index(b)}"
-        return x if a == b or holes[y] == 0 else f"{x}_with_{y}"
-
+    names = {c: f"v{i}" for i, c in enumerate(used)}
+    base = df.select(*[clean(df, c).alias(n) for c, n in names.items()])
     frames = []
     for chunk in _chunks(pairs):
-        needed = list(dict.fromkeys(n for a, b in chunk for n in (given(a, b), given(b, a))))
-        views = []
-        for name in needed:
-            x, _, y = name.partition("_with_")
-            views.append((F.when(F.col(y).isNotNull(), F.col(x)) if y else F.col(x)).alias(name))
-        viewed = base.select(*views)
+        inner = [(names[a], names[b]) for a, b in chunk]
+        given, views = _complete_views(base, inner)
+        viewed = base.select(*[e.alias(name) for name, e in views.items()])
         bins = _bin_expressions(viewed)
-        binned = viewed.select(*[bins[c].alias(c) for c in needed])
+        binned = viewed.select(*[bins[c].alias(c) for c in viewed.columns])
+        weighted = _combine_rows(viewed, binned)
         cells = [
-            F.when(
-                F.col(given(a, b)).isNotNull() & F.col(given(b, a)).isNotNull(),
-                F.struct(F.lit(i).alias("pair"), F.col(given(a, b)).alias("x"), F.col(given(b, a)).alias("y")),
+            F.struct(
+                F.lit(i).alias("pair"), F.col(given(x, y)).alias("x"), F.col(given(y, x)).alias("y"), F.col("n").alias("n")
             )
-            for i, (a, b) in enumerate(chunk)
+            for i, (x, y) in enumerate(inner)
         ]
         joint = (
-            binned.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("pair", "x", "y").agg(F.count("*").alias("n"))
+            weighted.select(F.inline(F.array(*cells)))
+            .where("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("pair", "x", "y")
+            .agg(F.sum("n").alias("n"))
         )
         blank = F.lit(None).cast("string")
         views_of_joint = F.inline(
