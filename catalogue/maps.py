@@ -7,9 +7,25 @@ from tablescope.operators import datamap, dbscan, forest, neighbours
 from catalogue.registry import query, rounded
 
 
-@query("dbscan_customer")
+def dbscan_sql(table, key, columns, eps, least):
+    """Pairwise neighbours, reachability between core points by recursion, smallest cluster for border points."""
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(columns))
+    gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(columns)))
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT {key} AS k, {scaled} FROM {table}),
+      near AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM p a, p b WHERE {gap} <= {eps * eps}),
+      core AS MATERIALIZED (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= {least}),
+      link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+      reach(k, root) AS (SELECT k, k FROM core UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.k WHERE reach.root < link.b),
+      home AS (SELECT k, min(root) AS root FROM reach GROUP BY k),
+      top AS (SELECT k, root FROM home), named AS (SELECT k, dense_rank() OVER (ORDER BY root) - 1 AS c FROM top),
+      border AS (SELECT near.a AS k, min(c) AS c FROM near JOIN named ON named.k = near.b WHERE near.a NOT IN (SELECT k FROM core) GROUP BY near.a),
+      labelled AS (SELECT k, c FROM named UNION ALL SELECT k, c FROM border)
+    SELECT p.k AS {key}, CASE WHEN c IS NULL THEN 'Outliers/Noise' ELSE 'Cluster ' || c END AS segment FROM p LEFT JOIN labelled ON labelled.k = p.k"""
+
+
+@query("dbscan_customer", dbscan_sql("customer", "c_custkey", ["c_acctbal", "c_nationkey"], 0.1, 5))
 def _(t):
-    return dbscan.dbscan_segments(t("customer"), ["c_acctbal", "c_nationkey"], "c_custkey", eps=0.2, min_samples=5)
+    return dbscan.dbscan_segments(t("customer"), ["c_acctbal", "c_nationkey"], "c_custkey", eps=0.1, min_samples=5)
 
 
 GROUPED_EVENTS = ["value", "user_id"]

@@ -1,3 +1,4 @@
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablescope.operators import anomalies, features, segments
@@ -52,9 +53,23 @@ def _(t):
     return rounded(features.standardize(t("customer"), ["c_acctbal", "c_nationkey"], "c_custkey"), 8)
 
 
-@query("feature_vector_customer")
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SCALED = ["c_acctbal", "c_nationkey"] + [f"CAST(c_mktsegment = '{v}' AS INTEGER)" for v in SEGMENTS[1:]]
+
+
+@query(
+    "feature_vector_customer",
+    "SELECT c_custkey, "
+    + ", ".join(
+        f"round(({e} - (SELECT avg({e}) FROM customer)) / (SELECT stddev_pop({e}) FROM customer), 8) AS f{i}"
+        for i, e in enumerate(SCALED)
+    )
+    + " FROM customer",
+)
 def _(t):
-    return features.feature_vector(t("customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], "c_custkey")
+    vectors = features.feature_vector(t("customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], "c_custkey")
+    values = vector_to_array("features")
+    return rounded(vectors.select("c_custkey", *[values[i].alias(f"f{i}") for i in range(len(SCALED))]), 8)
 
 
 @query("kmeans_customer")

@@ -134,14 +134,19 @@ def _(t):
     return findings.recommend_analyses(frames, "name")
 
 
+@query("clusterability_part")
+def _(t):
+    return dna.clusterability_score(t("part"), "p_partkey")
+
+
 @query("dataset_dna_orders")
 def _(t):
     return dna.dataset_dna(t("orders"), "o_orderkey")
 
 
-@query("sample_rows_lineitem")
+@query("sample_rows_orders")
 def _(t):
-    return dna.sample_rows(t("lineitem"), ["l_orderkey", "l_linenumber"])
+    return dna.sample_rows(t("orders"), "o_orderkey")
 
 
 TOP_POSITIVE = f"(SELECT * FROM {MINED} WHERE pearson >= 0.5 ORDER BY greatest(abs(pearson), mutual_info) DESC, var1, var2 LIMIT 1)"

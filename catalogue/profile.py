@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tablescope.operators import profile
 from catalogue.registry import LABELLED_SQL, query, rounded
 
@@ -66,7 +68,26 @@ def _(t):
     return profile.schema_profile(orders, kept, approx=True).select("column")
 
 
-@query("date_columns_orders")
+@query(
+    "date_columns_orders",
+    """SELECT CAST(0 AS INTEGER) AS position, 'placed' AS "column", 'string' AS dtype, count(o_orderdate) AS non_null,
+      count(*) - count(o_orderdate) AS nulls, 0.0::DOUBLE AS null_pct, count(DISTINCT o_orderdate) AS distinct_values FROM orders""",
+)
 def _(t):
     orders = t("orders").selectExpr("o_orderkey", "CAST(o_orderdate AS STRING) AS placed", "o_orderstatus")
     return profile.schema_profile(orders, profile.detect_date_columns(orders))
+
+
+@query(
+    "primary_date_events",
+    """SELECT 'seen_time' AS date_column, min(ts) AS first_seen, max(ts) AS last_seen FROM events""",
+)
+def _(t):
+    from tablescope.functions.dates import as_timestamp
+
+    events = t("events").selectExpr("event_id", "event_type", "CAST(ts AS STRING) AS seen_time", "value")
+    name = profile.primary_date_column(events)
+    stamp = as_timestamp(events, name)
+    return events.agg(F.min(stamp).alias("first_seen"), F.max(stamp).alias("last_seen")).select(
+        F.lit(name).alias("date_column"), "first_seen", "last_seen"
+    )

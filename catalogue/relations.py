@@ -165,6 +165,19 @@ def _(t):
     return rounded(matrix, 8)
 
 
+@query(
+    "correlation_matrix_wide_part",
+    f"""WITH m AS (SELECT var1, var2, pearson FROM ({pearson_sql(DERIVED_SQL, DERIVED)}) UNION ALL
+        SELECT var2, var1, pearson FROM ({pearson_sql(DERIVED_SQL, DERIVED)}) UNION ALL SELECT x, x, 1.0 FROM (SELECT unnest({DERIVED}) AS x))
+      SELECT var1, {", ".join(f"round(max(CASE WHEN var2 = '{c}' THEN pearson END), 8) AS {c}" for c in DERIVED)} FROM m GROUP BY var1""",
+)
+def _(t):
+    table = derived(t)
+    pairs = relations.mine_relationships(table, spearman=False)
+    matrix = relations.correlation_matrix(pairs, relations.self_information(table))
+    return rounded(relations.matrix_wide(matrix, "pearson", DERIVED), 8)
+
+
 @query(
     "ranked_relationships_part",
     f"""SELECT var1, var2, {ROUNDED}, is_numeric, round(greatest(coalesce(abs(pearson), 0), mutual_info), 8) AS strength,

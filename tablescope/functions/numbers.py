@@ -12,7 +12,8 @@ def share(part: Column, whole: Column, scale: float = 100.0, empty: float | None
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value))
+    """The value kept within the bounds; NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value)))
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -23,8 +24,7 @@ def pearson(x: Column, y: Column) -> Column:
     """
     sx = F.stddev_pop(F.when(y.isNotNull(), x))
     sy = F.stddev_pop(F.when(x.isNotNull(), y))
-    r = F.try_divide(F.covar_pop(x, y), sx * sy)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return clamp(F.try_divide(F.covar_pop(x, y), sx * sy), -1, 1)
 
 
 def zero_as(value: Column, replacement: float) -> Column:

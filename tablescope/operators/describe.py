@@ -100,8 +100,9 @@ def monthly_trend(df: DataFrame, date_column: str, value_column: str) -> DataFra
     """Sum per calendar month, only months with data, in order."""
     require_numeric(df, value_column)
     return (
-        df.select(as_timestamp(df, date_column).alias("stamp"), number(df, value_column).alias("value"))
-        .dropna()
+        df.where(col(date_column).isNotNull() & col(value_column).isNotNull())  # reaches the scan
+        .select(as_timestamp(df, date_column).alias("stamp"), number(df, value_column).alias("value"))
+        .where("stamp IS NOT NULL AND value IS NOT NULL")
         .groupBy(F.trunc(F.to_date("stamp"), "month").alias("month"))
         .agg(F.sum("value").alias("value"))
         .orderBy("month")

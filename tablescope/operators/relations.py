@@ -20,7 +20,7 @@ from tablescope.functions.columns import (
 )
 from tablescope.functions.joins import lookup_join
 from tablescope.functions.labels import strength_label
-from tablescope.functions.numbers import pearson
+from tablescope.functions.numbers import clamp, pearson
 from tablescope.operators.order_stats import average_ranks, with_order_buckets
 from tablescope.operators.profile import small_cardinalities
 from tablescope.session import checkpoint
@@ -175,7 +175,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
                 "var1",
                 "var2",
                 F.coalesce("pairs", F.lit(0).cast("bigint")).alias("pairs"),
-                F.when(F.col("pairs") >= LEAST_PAIRS, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).alias(
+                F.when(F.col("pairs") >= LEAST_PAIRS, clamp(F.col("r"), -1, 1)).alias(
                     "spearman"
                 ),
             )
@@ -197,7 +197,7 @@ def _bin_expressions(df: DataFrame) -> dict[str, Column]:
     for i, c in enumerate(wide):
         low, high = ends[i]
         place = F.ceil((number(df, c) - F.lit(low)) / F.lit(high - low) * BINS) - 1
-        out[c] = F.greatest(place, F.lit(0)).cast("string")
+        out[c] = F.when(place.isNotNull(), F.greatest(place, F.lit(0))).cast("string")
     return out
 
 

@@ -34,7 +34,8 @@ def coerce_datetime(df: DataFrame, date_column: str, value_column: str, by=None)
     by = _keys(by)
     require_numeric(df, value_column)
     require_columns(df, [date_column, *by])
-    return df.select(
+    present = df.where(col(date_column).isNotNull() & col(value_column).isNotNull())  # reaches the scan
+    return present.select(
         *[col(b) for b in by], as_timestamp(df, date_column).alias("stamp"), number(df, value_column).alias("value")
     ).where("stamp IS NOT NULL AND value IS NOT NULL")
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# fixed values: encodings in the order they are tried
-ENCODINGS = ["utf-8", "latin1", "cp1252", "utf-16"]
+# fixed values: encodings and Spark's names for them.  Every byte sequence is
+# valid Latin-1, so no other single-byte encoding is ever reached by trying.
+ENCODINGS = {"utf-8": "utf-8", "latin1": "iso-8859-1", "utf-16": "utf-16"}
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
@@ -35,7 +36,7 @@ def _inspect(spark: SparkSession, path: str) -> tuple[str, bool]:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     seen = lines.agg(
         F.max(F.col("value").contains("\x00")).alias("wide"),
-        F.max(F.col("value").contains("�")).alias("broken"),
+        F.max(~F.is_valid_utf8("value")).alias("broken"),
         F.max(quotes % 2 == 1).alias("open_quote"),
     ).first()
     if seen["wide"]:
@@ -51,11 +52,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, infer:
     the encoding has two-byte line ends; then each file is one task.
     """
     if encoding is not None and encoding.lower() not in ENCODINGS:
-        raise ValueError(f"encoding must be one of {ENCODINGS}")
+        raise ValueError(f"encoding must be one of {list(ENCODINGS)}")
     found, multi_line = _inspect(spark, path)
+    used = (encoding or found).lower()
     options = {
-        "encoding": encoding or found,
-        "multiLine": str(multi_line or (encoding or found) == "utf-16").lower(),
+        "encoding": ENCODINGS[used],
+        "multiLine": str(multi_line or used == "utf-16").lower(),
         "escape": '"',
     }
     head = spark.read.options(**options).option("header", "false").csv(path).first()
