@@ -8,7 +8,7 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     "describe_numeric_lineitem",
     "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-          round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+          round(min({c}) + 0.0, 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
           round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM lineitem"""
         for c in LINE
     ),

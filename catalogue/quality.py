@@ -5,7 +5,7 @@ from catalogue.registry import LABELLED_SQL, query, rounded
 def fences_sql(table: str, columns: list[str]) -> str:
     parts = [
         f"""SELECT '{c}' AS column_name, q1, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, x
-        FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {table} WHERE {c} IS NOT NULL),
+        FROM (SELECT CAST({c} AS DOUBLE) + 0.0 AS x FROM {table} WHERE {c} IS NOT NULL),
              (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {table})"""
         for c in columns
     ]

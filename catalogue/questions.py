@@ -102,7 +102,7 @@ def metrics_sql():
     return "\nUNION ALL\n".join(rows)
 
 
-METRICS = f"(SELECT c, i, v, CAST(w AS VARCHAR) AS w FROM ({metrics_sql()}))"
+METRICS = f"(SELECT c, i, v + 0.0 AS v, CAST(w AS VARCHAR) AS w FROM ({metrics_sql()}))"
 TITLE_SQL = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v} ' || matched_column" for k, v in q.TITLES.items()) + " END"
 ERROR_SQL = f"""CASE WHEN intent = 'unknown' THEN 'unknown intent' WHEN intent NOT IN ({", ".join(f"'{k}'" for k in q.TITLES)}) THEN 'not a single figure'
   WHEN matched_column IS NULL THEN 'no matching column'

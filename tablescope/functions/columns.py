@@ -71,8 +71,8 @@ def clean(df: DataFrame, name: str) -> Column:
 
 
 def number(df: DataFrame, name: str) -> Column:
-    """A numeric column as double, NaN as NULL."""
-    return clean(df, name).cast("double")
+    """A numeric column as double, NaN as NULL and no negative zero."""
+    return clean(df, name).cast("double") + F.lit(0.0)
 
 
 def clean_frame(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

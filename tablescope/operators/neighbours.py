@@ -22,7 +22,7 @@ MAX_PIVOTS = 1024
 SLACK = 1e-9  # relative allowance for rounding in the pruning bounds
 
 
-def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int = 2000) -> DataFrame:
+def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int = 8192) -> DataFrame:
     """``key, neighbour, distance, position``: the k nearest other rows, ties by key."""
     require_columns(df, [key, features])
     kind = df.schema[key].dataType
@@ -122,9 +122,10 @@ def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int =
         for start in range(0, len(a), step):
             gap = np.sqrt(((a[start : start + step, None, :] - b[None, :, :]) ** 2).sum(2))
             gap[a_id[start : start + step, None] == b_id[None, :]] = np.inf
-            best = np.argsort(gap, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(gap)), best.shape[1])
-            picks = best.ravel()
+            edge = np.partition(gap, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1][:, None]
+            closer, level = gap < edge, gap == edge
+            room_left = k - closer.sum(1, keepdims=True)
+            rows, picks = np.nonzero(closer | (level & (level.cumsum(1) <= room_left)))  # ties: smallest keys
             out.append(pd.DataFrame({"id": a_id[start + rows], "neighbour": b_id[picks], "distance": gap[rows, picks]}))
         found = pd.concat(out)
         return found[np.isfinite(found["distance"])]
