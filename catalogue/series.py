@@ -228,8 +228,8 @@ def cycle_sql(cycle):
 for _cycle in CYCLE_SQL:
     query(
         f"seasonality_{_cycle.lower()}_orders",
-        f"SELECT position, bucket, round(mean_value, 4) AS mean_value, n FROM ({cycle_sql(_cycle)})",
-    )(lambda t, c=_cycle: rounded(series.seasonality(t("orders"), "o_orderdate", "o_totalprice", c), 4))
+        f"SELECT position, bucket, round(mean_value, 8) AS mean_value, n FROM ({cycle_sql(_cycle)})",
+    )(lambda t, c=_cycle: rounded(series.seasonality(t("orders"), "o_orderdate", "o_totalprice", c), 8))
 
 
 @query(
