@@ -135,11 +135,11 @@ def _(t):
 
 @query(
     "segment_mean_comparison_orders",
-    f"""SELECT segment, feature, round(m, 7) AS segment_mean, round(g, 7) AS global_mean, round(m - g, 7) AS difference,
-      round((m - g) / g * 100, 7) AS difference_pct FROM ({long_sql('orders', 'o_orderstatus', ['o_totalprice', 'o_custkey'])})""",
+    f"""SELECT segment, feature, round(m, 6) AS segment_mean, round(g, 6) AS global_mean, round(m - g, 6) AS difference,
+      round((m - g) / g * 100, 6) AS difference_pct FROM ({long_sql('orders', 'o_orderstatus', ['o_totalprice', 'o_custkey'])})""",
 )
 def _(t):
-    return rounded(segments.segment_mean_comparison(t("orders"), "o_orderstatus", ["o_totalprice", "o_custkey"]), 7)
+    return rounded(segments.segment_mean_comparison(t("orders"), "o_orderstatus", ["o_totalprice", "o_custkey"]), 6)
 
 
 @query(

@@ -228,8 +228,8 @@ def cycle_sql(cycle):
 for _cycle in CYCLE_SQL:
     query(
         f"seasonality_{_cycle.lower()}_orders",
-        f"SELECT position, bucket, round(mean_value, 8) AS mean_value, n FROM ({cycle_sql(_cycle)})",
-    )(lambda t, c=_cycle: rounded(series.seasonality(t("orders"), "o_orderdate", "o_totalprice", c), 8))
+        f"SELECT position, bucket, round(mean_value, 6) AS mean_value, n FROM ({cycle_sql(_cycle)})",
+    )(lambda t, c=_cycle: rounded(series.seasonality(t("orders"), "o_orderdate", "o_totalprice", c), 6))
 
 
 @query(
@@ -252,11 +252,11 @@ PURCHASE_CYCLES = """SELECT user_id, 'Weekly' AS cycle, (dayofweek(ts) + 6) % 7
     f"""WITH e AS (SELECT user_id, cycle, count(*) AS k, arg_min(bucket, row(-m, position)) AS peak, arg_min(bucket, row(m, position)) AS low,
         max(m) AS hi, min(m) AS lo FROM ({PURCHASE_CYCLES}) GROUP BY ALL),
       f AS (SELECT *, CASE cycle WHEN 'Weekly' THEN k > 1 AND hi > lo * 1.1 ELSE k > 2 AND hi > lo * 1.15 END AS ok FROM e)
-    SELECT user_id, cycle, peak, low, round(hi, 8) AS peak_value, round(lo, 8) AS low_value FROM f WHERE ok UNION ALL
+    SELECT user_id, cycle, peak, low, round(hi, 6) AS peak_value, round(lo, 6) AS low_value FROM f WHERE ok UNION ALL
     SELECT user_id, 'None', NULL, NULL, NULL, NULL FROM f GROUP BY user_id HAVING NOT bool_or(ok)""",
 )
 def _(t):
-    return rounded(series.seasonal_extremes(t("events"), "ts", "value", "user_id"), 8)
+    return rounded(series.seasonal_extremes(t("events"), "ts", "value", "user_id"), 6)
 
 
 FEATURE_SQL = "CAST(period - f AS DOUBLE) AS x0, CAST((dayofweek(period) + 6) % 7 AS DOUBLE) AS x1, CAST(month(period) AS DOUBLE) AS x2, CAST(quarter(period) AS DOUBLE) AS x3"
