@@ -16,7 +16,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablescope.functions.columns import col, require_key
-from tablescope.functions.joins import hot_keys, lookup_join
+from tablescope.functions.joins import hot_keys, lookup_join, salted_join
 from tablescope.operators.features import prepare_features
 from tablescope.operators.graph import connected_components
 from tablescope.operators.segments import NOISE
@@ -100,7 +100,9 @@ def _near_cells(cells: DataFrame, d: int, reach: int) -> DataFrame:
     return pairs.where("a <> b")
 
 
-def _touching(unsure: DataFrame, points: DataFrame, d: int, eps: float, side: float, n_points: int) -> DataFrame:
+def _touching(
+    unsure: DataFrame, points: DataFrame, hot_cells: DataFrame, d: int, eps: float, side: float, n_points: int
+) -> DataFrame:
     """Pairs ``left, right`` of dense cells holding two points within ``eps``.
 
     Boxes are halved round by round: a pair whose boxes lie within ``eps`` of
@@ -109,7 +111,7 @@ def _touching(unsure: DataFrame, points: DataFrame, d: int, eps: float, side: fl
     """
     limit = eps * eps
     wanted = unsure.select(F.col("left").alias("cell")).union(unsure.select(F.col("right").alias("cell"))).distinct()
-    members = checkpoint(points.join(wanted, "cell", "left_semi").select("cell", "x", "weight"))
+    members = checkpoint(lookup_join(points.select("cell", "x", "weight"), wanted, ["cell"], hot_cells, "inner"))
     whole = members.groupBy("cell").agg(*_box(d)).withColumn("part", F.array().cast("array<bigint>"))
     open_pairs = unsure.select("left", "right").withColumns(
         {"part_left": F.array().cast("array<bigint>"), "part_right": F.array().cast("array<bigint>")}
@@ -180,6 +182,10 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
         rows.groupBy("x").agg(F.count("*").alias("weight"), smallest).withColumn("cell", _cell_at(d, side))
     )
     cells = checkpoint(points.groupBy("cell").agg(*_box(d)).withColumn("dense", F.col("weight") >= min_samples))
+    n_points = points.count()
+    hot_cells = checkpoint(cells.where(F.col("points") * 100 >= n_points).select("cell"))  # at most 100 cells
+    facts = cells.select("cell", "dense", F.col("weight").alias("inside"))
+    points = checkpoint(lookup_join(points, facts, ["cell"], hot_cells, "inner"))
 
     def named(suffix: str) -> DataFrame:
         return cells.select(*[F.col(c).alias(f"{c}_{suffix}") for c in ("lo", "hi", "weight", "dense")], F.col("cell").alias(suffix))
@@ -193,7 +199,7 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
     )
 
     # thin cells: every point against the cells around it
-    thin = points.join(cells.where("NOT dense").select("cell"), "cell", "left_semi")
+    thin = points.where("NOT dense")
     reachable = (
         thin.select(F.col("cell").alias("a"), F.col("x").alias("xa"))
         .join(pairs.where("NOT dense_a"), "a")
@@ -201,18 +207,21 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
         .withColumn("all_near", F.col("dense_b") & (_squared_reach("xa", "xa", "lo_b", "hi_b", d) <= limit))
     )
     by_cell = reachable.where("all_near").select("a", "xa", "b", F.lit(None).cast("array<double>").alias("xb"), F.col("weight_b").alias("near_weight"), "dense_b")
-    by_point = (
-        reachable.where("NOT all_near")
-        .select("a", "xa", "b", "dense_b")
-        .join(points.select(F.col("cell").alias("b"), F.col("x").alias("xb"), F.col("weight").alias("near_weight")), "b")
-        .where(_squared_distance("xa", "xb", d) <= limit)
+    offered = points.select(F.col("cell").alias("b"), F.col("x").alias("xb"), F.col("weight").alias("near_weight"))
+    asking = reachable.where("NOT all_near").select("a", "xa", "b", "dense_b")
+    met = salted_join(asking, offered, ["b"], hot_cells.withColumnRenamed("cell", "b"), ["xb"])
+    by_point = met.where(_squared_distance("xa", "xb", d) <= limit).select(*by_cell.columns)
+    # which points of a dense cell are near does not matter, only that some are and their weight
+    by_dense = (
+        by_point.where("dense_b")
+        .groupBy("a", "xa", "b", "dense_b")
+        .agg(F.sum("near_weight").alias("near_weight"))
+        .withColumn("xb", F.lit(None).cast("array<double>"))
     )
-    near = checkpoint(by_cell.unionByName(by_point.select(*by_cell.columns)))
+    near = checkpoint(by_cell.unionByName(by_dense).unionByName(by_point.where("NOT dense_b")))
     around = near.groupBy("a", "xa").agg(F.sum("near_weight").alias("outside"))
-    own = cells.select(F.col("cell").alias("a"), F.col("weight").alias("inside"))
     thin_core = checkpoint(
-        thin.select(F.col("cell").alias("a"), F.col("x").alias("xa"), "first_key")
-        .join(own, "a")
+        thin.select(F.col("cell").alias("a"), F.col("x").alias("xa"), "first_key", "inside")
         .join(around, ["a", "xa"], "left")
         .where(F.col("inside") + F.coalesce("outside", F.lit(0)) >= min_samples)
         .select("a", "xa", "first_key")
@@ -228,11 +237,11 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
         .select(F.col("a").alias("left"), F.col("b").alias("right"))
     )
     dense_pairs = pairs.where("dense_a AND dense_b AND a < b").select(F.col("a").alias("left"), F.col("b").alias("right"))
-    linked = _touching(checkpoint(dense_pairs), points, d, eps, side, points.count())
+    linked = _touching(checkpoint(dense_pairs), points, hot_cells, d, eps, side, n_points)
     parts = connected_components(core_cells, to_dense.union(to_thin).union(linked).distinct())
 
     # names in the order of the smallest key among a cluster's core points
-    dense_first = points.join(cells.where("dense").select("cell"), "cell", "left_semi").groupBy("cell").agg(F.min("first_key").alias("first_key"))
+    dense_first = points.where("dense").groupBy("cell").agg(F.min("first_key").alias("first_key"))
     thin_first = thin_core.groupBy("a").agg(F.min("first_key").alias("first_key")).withColumnRenamed("a", "cell")
     firsts = dense_first.union(thin_first).join(parts.withColumnRenamed("node", "cell"), "cell")
     ordered = firsts.groupBy("component").agg(F.min("first_key").alias("first_key"))
@@ -242,7 +251,8 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
     )
 
     # points of dense cells and thin core points belong to their cell's cluster, others to the first one near
-    dense_labels = points.select("cell", "x").join(cells.where("dense").select("cell"), "cell", "left_semi").join(cell_cluster, "cell").select("x", "cluster")
+    dense_points = points.where("dense").select("cell", "x")
+    dense_labels = lookup_join(dense_points, cell_cluster, ["cell"], hot_cells, "inner").select("x", "cluster")
     core_labels = thin_core.join(cell_cluster.withColumnRenamed("cell", "a"), "a").select(F.col("xa").alias("x"), "cluster")
     border = near.join(thin_core.select("a", "xa"), ["a", "xa"], "left_anti")
     near_thin = border.where("NOT dense_b").join(
