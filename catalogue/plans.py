@@ -9,9 +9,8 @@ from tablescope.plans import catalog, dna, findings
 from tablescope.sources.csv import read_csv
 from tablescope.sources.sinks import write_findings, write_labeled_csv
 from catalogue.models import FLAGGED_SQL, flagged
-from catalogue.quality import HEALTH_EVENTS
 from catalogue.registry import LABELLED_SQL, query, rounded
-from catalogue.relations import DERIVED, DERIVED_SQL, MINED, derived
+from catalogue.relations import MINED, derived
 
 NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",

@@ -11,7 +11,6 @@ from tablescope.functions.columns import (
     clean,
     col,
     columns_of,
-    family,
     groupable,
     literal_rows,
     non_numeric_columns,
@@ -195,7 +194,3 @@ def small_cardinalities(df: DataFrame, columns: Sequence[str], limit: int) -> di
         exact = dict.fromkeys(near, 0) | {r["column"]: r["n"] for r in found}
         counts.update({c: n for c, n in exact.items() if n <= limit})
     return counts
-
-
-def families(df: DataFrame) -> dict[str, str]:
-    return {f.name: family(f.dataType) for f in df.schema.fields}

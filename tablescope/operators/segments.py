@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tablescope.functions.columns import clean, col, number, numeric_columns, require_columns, require_key
+from tablescope.functions.columns import col, number, numeric_columns, require_columns, require_key
 from tablescope.functions.numbers import share, zero_as
 from tablescope.operators.describe import column_moments
 from tablescope.operators.features import feature_vector
