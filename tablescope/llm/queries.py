@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescope.llm import decontaminate, neardup, urls
+from tablescope.llm import decontaminate, licenses, lines, neardup, sentencepieces, toxicity, urls
 from tablescope.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,85 @@ FROM (SELECT page_id, host, path, CASE
 def url_filters(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.filter_urls(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+#: A public tokenizer model; another path may be set in the session.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op6_sentencepiece")
+def sentencepiece(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
+    model = spark.conf.get("tablescope.sentencepiece.model", MODEL_FILE)
+    ids = sentencepieces.encode(docs, model, keep=["doc_id", "sha256"])
+    back = sentencepieces.decode(ids, model)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        sentencepieces.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.coalesce(F.sha2(F.col("decoded").cast("binary"), 256) == F.col("sha256"), F.lit(True)).alias("round_trip"),
+    )
+
+
+@query("op3_toxicity")
+def toxic(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    found = toxicity.toxicity(docs, labels, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "neighbours",
+    )
+
+
+@query(
+    "op9_line_dedup",
+    """
+WITH l AS (
+  SELECT doc_id, source, text, trim(unnest(string_split(coalesce(text, ''), chr(10))), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM documents),
+bad AS (SELECT line FROM l WHERE line <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10),
+c AS (
+  SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bl,
+    trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS good
+  FROM documents, (SELECT coalesce(list(line), []) AS bl FROM bad))
+SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(string_split(text, chr(10))) - len(good), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN len(good) < len(string_split(text, chr(10))) THEN array_to_string(good, chr(10)) ELSE text END) AS clean_sha256
+FROM c
+""",
+)
+def line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    found = lines.remove_boilerplate(docs, keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean").cast("binary"), 256).alias("clean_sha256"))
+
+
+@query(
+    "op8_license_scans",
+    """
+WITH k(digest, name) AS (VALUES
+  (sha256('licensed under the apache license version 2 0'), 'Apache-2.0'),
+  (sha256('spdx license identifier apache 2 0'), 'Apache-2.0'),
+  (sha256('released under the mit license'), 'MIT'), (sha256('licensed under the mit license'), 'MIT'),
+  (sha256('spdx license identifier mit'), 'MIT'), (sha256('spdx license identifier gpl 3 0 only'), 'GPL-3.0-only'),
+  (sha256('this work is licensed under the gnu general public license version 3'), 'GPL-3.0-only'),
+  (sha256('licensed under cc by nc 4 0'), 'CC-BY-NC-4.0'), (sha256('licensed under cc by 4 0'), 'CC-BY-4.0'),
+  (sha256('spdx license identifier cc0 1 0'), 'CC0-1.0'), (sha256('all rights reserved'), 'LicenseRef-all-rights-reserved')),
+l AS (
+  SELECT doc_id, whole, trim(regexp_replace(CASE WHEN regexp_matches(t, '^[ \\t#*/;-]*(?:copyright|\\(c\\)|©)[ \\t:]*(?:\\(c\\)|©|[0-9]|copyright|by)')
+      THEN '' ELSE t END, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS unit
+  FROM (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS t, false AS whole FROM documents
+    UNION ALL SELECT doc_id, lower(text), true FROM documents WHERE text NOT LIKE '%' || chr(10) || '%')),
+m AS (SELECT doc_id, min(CASE WHEN whole THEN name END) AS license, list_sort(list(DISTINCT name)) AS notices
+  FROM l JOIN k ON k.digest = sha256(regexp_replace(regexp_replace(unit, '\\blicence\\b', 'license', 'g'), '\\blicenced\\b', 'licensed', 'g')) GROUP BY 1)
+SELECT d.doc_id, license, coalesce(array_to_string(notices, ','), '') AS notices FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id
+""",
+)
+def license_scans(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs, licenses.known_licenses(spark), keep=["doc_id"])
+    return found.select("doc_id", "license", F.array_join("notices", ",").alias("notices"))
