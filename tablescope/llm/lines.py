@@ -52,13 +52,19 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
 
 
 def remove_boilerplate(
-    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, keep: list[str] | None = None
+    docs: DataFrame,
+    text: str = "text",
+    site: str = "source",
+    min_sites: int = MIN_SITES,
+    most: float = 1.0,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` (columns ``keep``, all by default) with ``clean``, ``n_lines`` and ``n_removed``.
 
     ``clean`` is the text without the lines that occur, white space around them
     aside, at ``min_sites`` or more distinct sites; blank lines stay.  A text
-    that loses nothing is unchanged.
+    that loses nothing is unchanged, and so is one that would lose more than the
+    share ``most`` of its characters: that is a copied page, not boilerplate.
 
     A null text stays null and counts one line; rows without a site have their
     lines removed but do not count for the spread; repeated rows are treated
@@ -76,7 +82,8 @@ def remove_boilerplate(
     rows = rows.join(held, "__llm_key", "left")
     lines = lines_of(F.col("__llm_text"))
     good = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__llm_bad", digest(x)), F.lit(False)))
-    touched = F.col("__llm_bad").isNotNull()
+    left = F.char_length(F.array_join(good, "\n"))
+    touched = F.col("__llm_bad").isNotNull() & (left >= (1 - most) * F.char_length("__llm_text"))
     clean = F.when(touched, F.array_join(good, "\n")).otherwise(F.col("__llm_text"))
     removed = F.when(touched, F.size(lines) - F.size(good)).otherwise(0)
     return rows.select(

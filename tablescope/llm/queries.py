@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablescope.llm import decontaminate, licenses, lines, neardup, sentencepieces, toxicity, urls
+from tablescope.llm import chunks, decontaminate, licenses, lines, neardup, quality, search, sentencepieces, toxicity, urls
 from tablescope.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,51 @@ def license_scans(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = licenses.scan_licenses(docs, licenses.known_licenses(spark), keep=["doc_id"])
     return found.select("doc_id", "license", F.array_join("notices", ",").alias("notices"))
+
+
+@query("op5_substring_dedup")
+def substring_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = chunks.find_repeats(docs, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_chunks",
+        (F.size("repeats") / 2).cast("bigint").alias("n_passages"),
+        chunks.covered(F.col("repeats")).alias("repeated_bytes"),
+        chunks.covered(F.col("later")).alias("removed_bytes"),
+        (F.size("repeats") > 0).alias("repeated"),
+    )
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op1_topk_search",
+    f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+t AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+f AS (SELECT word, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT word, count(*) AS df FROM t GROUP BY 1), s),
+q AS (SELECT doc_id AS query_id, word, idf FROM t JOIN f USING (word) WHERE doc_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, word) <= 16),
+p AS (SELECT query_id, t.doc_id, sum(CAST(rint(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))) * 1e6) AS BIGINT)) AS score
+  FROM q JOIN t USING (word) JOIN d ON d.doc_id = t.doc_id, s GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, CAST(score AS DOUBLE) / 1e6 AS score
+FROM p QUALIFY rank <= 10
+""".replace("rint(", "round_even(").replace("* 1e6) AS BIGINT", "* 1e6, 0) AS BIGINT"),
+)
+def topk_search(spark, folder):
+    """Queries are the rows whose id is divisible by 20, each by the 16 words of its whole text that weigh most."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id")
+    return search.top_k(docs, queries, max_terms=16)
+
+
+@query("op2_quality_classifier")
+def quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    found = quality.quality(docs, labels, keep=["doc_id"])
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held, "text_score", "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
