@@ -162,8 +162,7 @@ SQUARED = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p:
 @query("silhouette_embeddings", PAIR_SQL.format(dist=SQUARED))
 def _(t):
     vectors = t("embeddings")
-    value = segments.silhouette(vectors, "embedding", "label")
-    return vectors.agg(F.round(F.lit(value), 6).alias("silhouette"))
+    return rounded(segments.silhouette(vectors, "embedding", "label"))
 
 
 SCORED_SQL = """(SELECT event_id, user_id, event_type, value, (value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events) AS anomaly_score FROM events)"""

@@ -19,7 +19,7 @@ NAMES = [
 
 
 def lake(t):
-    return catalog.column_catalogue({n: t(n) for n in NAMES})
+    return {n: t(n) for n in NAMES}
 
 
 FAMILY_SQL = """CASE WHEN data_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE') THEN 'numeric'
@@ -70,6 +70,28 @@ def _(t):
     return catalog.catalog_profile(lake(t))
 
 
+@query(
+    "catalog_profile_text_dates",
+    """SELECT 'placed' AS "table", count(*) AS n_rows, CAST(2 AS BIGINT) AS n_columns, 'Temporal Transaction Dataset' AS dataset_type,
+      'Timeline Intelligence, Correlation Discovery, Segment Discovery' AS modules FROM orders
+    UNION ALL SELECT 'mixed', count(*), 2, 'Transaction Dataset', 'Correlation Discovery, Segment Discovery, Semantic Data Map' FROM orders
+    UNION ALL SELECT 'seen', count(*), 2, 'Time Series Dataset', 'Timeline Intelligence, Future Forecasting, Anomaly Detection' FROM events""",
+)
+def _(t):
+    orders, events = t("orders"), t("events")
+    placed = F.col("o_orderdate").cast("string")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    return catalog.catalog_profile(
+        {
+            "placed": orders.select("o_orderkey", placed.alias("placed")),
+            # one value that is no date decides
+            "mixed": orders.select("o_orderkey", F.when(F.col("o_orderkey") == last, "unknown").otherwise(placed).alias("placed")),
+            "seen": events.select(F.col("ts").cast("string").alias("seen"), "value"),
+        },
+        text_dates=True,
+    )
+
+
 @query(
     "richness_lake",
     f"""SELECT t AS "table", round(least(100, greatest(0, -(a + b + c) / 1.098 * 70 + least(30, n * 1.5))), 1) AS richness FROM (
@@ -77,7 +99,7 @@ def _(t):
         for x, w in (('a', "f = 'numeric'"), ('b', "f IN ('categorical', 'other')"), ('c', "f = 'datetime'")))} FROM {LAKE_SQL} GROUP BY t)""",
 )
 def _(t):
-    return catalog.richness_score(lake(t))
+    return catalog.richness_score(catalog.schema_catalogue(lake(t)))
 
 
 @query(
@@ -145,7 +167,7 @@ def _(t):
 
 @query("sample_rows_orders")
 def _(t):
-    return dna.sample_rows(t("orders"), "o_orderkey")
+    return dna.sample_rows(t("orders"), "o_orderkey", 5000)
 
 
 TOP_POSITIVE = f"(SELECT * FROM {MINED} WHERE pearson >= 0.5 ORDER BY greatest(abs(pearson), mutual_info) DESC, var1, var2 LIMIT 1)"
@@ -155,9 +177,9 @@ TOP_NEGATIVE = f"(SELECT * FROM {MINED} WHERE pearson <= -0.5 ORDER BY pearson,
 @query(
     "findings_documents",
     f"""SELECT CAST(1 AS INTEGER) AS position, 'missing_values' AS rule, 'warning' AS severity, 'dataset' AS subject, round(p, 6) AS value,
-      printf('Dataset has a high missing value rate (%.1f%%). Consider imputing or removing sparse features.', p) AS text
+      printf('%.1f%% of all cells are empty; fill them or leave out the columns concerned.', p) AS text
       FROM (SELECT (2 * count(*) - count(quality) - count(toxic)) * 100.0 / (count(*) * 5) AS p FROM {LABELLED_SQL}) WHERE p > 5
-    UNION ALL SELECT 2, 'dominant_segment', 'info', lang, round(p, 6), printf('%s is the dominant segment, containing %.1f%% of all records.', lang, p)
+    UNION ALL SELECT 2, 'dominant_segment', 'info', lang, round(p, 6), printf('Largest segment: %s, %.1f%% of the rows.', lang, p)
       FROM (SELECT lang, count(*) * 100.0 / (SELECT count(*) FROM documents) AS p FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)""",
 )
 def _(t):
@@ -167,11 +189,11 @@ def _(t):
 @query(
     "findings_part",
     f"""SELECT CAST(1 AS INTEGER) AS position, 'complete' AS rule, 'good' AS severity, 'dataset' AS subject, 0.0::DOUBLE AS value,
-      'Dataset is completely clean with 0 missing values.' AS text
+      'No cell is empty.' AS text
     UNION ALL SELECT 4, 'positive_pair', 'good', var1 || ' / ' || var2, round(pearson, 6),
-      printf('%s and %s show a strong positive relationship (Pearson: %.2f).', var1, var2, pearson) FROM {TOP_POSITIVE}
+      printf('%s and %s rise together (r = %.2f).', var1, var2, pearson) FROM {TOP_POSITIVE}
     UNION ALL SELECT 5, 'negative_pair', 'alert', var1 || ' / ' || var2, round(pearson, 6),
-      printf('%s and %s show a strong inverse relationship (Pearson: %.2f).', var1, var2, pearson) FROM {TOP_NEGATIVE}""",
+      printf('%s and %s move in opposite directions (r = %.2f).', var1, var2, pearson) FROM {TOP_NEGATIVE}""",
 )
 def _(t):
     table = derived(t)
@@ -243,8 +265,8 @@ def _(t):
 @query(
     "written_findings_events",
     f"""SELECT CAST(1 AS INTEGER) AS position, 'complete' AS rule, 'good' AS severity, 'dataset' AS subject, 0.0::DOUBLE AS value,
-      'Dataset is completely clean with 0 missing values.' AS text
-    UNION ALL SELECT 3, 'anomalies', 'alert', 'rows', n, printf('The Isolation Forest detected %d highly unusual observations requiring review.', n)
+      'No cell is empty.' AS text
+    UNION ALL SELECT 3, 'anomalies', 'alert', 'rows', n, printf('%d rows carry the anomaly label.', n)
       FROM (SELECT count(*) AS n FROM {FLAGGED_SQL} WHERE is_anomaly = 'Anomaly')""",
 )
 def _(t):

@@ -7,7 +7,7 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablescope.functions.columns import col, require_key
 from tablescope.operators.anomalies import contamination_labels, normalize_scores
@@ -32,38 +32,51 @@ NODE_TYPE = T.StructType(
 )
 
 
-def _unit(*parts: Column) -> Column:
-    """A uniform number in [0, 1) that depends only on its arguments."""
-    bits = 1 << 52
-    return F.pmod(F.xxhash64(*parts), F.lit(bits)) / F.lit(float(bits))
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """Mixes 64-bit numbers one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _subsamples(features: DataFrame, key: Sequence[str], trees: int, seed: int) -> DataFrame:
-    """``tree, draw, features``: at most 256 rows per tree, the same on any partitioning.
+    """``tree, place, features``: 256 rows for every tree (all rows of a smaller table).
 
-    A large table gives every row one chance for one tree, so a single hash per
-    row thins it to about two subsamples' worth per tree; a small table is drawn
-    from for every tree separately.  The final cut runs on that thinned set only.
+    Each tree takes the rows with the smallest hashes of key and tree, at any
+    size of the table and on any partitioning.  A task keeps its 256 smallest per
+    tree, so no more than those are shuffled.
     """
-    n = features.count()
-    if n < LEAST_ROWS:
+    if features.limit(LEAST_ROWS).count() < LEAST_ROWS:
         raise ValueError(f"an isolation forest needs at least {LEAST_ROWS} rows")
-    id_columns = [col(k) for k in key]
-    wanted = 2 * SUBSAMPLE * trees
-    if n > wanted:
-        kept = features.where(_unit(*id_columns, F.lit(seed)) < wanted / n)
-        drawn = kept.withColumn("tree", F.pmod(F.xxhash64(*id_columns, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        drawn = features.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.where(_unit(*id_columns, F.col("tree"), F.lit(seed)) < min(1.0, 2 * SUBSAMPLE / n))
-    draw = F.xxhash64(*id_columns, F.col("tree"), F.lit(seed + 2))
-    order = Window.partitionBy("tree").orderBy("draw", *id_columns)
-    return (
-        drawn.withColumn("draw", draw)
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= SUBSAMPLE)
-        .select("tree", "place", "features")
-    )
+    rows = features.select(F.xxhash64(*[col(k) for k in key], F.lit(seed)).alias("draw"), "features")
+    codes = _scrambled(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def smallest(batches):
+        draws = [np.zeros(0, np.uint64) for _ in range(trees)]
+        points: list[np.ndarray | None] = [None] * trees
+        for batch in batches:
+            if not len(batch):
+                continue
+            hashes = batch["draw"].to_numpy().astype(np.int64).view(np.uint64)
+            x = np.array(batch["features"].tolist(), dtype=float)
+            for tree in range(trees):
+                draw = _scrambled(hashes ^ codes[tree])
+                full = len(draws[tree]) >= SUBSAMPLE
+                near = np.flatnonzero(draw <= draws[tree].max()) if full else np.arange(len(draw))
+                if len(near):
+                    found = np.concatenate([draws[tree], draw[near]])
+                    rows = x[near] if points[tree] is None else np.concatenate([points[tree], x[near]])
+                    keep = np.lexsort((*rows.T[::-1], found))[:SUBSAMPLE]
+                    draws[tree], points[tree] = found[keep], rows[keep]
+        for tree in range(trees):
+            if len(draws[tree]):
+                # the order of signed numbers is that of the unsigned ones
+                signed = (draws[tree] ^ np.uint64(1 << 63)).view(np.int64)
+                yield pd.DataFrame({"tree": np.int32(tree), "draw": signed, "features": list(points[tree])})
+
+    held = rows.mapInPandas(smallest, "tree int, draw bigint, features array<double>")
+    order = Window.partitionBy("tree").orderBy("draw", "features")
+    return held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUBSAMPLE).select("tree", "place", "features")
 
 
 def isolation_forest_fit(features: DataFrame, key, trees: int = TREES, seed: int = SEED) -> DataFrame:

@@ -28,10 +28,35 @@ def row_copies(df: DataFrame) -> DataFrame:
     return rows.groupBy(*[col(c) for c in rows.columns]).agg(F.count("*").alias("copies")).withColumn("missing_in_row", gaps)
 
 
+def row_digests(df: DataFrame) -> DataFrame:
+    """``copies, missing_in_row`` per distinct row, told apart by two 64-bit hashes of its values and gaps."""
+    rows = groupable(df)
+    columns = [col(c) for c in rows.columns]
+    gaps = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    hashed = rows.select(
+        F.xxhash64(gaps, *columns).alias("first"),
+        F.xxhash64(F.lit(1), *reversed(columns), gaps).alias("second"),
+        F.length(F.replace(gaps, F.lit("0"), F.lit(""))).alias("missing_in_row"),
+    )
+    return hashed.groupBy("first", "second", "missing_in_row").agg(F.count("*").alias("copies"))
+
+
+def missing_cells(df: DataFrame) -> DataFrame:
+    """One row ``n_rows, missing_cells, missing_pct``: counted where the rows are read, nothing is shuffled but sums."""
+    filled = sum((F.count(clean(df, c)) for c in df.columns), F.lit(0).cast("bigint"))
+    counts = df.agg(F.count("*").alias("n_rows"), filled.alias("filled"))
+    cells = F.col("n_rows") * len(df.columns)
+    missing = cells - F.col("filled")
+    return counts.select("n_rows", missing.alias("missing_cells"), share(missing, cells, empty=0.0).alias("missing_pct"))
+
+
 def table_stats(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, cells, missing cells and share, duplicate rows, columns by family."""
+    """One row: rows, columns, cells, missing cells and share, duplicate rows, columns by family.
+
+    Only hashes of the rows are shuffled.
+    """
     width = len(df.columns)
-    totals = row_copies(df).agg(
+    totals = row_digests(df).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.count("*").alias("distinct_rows"),
         F.coalesce(F.sum(F.col("copies") * F.col("missing_in_row")), F.lit(0)).alias("missing_cells"),
@@ -125,21 +150,22 @@ def missing_distribution(df: DataFrame) -> DataFrame:
     return counts.select(rows).where("missing_count > 0").orderBy(F.desc("missing_count"), "position").drop("position")
 
 
-def _parses(df: DataFrame, column: str, sample: int) -> bool:
-    """Whether the first ``sample`` non-null values all parse as dates (none: False)."""
-    head = df.select(clean(df, column).cast("string").alias("v")).where("v IS NOT NULL").limit(sample)
-    seen = head.agg(F.count("*").alias("n"), F.count(parse_timestamp(F.col("v"))).alias("parsed")).first()
-    return seen["n"] > 0 and seen["n"] == seen["parsed"]
+def text_date_columns(df: DataFrame) -> list[str]:
+    """String columns with values that all parse as dates; one aggregate over all values of all of them."""
+    strings = [c for c in columns_of(df, "categorical") if df.schema[c].dataType.typeName() == "string"]
+    if not strings:
+        return []
+    values = [clean(df, c).cast("string") for c in strings]
+    seen = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.count(parse_timestamp(v)).alias(f"d{i}") for i, v in enumerate(values)],
+    ).first()
+    return [c for i, c in enumerate(strings) if seen[f"n{i}"] > 0 and seen[f"n{i}"] == seen[f"d{i}"]]
 
 
 def detect_date_columns(df: DataFrame) -> list[str]:
-    """Native date columns, then string columns whose first 50 values all parse.
-
-    Looks at 50 values per string column, whatever the table's size.
-    """
-    # fixed value: 50 sampled values
-    strings = [c for c in columns_of(df, "categorical") if df.schema[c].dataType.typeName() == "string"]
-    return columns_of(df, "datetime") + [c for c in strings if _parses(df, c, 50)]
+    """Native date columns, then string columns whose values all parse as dates."""
+    return columns_of(df, "datetime") + text_date_columns(df)
 
 
 def primary_date_column(df: DataFrame) -> str | None:
@@ -147,16 +173,10 @@ def primary_date_column(df: DataFrame) -> str | None:
     native = columns_of(df, "datetime")
     if native:
         return native[0]
-    # fixed values: name hints, 10 and 5 sampled values
+    # fixed values: name hints
     hints = ["date", "time", "year", "month", "timestamp"]
-    strings = [c for c in columns_of(df, "categorical") if df.schema[c].dataType.typeName() == "string"]
-    for c in strings:
-        if any(h in c.lower() for h in hints) and _parses(df, c, 10):
-            return c
-    for c in strings:
-        if _parses(df, c, 5):
-            return c
-    return None
+    found = text_date_columns(df)
+    return next((c for c in found if any(h in c.lower() for h in hints)), next(iter(found), None))
 
 
 def low_cardinality_columns(df: DataFrame, limit: int = 30) -> list[str]:

@@ -10,12 +10,12 @@ from tablescope.functions.columns import beside, number, numeric_columns
 from tablescope.functions.labels import missing_flag, score_band
 from tablescope.functions.numbers import share
 from tablescope.operators.order_stats import exact_quantiles
-from tablescope.operators.profile import missing_distribution, row_copies, table_stats
+from tablescope.operators.profile import missing_cells, missing_distribution, row_copies, table_stats
 
 
 def completeness(df: DataFrame) -> DataFrame:
     """Missing share of all cells and the completeness score (100 for no cells)."""
-    return table_stats(df).select(
+    return missing_cells(df).select(
         "missing_cells",
         "missing_pct",
         F.greatest(F.lit(0.0), 100 - F.col("missing_pct")).alias("completeness"),

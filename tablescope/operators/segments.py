@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescope.functions.columns import col, number, numeric_columns, require_columns, require_key
 from tablescope.functions.numbers import share, zero_as
@@ -17,7 +15,6 @@ from tablescope.operators.describe import column_moments
 from tablescope.operators.features import feature_vector
 
 NOISE = "Outliers/Noise"
-SAMPLE_CAP = 5000  # fixed value: rows the exact silhouette is defined on
 
 
 def kmeans_segments(
@@ -142,55 +139,19 @@ def attach_labels(df: DataFrame, labels: DataFrame, key) -> DataFrame:
     return df.join(labels, require_key(df, key), "left")
 
 
-def silhouette(df: DataFrame, features: str, label: str) -> float:
-    """Mean silhouette over all rows with squared Euclidean distance.
+def silhouette(df: DataFrame, features: str, label: str) -> DataFrame:
+    """One row, ``silhouette``: the mean over all rows with squared Euclidean distance.
 
     Needs one pass for the moments of each cluster and one to score, so it is
-    linear in the rows.
+    linear in the rows.  NULL where there are fewer than two labels.
     """
     codes = df.select(
         array_to_vector(col(features).cast("array<double>")).alias("features"), col(label).cast("double").alias("code")
-    )
-    return ClusteringEvaluator(
-        featuresCol="features", predictionCol="code", metricName="silhouette", distanceMeasure="squaredEuclidean"
-    ).evaluate(codes)
-
-
-def silhouette_of_sample(sample: DataFrame, features: str, label: str) -> DataFrame:
-    """Mean Euclidean silhouette of a sample of at most 5,000 rows.
-
-    The measure needs every distance between sample rows.  The sample, whose
-    size is checked, is broadcast; each task scores its share of the rows.
-    """
-    codes = sample.select(col(features).cast("array<double>").alias("x"), col(label).cast("string").alias("code"))
-    held = codes.limit(SAMPLE_CAP + 1).collect()
-    if len(held) > SAMPLE_CAP:
-        raise ValueError(f"the exact silhouette takes at most {SAMPLE_CAP} sampled rows; use silhouette()")
-    points = np.array([r["x"] for r in held], dtype=float)
-    names, index = np.unique([r["code"] for r in held], return_inverse=True)
-    if len(names) < 2:
-        return sample.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    sizes = np.bincount(index)
-    shared = sample.sparkSession.sparkContext.broadcast((points, names, index, sizes))
-
-    def score(batches):
-        points, names, index, sizes = shared.value
-        squares = (points**2).sum(1)
-        member = np.eye(len(names))[index]
-        for batch in batches:
-            x = np.array(batch["x"].tolist(), dtype=float)
-            own = np.searchsorted(names, batch["code"].to_numpy(dtype=str))
-            rows = np.arange(len(own))
-            gap = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ points.T + squares, 0))
-            sums = gap @ member
-            inside = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[rows, own] = np.inf
-            outside = means.min(1)
-            with np.errstate(invalid="ignore"):
-                value = np.nan_to_num((outside - inside) / np.maximum(inside, outside))
-            yield pd.DataFrame({"value": np.where(sizes[own] == 1, 0.0, value)})
-
-    schema = T.StructType([T.StructField("value", T.DoubleType())])
-    tasks = sample.sparkSession.sparkContext.defaultParallelism
-    return codes.repartition(tasks).mapInPandas(score, schema).agg(F.avg("value").alias("silhouette"))
+    ).where("features IS NOT NULL AND code IS NOT NULL")
+    labels = codes.agg(F.min("code").alias("low"), F.max("code").alias("high")).first()
+    value = None
+    if labels["low"] != labels["high"]:
+        value = ClusteringEvaluator(
+            featuresCol="features", predictionCol="code", metricName="silhouette", distanceMeasure="squaredEuclidean"
+        ).evaluate(codes)
+    return df.sparkSession.range(1).select(F.lit(value).cast("double").alias("silhouette"))

@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablescope.functions.columns import clean, family
+from tablescope.functions.columns import clean, family, literal_rows
 from tablescope.functions.numbers import clamp
+from tablescope.operators.profile import text_date_columns
 
 # fixed values: keywords looked for in column names
 CUSTOMER = ["customer", "user", "client", "age", "gender", "email", "name", "account_id", "subscriber"]
@@ -25,6 +26,29 @@ MODULES = {
 }
 
 
+def schema_catalogue(tables: Mapping[str, DataFrame], text_dates: bool = False) -> DataFrame:
+    """``table, column, dtype, family, is_date`` from the schemas alone; no table is read.
+
+    With ``text_dates`` the string columns are read, and those whose values all
+    parse as dates count as dates.
+    """
+    rows = []
+    for name, df in tables.items():
+        dated = text_date_columns(df) if text_dates else []
+        for f in df.schema.fields:
+            kind = family(f.dataType)
+            values = (name, f.name, f.dataType.simpleString(), kind, kind == "datetime" or f.name in dated)
+            rows.append([F.lit(v) for v in values])
+    spark = next(iter(tables.values())).sparkSession
+    return literal_rows(spark, rows, ["table", "column", "dtype", "family", "is_date"])
+
+
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``table, n_rows``; counting reads no column."""
+    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
 def column_catalogue(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``table, column, dtype, family, n_rows, non_null`` for all columns of many tables.
 
@@ -58,19 +82,18 @@ def _hits(words: list[str]) -> Column:
     return F.sum(F.when(F.lower("column").rlike("|".join(words)), 1).otherwise(0))
 
 
-def catalog_profile(catalogue: DataFrame) -> DataFrame:
+def catalog_profile(tables: Mapping[str, DataFrame], text_dates: bool = False) -> DataFrame:
     """Per table: rows, columns, kind of table and up to three recommended analyses.
 
     Ties go to transaction, then financial, then customer; tables with a date
-    column are temporal.
+    column are temporal, with ``text_dates`` one in text as well.
     """
-    scored = catalogue.groupBy("table").agg(
-        F.max("n_rows").alias("n_rows"),
+    scored = schema_catalogue(tables, text_dates).groupBy("table").agg(
         F.count("*").alias("n_columns"),
         _hits(CUSTOMER).alias("customer_hits"),
         _hits(FINANCIAL).alias("financial_hits"),
         _hits(TRANSACTION).alias("transaction_hits"),
-        F.max(F.col("family") == "datetime").alias("has_date"),
+        F.max("is_date").alias("has_date"),
     )
     best = F.greatest("customer_hits", "financial_hits", "transaction_hits")
     base = (
@@ -85,7 +108,7 @@ def catalog_profile(catalogue: DataFrame) -> DataFrame:
     for kind, names in MODULES.items():
         modules = F.when(F.col("base") == kind, F.array(*[F.lit(n) for n in names])).otherwise(modules)
     shown = F.slice(F.when(temporal, F.concat(F.array(F.lit("Timeline Intelligence")), modules)).otherwise(modules), 1, 3)
-    return scored.withColumn("base", base).select(
+    return scored.join(row_counts(tables), "table").withColumn("base", base).select(
         "table",
         "n_rows",
         "n_columns",
@@ -95,7 +118,7 @@ def catalog_profile(catalogue: DataFrame) -> DataFrame:
 
 
 def richness_score(catalogue: DataFrame) -> DataFrame:
-    """Per table: variety of column types (entropy over its maximum) plus a bonus for many columns."""
+    """Per table of a schema catalogue: variety of column types (entropy over its maximum) plus a bonus for many columns."""
     total = F.count("*").cast("double")
     shares = [
         F.sum(F.when(F.col("family") == "numeric", 1.0).otherwise(0.0)) / total,

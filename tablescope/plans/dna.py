@@ -11,23 +11,29 @@ from tablescope.functions.numbers import clamp, share
 from tablescope.operators.features import prepare_features
 from tablescope.operators.forest import anomaly_rate_stability
 from tablescope.operators.profile import schema_profile, table_stats
-from tablescope.operators.segments import SAMPLE_CAP, silhouette_of_sample
-from tablescope.plans.catalog import column_catalogue, richness_score
+from tablescope.operators.segments import silhouette
+from tablescope.plans.catalog import richness_score, schema_catalogue
 from tablescope.session import checkpoint
 
 # fixed values: seed 42, at least 10 rows, 3 clusters
 SEED, LEAST_ROWS, CLUSTERS = 42, 10, 3
 
 
-def sample_rows(df: DataFrame, key, rows: int = SAMPLE_CAP, seed: int = SEED) -> DataFrame:
-    """At most ``rows`` rows with complete numeric columns, the same on any partitioning.
+def complete_rows(df: DataFrame) -> DataFrame:
+    """The rows without a missing number."""
+    complete = df
+    for c in numeric_columns(df):
+        complete = complete.where(number(df, c).isNotNull())
+    return complete
+
+
+def sample_rows(df: DataFrame, key, rows: int, seed: int = SEED) -> DataFrame:
+    """At most ``rows`` complete rows, the same on any partitioning; no score uses it.
 
     The sample is the smallest hashes of the key: a distributed top-k, not a sort.
     """
     key = require_key(df, key)
-    complete = df
-    for c in numeric_columns(df):
-        complete = complete.where(number(df, c).isNotNull())
+    complete = complete_rows(df)
     by_key = [col(k) for k in key]
     return complete.orderBy(F.xxhash64(*by_key, F.lit(seed)), *by_key).limit(rows)
 
@@ -58,42 +64,45 @@ def complexity_score(df: DataFrame) -> DataFrame:
     return counts.select(score.alias("complexity"))
 
 
-def _numeric_sample(df: DataFrame, key: list[str]) -> tuple[DataFrame | None, int]:
-    """Standardised numeric columns of the sample, checkpointed; None below ten rows."""
+def _numeric_rows(df: DataFrame, key: list[str]) -> DataFrame | None:
+    """Standardised numeric columns of all complete rows, checkpointed; None below ten rows."""
     numeric = numeric_columns(df)
-    if not numeric or df.limit(LEAST_ROWS).count() < LEAST_ROWS:
-        return None, 0
-    sample = checkpoint(sample_rows(df, key).select(*dict.fromkeys([*key, *numeric])))
-    rows = sample.count()
-    if rows < LEAST_ROWS:
-        return None, rows
-    return checkpoint(prepare_features(sample, numeric, key)), rows
+    rows = complete_rows(df).select(*[col(c) for c in dict.fromkeys([*key, *numeric])])
+    if not numeric or rows.limit(LEAST_ROWS).count() < LEAST_ROWS:
+        return None
+    return checkpoint(prepare_features(rows, numeric, key))
 
 
 def _one_row(df: DataFrame, **values: float) -> DataFrame:
     return df.sparkSession.range(1).select(*[F.lit(float(v)).alias(k) for k, v in values.items()])
 
 
-def clusterability_score(df: DataFrame, key, _sample=None) -> DataFrame:
-    """Silhouette of three clusters on the sample, mapped to 0-100."""
-    sample, rows = _sample or _numeric_sample(df, require_key(df, key))
-    if sample is None:
+def _clusterability(rows: DataFrame | None, df: DataFrame) -> DataFrame:
+    if rows is None:
         return _one_row(df, clusterability=0.0)
-    vectors = sample.withColumn("vector", array_to_vector("features"))
-    model = KMeans(k=min(CLUSTERS, rows - 1), seed=SEED, featuresCol="vector").fit(vectors)
+    vectors = rows.withColumn("vector", array_to_vector("features"))
+    model = KMeans(k=CLUSTERS, seed=SEED, featuresCol="vector").fit(vectors)
     labelled = model.transform(vectors)
     # fixed values: (s + 0.1) * 125, and 20 where no silhouette exists
     score = F.coalesce(F.round(clamp((F.col("silhouette") + 0.1) * 125, 0, 100), 1), F.lit(20.0))
-    return silhouette_of_sample(labelled, "features", "prediction").select(score.alias("clusterability"))
+    return silhouette(labelled, "features", "prediction").select(score.alias("clusterability"))
+
 
+def clusterability_score(df: DataFrame, key) -> DataFrame:
+    """Silhouette of three clusters over all complete rows, mapped to 0-100."""
+    return _clusterability(_numeric_rows(df, require_key(df, key)), df)
 
-def stability_score(df: DataFrame, key, _sample=None) -> DataFrame:
-    """Share of isolated rows on the sample, turned into a 0-100 score."""
+
+def stability_score(df: DataFrame, key) -> DataFrame:
+    """Share of isolated rows among all complete rows, turned into a 0-100 score."""
     key = require_key(df, key)
-    sample, _ = _sample or _numeric_sample(df, key)
-    if sample is None:
+    return _stability(_numeric_rows(df, key), df, key)
+
+
+def _stability(rows: DataFrame | None, df: DataFrame, key: list[str]) -> DataFrame:
+    if rows is None:
         return _one_row(df, stability=100.0)
-    return anomaly_rate_stability(sample, key).select(
+    return anomaly_rate_stability(rows, key).select(
         F.round(F.greatest(F.lit(0.0), F.col("stability")), 1).alias("stability")
     )
 
@@ -101,10 +110,10 @@ def stability_score(df: DataFrame, key, _sample=None) -> DataFrame:
 def dataset_dna(df: DataFrame, key) -> DataFrame:
     """One row: quality, complexity, clusterability, stability, richness and their mean."""
     key = require_key(df, key)
-    sample = _numeric_sample(df, key)
-    richness = richness_score(column_catalogue({"table": df})).select("richness")
+    rows = _numeric_rows(df, key)
+    richness = richness_score(schema_catalogue({"table": df})).select("richness")
     out = quality_score(df)
-    for part in (complexity_score(df), clusterability_score(df, key, sample), stability_score(df, key, sample), richness):
+    for part in (complexity_score(df), _clusterability(rows, df), _stability(rows, df, key), richness):
         out = beside(out, part)
     names = ["quality", "complexity", "clusterability", "stability", "richness"]
     mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)

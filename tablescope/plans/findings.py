@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablescope.functions.columns import col
 from tablescope.operators.anomalies import ANOMALY, anomaly_summary
-from tablescope.operators.profile import table_stats
+from tablescope.operators.profile import missing_cells, table_stats
 from tablescope.operators.relations import rank_relationships
 from tablescope.operators.segments import largest_segment, segment_summary
 
@@ -45,7 +45,7 @@ def generate_findings(
     data = df.drop(*[c for c in (segment, anomaly) if c])
     pct = F.col("missing_pct")
     # fixed values: above 5 %, and exactly 0
-    health = table_stats(data).where((F.col("n_rows") > 0) & ((pct > 5) | (pct == 0)))
+    health = missing_cells(data).where((F.col("n_rows") > 0) & ((pct > 5) | (pct == 0)))
     many = pct > 5
     parts = [
         health.select(
@@ -58,9 +58,9 @@ def generate_findings(
                 F.when(
                     many,
                     F.format_string(
-                        "Dataset has a high missing value rate (%.1f%%). Consider imputing or removing sparse features.", pct
+                        "%.1f%% of all cells are empty; fill them or leave out the columns concerned.", pct
                     ),
-                ).otherwise("Dataset is completely clean with 0 missing values."),
+                ).otherwise("No cell is empty."),
             )
         )
     ]
@@ -74,7 +74,7 @@ def generate_findings(
                     F.col("segment"),
                     F.col("pct"),
                     F.format_string(
-                        "%s is the dominant segment, containing %.1f%% of all records.", F.col("segment").cast("string"), F.col("pct")
+                        "Largest segment: %s, %.1f%% of the rows.", F.col("segment").cast("string"), F.col("pct")
                     ),
                 )
             )
@@ -92,14 +92,14 @@ def generate_findings(
                     n,
                     F.when(
                         n > 0,
-                        F.format_string("The Isolation Forest detected %d highly unusual observations requiring review.", n),
-                    ).otherwise("No statistical anomalies detected in the current dataset bounds."),
+                        F.format_string("%d rows carry the anomaly label.", n),
+                    ).otherwise("No row carries the anomaly label."),
                 )
             )
         )
     if relationships is not None:
         for position, (kind, word, pairs) in enumerate(
-            zip(("positive", "negative"), ("strong positive", "strong inverse"), _top_pairs(relationships)), start=4
+            zip(("positive", "negative"), ("rise together", "move in opposite directions"), _top_pairs(relationships)), start=4
         ):
             parts.append(
                 pairs.select(
@@ -109,7 +109,7 @@ def generate_findings(
                         "good" if kind == "positive" else "alert",
                         F.concat_ws(" / ", "var1", "var2"),
                         F.col("pearson"),
-                        F.format_string(f"%s and %s show a {word} relationship (Pearson: %.2f).", "var1", "var2", "pearson"),
+                        F.format_string(f"%s and %s {word} (r = %.2f).", "var1", "var2", "pearson"),
                     )
                 )
             )
@@ -121,7 +121,7 @@ def generate_findings(
             "info",
             "dataset",
             F.lit(None),
-            F.lit("Run clustering, anomaly detection, or correlation mining to uncover more insights."),
+            F.lit("Nothing to report; label segments or anomalies, or pass relationships, for more findings."),
         )
     )
     return found.unionAll(nothing)
@@ -228,9 +228,9 @@ def report_rows(
     if relationships is not None:
         r = F.col("pearson")
         # fixed values: strictly above 0.7 and 0.4
-        size = F.when(F.abs(r) > 0.7, "Strong").when(F.abs(r) > 0.4, "Moderate").otherwise("Weak")
-        sign = F.when(r > 0, "Positive").otherwise("Negative")
-        text = F.format_string("%s & %s: %s %s (%.2f)", "var1", "var2", size, sign, r)
+        size = F.when(F.abs(r) > 0.7, "strong").when(F.abs(r) > 0.4, "moderate").otherwise("weak")
+        sign = F.when(r > 0, "rising").otherwise("falling")
+        text = F.format_string("%s with %s: %s, %s (r = %.2f)", "var1", "var2", size, sign, r)
         parts.append(
             rank_relationships(relationships, 5).select(*_item(30, "Correlations", "pair", r, text))
         )

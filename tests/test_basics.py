@@ -108,6 +108,8 @@ def test_date_detection(spark):
     df = spark.createDataFrame([("2024-01-05", "x", "03/04/2024", "12"), (None, "y", "12/25/2023", "13")], "a string, b string, c string, year string")
     assert profile.detect_date_columns(df) == ["a", "c"]
     assert profile.primary_date_column(df) == "a"
+    late = spark.range(200).select(F.when(F.col("id") < 150, "2024-01-05").otherwise("word").alias("date"))
+    assert profile.detect_date_columns(late) == [] and profile.primary_date_column(late) is None
     assert profile.primary_date_column(df.select("b", "year")) is None
     assert profile.primary_date_column(df.selectExpr("b", "to_date(a) AS d")) == "d"
 

@@ -55,9 +55,9 @@ def test_silhouettes(spark):
         return np.mean(out)
 
     squared = ((x[:, None] - x[None]) ** 2).sum(-1)
-    assert segments.silhouette(df, "features", "label") == pytest.approx(direct(squared), rel=1e-9)
-    exact = segments.silhouette_of_sample(df, "features", "label").first()["silhouette"]
-    assert exact == pytest.approx(direct(np.sqrt(squared)), rel=1e-9)
+    assert segments.silhouette(df, "features", "label").first()[0] == pytest.approx(direct(squared), rel=1e-9)
+    assert segments.silhouette(df.where("label = 1"), "features", "label").first()[0] is None
+    assert segments.silhouette(df.limit(0), "features", "label").first()[0] is None
 
 
 def test_summary_and_noise(spark):
@@ -186,5 +186,8 @@ def test_dna(spark):
     assert got["quality"] == 100 and all(0 <= v <= 100 for v in got.values())
     tiny = dna.dataset_dna(df.limit(5), "id").first()
     assert (tiny["clusterability"], tiny["stability"]) == (0.0, 100.0)
+    # 20,000 rows in three far groups
+    wide = spark.range(20000).select("id", (F.when(F.col("id") < 6000, 0).otherwise(F.col("id") % 3) * 1000 + F.rand(5)).alias("x"))
+    assert dna.clusterability_score(wide, "id").first()[0] > 90
     a = {r["id"] for r in dna.sample_rows(df, "id", 50).collect()}
     assert a == {r["id"] for r in dna.sample_rows(df.repartition(5), "id", 50).collect()} and len(a) == 50
