@@ -7,16 +7,21 @@
    ``distance`` symbols differ in at most ``distance // chunks`` symbols of some
    chunk, so they agree in one of the enumerated selections of that chunk that
    leave as many symbols out.  Every selection is a key.
-3. Each class is confirmed against the smallest class with which it shares most
-   keys.  That merges large groups in linear work.
-4. Of the keys whose classes are still apart, members with different labels are
-   compared by signature in blocks of bounded size; what is within ``distance``
-   is confirmed on full sets.
+3. Shingles that no other class with a shared key has are counted.  They bound
+   every intersection, so classes with too many of them are linked with nothing.
+4. Of each key the class with the smallest share of such shingles is the center:
+   in a group of edited copies, the original.  Each class is confirmed against
+   the center with which it shares most keys.  That merges large groups in
+   linear work.
+5. Of the keys whose classes are still apart, members with different labels are
+   compared by signature and bound in blocks of bounded size; what remains is
+   confirmed on full sets.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +89,16 @@ def selections(symbols: int, chunks: int, errors: int) -> list[np.ndarray]:
     return found
 
 
+def farthest(symbols: int, percent: int, miss: float = 1e-6) -> int:
+    """The number of differing symbols that a pair at the threshold exceeds with a chance below ``miss``."""
+    p, left = 1 - percent / 100, 1.0
+    for d in range(symbols + 1):
+        left -= comb(symbols, d) * p**d * (1 - p) ** (symbols - d)
+        if left < miss:
+            return d
+    return symbols
+
+
 class Join:
     """The parameters of one near-duplicate run."""
 
@@ -109,7 +124,7 @@ class Join:
         return extend(docs, self.text, fields + [T.StructField("signature", T.BinaryType())] * signed, make, keep)
 
     def keys(self, classes: DataFrame) -> DataFrame:
-        """``key, node``: a row for every class and selection."""
+        """``pick, key, node``: a row for every class and selection."""
         chosen = selections(self.symbols, self.chunks, self.distance // self.chunks)
         symbols = self.symbols
 
@@ -128,14 +143,41 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("node"), keys], names=["node", "keys"])
 
         listed = classes.select("node", "signature").mapInArrow(run, "node binary, keys array<bigint>")
-        return listed.select(F.explode("keys").alias("key"), "node")
+        return listed.select(F.posexplode("keys").alias("pick", "key"), "node")
+
+    def sets(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``node, values``: the sets of the given nodes, made anew from the texts.
+
+        A bitmap of fixed size keeps most other sets from being sent; a join
+        drops the rest.
+        """
+        held = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))
+        size = self.shingle
+
+        def run(batches):
+            seen: set[bytes] = set()
+            for batch in batches:
+                for at, to in pieces(batch.column(0)):
+                    values, sizes = shingle_sets(batch.column(0).slice(at, to - at), size)
+                    ends = np.concatenate([[0], np.cumsum(sizes)])
+                    found, packed = [], []
+                    for i, node in enumerate(set_digests(values, sizes)):
+                        if node is not None and node not in seen and listed(held.value, node):
+                            seen.add(node)
+                            found.append(node)
+                            packed.append(values[ends[i] : ends[i + 1]].tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found, pa.binary()), pa.array(packed, pa.binary())], names=["node", "values"]
+                    )
+
+        made = docs.select(col(self.text).cast("string").alias("text")).mapInArrow(run, "node binary, values binary")
+        return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    def confirm(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    def confirm(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs ``left, right`` whose full sets are similar enough.
 
-        The sets that occur in a pair are made anew from the texts.  Each is
-        sent to the tasks of its right partners; a partner with many pairs has
-        as many tasks as they need.
+        Each set is sent to the tasks of its right partners; a partner with many
+        pairs has as many tasks as they need.
         """
         parts = pairs.groupBy("right").agg(F.ceil(F.count("*") / SPREAD).alias("parts"))
         left = pairs.join(parts, "right").select(
@@ -150,26 +192,7 @@ class Join:
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
             F.lit(0).alias("role"),
         )
-        wanted = checkpoint(left.unionByName(right))
-        bits = bitmap(wanted.select("node"))
-        held = docs.sparkSession.sparkContext.broadcast(bits)
-        size, percent, text = self.shingle, self.percent, self.text
-
-        def sets(batches):
-            seen: set[bytes] = set()
-            for batch in batches:
-                for at, to in pieces(batch.column(0)):
-                    values, sizes = shingle_sets(batch.column(0).slice(at, to - at), size)
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
-                    nodes, packed = [], []
-                    for i, node in enumerate(set_digests(values, sizes)):
-                        if node is not None and node not in seen and listed(held.value, node):
-                            seen.add(node)
-                            nodes.append(node)
-                            packed.append(values[ends[i] : ends[i + 1]].tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], names=["node", "values"]
-                    )
+        percent = self.percent
 
         def compare(batches):
             center: dict = {}
@@ -188,10 +211,31 @@ class Join:
                             b.append(group)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["left", "right"])
 
-        made = docs.select(col(text).cast("string").alias("text")).mapInArrow(sets, "node binary, values binary")
-        met = made.join(wanted, "node").repartition("group", "part").sortWithinPartitions("group", "part", "role")
+        met = sets.join(left.unionByName(right), "node").repartition("group", "part").sortWithinPartitions("group", "part", "role")
         return met.mapInArrow(compare, "left binary, right binary")
 
+    def linkable(self, sets: DataFrame) -> DataFrame:
+        """``node, n, common`` of the sets that may be linked at all.
+
+        ``common`` counts the shingles that another set has too; no intersection
+        is larger.
+        """
+
+        def run(batches):
+            for batch in batches:
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("values")]
+                at = np.repeat(np.arange(len(values)), [len(v) for v in values])
+                for i in range(0, len(at), 1 << 19):
+                    some = at[i : i + (1 << 19)]
+                    rows = np.concatenate(values)[i : i + len(some)] if len(values) > 1 else values[0][i : i + len(some)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("node").take(pa.array(some))], names=["value", "node"])
+
+        single = sets.mapInArrow(run, "value bigint, node binary").groupBy("value").agg(F.count("*").alias("n"), F.first("node").alias("node"))
+        own = single.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+        sizes = sets.select("node", (F.octet_length("values") / 8).cast("bigint").alias("n")).join(own, "node", "left")
+        found = sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        return found.where(100 * F.col("common") >= self.percent * F.col("n"))
+
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
     """A bit for every slot that holds a node: at most SLOTS bits, however many nodes there are."""
@@ -208,12 +252,15 @@ def listed(bits: np.ndarray, node: bytes) -> bool:
     return bool(bits[slot // 32] >> np.uint32(slot % 32) & np.uint32(1))
 
 
-def close_pairs(distance: int, symbols: int):
-    """Pairs of left and right members of each block that lie within the distance and have different labels.
+def close_pairs(join: Join):
+    """Pairs of left and right members of each block that may be linked and have different labels.
 
-    Rows come sorted by block; a block's members are bounded, so only the
-    unfinished block is kept between batches.
+    They lie within the distance, and their common shingles suffice.  A pair is
+    given in the first of its keys only.  Rows come sorted by block; a block's
+    members are bounded, so only the unfinished block is kept between batches.
     """
+    distance, percent, symbols = join.distance, join.percent, join.symbols
+    chosen = selections(symbols, join.chunks, distance // join.chunks)
 
     def pairs(block, side):
         """Index pairs of left and right members of one block, about PAIRS of them at a time."""
@@ -240,13 +287,20 @@ def close_pairs(distance: int, symbols: int):
         label = np.array([names[x] for x in table.column("label").to_pylist()])
         rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, symbols)
         block = table.column("block").to_numpy()
-        side = table.column("side").to_numpy()
+        side, pick, n, common = (table.column(c).to_numpy() for c in ("side", "pick", "n", "common"))
         found: set[tuple[bytes, bytes]] = set()
         for i, j in pairs(block, side):
-            near = label[i] != label[j]
+            most = np.minimum(common[i], common[j])
+            near = (label[i] != label[j]) & (100 * most >= percent * (n[i] + n[j] - most))
             i, j = i[near], j[near]
-            near = (rows[i] != rows[j]).sum(axis=1) <= distance
-            found.update((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in zip(i[near], j[near]))
+            same = rows[i] == rows[j]
+            near = same.sum(axis=1) >= symbols - distance
+            i, j, same = i[near], j[near], same[near]
+            first = np.full(len(i), len(chosen))
+            for k in range(len(chosen) - 1, -1, -1):
+                first[same[:, chosen[k]].all(axis=1)] = k
+            own = first == pick[i]
+            found.update((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])) for x, y in zip(i[own], j[own]))
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["left", "right"])
 
@@ -268,9 +322,9 @@ def close_pairs(distance: int, symbols: int):
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """Deal the members of each key to blocks: ``block, side, node, label, signature``.
+    """Deal the members of each key to blocks: ``block, side`` and what is known of the member.
 
-    ``major`` members have the label of the key's smallest class and are compared
+    ``major`` members have the label of the key's center and are compared
     with the others only, which are also compared among themselves.  A major
     member is repeated once per block of others, so a huge merged group with few
     others costs no more than its size.
@@ -295,11 +349,12 @@ def blocks(members: DataFrame) -> DataFrame:
         F.transform(F.filter(every, lambda j: j >= own), lambda j: place(1, own, j, 0)),
         F.transform(F.filter(every, lambda i: i <= own), lambda i: place(1, i, own, 1)),
     )
+    known = ["pick", "node", "label", "signature", "n", "common"]
     rows = dealt.select(
-        "key", "node", "label", "signature", F.explode(F.when(F.col("major"), major_rows).otherwise(minor_rows)).alias("p")
+        "key", *known, F.explode(F.when(F.col("major"), major_rows).otherwise(minor_rows)).alias("p")
     )
     block = F.xxhash64("key", "p.kind", "p.i", "p.j").alias("block")
-    return rows.select(block, F.col("p.side").alias("side"), "node", "label", "signature")
+    return rows.select(block, F.col("p.side").alias("side"), *known)
 
 
 def near_duplicates(
@@ -309,8 +364,8 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     symbols: int = 64,
-    chunks: int = 13,
-    distance: int = 25,
+    distance: int | None = None,
+    chunks: int | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` (columns ``keep``, all by default) with their near-duplicate component.
@@ -321,8 +376,9 @@ def near_duplicates(
     over links) and ``kept`` (the row's key is that).
 
     All pairs whose signatures differ in at most ``distance`` of ``symbols``
-    places are examined.  For a pair at exactly 85 % the chance to differ more is
-    about 1e-6 (25 of 64), and less above.  All links are confirmed on full sets.
+    places are examined; by default so many that a pair at the threshold differs
+    more with a chance below 1e-6.  By default there are so many ``chunks`` that
+    one of them differs in at most one place.  Links are confirmed on full sets.
 
     A text without words, or null, has no shingles, is linked with nothing and
     kept.  A text with fewer words than a shingle is one shingle.  Rows with a
@@ -331,6 +387,8 @@ def near_duplicates(
     same result.  An empty table gives no rows.  Input columns with the names of
     results are replaced.
     """
+    distance = farthest(symbols, percent) if distance is None else distance
+    chunks = distance // 2 + 1 if chunks is None else chunks
     join = Join(text, shingle, percent, symbols, chunks, distance)
     wanted = docs.columns if keep is None else keep
     held = checkpoint(join.scan(docs.select(col(key).alias("__llm_key"), col(text)), ["__llm_key"], True))
@@ -357,12 +415,17 @@ def near_duplicates(
 def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, component`` for the classes that share a key with another one, and for the rest."""
     keys = join.keys(classes)
-    ends = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
-    shared = checkpoint(keys.join(ends.where("center <> last").select("key", "center"), "key"))
-    # the smallest class of the keys in which it is met most often
+    ends = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    shared = checkpoint(keys.join(ends, "key"))
+    sets = checkpoint(join.sets(docs, shared.select("node").distinct()))
+    shared = checkpoint(shared.join(join.linkable(sets), "node"))
+    order = F.struct((1 - F.col("common") / F.col("n")).alias("own"), "node")
+    centers = shared.groupBy("key").agg(F.min(order)["node"].alias("center"), F.max("node").alias("b"), F.min("node").alias("a"))
+    shared = checkpoint(shared.join(centers.where("a <> b").select("key", "center"), "key"))
+    # the center that is met in most keys
     votes = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
     best = votes.groupBy("node").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
-    stars = checkpoint(join.confirm(docs, checkpoint(best.select(F.col("node").alias("left"), F.col("center").alias("right")))))
+    stars = checkpoint(join.confirm(sets, checkpoint(best.select(F.col("node").alias("left"), F.col("center").alias("right")))))
     first = connected_components(shared.select("node").distinct(), stars)
     first = checkpoint(first.withColumnRenamed("component", "label"))
     # keys whose classes are still apart
@@ -371,10 +434,11 @@ def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     rest = labelled.join(apart, "key")
     rest = rest.join(first.select(F.col("node").alias("center"), F.col("label").alias("first_label")), "center")
     rest = rest.join(classes.select("node", "signature"), "node")
-    members = checkpoint(rest.select("key", "node", "label", "signature", (F.col("label") == F.col("first_label")).alias("major")))
+    major = (F.col("label") == F.col("first_label")).alias("major")
+    members = checkpoint(rest.select("key", "pick", "node", "label", "signature", "n", "common", major))
     dealt = blocks(members).repartition("block").sortWithinPartitions("block")
-    pairs = dealt.mapInArrow(close_pairs(join.distance, join.symbols), "left binary, right binary").distinct()
-    links = join.confirm(docs, checkpoint(pairs))
+    pairs = dealt.mapInArrow(close_pairs(join), "left binary, right binary")
+    links = join.confirm(sets, checkpoint(pairs))
     named = first.select(F.col("node").alias("n"), "label")
     edges = links.join(named, links["left"] == named["n"]).select(F.col("label").alias("l"), "right")
     edges = edges.join(named, edges["right"] == named["n"]).select(F.col("l").alias("left"), F.col("label").alias("right"))
