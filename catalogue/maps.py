@@ -36,6 +36,18 @@ def _(t):
     return forest.detect_anomalies(t("events"), GROUPED_EVENTS, "event_id", 0.05)
 
 
+@query(
+    "isolation_planted_events",
+    "SELECT event_id, CASE WHEN event_id % 40 = 0 THEN 'Anomaly' ELSE 'Normal' END AS is_anomaly FROM events",
+)
+def _(t):
+    """Every fortieth row lies far from the others and from its like."""
+    far = F.when(F.col("event_id") % 40 == 0, 100000 + F.col("event_id") % 97 * 10000).otherwise(F.col("value"))
+    rows = t("events").select("event_id", far.cast("double").alias("x"))
+    share = rows.agg(F.avg(F.when(F.col("event_id") % 40 == 0, 1.0).otherwise(0.0))).first()[0]
+    return forest.detect_anomalies(rows, ["x"], "event_id", share).select("event_id", "is_anomaly")
+
+
 @query("isolation_stability_orders")
 def _(t):
     from tablescope.operators.features import prepare_features
@@ -74,6 +86,19 @@ def _(t):
     return datamap.project_2d(t("lineitem"), columns, ["l_orderkey", "l_linenumber"])
 
 
+@query(
+    "project_2d_pair_part",
+    """SELECT p_partkey, round((a + b) / sqrt(2), 6) AS map_x, round(abs(a - b) / sqrt(2), 6) AS map_y FROM (SELECT p_partkey,
+      (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS a, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS b
+      FROM (SELECT p_partkey, p_size, p_size * 100 + p_retailprice AS y FROM part))""",
+)
+def _(t):
+    """Two standardised columns that rise together: the axes are their sum and their difference."""
+    pair = t("part").select("p_partkey", "p_size", (F.col("p_size") * 100 + F.col("p_retailprice")).alias("y"))
+    found = datamap.project_2d(pair, ["p_size", "y"], "p_partkey")
+    return rounded(found.select("p_partkey", "map_x", F.abs("map_y").alias("map_y")))
+
+
 # given coordinates: price and size of a part stand in for the two axes
 COORDINATES = "(SELECT p_partkey, p_retailprice AS map_x, CAST(p_size AS DOUBLE) AS map_y FROM part)"
 

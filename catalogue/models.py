@@ -77,6 +77,17 @@ def _(t):
     return segments.kmeans_segments(t("customer"), ["c_acctbal", "c_nationkey"], "c_custkey", k=4)
 
 
+@query(
+    "kmeans_bands_customer",
+    """SELECT c_custkey, 'Cluster ' || (dense_rank() OVER (ORDER BY first_key) - 1) AS segment
+    FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_custkey % 2) AS first_key FROM customer)""",
+)
+def _(t):
+    """Two bands that lie far apart."""
+    bands = t("customer").select("c_custkey", (F.col("c_custkey") % 2 * 1000000 + F.col("c_acctbal")).alias("x"))
+    return segments.kmeans_segments(bands, ["x"], "c_custkey", k=2)
+
+
 @query(
     "segment_distribution_customer",
     """SELECT c_mktsegment AS segment, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM customer), 2) AS pct
@@ -223,6 +234,7 @@ def _(t):
       l AS (SELECT event_id, f.event_type, 'value' AS feature, value AS x, vm AS m, vs AS s FROM f JOIN m USING (event_type) WHERE is_anomaly = 'Anomaly'
         UNION ALL SELECT event_id, f.event_type, 'user_id', user_id, um, us FROM f JOIN m USING (event_type) WHERE is_anomaly = 'Anomaly')
     SELECT event_id, feature, round(x, 2) AS value, round(m, 2) AS group_mean, round((x - m) / s, 2) AS z_score,
+      CAST(row_number() OVER (PARTITION BY event_id ORDER BY abs((x - m) / s) DESC, feature) AS INTEGER) AS reason_rank,
       CASE WHEN x > m THEN 'higher' ELSE 'lower' END AS direction, 'Cluster ''' || event_type || '''' AS group_label
     FROM l WHERE abs((x - m) / s) >= 1.5""",
 )

@@ -10,7 +10,7 @@ from tablescope.sources.csv import read_csv
 from tablescope.sources.sinks import write_findings, write_labeled_csv
 from catalogue.models import FLAGGED_SQL, flagged
 from catalogue.registry import LABELLED_SQL, query, rounded
-from catalogue.relations import MINED, derived
+from catalogue.relations import DERIVED_SQL, MINED, derived
 
 NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -155,6 +155,29 @@ def _(t):
     return findings.recommend_analyses(frames, "name")
 
 
+@query(
+    "recommend_analyses_scored",
+    """WITH s AS (SELECT 'all' AS name, avg(p_size) AS m FROM part)
+    SELECT name, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, title FROM (
+      SELECT name, 1 AS k, 'Timeline Intelligence' AS title FROM s UNION ALL
+      SELECT name, 2, 'Segment Discovery' FROM s WHERE 2 * m > 45 UNION ALL
+      SELECT name, 3, 'Anomaly Detection' FROM s WHERE m < 65 UNION ALL
+      SELECT name, 4, 'Correlation Discovery' FROM s WHERE m + 20 > 40)
+    UNION ALL SELECT 'none', 0, 'Dataset DNA Profile' FROM s WHERE m <= 45 AND 3 * m >= 65
+    UNION ALL SELECT 'two', CAST(k AS INTEGER), title FROM s, (VALUES (0, 'Segment Discovery'), (1, 'Anomaly Detection')) AS v(k, title) WHERE 2 * m > 45 AND m < 65""",
+)
+def _(t):
+    m = t("part").agg(F.avg("p_size").alias("m"))
+    row = lambda name, dated, a, b, c: m.select(
+        F.lit(name).alias("name"), F.lit(dated).alias("has_date"), a.alias("clusterability"), b.alias("stability"), c.alias("complexity")
+    )
+    m_ = F.col("m")
+    rows = row("all", True, m_ * 2, m_, m_ + 20)
+    rows = rows.unionAll(row("none", False, m_, m_ * 3, m_ - 10))
+    rows = rows.unionAll(row("two", False, m_ * 2, m_, F.lit(None).cast("double")))
+    return findings.recommend_analyses(rows, "name")
+
+
 @query("clusterability_part")
 def _(t):
     return dna.clusterability_score(t("part"), "p_partkey")
@@ -232,6 +255,23 @@ def _(t):
     )
 
 
+@query(
+    "report_rows_part",
+    f"""SELECT CAST(1 AS INTEGER) AS position, 'Dataset' AS section, 'rows' AS item, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM part
+    UNION ALL SELECT 2, 'Dataset', 'features', 4, NULL
+    UNION ALL SELECT 3, 'Dataset', 'missing_pct', 0, NULL
+    UNION ALL SELECT 4, 'Dataset', 'duplicate_rows', (SELECT count(*) FROM part) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {DERIVED_SQL})), NULL
+    UNION ALL SELECT 30, 'Correlations', 'pair', round(pearson, 6), printf('%s with %s: %s, %s (r = %.2f)', var1, var2,
+      CASE WHEN abs(pearson) > 0.7 THEN 'strong' WHEN abs(pearson) > 0.4 THEN 'moderate' ELSE 'weak' END,
+      CASE WHEN pearson > 0 THEN 'rising' ELSE 'falling' END, pearson)
+      FROM (SELECT * FROM {MINED} ORDER BY greatest(abs(pearson), mutual_info) DESC, var1, var2 LIMIT 5)""",
+)
+def _(t):
+    """The sections without model scores."""
+    table = derived(t)
+    return rounded(findings.report_rows(table, relationships=relations.mine_relationships(table, spearman=False)))
+
+
 def _folder(t, name):
     """A fresh folder beside the checkpoints, on the storage all executors share."""
     from tablescope.session import shared_folder

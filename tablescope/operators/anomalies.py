@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescope.functions.columns import beside, clean, col, number, numeric_columns, require_columns, require_key
 from tablescope.functions.numbers import share, zero_as
@@ -69,6 +69,8 @@ def explain_anomalies(
 ) -> DataFrame:
     """Why rows stand out: features at least 1.5 deviations from their segment's, or the table's, mean.
 
+    ``reason_rank`` numbers a row's features by the size of their deviation.
+
     ``flagged`` holds rows of ``df`` (with its segment column if one is named);
     noise rows and rows without a segment are compared with the whole table.
     Only per-segment moments are joined to the flagged rows.
@@ -99,6 +101,8 @@ def explain_anomalies(
     grouped = F.col("group_key").isNotNull()
     mean = F.when(grouped, F.col("own_mean")).otherwise(F.col("whole_mean"))
     std = zero_as(F.when(grouped, F.col("own_std")).otherwise(F.col("whole_std")), 1.0)
+    # at most one row per column and key
+    order = Window.partitionBy(*[col(k) for k in key]).orderBy(F.abs("z").desc(), "feature")
     # fixed value: 1.5 deviations
     return (
         joined.withColumn("group_mean", mean)
@@ -114,5 +118,6 @@ def explain_anomalies(
             F.when(grouped, F.concat(F.lit("Cluster '"), F.col("group_key"), F.lit("'")))
             .otherwise("Global Dataset")
             .alias("group_label"),
+            F.row_number().over(order).alias("reason_rank"),
         )
     )

@@ -48,10 +48,17 @@ def box_select(df: DataFrame, coordinates: DataFrame, key, x_range: tuple[float,
     return df.join(inside, key, "left_semi")
 
 
-def split_overlay(df: DataFrame, coordinates: DataFrame, labels: DataFrame, key, label: str = "is_anomaly") -> DataFrame:
-    """Coordinates with a normal/anomalous layer and the first six columns to show."""
+def split_overlay(
+    df: DataFrame,
+    coordinates: DataFrame,
+    labels: DataFrame,
+    key,
+    label: str = "is_anomaly",
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Coordinates with a normal/anomalous layer and the columns to show (all by default)."""
     key = require_key(df, key)
-    shown = [c for c in df.columns if c not in key][:6]
+    shown = [c for c in columns or df.columns if c not in key]
     layer = F.when(col(label) == ANOMALY, "anomalous").otherwise("normal")
     return (
         coordinates.select(*key, "map_x", "map_y")

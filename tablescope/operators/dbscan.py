@@ -173,7 +173,10 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
         raise ValueError("eps must be positive and min_samples at least 1")
     key = list(key)
     rows = rows.select(*[col(k) for k in key], F.transform("features", lambda v: v + F.lit(0.0)).alias("x"))
-    d = rows.select(F.size("x").alias("d")).first()["d"]
+    first = rows.select(F.size("x").alias("d")).first()
+    if first is None:
+        return rows.select(*[col(k) for k in key], F.lit("").alias("segment"))
+    d = first["d"]
     side = eps / sqrt(d) * (1 - 1e-9)
     limit = eps * eps
     reach = max(1, ceil(eps / side))

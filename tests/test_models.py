@@ -191,3 +191,13 @@ def test_dna(spark):
     assert dna.clusterability_score(wide, "id").first()[0] > 90
     a = {r["id"] for r in dna.sample_rows(df, "id", 50).collect()}
     assert a == {r["id"] for r in dna.sample_rows(df.repartition(5), "id", 50).collect()} and len(a) == 50
+
+
+def test_empty_and_ranked(spark):
+    from tablescope.operators.dbscan import dbscan_points
+
+    rows = spark.createDataFrame([], "id long, features array<double>")
+    assert dbscan_points(rows, ["id"]).collect() == []
+    df = spark.createDataFrame([(i, float(i % 3), float(i % 5)) for i in range(60)] + [(99, 40.0, 400.0)], "id long, a double, b double")
+    got = anomalies.explain_anomalies(df, df.where("id = 99"), "id", ["a", "b"]).orderBy("reason_rank").collect()
+    assert [r["reason_rank"] for r in got] == [1, 2] and abs(got[0]["z_score"]) >= abs(got[1]["z_score"])
