@@ -71,13 +71,16 @@ def canonical_line(line: Column) -> Column:
 
 
 def one_spelling(text: Column) -> Column:
+    """Every word between two blanks of its own, so that plain replacement finds whole words."""
+    text = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
     for variant, usual in SPELLINGS:
-        text = F.when(F.contains(text, F.lit(variant)), F.regexp_replace(text, rf"\b{variant}\b", usual)).otherwise(text)
+        variant, usual = (f" {x.replace(' ', '  ')} " for x in (variant, usual))
+        text = F.replace(text, F.lit(variant), F.lit(usual))
     return text
 
 
 def digest(canonical: Column) -> Column:
-    """SHA-256 of a canonical text; null if nothing is left of it."""
+    """SHA-256 of a canonical text in one spelling; null if nothing is left of it."""
     return F.when(canonical != "", F.sha2(one_spelling(canonical).cast("binary"), 256))
 
 
