@@ -185,7 +185,7 @@ def scored(t):
 
 
 def flagged(t):
-    return anomalies.contamination_labels(scored(t))
+    return anomalies.scored_labels(t("events").select("event_id", "user_id", "event_type", "value"), "value")
 
 
 @query("normalize_scores_events", f"SELECT event_id, user_id, event_type, value, round(anomaly_score, 8) AS anomaly_score FROM {SCORED_SQL}")

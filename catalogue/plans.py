@@ -243,7 +243,7 @@ def _(t):
 
 @query("report_rows_orders")
 def _(t):
-    orders = anomalies.contamination_labels(anomalies.normalize_scores(t("orders"), "o_totalprice"))
+    orders = anomalies.scored_labels(t("orders"), "o_totalprice")
     numbers = t("orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return findings.report_rows(
         orders,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablescope.functions.columns import beside, clean, col, number, numeric_columns, require_columns, require_key
 from tablescope.functions.numbers import share, zero_as
 from tablescope.operators.describe import column_moments
-from tablescope.operators.order_stats import quantile_scalar
+from tablescope.operators.order_stats import exact_quantiles, quantile_scalar
 from tablescope.operators.segments import NOISE
 
 ANOMALY, NORMAL = "Anomaly", "Normal"
@@ -34,6 +34,24 @@ def contamination_labels(
     return df.withColumn(out, F.when(number(df, score) > threshold, ANOMALY).otherwise(NORMAL))
 
 
+def scored_labels(
+    df: DataFrame, raw: str = "raw_score", contamination: float = 0.05, score: str = "anomaly_score", out: str = "is_anomaly"
+) -> DataFrame:
+    """``normalize_scores`` and ``contamination_labels`` in one.
+
+    Scaling keeps the order, so the threshold is taken from the raw scores, with
+    the ends from the same two scans.
+    """
+    if not 0 < contamination <= 0.5:
+        raise ValueError("contamination must lie in (0, 0.5]")
+    facts = exact_quantiles(df, [raw], [1 - contamination]).first()
+    low, high, limit = (facts["min"], facts["max"], facts["q0"]) if facts else (0.0, 0.0, 0.0)
+    value = number(df, raw)
+    scaled = (value - F.lit(low)) / F.lit(high - low) if high > low else F.lit(0.0)
+    label = F.when(value > F.lit(limit), ANOMALY).otherwise(NORMAL)
+    return df.select("*", F.when(value.isNotNull(), scaled).alias(score), label.alias(out))
+
+
 def anomaly_summary(df: DataFrame, label: str = "is_anomaly", score: str = "anomaly_score") -> DataFrame:
     """Anomalies, their share, clean rows, highest score."""
     hits = F.count(F.when(col(label) == ANOMALY, 1))

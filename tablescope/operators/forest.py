@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablescope.functions.columns import col, require_key
-from tablescope.operators.anomalies import contamination_labels, normalize_scores
+from tablescope.operators.anomalies import scored_labels
 from tablescope.operators.features import prepare_features
 from tablescope.session import checkpoint
 
@@ -163,7 +163,7 @@ def detect_anomalies(
     df: DataFrame, columns: Sequence[str], key, contamination: float = 0.05, trees: int = TREES, seed: int = SEED
 ) -> DataFrame:
     """``key..., raw_score, anomaly_score, is_anomaly``."""
-    return contamination_labels(normalize_scores(isolation_scores(df, columns, key, trees, seed)), contamination=contamination)
+    return scored_labels(isolation_scores(df, columns, key, trees, seed), contamination=contamination)
 
 
 def anomaly_rate_stability(features: DataFrame, key, trees: int = TREES, seed: int = SEED) -> DataFrame:

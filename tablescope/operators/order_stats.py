@@ -66,7 +66,7 @@ def exact_quantiles(
     """Exact linear-interpolation quantiles: ``column, n, min, max, q0, q1, ...``.
 
     Columns without any value give no row.  A first job sketches the brackets;
-    the returned plan scans the columns with the brackets as literals, and
+    the returned plan scans the columns once with the brackets as literals, and
     shuffles only the values inside them (about ``10 * rank_error`` of a
     column).  Inside a bracket values are ranked slot by slot, not in one sort.
     """
@@ -98,59 +98,45 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], sl
         step = (F.col(f"v{i}") - F.lit(low)) / F.lit(high - low) * SLOTS if high > low else F.lit(0.0)
         return F.least(F.lit(SLOTS), F.floor(step)).cast("int")
 
-    counts = numbers.agg(*[F.count(F.when(below(i, j), 1)).alias(f"b{i}_{j}") for i, j in which])
-    wanted = counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("place"),
-                        F.lit(j).alias("which"),
-                        F.col(f"b{i}_{j}").alias("below"),
-                        F.lit(probs[j] * (facts[i]["n"] - 1)).alias("position"),
-                    )
-                    for i, j in which
-                ]
-            )
-        )
+    wanted = literal_rows(
+        df.sparkSession,
+        [[F.lit(i), F.lit(j), F.lit(probs[j] * (facts[i]["n"] - 1))] for i, j in which],
+        ["place", "which", "position"],
     ).withColumn("rank", F.floor("position"))
 
-    cells = [
-        F.when(
-            within(i, j),
-            F.struct(
-                F.lit(i).alias("place"), F.lit(j).alias("which"), slot(i, j).alias("slot"), F.col(f"v{i}").alias("value")
-            ),
-        )
-        for i, j in which
-    ]
-    any_inside = reduce(lambda a, b: a | b, [F.coalesce(within(i, j), F.lit(False)) for i, j in which])
+    # one scan: a value below its bracket only counts, in slot -1
+    def cell(i: int, j: int) -> Column:
+        mark = lambda s, v: F.struct(F.lit(i).alias("place"), F.lit(j).alias("which"), s.alias("slot"), v.alias("value"))
+        outside = mark(F.lit(-1), F.lit(None).cast("double"))
+        return F.when(below(i, j), outside).when(within(i, j), mark(slot(i, j), F.col(f"v{i}")))
+
     keys = ["place", "which", "slot"]
-    inside = (
-        numbers.where(any_inside)
-        .select(F.inline(F.array_compact(F.array(*cells))))
+    counted = (
+        numbers.select(F.inline(F.array_compact(F.array(*[cell(i, j) for i, j in which]))))
         .groupBy(*keys, "value")
         .agg(F.count("*").alias("rows"))
     )
     by_slot = Window.partitionBy("place", "which").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     slots = (
-        inside.groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(F.sum("rows").alias("in_slot"))
         .withColumn("before", F.sum("in_slot").over(by_slot) - F.col("in_slot"))
         .drop("in_slot")
     )
     in_slot = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    # slots: at most SLOTS + 1 rows per column and probability; wanted: one
+    # slots: at most SLOTS + 2 rows per column and probability; wanted: one
     ranked = (
-        inside.withColumn("upto", F.sum("rows").over(in_slot))
+        counted.withColumn("upto", F.sum("rows").over(in_slot))
         .join(F.broadcast(slots), keys)
         .join(F.broadcast(wanted), ["place", "which"])
-        .withColumn("upto", F.col("upto") + F.col("before") + F.col("below"))
+        .withColumn("upto", F.col("upto") + F.col("before"))
     )
+    inside = F.col("slot") >= 0
     found = ranked.groupBy("place", "which").agg(
-        *[F.first(c).alias(c) for c in ("below", "position", "rank")],
-        F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("at"),
-        F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value"))).alias("next"),
+        *[F.first(c).alias(c) for c in ("position", "rank")],
+        F.coalesce(F.sum(F.when(~inside, F.col("rows"))), F.lit(0)).alias("below"),
+        F.min(F.when(inside & (F.col("upto") > F.col("rank")), F.col("value"))).alias("at"),
+        F.min(F.when(inside & (F.col("upto") > F.col("rank") + 1), F.col("value"))).alias("next"),
     )
     between = F.col("position") - F.col("rank")
     missed = (F.col("below") > F.col("rank")) | F.col("at").isNull() | ((between > 0) & F.col("next").isNull())
