@@ -174,7 +174,7 @@ class Join:
         return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def confirm(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs ``left, right`` whose full sets are similar enough.
+        """The pairs with the ``common`` shingles of their full sets and whether those make them ``similar`` enough.
 
         Each set is sent to the tasks of its right partners; a partner with many
         pairs has as many tasks as they need.
@@ -197,7 +197,7 @@ class Join:
         def compare(batches):
             center: dict = {}
             for batch in batches:
-                a, b = [], []
+                a, b, n, linked = [], [], [], []
                 groups, nodes, roles = (batch.column(c).to_pylist() for c in ("group", "node", "role"))
                 for group, node, role, raw in zip(groups, nodes, roles, batch.column("values")):
                     values = np.frombuffer(raw.as_buffer(), np.uint64)
@@ -206,13 +206,17 @@ class Join:
                     elif (other := center.get(group)) is not None:
                         place = np.minimum(np.searchsorted(other, values), len(other) - 1)
                         common = int((other[place] == values).sum())
-                        if 100 * common >= percent * (len(values) + len(other) - common):
-                            a.append(node)
-                            b.append(group)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["left", "right"])
+                        a.append(node)
+                        b.append(group)
+                        n.append(common)
+                        linked.append(100 * common >= percent * (len(values) + len(other) - common))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64()), pa.array(linked, pa.bool_())],
+                    names=["left", "right", "common", "similar"],
+                )
 
         met = sets.join(left.unionByName(right), "node").repartition("group", "part").sortWithinPartitions("group", "part", "role")
-        return met.mapInArrow(compare, "left binary, right binary")
+        return met.mapInArrow(compare, "left binary, right binary, common bigint, similar boolean")
 
     def linkable(self, sets: DataFrame) -> DataFrame:
         """``node, n, common`` of the sets that may be linked at all.
@@ -255,8 +259,10 @@ def listed(bits: np.ndarray, node: bytes) -> bool:
 def close_pairs(join: Join):
     """Pairs of left and right members of each block that may be linked and have different labels.
 
-    They lie within the distance, and their common shingles suffice.  A pair is
-    given in the first of its keys only.  Rows come sorted by block; a block's
+    They lie within the distance, and the bounds of their intersection suffice:
+    neither has more shingles in common with others, and of two members with one
+    center neither more of the center's nor more common ones beyond it.  A pair
+    is given in the first of its keys only.  Rows come sorted by block; a block's
     members are bounded, so only the unfinished block is kept between batches.
     """
     distance, percent, symbols = join.distance, join.percent, join.symbols
@@ -287,10 +293,14 @@ def close_pairs(join: Join):
         label = np.array([names[x] for x in table.column("label").to_pylist()])
         rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, symbols)
         block = table.column("block").to_numpy()
-        side, pick, n, common = (table.column(c).to_numpy() for c in ("side", "pick", "n", "common"))
+        centers = {x: i for i, x in enumerate(dict.fromkeys(table.column("own_center").to_pylist()))}
+        center = np.array([centers[x] for x in table.column("own_center").to_pylist()])
+        side, pick, n, common, held = (table.column(c).to_numpy() for c in ("side", "pick", "n", "common", "held"))
         found: set[tuple[bytes, bytes]] = set()
         for i, j in pairs(block, side):
             most = np.minimum(common[i], common[j])
+            beyond = np.minimum(held[i], held[j]) + np.minimum(common[i] - held[i], common[j] - held[j])
+            most = np.where(center[i] == center[j], np.minimum(most, beyond), most)
             near = (label[i] != label[j]) & (100 * most >= percent * (n[i] + n[j] - most))
             i, j = i[near], j[near]
             same = rows[i] == rows[j]
@@ -349,7 +359,7 @@ def blocks(members: DataFrame) -> DataFrame:
         F.transform(F.filter(every, lambda j: j >= own), lambda j: place(1, own, j, 0)),
         F.transform(F.filter(every, lambda i: i <= own), lambda i: place(1, i, own, 1)),
     )
-    known = ["pick", "node", "label", "signature", "n", "common"]
+    known = ["pick", "node", "label", "signature", "n", "common", "own_center", "held"]
     rows = dealt.select(
         "key", *known, F.explode(F.when(F.col("major"), major_rows).otherwise(minor_rows)).alias("p")
     )
@@ -426,8 +436,9 @@ def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     votes = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
     best = votes.groupBy("node").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     stars = checkpoint(join.confirm(sets, checkpoint(best.select(F.col("node").alias("left"), F.col("center").alias("right")))))
-    first = connected_components(shared.select("node").distinct(), stars)
-    first = checkpoint(first.withColumnRenamed("component", "label"))
+    first = connected_components(shared.select("node").distinct(), stars.where("similar").select("left", "right"))
+    own = stars.select(F.col("left").alias("node"), F.col("right").alias("own_center"), F.col("common").alias("held"))
+    first = checkpoint(first.withColumnRenamed("component", "label").join(own, "node", "left"))
     # keys whose classes are still apart
     labelled = shared.join(first, "node")
     apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
@@ -435,10 +446,12 @@ def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     rest = rest.join(first.select(F.col("node").alias("center"), F.col("label").alias("first_label")), "center")
     rest = rest.join(classes.select("node", "signature"), "node")
     major = (F.col("label") == F.col("first_label")).alias("major")
-    members = checkpoint(rest.select("key", "pick", "node", "label", "signature", "n", "common", major))
+    center = F.coalesce("own_center", "node").alias("own_center")
+    held = F.coalesce("held", "n").alias("held")
+    members = checkpoint(rest.select("key", "pick", "node", "label", "signature", "n", "common", major, center, held))
     dealt = blocks(members).repartition("block").sortWithinPartitions("block")
     pairs = dealt.mapInArrow(close_pairs(join), "left binary, right binary")
-    links = join.confirm(sets, checkpoint(pairs))
+    links = join.confirm(sets, checkpoint(pairs)).where("similar")
     named = first.select(F.col("node").alias("n"), "label")
     edges = links.join(named, links["left"] == named["n"]).select(F.col("label").alias("l"), "right")
     edges = edges.join(named, edges["right"] == named["n"]).select(F.col("l").alias("left"), F.col("label").alias("right"))
