@@ -26,7 +26,8 @@ from tablescope.session import checkpoint
 
 CHUNK = 32_768  # characters
 SPACE = "▁"
-MEMORY = 300_000  # segments and pairs that a task remembers
+MEMORY = 300_000  # pairs that a task remembers
+SEGMENTS = 600_000  # short segments that a task remembers
 LOWEST = -np.inf
 IDS = T.ArrayType(T.IntegerType(), False)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -84,7 +85,8 @@ class Encoder:
         self.model, self.ids, self.bpe = model, model.ids, model.kind == BPE
         self.score = {p: model.scores[i] for p, i in model.ids.items()}
         self.unknown = min(self.score.values()) - 10.0
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.pairs: dict[str | None, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.known: dict[str, list[int]] = {}
         self.segments = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if model.breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -102,42 +104,58 @@ class Encoder:
 
     def apart(self, before: str | None, piece: str) -> bool:
         """Whether the piece may follow ``before`` (nothing at a text's start)."""
-        pair = (before, piece)
-        found = self.pairs.get(pair)
-        if found is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            alone = before is None or before not in self.ids
-            found = self.merged(piece) == [piece] if alone else self.merged(before + piece) == [before, piece]
-            self.pairs[pair] = found
+        if self.n_pairs >= MEMORY:
+            self.pairs.clear()
+            self.n_pairs = 0
+        alone = before is None or before not in self.ids
+        found = self.merged(piece) == [piece] if alone else self.merged(before + piece) == [before, piece]
+        self.pairs.setdefault(before, {})[piece] = found
+        self.n_pairs += 1
         return found
 
+    def merge_paths(self, text: str, start: int, before: str | None, limit: int):
+        """``paths`` of a BPE model: one piece at most ends each place, so the first that fits is it."""
+        n, ids, longest, pairs = len(text), self.ids, self.model.longest, self.pairs
+        value: list[float | None] = [None] * (n + 1)
+        last: list[str | None] = [None] * (n + 1)
+        value[start], last[start] = 0.0, before
+        for j in range(start + 1, min(n, limit + longest) + 1):
+            for i in range(min(j, limit) - 1, max(start, j - longest) - 1, -1):
+                if value[i] is None:
+                    continue
+                piece = text[i:j]
+                if piece in ids:
+                    known = pairs.get(last[i])
+                    fits = None if known is None else known.get(piece)
+                    if fits is None:
+                        fits = self.apart(last[i], piece)
+                    if not fits:
+                        continue
+                elif i + 1 < j:
+                    continue
+                value[j], last[j] = 0.0, piece
+                break
+        return value, last
+
     def paths(self, text: str, start: int, before: str | None, limit: int | None = None):
         """Best weights and last pieces of all places reached from ``start``, a piece having ended there.
 
         No piece begins at ``limit`` or later, but the last ones may reach beyond it.
         """
         n, ids, longest = len(text), self.ids, self.model.longest
+        limit = n if limit is None else limit
+        if self.bpe:
+            return self.merge_paths(text, start, before, limit)
         value: list[float | None] = [None] * (n + 1)
         last: list[str | None] = [None] * (n + 1)
         value[start], last[start] = 0.0, before
-        limit = n if limit is None else limit
         for j in range(start + 1, min(n, limit + longest) + 1):
             best, piece = None, None
             for i in range(max(start, j - longest), min(j, limit)):
-                weight = value[i]
-                if weight is None:
-                    continue
                 p = text[i:j]
-                if p in ids:
-                    if not self.bpe:
-                        weight += self.score[p]
-                    elif not self.apart(last[i], p):
-                        continue
-                elif j - i > 1:
+                if value[i] is None or (p not in ids and j - i > 1):
                     continue
-                elif not self.bpe:
-                    weight += self.unknown
+                weight = value[i] + self.score.get(p, self.unknown)
                 if best is None or weight > best:
                     best, piece = weight, p
             value[j], last[j] = best, piece
@@ -167,7 +185,7 @@ class Encoder:
             _, last = self.paths(text, 0, None)
             found = self.traced(last, 0, len(text))
             if len(text) <= 64:
-                if len(self.known) >= MEMORY:
+                if len(self.known) >= SEGMENTS:
                     self.known.clear()
                 self.known[text] = found
         return found
