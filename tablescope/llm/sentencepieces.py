@@ -26,8 +26,8 @@ from tablescope.session import checkpoint
 
 CHUNK = 32_768  # characters
 SPACE = "▁"
-MEMORY = 300_000  # pairs that a task remembers
-SEGMENTS = 600_000  # short segments that a task remembers
+MEMORY = 100_000  # pairs that a task remembers
+SEGMENTS = 150_000  # short segments that a task remembers
 LOWEST = -np.inf
 IDS = T.ArrayType(T.IntegerType(), False)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
