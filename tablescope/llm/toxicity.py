@@ -1,10 +1,11 @@
 """Toxicity scores from the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over the terms that tell toxic
-examples apart.  The examples sit in an inverted index whose posting lists are
+Examples and documents are TF-IDF vectors over all terms of the examples; a
+term weighs the more, the more toxic the examples that hold it are, and none
+weighs nothing.  The examples sit in an inverted index whose posting lists are
 cut into blocks of examples; the largest weight of a term in a block bounds what
-the block can score, so blocks are visited from the highest bound down until none
-can enter the k nearest.  Cosines and neighbours are exact.
+the block can score, so only blocks are visited that can enter the k nearest.
+Cosines and neighbours are exact.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from tablescope.llm.text import ALNUM, Words, col, extend, lists, mix, numbers,
 from tablescope.session import checkpoint
 
 MAX_EXAMPLES = 8192  # labelled rows in the index, the smallest by hash of their key
-MAX_TERMS = 512
-LEAST_GROUPS = 8  # groups of similar examples that a term must occur in
-LEAST_SIGNAL = 4.0  # standard deviations above the toxic share
+PRIOR = 5  # examples with the overall toxic share that every term is taken to have besides its own
+PLAIN = 0.05  # what a term weighs that tells nothing, relative to one e times as toxic as all
 NEIGHBOURS = 25
 BLOCK = 64  # examples in a block
 NEAR = 0.05  # keeps the weight of an equal vector finite
@@ -43,9 +43,10 @@ def terms_of(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarr
         terms.append(words.hashes(n)[longer] ^ flip)
     doc, term = np.concatenate(docs), np.concatenate(terms)
     if known is not None:
-        place = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
-        there = known[place] == term if len(known) else np.zeros(len(term), bool)
-        doc, term = doc[there], place[there].astype(np.uint64)
+        place = places(known, term)
+        there = place >= 0
+        cells, count = np.unique(doc[there] * max(len(known), 1) + place[there], return_counts=True)
+        return cells // max(len(known), 1), (cells % max(len(known), 1)).astype(np.uint64), count
     order = np.lexsort((term, doc))
     doc, term = doc[order], term[order]
     fresh = np.ones(len(doc), bool)
@@ -54,6 +55,20 @@ def terms_of(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarr
     return doc[at], term[at], np.diff(np.append(at, len(doc)))
 
 
+def places(known: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The position of each term in ``known`` (sorted hashes), -1 if it is not there."""
+    bits = max(len(known).bit_length(), 1)
+    shift = np.uint64(64 - bits)
+    starts = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << shift)
+    padded = np.append(known, np.uint64(2**64 - 1))
+    at = starts[(term >> shift).astype(np.int64)]
+    late = np.flatnonzero(padded[at] < term)
+    while len(late):
+        at[late] += 1
+        late = late[padded[at[late]] < term[late]]
+    return np.where((padded[at] == term) & (at < len(known)), at, -1)
+
+
 @dataclass
 class Index:
     """The examples, block by block, and the calibration of their votes."""
@@ -62,13 +77,17 @@ class Index:
     idf: np.ndarray
     ids: list
     toxic: np.ndarray
-    ends: np.ndarray  # posting ranges by term and block
+    ends: np.ndarray  # ranges of groups by term; a group is the postings of a term in a block
+    block: np.ndarray
+    most: np.ndarray  # the largest weight of each group
+    group: np.ndarray  # posting ranges by group
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # terms x blocks: the largest weight
     base: float  # the score without any neighbour
     votes: np.ndarray | None = None  # calibration steps: from this vote on ...
     scores: np.ndarray | None = None  # ... this score
+    count: np.ndarray | None = None  # of each posting
+    size: np.ndarray | None = None  # length of each example's vector before it is scaled to 1
 
     @staticmethod
     def build(terms, idf, ids, toxic, doc, term, count, base) -> Index:
@@ -76,53 +95,82 @@ class Index:
         weight = (1 + np.log(count)) * idf[term]
         size = np.sqrt(np.bincount(doc, weight * weight, minlength=len(ids)))
         keep = weight > 0
-        doc, term, weight = doc[keep], term[keep], (weight / np.where(size > 0, size, 1)[doc])[keep]
+        size = np.where(size > 0, size, 1)
+        doc, term, count, weight = doc[keep], term[keep], count[keep], (weight / size[doc])[keep]
         # examples with the same strongest term stand together, so that block bounds are tight
         top = np.full(len(ids), len(terms))
         order = np.lexsort((weight, doc))
         top[doc[order]] = term[order]
+        del order
         place = np.empty(len(ids), np.int64)
         place[np.lexsort((np.arange(len(ids)), top))] = np.arange(len(ids))
-        blocks = max(1, -(-len(ids) // BLOCK))
-        cell = term * blocks + place[doc] // BLOCK
-        order = np.lexsort((place[doc], cell))
-        ends = np.searchsorted(cell[order], np.arange(len(terms) * blocks + 1))
-        most = np.zeros(len(terms) * blocks)
-        np.maximum.at(most, cell, weight)
+        example = place.astype(np.int32)[doc]
+        order = np.argsort(term * np.int64(max(1, len(ids))) + example)
         back = np.argsort(place)
-        return Index(
-            terms, idf, [ids[i] for i in back], toxic[back], ends, place[doc][order], weight[order], most.reshape(len(terms), blocks), base
-        )
+        index = Index.grouped(terms, idf, [ids[i] for i in back], toxic[back], term[order], example[order], weight[order], base)
+        index.count, index.size = count[order], size[back]
+        return index
+
+    @staticmethod
+    def grouped(terms, idf, ids, toxic, term, example, weight, base, **more) -> Index:
+        """The index of postings that are ordered by term and example."""
+        blocks = max(1, -(-len(ids) // BLOCK))
+        cells = term * np.int64(blocks) + example // BLOCK
+        begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
+        cells = cells[begin]
+        ends = np.searchsorted(cells, np.arange(len(terms) + 1) * blocks)
+        most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
+        return Index(terms, idf, ids, toxic, ends, cells % blocks, most, np.append(begin, len(term)), example, weight, base, **more)
+
+    def packed(self) -> dict:
+        """What is broadcast: counts instead of weights, in as few bytes as hold them."""
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        more = {"example": small(self.example), "count": small(self.count), "postings": np.diff(self.group[self.ends]).astype(np.int32)}
+        return {k: getattr(self, k) for k in ("terms", "idf", "ids", "toxic", "base", "votes", "scores", "size")} | more
+
+    @staticmethod
+    def unpacked(terms, idf, ids, toxic, example, count, postings, size, **more) -> Index:
+        term, example, count = np.repeat(np.arange(len(terms)), postings), example.astype(np.int32), count.astype(np.int64)
+        weight = (1 + np.log(count)) * idf[term] / size[example]
+        return Index.grouped(terms, idf, ids, toxic, term, example, weight, **more)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
         """Positions and cosines of the k nearest examples with a positive cosine; of equal ones the first."""
-        blocks = self.most.shape[1]
-        bound = weight @ self.most[term]
-        found, cosine, least = [], [], 0.0
-        n = 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            total = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                a, z = self.ends[t * blocks + b], self.ends[t * blocks + b + 1]
-                total[self.example[a:z] - b * BLOCK] += w * self.weight[a:z]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                total[skip - b * BLOCK] = 0
-            good = np.flatnonzero(total > 0)
-            found.append(good + b * BLOCK)
-            cosine.append(total[good])
-            n += len(good)
-            if n >= k:
-                every, score = np.concatenate(found), np.round(np.concatenate(cosine), 12)
-                order = np.lexsort((every, -score))[:k]
-                found, cosine, n = [every[order]], [score[order]], k
-                least = score[order[-1]]
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        every, score = np.concatenate(found), np.round(np.concatenate(cosine), 12)
-        order = np.lexsort((every, -score))[:k]
-        return every[order], np.minimum(score[order], 1.0)
+        blocks = max(1, -(-len(self.ids) // BLOCK))
+        n = self.ends[term + 1] - self.ends[term]
+        owner = np.repeat(np.arange(len(term)), n)
+        group = np.arange(int(n.sum())) + np.repeat(self.ends[term] - np.cumsum(n) + n, n)
+        block = self.block[group]
+        bound = np.bincount(block, weight[owner] * self.most[group], minlength=blocks)
+        # the most promising blocks give a least cosine; then all blocks are opened that can reach it
+        opened = np.zeros(blocks, bool)
+        opened[np.argsort(-bound, kind="stable")[: 1 + k // BLOCK]] = True
+        cosine = self.cosines(weight[owner[opened[block]]], group[opened[block]], skip)
+        least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+        rest = (bound > 0) & (bound >= least - 1e-9) & ~opened
+        if rest.sum() * 4 > blocks:  # then whole lists are faster
+            cosine = np.zeros(len(self.ids))
+            for a, z, w in zip(self.group[self.ends[term]], self.group[self.ends[term + 1]], weight):
+                cosine[self.example[a:z]] += w * self.weight[a:z]
+            if skip >= 0:
+                cosine[skip] = 0
+        elif rest.any():
+            cosine += self.cosines(weight[owner[rest[block]]], group[rest[block]], skip)
+        cosine = np.round(cosine, 12)
+        every = np.flatnonzero(cosine > 0)
+        if len(every) > k:
+            every = every[cosine[every] >= np.partition(cosine[every], -k)[-k]]
+        order = np.lexsort((every, -cosine[every]))[:k]
+        return every[order], np.minimum(cosine[every[order]], 1.0)
+
+    def cosines(self, weight: np.ndarray, group: np.ndarray, skip: int) -> np.ndarray:
+        """What the given groups add to the cosine of each example."""
+        n = self.group[group + 1] - self.group[group]
+        posting = np.arange(int(n.sum())) + np.repeat(self.group[group] - np.cumsum(n) + n, n)
+        total = np.bincount(self.example[posting], np.repeat(weight, n) * self.weight[posting], minlength=len(self.ids))
+        if skip >= 0:
+            total[skip] = 0
+        return total
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """The share of toxic neighbours, weighted by the inverse of their distance."""
@@ -179,13 +227,14 @@ def fit(
     key: str = "doc_id",
     label: str = "toxic",
     max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS,
 ) -> Index:
     """An index of at most ``max_examples`` labelled rows of ``docs`` that are not held out.
 
-    Labels of a repeated key are averaged.  Terms are chosen by how far their
-    share of toxic examples lies above that of all; near copies (same smallest
-    word hash) count once.  Document frequencies cover all of ``docs``.
+    Labels of a repeated key are averaged.  All terms of the examples are indexed;
+    their inverse document frequency is multiplied with how far (as a logarithm)
+    their share of toxic examples lies above that of all, plus ``PLAIN``.  For
+    that share texts with the same set of terms count once.  Document frequencies
+    cover all of ``docs``.
     """
     own = labels.where(col(key).isNotNull() & col(label).isNotNull() & ~held_out(col(key)))
     own = own.groupBy(col(key).alias("key")).agg((F.avg(label) >= 0.5).cast("int").alias("toxic"))
@@ -197,65 +246,80 @@ def fit(
             n = len(texts)
             doc, term, count = terms_of(texts)
             sizes = np.bincount(doc, minlength=n)
-            least = np.zeros(n, np.uint64)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                least[full] = np.minimum.reduceat(mix(term), (np.cumsum(sizes) - sizes)[full])
             return [
-                pa.array(least.view(np.int64)),
                 lists(term.view(np.int64), sizes, pa.int64()),
-                lists(count, sizes, pa.int64()),
+                lists(count.astype(np.int32), sizes, pa.int32()),
             ]
 
         return work
 
-    whole = T.ArrayType(T.LongType(), False)
-    fields = [T.StructField("alike", T.LongType()), T.StructField("terms", whole), T.StructField("counts", whole)]
+    fields = [T.StructField("terms", T.ArrayType(T.LongType(), False)), T.StructField("counts", T.ArrayType(T.IntegerType(), False))]
     examples = checkpoint(extend(source, "text", fields, make, ["key", "toxic"]).dropDuplicates(["key", "terms", "counts"]))
-    groups = examples.groupBy("alike").agg(F.max("toxic").alias("toxic"))
-    facts = groups.agg(F.count("*").alias("n"), F.avg("toxic").alias("p")).first()
-    p = min(max(facts["p"] or 0.0, 1e-6), 1 - 1e-6)
-    seen = examples.select("alike", "toxic", F.explode("terms").alias("term")).groupBy("term", "alike").agg(F.max("toxic").alias("toxic"))
-    counts = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST_GROUPS)
-    signal = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    chosen = counts.withColumn("signal", signal).where(F.col("signal") >= LEAST_SIGNAL).orderBy(F.desc("signal"), "term").limit(max_terms)
-    known = np.sort(np.array([r["term"] for r in chosen.select("term").collect()], np.int64).view(np.uint64))
+    # the driver holds the examples' terms as 32-bit numbers, and their hashes only for a moment
+    table = examples.orderBy("key").toArrow()
+    keys, said = table["key"].to_pylist(), table["toxic"].to_numpy().astype(float)
+    sizes = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy(zero_copy_only=False) for x in table["terms"].chunks)]).astype(np.int64)
+    known = np.zeros(0, np.uint64)
+    for x in table["terms"].chunks:
+        known = np.union1d(known, x.flatten().to_numpy().view(np.uint64))
+    term = np.concatenate(
+        [np.zeros(0, np.int32), *(places(known, x.flatten().to_numpy().view(np.uint64)).astype(np.int32) for x in table["terms"].chunks)]
+    )
+    count = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in table["counts"].chunks)])
+    del table
+    pa.default_memory_pool().release_unused()
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    # examples with the same set of terms count once, as toxic if one of them is
+    mark = np.zeros(len(sizes), np.uint64)
+    np.add.at(mark, row, mix(known)[term])
+    _, one, alike = np.unique(mark, return_index=True, return_inverse=True)
+    worst = np.zeros(len(one))
+    np.maximum.at(worst, alike, said)
+    p = min(max(float(worst.mean()) if len(one) else 0.0, 1e-6), 1 - 1e-6)
+    once = np.isin(np.arange(len(sizes)), one)[row]
+    n = np.bincount(term[once], minlength=len(known))
+    t = np.bincount(term[once], worst[alike[row[once]]], minlength=len(known))
+    telling = PLAIN + np.maximum(np.log((t + PRIOR * p) / (n + PRIOR) / p), 0)
+
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
     def frequencies(batches):
+        known = held.value
         total, rows = np.zeros(len(known), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for at, to in parts(batch.column(0)):
                 _, term, _ = terms_of(batch.column(0).slice(at, to - at), known)
                 total += np.bincount(term.astype(np.int64), minlength=len(known))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(np.arange(len(known)), -1)), pa.array(np.append(total, rows))], names=["term", "n"]
-        )
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["term", "n"])
 
     texts = docs.select(col(text).cast("string").alias("text"))
-    sums = texts.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    totals = {r["term"]: r["n"] for r in sums}
-    n_docs = totals.pop(-1, 0)
-    df = np.array([totals.get(i, 0) for i in range(len(known))], float)
-    idf = np.log((n_docs + 1) / (df + 1)) + 1 if len(known) else df
-
-    place = {int(h): i for i, h in enumerate(known.view(np.int64))}
-    wanted = docs.sparkSession.createDataFrame([(h, i) for h, i in place.items()], "term long, at int")
-    pairs = examples.select("key", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("key", "x.terms", "x.counts")
-    held = pairs.join(F.broadcast(wanted), pairs["terms"] == wanted["term"]).groupBy("key", "at").agg(F.max("counts").alias("n"))
-    rows = held.orderBy("key", "at").collect()
-    labelled = examples.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy("key").collect()
-    number = {r["key"]: i for i, r in enumerate(labelled)}
-    toxic = np.array([r["toxic"] for r in labelled], float)
-    doc = np.array([number[r["key"]] for r in rows], np.int64)
-    term = np.array([r["at"] for r in rows], np.int64)
-    count = np.array([r["n"] for r in rows], np.int64)
+    sums = texts.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    place, n = sums["term"].to_numpy(), sums["n"].to_numpy()
+    df = np.zeros(len(known))
+    df[place[place >= 0]] = n[place >= 0]
+    idf = (np.log((n[place < 0].sum() + 1) / (df + 1)) + 1) * telling
+
+    # one example per key; the texts of a repeated key are one
+    fresh = np.array([i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))], bool)
+    number = np.cumsum(fresh) - 1
+    labelled = [keys[i] for i in np.flatnonzero(fresh)]
+    toxic = said[fresh]
+    doc = number.astype(np.int32)[row]
+    if len(labelled) < len(keys):
+        order = np.lexsort((term, doc))
+        doc, term, count = doc[order], term[order], count[order]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))
+        doc, term, count = doc[first], term[first], np.maximum.reduceat(count, first)
+    del row
     alone = np.ones(len(labelled), bool)
     alone[doc] = False
     base = float((toxic[alone].sum() + p * bool(len(labelled))) / (alone.sum() + 1))
     index = Index.build(known, idf, list(range(len(labelled))), toxic, doc, term, count, base)
     index.calibrate(doc, term, count)
-    index.ids = [labelled[i]["key"] for i in index.ids]
+    index.ids = [labelled[i] for i in index.ids]
     return index
 
 
@@ -267,13 +331,13 @@ def score(
     ``score`` is the calibrated chance of a toxic label; ``neighbours`` are the
     ``shown`` nearest examples with cosine and label, nearest first.
 
-    A null or empty text, and one without any chosen term, has no neighbours and
+    A null or empty text, and one without any term of the examples, has no neighbours and
     the toxic share of such examples as its score.  Without labelled rows every
     score is 0.  Equal texts have equal scores; ties among neighbours go to the
     example that comes first in the index.  Input columns with the names of
     results are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(vars(index))
+    held = docs.sparkSession.sparkContext.broadcast(index.packed())
     kind = key_type or T.LongType()
     fields = [
         T.StructField("score", T.DoubleType()),
@@ -289,7 +353,7 @@ def score(
     evidence = to_arrow_type(fields[1].dataType)
 
     def make():
-        index = Index(**held.value)
+        index = Index.unpacked(**held.value)
 
         def work(texts):
             doc, term, count = terms_of(texts, index.terms)

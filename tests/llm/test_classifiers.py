@@ -67,6 +67,20 @@ def test_neighbours_are_exact(seed, monkeypatch):
         assert np.allclose(cosine, every[want])
 
 
+def test_all_terms_of_examples_count(spark):
+    """Neither few toxic examples nor ordinary words are left out of the cosines."""
+    keys = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = set(keys[:3])
+    docs = [(i, f"you idiot number{i}" if i in toxic else f"the weather of day{i} is fine") for i in keys]
+    docs += [(100, "another idiot wrote"), (101, "fine weather again"), (102, "unheard")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in keys], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert {n["key"] for n in got[100]["neighbours"]} == toxic and got[100]["score"] >= 0.3
+    assert got[101]["neighbours"] and not any(n["toxic"] for n in got[101]["neighbours"]) and got[101]["score"] < 0.3
+    assert got[102]["neighbours"] == []
+
+
 EDGE = [(1, None, None, None), (2, "", "", "x"), (3, "word " * 30000, "en", "s"), (3, "word " * 30000, "en", "s"), (None, "plain", "en", "s")]
 KIND = "doc_id long, text string, lang string, score string"
 
