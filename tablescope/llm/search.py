@@ -21,6 +21,8 @@ K1, B = 1.2, 0.75
 BLOCK = 64  # documents
 SHARD_BYTES = 4 << 20
 QUERIES = 16_384  # queries in one broadcast; more take more passes
+TERMS = 262_144  # terms of queries in one broadcast, about; more take more passes
+CELLS = 1 << 20  # postings of queries that a shard looks at together, about
 UNIT = 1e6
 
 
@@ -98,6 +100,25 @@ class Shard:
         self.terms = heads[first]
         self.ends = np.append(np.flatnonzero(first), len(heads))
 
+    def search_all(self, query: np.ndarray, term: np.ndarray, idf: np.ndarray, least: np.ndarray):
+        """``search`` for some of the queries (in order) at a time, so that their postings take bounded memory."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        if len(self.terms):
+            place = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+            n = np.where(self.terms[place] == term, self.group[self.ends[place + 1]] - self.group[self.ends[place]], 0)
+            total = np.cumsum(n)
+            heads = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+            ends = np.append(heads[1:], len(query))
+            at = 0
+            while at < len(heads):
+                before = total[heads[at] - 1] if heads[at] else 0
+                to = max(at + 1, int(np.searchsorted(total[ends - 1], before + CELLS, "right")))
+                a, b = heads[at], ends[to - 1]
+                found = self.search(query[a:b], term[a:b], idf[a:b], least)
+                out.append(top(*found, self.k))
+                at = to
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def search(self, query: np.ndarray, term: np.ndarray, idf: np.ndarray, least: np.ndarray):
         """Candidates ``query, key, score`` of all blocks whose bound reaches the query's ``least`` score.
 
@@ -181,7 +202,7 @@ def top_k(
     characters.  Statistics cover all of ``docs``; the result is exact, with ties
     broken by the smallest key.  Only documents that share a term are listed.
 
-    Queries are broadcast ``QUERIES`` at a time against all documents.
+    Queries are broadcast against all documents, ``QUERIES`` of them or ``TERMS`` terms at a time.
 
     Null and empty texts count as documents but are never found; queries with a
     null id, or without words, give no rows; documents with a null key count but
@@ -200,7 +221,8 @@ def top_k(
         order = Window.partitionBy("query").orderBy(F.desc(F.col("count") * F.col("idf")), "word")
         chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms)
     chosen = checkpoint(chosen.groupBy("query").agg(F.collect_list(F.struct("term", "idf")).alias("terms")))
-    pieces = max(1, -(-chosen.count() // QUERIES))
+    sizes = chosen.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    pieces = max(1, -(-sizes["n"] // QUERIES), -(-(sizes["terms"] or 0) // TERMS))
     source = docs.select(col(key).cast("bigint").alias("key"), col(text).cast("string").alias("text"))
     found = None
     for i in range(pieces):
@@ -230,7 +252,7 @@ def searching(held, mean: float, k: int):
             for a, b in parts(batch.column(1), SHARD_BYTES):
                 shard = Shard(batch.column(1).slice(a, b - a), batch.column(0).slice(a, b - a).to_numpy(), mean)
                 shard.k = k
-                new = shard.search(query, term, idf, least)
+                new = shard.search_all(query, term, idf, least)
                 best = top(*(np.concatenate(x) for x in zip(best, new)), k)
                 raise_least(least, best[0], best[2], k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query", "key", "score"])

@@ -52,6 +52,17 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert {tuple(r) for r in found.collect()} == brute(docs, [a for a in asked if a[0] is not None], 5)
 
 
+def test_query_takes_whole_texts(spark, monkeypatch):
+    """The registered query without a limit of words: all words of a text count, in slices of few terms, too."""
+    monkeypatch.setattr(search, "TERMS", 9000)
+    monkeypatch.setattr(search, "CELLS", 5000)
+    folder = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    asked = [(d, t) for d, t in docs if d % 20 == 0]
+    assert max(len(set(words(t))) for _, t in asked) > 16
+    assert {tuple(r) for r in queries.QUERIES["op1_topk_search"](spark, folder).collect()} == brute(docs, asked, 10)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
