@@ -12,7 +12,7 @@ from tablescope.session import shared_folder
 from tablescope.sources.tables import read_table
 
 TOXIC = 0.3  # documents with this score or more go
-MOST_BOILERPLATE = 0.5  # a text that consists of common lines to a larger share is a copy and left to near-dedup
+MOST_BOILERPLATE = 0.5  # a copy of another row with a larger share of common lines is left to near-dedup
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,15 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     return sure.unionByName(exact)
 
 
+def copies(docs: DataFrame, text: str, key: Column) -> DataFrame:
+    """``__llm_key, __llm_copy``: the keys of texts whose non-blank lines are those of another row."""
+    whole = F.md5(F.array_join(F.transform(F.filter(F.transform(lines_of(col(text)), digest), lambda x: x.isNotNull()), F.hex), ","))
+    texts = docs.where(col(text).isNotNull()).select(key.alias("__llm_key"), whole.alias("whole"))
+    texts = texts.groupBy("__llm_key", "whole").agg(F.count("*").alias("n"))
+    shared = texts.groupBy("whole").agg(F.sum("n").alias("n")).where("n > 1").select("whole")
+    return texts.join(shared, "whole", "left_semi").select("__llm_key", F.lit(True).alias("__llm_copy"))
+
+
 def remove_boilerplate(
     docs: DataFrame,
     text: str = "text",
@@ -64,7 +73,8 @@ def remove_boilerplate(
     ``clean`` is the text without the lines that occur, white space around them
     aside, at ``min_sites`` or more distinct sites; blank lines stay.  A text
     that loses nothing is unchanged, and so is one that would lose more than the
-    share ``most`` of its characters: that is a copied page, not boilerplate.
+    share ``most`` of its characters and is a copy: its non-blank lines, white
+    space around them aside, are those of another row in the same order.
 
     A null text stays null and counts one line; rows without a site have their
     lines removed but do not count for the spread; repeated rows are treated
@@ -78,12 +88,18 @@ def remove_boilerplate(
     # which distinct texts hold which boilerplate lines; the texts themselves are not shuffled for that
     held = docs.select(text_key().alias("__llm_key"), F.explode(F.array_distinct(F.transform(lines_of(col(text)), digest))).alias("line"))
     held = held.where("line is not null").join(bad, "line").groupBy("__llm_key").agg(F.collect_set("line").alias("__llm_bad"))
+    if most < 1:
+        held = held.join(copies(docs, text, text_key()), "__llm_key", "left")
+    else:
+        held = held.withColumn("__llm_copy", F.lit(False))
     rows = docs.select(*[col(c) for c in kept], col(text).alias("__llm_text"), text_key().alias("__llm_key"))
     rows = rows.join(held, "__llm_key", "left")
     lines = lines_of(F.col("__llm_text"))
     good = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__llm_bad", digest(x)), F.lit(False)))
     left = F.char_length(F.array_join(good, "\n"))
-    touched = F.col("__llm_bad").isNotNull() & (left >= (1 - most) * F.char_length("__llm_text"))
+    touched = F.col("__llm_bad").isNotNull() & (
+        ~F.coalesce("__llm_copy", F.lit(False)) | (left >= (1 - most) * F.char_length("__llm_text"))
+    )
     clean = F.when(touched, F.array_join(good, "\n")).otherwise(F.col("__llm_text"))
     removed = F.when(touched, F.size(lines) - F.size(good)).otherwise(0)
     return rows.select(

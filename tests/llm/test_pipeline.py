@@ -41,6 +41,16 @@ def test_line_stage_against_plain_version(spark, docs):
     assert found.where(F.char_length("text") != F.col("n_chars")).count() == 0
 
 
+def test_line_stage_spares_copies_only(spark):
+    """A page of much boilerplate and a remainder of its own loses the boilerplate; a copied page stays whole."""
+    menu = "home about contact imprint privacy terms of use of this site"
+    rows = [(i, f"{menu}\nown {i}", "en", f"site{i}") for i in range(12)]
+    rows += [(20, f"{menu}\nthe copied page", "en", "site1"), (21, f" {menu}\n\nthe copied page", "en", "site2"), (22, None, "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: f"own {i}" for i in range(12)} | {r[0]: r[1] for r in rows if r[0] >= 20}
+    assert texts(pipeline.dedup_lines(spark, docs, FOLDER)) == want
+
+
 def test_toxic_stage_keeps_clean_rows(spark, docs):
     found = pipeline.reject_toxic(spark, docs, FOLDER)
     assert found.columns == COLUMNS
