@@ -320,7 +320,10 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS s,
-    regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS t FROM documents),
+    regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS t FROM documents),
 h AS (SELECT *, ('0x' || s[1:8])::BIGINT % (len(t) + 1) AS h1, ('0x' || s[9:16])::BIGINT % (len(t) + 1) AS h2,
     ('0x' || s[17:24])::BIGINT % 100 AS h3, ('0x' || s[25:32])::BIGINT % 100 AS h4 FROM w),
 c AS (SELECT *, array_to_string(t[1:least(h1, h2)], '') AS a, array_to_string(t[least(h1, h2) + 1:greatest(h1, h2)], '') AS b,
@@ -386,8 +389,8 @@ def fingerprints_of(docs: DataFrame) -> DataFrame:
     own, edited, following = (F.col(f"{c}_marks") for c in ("text", "edited", "next"))
     return found.select(
         "doc_id",
-        F.char_length("text").cast("bigint").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         winnow.spelled(own).alias("fingerprint"),
         winnow.spelled(edited).alias("edited_fingerprint"),
         winnow.likeness(own, edited).alias("near_edited"),

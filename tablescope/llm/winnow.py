@@ -47,36 +47,47 @@ def rolling(codes: Column, gram: int) -> Column:
     return let(hashes, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (gram - 1), F.lit(0))))
 
 
+def codes(text: Column, gram: int) -> Column:
+    """The code points of a text, filled up with zeros to ``gram``."""
+    found = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.concat(found, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(gram) - F.char_length(text), F.lit(0))))
+
+
+def placed(hash_: Column, at: Column) -> Column:
+    """A hash with its place: of equal hashes the rightmost is the smallest."""
+    return hash_ * F.lit(PLACES) + (F.lit(PLACES - 1) - at)
+
+
+def mark_of(found: Column, start: Column) -> Column:
+    """``place * 2^31 + hash`` of a placed hash in a piece that starts at ``start``."""
+    return F.shiftleft((start + (F.lit(PLACES - 1) - found % PLACES)).cast("bigint"), 31).bitwiseOR(F.shiftright(found, 16))
+
+
 def minima(hashes: Column, window: int) -> Column:
-    """The smallest hash of every window, rightmost of equal ones, with its place; of all hashes if they are fewer."""
-    placed = F.transform(hashes, lambda h, i: h * F.lit(PLACES) + (F.lit(PLACES - 1) - i))
-    least = doubled(placed, window, lambda a, b, _: F.least(a, b))  # a missing neighbour counts for nothing
+    """The smallest placed hash of every window, rightmost of equal ones; of all hashes if they are fewer."""
+    least = doubled(hashes, window, lambda a, b, _: F.least(a, b))  # a missing neighbour counts for nothing
     return F.array_distinct(let(least, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (window - 1), F.least(F.size(x), F.lit(1))))))
 
 
+def check(gram: int, window: int) -> None:
+    if gram & (gram - 1) or window & (window - 1) or min(gram, window) < 1 or gram + window > 8192:
+        raise ValueError("gram and window must be powers of two up to 4096")
+
+
 def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """The selected hashes of a text, as ``place * 2^31 + hash`` in rising order; a null or empty text has none.
 
     A text of fewer than ``gram`` characters is hashed as if filled up with zeros;
     one of fewer hashes than a window is one window.
     """
-    if gram & (gram - 1) or window & (window - 1) or min(gram, window) < 1 or gram + window > 8192:
-        raise ValueError("gram and window must be powers of two up to 4096")
-    reach = gram + window - 1
-
-    def codes(piece: Column) -> Column:
-        found = F.transform(F.split(piece, ""), lambda c: F.ascii(c).cast("bigint"))
-        return F.concat(found, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(gram) - F.char_length(piece), F.lit(0))))
+    check(gram, window)
 
-    def piece_marks(start: Column) -> Column:
-        piece = F.substring(text, start + 1, F.lit(PIECE + reach - 1))
-        found = minima(rolling(let(piece, codes), gram), window)
-        place = lambda m: (start + (F.lit(PLACES - 1) - m % PLACES)).cast("bigint")
-        return F.transform(found, lambda m: place(m) * F.lit(1 << 31) + F.floor(m / PLACES))
+    def marked(part: Column) -> Column:
+        hashes = F.transform(rolling(let(part["text"], lambda x: codes(x, gram)), gram), placed)
+        return F.transform(minima(hashes, window), lambda m: mark_of(m, part["at"]))
 
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - reach, F.lit(0)), F.lit(PIECE))
-    found = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, piece_marks))))
-    return F.when(text != "", found).otherwise(F.array().cast("array<bigint>"))
+    found = F.flatten(F.transform(pieces(text, 0, F.lit(0), gram + window - 1), marked))
+    return F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>"))))
 
 
 def place(mark: Column) -> Column:
@@ -87,11 +98,7 @@ def hash_of(mark: Column) -> Column:
     return mark.bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def shifted(found: Column, by: Column) -> Column:
-    return F.transform(found, lambda m: m + by.cast("bigint") * F.lit(1 << 31))
-
-
-def united(one: Column, two: Column) -> Column:
+def united(one: Column | str, two: Column | str) -> Column:
     return F.array_sort(F.array_union(one, two))
 
 
@@ -146,6 +153,43 @@ def in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     return found.select("key", "tie", "text", "at.*").repartition(tasks, "block")
 
 
+def pieces(text: Column, kind: int, at: Column, reach: int) -> Column:
+    """A text cut for ``selected``: ``kind``, the place of the piece in its document, and the piece; an empty text has none."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - reach, F.lit(0)), F.lit(PIECE))
+
+    def piece(start: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (at + start).cast("bigint").alias("at"),
+            F.substring(text, start + 1, F.lit(PIECE + reach - 1)).alias("text"),
+        )
+
+    none = F.array().cast("array<struct<kind:int,at:bigint,text:string>>")
+    return F.when(text != "", F.transform(starts, piece)).otherwise(none)
+
+
+def selected(rows: DataFrame, parts: str, gram: int, window: int) -> DataFrame:
+    """One row for every mark of the pieces in the column ``parts``, which gives way to ``kind`` and ``mark``.
+
+    Windows are rows here, so that their minima run in generated code; a window
+    counts if its minimum is new: the last hash of the window, or greater than
+    the hash that just left it.  Rows without pieces stay, with nulls.
+    """
+    carried = [c for c in rows.columns if c != parts]
+    rows = rows.select(*carried, F.explode_outer(parts).alias("part"))
+    text = F.col("part.text")
+    hashes = F.transform(rolling(let(text, lambda x: codes(x, gram)), gram), placed)
+    rows = rows.select(*carried, "part.kind", "part.at", F.when(text.isNotNull(), hashes).alias("hashes"))
+    last = F.greatest(F.size("hashes") - window, F.lit(0))
+    windows = F.when(F.col("hashes").isNotNull(), F.sequence(F.lit(0), last))
+    rows = rows.select(*carried, "kind", "at", "hashes", F.explode_outer(windows).alias("i"))
+    i = F.col("i")
+    least = F.array_min(F.slice("hashes", i + 1, F.lit(window)))
+    newest, left = F.get("hashes", i + (window - 1)), F.get("hashes", i - 1)
+    rows = rows.where(i.isNull() | (i == 0) | (least >= F.least(newest, left)))
+    return rows.select(*carried, "kind", mark_of(least, F.col("at")).alias("mark"))
+
+
 def edited_fingerprints(
     docs: DataFrame, text: str = "text", key: str = "doc_id", share: int = 4, gram: int = GRAM, window: int = WINDOW
 ) -> DataFrame:
@@ -153,37 +197,47 @@ def edited_fingerprints(
 
     The last ``floor(n / share)`` characters of each text are replaced by the
     first as many (or all) of the next document, by ascending key; the first one
-    follows the last.  Returns the key, ``text``, ``edited``, ``next_text`` and
-    the ``marks`` of the three: ``text_marks``, ``edited_marks``, ``next_marks``.
-    The windows that lie before the edit are examined once for both texts.
+    follows the last.  Returns the key, ``n_chars``, ``edited_sha256`` and the
+    marks of the text, the edited text and the next document's text:
+    ``text_marks``, ``edited_marks``, ``next_marks``.  The windows that lie before
+    the edit are examined once for both texts.
 
     A null key comes first; rows with equal keys are in the order of a hash of
     their texts.  A null text is empty.  Repeated rows are neighbours.  An empty
     table gives no rows.
     """
+    check(gram, window)
     reach = gram + window - 1
-    rows = in_order(docs, text, key)
+    order = Window.partitionBy("block").orderBy("guest", "key", "tie")
+    rows = in_order(docs, text, key).withColumn("next", F.lead("text").over(order))
     size = F.char_length("text")
-    rows = rows.withColumns({"cut": size - F.floor(size / share).cast("int")})
+    rows = rows.withColumn("cut", size - F.floor(size / share).cast("int"))
     rows = rows.withColumn("from", F.greatest(F.col("cut") - (reach - 1), F.lit(0)))
-    head, tail = F.substring("text", F.lit(1), F.col("cut")), F.substring("text", F.col("from") + 1, size)
-    none = F.array().cast("array<bigint>")
-    before = F.when(F.col("cut") >= reach, marks(head, gram, window)).otherwise(none)
-    rows = rows.withColumns({"before": before, "after": shifted(marks(tail, gram, window), F.col("from"))})
-    order = Window.partitionBy("block").orderBy("guest", "key", "tie")
-    follower = F.lead(F.struct("text", "before", "after")).over(order)
-    rows = rows.withColumn("next", follower).where("not guest")
-    fill = F.substring(F.col("next.text"), F.lit(1), size - F.col("cut"))
-    rows = rows.withColumn("fill", fill)
-    joint = F.concat(F.substring("text", F.col("from") + 1, F.col("cut") - F.col("from")), "fill")
-    changed = F.when((F.col("cut") >= reach) & (F.col("fill") == ""), none).otherwise(shifted(marks(joint, gram, window), F.col("from")))
-    rows = rows.withColumn("changed", changed)
-    return rows.select(
-        F.col("key").alias(key),
-        "text",
-        F.concat(head, "fill").alias("edited"),
-        F.col("next.text").alias("next_text"),
-        united(F.col("before"), F.col("after")).alias("text_marks"),
-        united(F.col("before"), F.col("changed")).alias("edited_marks"),
-        united(F.col("next.before"), F.col("next.after")).alias("next_marks"),
+    cut, start = F.col("cut"), F.col("from")
+    rows = rows.withColumns(
+        {
+            "head": F.substring("text", F.lit(1), cut),
+            "tail": F.substring("text", start + 1, size),
+            "fill": F.coalesce(F.substring("next", F.lit(1), size - cut), F.lit("")),
+        }
+    )
+    joint = F.concat(F.substring("text", start + 1, cut - start), "fill")
+    joint = F.when(F.col("guest") | ((cut >= reach) & (F.col("fill") == "")), F.lit("")).otherwise(joint)
+    before = F.when(cut >= reach, F.col("head")).otherwise(F.lit(""))
+    rows = rows.select(
+        *("block", "guest", "key", "tie"),
+        F.monotonically_increasing_id().alias("row"),
+        size.cast("bigint").alias("n_chars"),
+        F.sha2(F.concat("head", "fill").cast("binary"), 256).alias("edited_sha256"),
+        F.concat(
+            pieces(before, 0, F.lit(0), reach), pieces(F.col("tail"), 1, start, reach), pieces(joint, 2, start, reach)
+        ).alias("parts"),
     )
+    found = selected(rows, "parts", gram, window)
+    kinds = [F.collect_list(F.when(F.col("kind") == k, F.col("mark"))) for k in range(3)]
+    same = ["block", "guest", "key", "tie", "row", "n_chars", "edited_sha256"]
+    found = found.groupBy(*same).agg(*[k.alias(f"marks{i}") for i, k in enumerate(kinds)])
+    found = found.withColumns({"text_marks": united("marks0", "marks1"), "edited_marks": united("marks0", "marks2")})
+    follower = F.lead("text_marks").over(Window.partitionBy("block").orderBy("guest", "key", "tie", "row"))
+    found = found.withColumn("next_marks", follower).where("not guest")
+    return found.select(F.col("key").alias(key), "n_chars", "edited_sha256", "text_marks", "edited_marks", "next_marks")

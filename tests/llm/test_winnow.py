@@ -83,8 +83,9 @@ def plain_query(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 150])
-def test_query_against_brute_force(spark, n):
+@pytest.mark.parametrize("n,piece", [(1, 16384), (2, 16384), (3, 5), (150, 16384), (60, 20)])
+def test_query_against_brute_force(spark, monkeypatch, n, piece):
+    monkeypatch.setattr(winnow, "PIECE", piece)
     many = list(texts(n, n))
     rows = [(k * 3 - 50 if k else None, many[k] if k % 40 else None) for k in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -97,8 +98,10 @@ def test_repeated_keys_and_no_rows(spark):
     rows = [(1, "a" * 100), (1, "b" * 100), (1, "b" * 100), (2, "c" * 100)]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, block int")
     found = winnow.edited_fingerprints(docs).collect()
-    assert sorted(r["text"][0] for r in found) == ["a", "b", "b", "c"]
-    pairs = {(r["text"][0], r["next_text"][0]) for r in found}
+    marks = {t: [a * 2**31 + h for a, h in plain_marks(t * 100)] for t in "abc"}
+    assert sorted(r["text_marks"] for r in found) == sorted([marks["a"], marks["b"], marks["b"], marks["c"]])
+    letter = {str(m): t for t, m in marks.items()}
+    pairs = {(letter[str(r["text_marks"])], letter[str(r["next_marks"])]) for r in found}
     assert ("b", "b") in pairs and pairs in ({("a", "b"), ("b", "b"), ("b", "c"), ("c", "a")}, {("b", "b"), ("b", "a"), ("a", "c"), ("c", "b")})
     assert winnow.edited_fingerprints(docs.limit(0)).collect() == []
 
