@@ -362,7 +362,7 @@ d AS (SELECT doc_id, text, n, substr(text, 1, n - n // 4) || substr(CASE WHEN la
 t AS (SELECT doc_id, false AS edit, text AS s FROM d UNION ALL SELECT doc_id, true, edited FROM d),
 c AS (SELECT doc_id, edit, length(s) AS n, unnest(range(length(s))) AS i, unnest(list_transform(string_split(s, ''), lambda x: ord(x)::BIGINT)) AS h
   FROM t WHERE s <> ''),
-h2 AS (SELECT doc_id, edit, n, i, (h * 911382323 + coalesce(lead(h, 1) OVER w, 0)) % 2147483647 AS h FROM c WINDOW w AS (PARTITION BY doc_id, edit ORDER BY i)),
+h2 AS (SELECT doc_id, edit, n, i, (h * {b1} + coalesce(lead(h, 1) OVER w, 0)) % 2147483647 AS h FROM c WINDOW w AS (PARTITION BY doc_id, edit ORDER BY i)),
 h4 AS (SELECT doc_id, edit, n, i, (h * {b2} + coalesce(lead(h, 2) OVER w, 0)) % 2147483647 AS h FROM h2 WINDOW w AS (PARTITION BY doc_id, edit ORDER BY i)),
 h8 AS (SELECT doc_id, edit, n, i, (h * {b4} + coalesce(lead(h, 4) OVER w, 0)) % 2147483647 AS h FROM h4 WINDOW w AS (PARTITION BY doc_id, edit ORDER BY i)),
 g AS (SELECT * FROM (SELECT doc_id, edit, n, i, (h * {b8} + coalesce(lead(h, 8) OVER w, 0)) % 2147483647 AS h FROM h8
@@ -378,7 +378,7 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edite
   CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE END::DOUBLE AS near_edited,
   CASE WHEN len(x) + len(z) = 0 THEN 1.0 ELSE len(list_intersect(x, z)) / len(list_distinct(list_concat(x, z)))::DOUBLE END::DOUBLE AS near_next
 FROM k
-""".format(b2=pow(winnow.BASE, 2, winnow.PRIME), b4=pow(winnow.BASE, 4, winnow.PRIME), b8=pow(winnow.BASE, 8, winnow.PRIME)),
+""".format(b1=winnow.BASE, b2=pow(winnow.BASE, 2, winnow.PRIME), b4=pow(winnow.BASE, 4, winnow.PRIME), b8=pow(winnow.BASE, 8, winnow.PRIME)),
 )
 def fingerprint_query(spark, folder):
     return fingerprints_of(table(spark, folder, "documents").select("doc_id", "text"))

@@ -18,9 +18,9 @@ GRAM = 16  # characters that are hashed together
 WINDOW = 32  # hashes in a window
 PIECE = 16384  # windows that are examined at a time, so that a long text takes no more memory
 PRIME = 2**31 - 1
-BASE = 911382323
+BASE = 911  # so small that two code points need no remainder yet
 PLACES = 1 << 16  # more than a piece has places
-TASK_BYTES = 512 << 20  # bytes of text that one task gets at most, when rows are put in order
+BLOCK_BYTES = 128 << 20  # bytes of text in a block of neighbours, about
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,29 +28,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def doubled(values: Column, size: int, join: Callable[[Column, Column, int], Column]) -> Column:
-    """Joins ``size`` neighbours, a power of two, in steps that double what is joined; the last ones lack neighbours."""
+def joined(values: Column, far: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with the one ``far`` places on; the last ones lack it."""
+    return let(values, lambda x: F.zip_with(x, F.slice(x, F.lit(far + 1), F.greatest(F.size(x) - far, F.lit(0))), join))
 
-    def step(m: int):
-        return lambda x: F.zip_with(x, F.slice(x, F.lit(m + 1), F.greatest(F.size(x) - m, F.lit(0))), lambda a, b: join(a, b, m))
 
-    m = 1
-    while m < size:
-        values = let(values, step(m))
-        m *= 2
-    return values
+def next_power(factor: Column) -> Callable[[Column, Column], Column]:
+    return lambda a, b: (a * factor + b) % F.lit(PRIME)
 
 
-def rolling(codes: Column, gram: int) -> Column:
-    """The polynomial hash of every ``gram`` numbers in a row."""
-    hashes = doubled(codes, gram, lambda a, b, m: (a * F.lit(pow(BASE, m, PRIME)) + b) % F.lit(PRIME))
-    return let(hashes, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (gram - 1), F.lit(0))))
+def rolling(text: Column, gram: int) -> Column:
+    """The polynomial hash of every ``gram`` characters in a row, joined from hashes of half as many.
 
-
-def codes(text: Column, gram: int) -> Column:
-    """The code points of a text, filled up with zeros to ``gram``."""
-    found = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
-    return F.concat(found, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(gram) - F.char_length(text), F.lit(0))))
+    A text of fewer characters is hashed as if filled up with zeros.
+    """
+    filled = F.when(F.char_length(text) < gram, F.rpad(text, F.lit(gram), F.lit("\0"))).otherwise(text)
+    chars = F.split(filled, "")
+    if gram == 1:
+        return F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
+    hashes, far = joined(chars, 1, lambda a, b: F.ascii(a) * F.lit(BASE).cast("bigint") + F.ascii(b)), 2
+    while far < gram:
+        hashes = joined(hashes, far, next_power(F.lit(pow(BASE, far, PRIME))))
+        far *= 2
+    return let(hashes, lambda x: F.slice(x, F.lit(1), F.size(x) - (gram - 1)))
 
 
 def placed(hash_: Column, at: Column) -> Column:
@@ -58,15 +58,17 @@ def placed(hash_: Column, at: Column) -> Column:
     return hash_ * F.lit(PLACES) + (F.lit(PLACES - 1) - at)
 
 
-def mark_of(found: Column, start: Column) -> Column:
-    """``place * 2^31 + hash`` of a placed hash in a piece that starts at ``start``."""
-    return F.shiftleft((start + (F.lit(PLACES - 1) - found % PLACES)).cast("bigint"), 31).bitwiseOR(F.shiftright(found, 16))
+def mark_of(hash_: Column, at: Column) -> Column:
+    return F.shiftleft(at.cast("bigint"), 31).bitwiseOR(hash_)
 
 
 def minima(hashes: Column, window: int) -> Column:
     """The smallest placed hash of every window, rightmost of equal ones; of all hashes if they are fewer."""
-    least = doubled(hashes, window, lambda a, b, _: F.least(a, b))  # a missing neighbour counts for nothing
-    return F.array_distinct(let(least, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (window - 1), F.least(F.size(x), F.lit(1))))))
+    far = 1
+    while far < window:
+        hashes = joined(hashes, far, lambda a, b: F.least(a, b))  # a missing neighbour counts for nothing
+        far *= 2
+    return F.array_distinct(let(hashes, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (window - 1), F.lit(1)))))
 
 
 def check(gram: int, window: int) -> None:
@@ -77,14 +79,13 @@ def check(gram: int, window: int) -> None:
 def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """The selected hashes of a text, as ``place * 2^31 + hash`` in rising order; a null or empty text has none.
 
-    A text of fewer than ``gram`` characters is hashed as if filled up with zeros;
-    one of fewer hashes than a window is one window.
+    A text of fewer hashes than a window is one window.
     """
     check(gram, window)
 
     def marked(part: Column) -> Column:
-        hashes = F.transform(rolling(let(part["text"], lambda x: codes(x, gram)), gram), placed)
-        return F.transform(minima(hashes, window), lambda m: mark_of(m, part["at"]))
+        found = minima(F.transform(rolling(part["text"], gram), placed), window)
+        return F.transform(found, lambda m: mark_of(F.shiftright(m, 16), part["at"] + (F.lit(PLACES - 1) - m % PLACES)))
 
     found = F.flatten(F.transform(pieces(text, 0, F.lit(0), gram + window - 1), marked))
     return F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>"))))
@@ -131,18 +132,19 @@ def in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``key, text, block, guest``: the rows dealt to blocks of neighbours by key and then text.
 
     Each block ends with the first row of the next one as a guest, the last block
-    with the first row of all.  One task gets whole blocks.
+    with the first row of all.  A task gets some whole blocks.
     """
     rows = docs.select(col(key).alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(8 * tasks, -(-size // BLOCK_BYTES))
     where = F.struct("key", "tie")
-    # one first row for each of 4 * tasks ranges: written once, since ranges are drawn from a sample
-    dealt = rows.select("key", "tie").repartitionByRange(4 * tasks, "key", "tie").withColumn("range", F.spark_partition_id())
+    # the first row of each of so many ranges: written once, since ranges are drawn from a sample
+    dealt = rows.select("key", "tie").repartitionByRange(blocks, "key", "tie").withColumn("range", F.spark_partition_id())
     first = checkpoint(dealt.groupBy("range").agg(F.min(where).alias("first")))
     bounds = first.agg(F.array_sort(F.collect_list("first")).alias("bounds")).scalar()
-    steps = F.array(*[F.lit(1 << k) for k in range((4 * tasks).bit_length(), -1, -1)])
+    steps = F.array(*[F.lit(1 << k) for k in range(blocks.bit_length(), -1, -1)])
     found = rows.withColumn("bounds", bounds)
     reached = lambda at, step: F.when(F.get("bounds", at + step) <= where, at + step).otherwise(at)
     found = found.withColumn("block", F.aggregate(steps, F.lit(0), reached))
@@ -150,7 +152,7 @@ def in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
     before = F.pmod(F.col("block") - 1, F.size("bounds")).alias("block")
     guest = F.when(F.get("bounds", F.col("block")) == where, F.struct(before, F.lit(True).alias("guest")))
     found = found.select("key", "tie", "text", F.explode(F.filter(F.array(own, guest), lambda x: x.isNotNull())).alias("at"))
-    return found.select("key", "tie", "text", "at.*").repartition(tasks, "block")
+    return found.select("key", "tie", "text", "at.*").repartition(max(tasks, blocks // 8), "block")
 
 
 def pieces(text: Column, kind: int, at: Column, reach: int) -> Column:
@@ -172,22 +174,23 @@ def selected(rows: DataFrame, parts: str, gram: int, window: int) -> DataFrame:
     """One row for every mark of the pieces in the column ``parts``, which gives way to ``kind`` and ``mark``.
 
     Windows are rows here, so that their minima run in generated code; a window
-    counts if its minimum is new: the last hash of the window, or greater than
+    counts if its minimum is new: no smaller than its last hash, or greater than
     the hash that just left it.  Rows without pieces stay, with nulls.
     """
     carried = [c for c in rows.columns if c != parts]
     rows = rows.select(*carried, F.explode_outer(parts).alias("part"))
     text = F.col("part.text")
-    hashes = F.transform(rolling(let(text, lambda x: codes(x, gram)), gram), placed)
-    rows = rows.select(*carried, "part.kind", "part.at", F.when(text.isNotNull(), hashes).alias("hashes"))
+    rows = rows.select(*carried, "part.kind", "part.at", F.when(text.isNotNull(), rolling(text, gram)).alias("hashes"))
     last = F.greatest(F.size("hashes") - window, F.lit(0))
     windows = F.when(F.col("hashes").isNotNull(), F.sequence(F.lit(0), last))
     rows = rows.select(*carried, "kind", "at", "hashes", F.explode_outer(windows).alias("i"))
     i = F.col("i")
-    least = F.array_min(F.slice("hashes", i + 1, F.lit(window)))
-    newest, left = F.get("hashes", i + (window - 1)), F.get("hashes", i - 1)
-    rows = rows.where(i.isNull() | (i == 0) | (least >= F.least(newest, left)))
-    return rows.select(*carried, "kind", mark_of(least, F.col("at")).alias("mark"))
+    inside = F.slice("hashes", i + 1, F.lit(window))
+    least, newest, left = F.array_min(inside), F.get("hashes", i + (window - 1)), F.get("hashes", i - 1)
+    # one comparison, so that the minimum is computed once: least >= newest or least > left
+    rows = rows.where(i.isNull() | (i == 0) | (least >= F.least(newest, left + 1)))
+    from_end = F.array_position(F.reverse(inside), least)  # of equal hashes the rightmost
+    return rows.select(*carried, "kind", mark_of(least, F.col("at") + i + F.size(inside) - from_end).alias("mark"))
 
 
 def edited_fingerprints(
