@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablescope.functions.columns import col, require_key
 from tablescope.operators.anomalies import ANOMALY
-from tablescope.operators.features import feature_vector
+from tablescope.operators.features import sparse_vector
 
 
 def project_2d(df: DataFrame, columns: Sequence[str], key) -> DataFrame:
@@ -24,7 +24,9 @@ def project_2d(df: DataFrame, columns: Sequence[str], key) -> DataFrame:
     key = require_key(df, key)
     if df.limit(3).count() < 3:
         raise ValueError("a map needs at least 3 rows")
-    return project_vectors(feature_vector(df, columns, key), key)
+    found = project_vectors(sparse_vector(df, columns, key), key)
+    middle = found.agg(F.avg("map_x").alias("x"), F.avg("map_y").alias("y")).first()  # sparse features are not centred
+    return found.withColumns({"map_x": F.col("map_x") - middle["x"], "map_y": F.col("map_y") - middle["y"]})
 
 
 def project_vectors(vectors: DataFrame, key) -> DataFrame:

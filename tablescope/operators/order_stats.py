@@ -8,6 +8,7 @@ inside it.  Neither scan shuffles more than the sliver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,6 +20,8 @@ from tablescope.functions.columns import col, literal_rows, number, require_colu
 RANK_ERROR = 1e-4
 SLOTS = 64
 COLUMNS_PER_PASS = 50
+BUCKET_ROWS = 1_000_000  # rows that are ranked in one task, about
+LEAST_BUCKETS, MOST_BUCKETS = 256, 4096
 
 
 def melt_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -166,44 +169,63 @@ def quantile_scalar(df: DataFrame, column: str, p: float) -> Column:
     return exact_quantiles(df, [column], [p]).select("q0").scalar()
 
 
-def with_order_buckets(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
-    """Add ``<column>__bucket``: an integer that grows with the value.
-
-    The edges are sketch quantiles, so buckets hold similar numbers of rows;
-    equal values always share a bucket.  Only the edges (``buckets`` numbers per
-    column) pass through the driver.  Columns must be double without NaN.
-    """
+def _edges(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
+    """Per column the sketch quantiles that divide its rows; a value that is several of them gets a bucket of its own."""
     probs = [i / buckets for i in range(1, buckets)]
     found = df.agg(*[F.percentile_approx(col(c), probs, 10 * buckets).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    out = df
-    for i, c in enumerate(columns):
-        inner = sorted(set(found[i] or [0.0]))
-        splits = [float("-inf"), *inner, float("inf")]
-        out = Bucketizer(splits=splits, inputCol=c, outputCol=f"{c}__bucket", handleInvalid="keep").transform(out)
+    out = []
+    for values in found:
+        values = values or [0.0]
+        frequent = {a for a, b in zip(values, values[1:]) if a == b}
+        out.append(sorted({*values, *(math.nextafter(v, math.inf) for v in frequent)} - {math.inf, -math.inf}))
     return out
 
 
-def average_ranks(counts: DataFrame, keys: Sequence[str], bucket: str, value: str, n: str) -> DataFrame:
-    """Average rank of every distinct value inside each key group, and the group's ``total`` rows.
+def row_ranks(df: DataFrame, views: dict[str, tuple[str, Column]], rows: int) -> DataFrame:
+    """Each row of ``df`` with the average rank of its value in every view, null where the view has no value.
 
-    ``counts`` holds one row per (keys, bucket, value) with its row count.  The
-    only window over values is partitioned by bucket; the window over buckets
-    sees one row per bucket.
+    A view is a column of doubles without NaN, possibly null in more rows than
+    the column; ``views`` gives the column and the values.  Sketch quantiles cut
+    each column into buckets whose sizes one aggregate counts.  In a bucket of
+    one value the rank is known; all other rows are ranked inside their bucket
+    and moved up by the rows of the buckets before.  The ranks stay beside the
+    row: a view with a bucket of several values shuffles every row once, any
+    other view shuffles nothing.  Rows whose rank is known are dealt evenly, so a
+    frequent value is never gathered in one task.  Only edges and bucket counts
+    pass through the driver, at most ``2 * MOST_BUCKETS`` per view.
     """
-    keys = list(keys)
-    per_bucket = counts.groupBy(*keys, bucket).agg(F.sum(n).alias("in_bucket"))
-    over = Window.partitionBy(*keys).orderBy(bucket)
-    whole = Window.partitionBy(*keys)
-    offsets = per_bucket.select(
-        *keys,
-        bucket,
-        (F.sum("in_bucket").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bucket")).alias("before"),
-        F.sum("in_bucket").over(whole).alias("total"),
-    )
-    inside = Window.partitionBy(*keys, bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counts.withColumn("upto", F.sum(n).over(inside))
-        .join(offsets, [*keys, bucket])
-        .withColumn("avg_rank", F.col("before") + F.col("upto") - F.col(n) + (F.col(n) + 1) / 2.0)
-        .drop("before", "upto")
-    )
+    columns = list(dict.fromkeys(c for c, _ in views.values()))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, rows // BUCKET_ROWS))
+    out = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(buckets)))
+    for c, edges in zip(columns, _edges(df, columns, buckets)):
+        splits = [-math.inf, *edges, math.inf]
+        out = Bucketizer(splits=splits, inputCol=c, outputCol=f"{c}__bucket", handleInvalid="keep").transform(out)
+    cells = [
+        F.struct(F.lit(k).alias("view"), F.col(f"{c}__bucket").cast("int").alias("bucket"), value.alias("value"))
+        for k, (c, value) in enumerate(views.values())
+    ]
+    counts = out.select(F.inline(F.array(*cells))).where("value IS NOT NULL").groupBy("view", "bucket")
+    facts: list[dict[int, tuple[int, bool]]] = [{} for _ in views]
+    for r in counts.agg(F.count("*").alias("n"), (F.min("value") == F.max("value")).alias("single")).collect():
+        facts[r["view"]][r["bucket"]] = (r["n"], r["single"])
+    for k, (name, (c, value)) in enumerate(views.items()):
+        before, start, known, shared = 0, [], [], False
+        for b in range(max(facts[k], default=-1) + 1):
+            n, single = facts[k].get(b, (0, True))
+            start.append(float(before))
+            known.append(before + (n + 1) / 2 if single else None)
+            shared |= not single
+            before += n
+        bucket = F.col(f"{c}__bucket").cast("int")
+        rank = F.get(F.lit(known).cast("array<double>"), bucket) if known else F.lit(None).cast("double")
+        rank = F.when(value.isNotNull(), rank)
+        if shared:
+            out = out.withColumn("__known", rank)
+            settled = F.col("__known").isNotNull() | value.isNull()
+            group = F.when(settled, -1 - F.col("__salt")).otherwise(bucket)
+            order = Window.partitionBy(group).orderBy(value)
+            # rows up to the first and up to the last equal value
+            within = (F.rank().over(order) + F.count("*").over(order)) / 2
+            rank = F.when(settled, F.col("__known")).otherwise(F.get(F.lit(start), bucket) + within)
+        out = out.withColumn(name, rank)
+    return out.select(*df.columns, *views)

@@ -18,10 +18,9 @@ from tablescope.functions.columns import (
     require_columns,
     require_numeric,
 )
-from tablescope.functions.joins import lookup_join
 from tablescope.functions.labels import strength_label
 from tablescope.functions.numbers import clamp, pearson
-from tablescope.operators.order_stats import average_ranks, with_order_buckets
+from tablescope.operators.order_stats import row_ranks
 from tablescope.operators.profile import small_cardinalities
 from tablescope.session import checkpoint
 
@@ -70,6 +69,45 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return _union(frames).withColumn("pearson", enough)
 
 
+def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``var1, var2, pairs, spearman``: Pearson of average ranks within the complete rows of each pair.
+
+    A pair uses the rows where both columns are present.  If the partner has no
+    gaps these are the ranks of the column itself, shared by all such pairs.
+    Every row carries its ranks (``row_ranks``), so all pairs of a chunk share one
+    aggregate, which shuffles a single row per task.
+    """
+    columns = require_columns(df, columns or numeric_columns(df), least=2)
+    require_numeric(df, *columns)
+    names = {c: f"v{i}" for i, c in enumerate(columns)}
+    numbers = df.select(*[number(df, c).alias(n) for c, n in names.items()])
+    facts = numbers.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in numbers.columns]).first()
+    views: dict[str, tuple[str, Column]] = {}
+
+    def given(x: str, y: str) -> Column:
+        """The ranks of ``x`` where ``y`` is present."""
+        whole = facts[y] == facts["rows"]
+        name = f"{x}_rank" if whole else f"{x}_rank_with_{y}"
+        views[name] = (x, F.col(x) if whole else F.when(F.col(y).isNotNull(), F.col(x)))
+        return F.col(name)
+
+    pairs = column_pairs(columns)
+    cells = [
+        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.count(rx + ry).alias("pairs"), pearson(rx, ry).alias("spearman"))
+        for a, b in pairs
+        for rx, ry in [(given(names[a], names[b]), given(names[b], names[a]))]
+    ]
+    ranked = row_ranks(numbers, views, facts["rows"]).select(*views)
+    if len(cells) > PAIRS_PER_PASS:
+        ranked = checkpoint(ranked)
+    frames = []
+    for chunk in _chunks(cells):
+        wide = ranked.agg(*[c.alias(f"p{i}") for i, c in enumerate(chunk)])
+        frames.append(wide.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(chunk))]))))
+    enough = F.when(F.col("pairs") >= LEAST_PAIRS, F.col("spearman"))
+    return _union(frames).withColumn("spearman", enough)
+
+
 def _complete_views(frame: DataFrame, pairs: list[tuple[str, str]]):
     """Which restriction of a column each pair needs.
 
@@ -89,100 +127,6 @@ def _complete_views(frame: DataFrame, pairs: list[tuple[str, str]]):
     return given, views
 
 
-def _with_rank(joint: DataFrame, ranks: DataFrame, view: Column, value: str) -> DataFrame:
-    """Look up the rank of ``value`` in its view; values that fill over 1 % of a view are broadcast.
-
-    At most 100 such values exist per view, and a chunk has a bounded number of
-    views, so a hot value never drags all its rows into one task.
-    """
-    on = ["view", value]
-    own = ranks.select(
-        "view",
-        F.col("value").alias(value),
-        F.col("avg_rank").alias(f"{value}_rank"),
-        (F.col("n") * 100 >= F.col("total")).alias("hot"),
-    )
-    rows = joint.withColumn("view", view)
-    return lookup_join(rows, own.drop("hot"), on, own.where("hot").select(*on), how="inner").drop("view")
-
-
-def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``var1, var2, pairs, spearman``: Pearson of average ranks within the complete rows of each pair.
-
-    Equal pairs of values are counted together first.  Ranks come from windows
-    over value buckets of similar size, never from a sort of a whole column in
-    one task.  Both intermediate tables are read several times and therefore
-    checkpointed.
-    """
-    columns = require_columns(df, columns or numeric_columns(df), least=2)
-    require_numeric(df, *columns)
-    names = {c: f"v{i}" for i, c in enumerate(columns)}
-    numbers = df.select(*[number(df, c).alias(n) for c, n in names.items()])
-    base = with_order_buckets(numbers, list(names.values()))
-    frames = []
-    for chunk in _chunks(column_pairs(columns)):
-        inner = [(names[a], names[b]) for a, b in chunk]
-        given, views = _complete_views(numbers, inner)
-        number_of = {name: k for k, name in enumerate(views)}
-        ranked = [
-            F.struct(
-                F.lit(k).alias("view"),
-                F.col(f"{name.partition('_with_')[0]}__bucket").cast("int").alias("bucket"),
-                views[name].alias("value"),
-            )
-            for name, k in number_of.items()
-        ]
-        counts = (
-            base.select(F.inline(F.array(*ranked)))
-            .where("value IS NOT NULL")
-            .groupBy("view", "bucket", "value")
-            .agg(F.count("*").alias("n"))
-        )
-        ranks = checkpoint(average_ranks(counts, ["view"], "bucket", "value", "n"))
-        cells = [
-            F.struct(F.lit(i).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate(inner)
-        ]
-        joint = checkpoint(
-            numbers.select(F.inline(F.array(*cells)))
-            .where("x IS NOT NULL AND y IS NOT NULL")
-            .groupBy("pair", "x", "y")
-            .agg(F.count("*").alias("n"))
-        )
-        left, right = (
-            F.array(*[F.lit(number_of[given(*q)]) for q in side])[F.col("pair")]
-            for side in (inner, [p[::-1] for p in inner])
-        )
-        both = _with_rank(_with_rank(joint, ranks, left, "x"), ranks, right, "y")
-        n, x, y = F.col("n").cast("double"), F.col("x_rank"), F.col("y_rank")
-        sums = both.groupBy("pair").agg(
-            F.sum("n").alias("pairs"),
-            F.sum(n * x).alias("sx"),
-            F.sum(n * y).alias("sy"),
-            F.sum(n * x * x).alias("sxx"),
-            F.sum(n * y * y).alias("syy"),
-            F.sum(n * x * y).alias("sxy"),
-        )
-        m = F.col("pairs").cast("double")
-        cov = F.col("sxy") / m - F.col("sx") / m * (F.col("sy") / m)
-        var_x = F.col("sxx") / m - F.pow(F.col("sx") / m, F.lit(2))
-        var_y = F.col("syy") / m - F.pow(F.col("sy") / m, F.lit(2))
-        r = F.when((var_x > 0) & (var_y > 0), F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
-        named = literal_rows(
-            df.sparkSession, [[F.lit(i), F.lit(a), F.lit(b)] for i, (a, b) in enumerate(chunk)], ["pair", "var1", "var2"]
-        )
-        frames.append(
-            named.join(F.broadcast(sums.withColumn("r", r)), "pair", "left").select(
-                "var1",
-                "var2",
-                F.coalesce("pairs", F.lit(0).cast("bigint")).alias("pairs"),
-                F.when(F.col("pairs") >= LEAST_PAIRS, clamp(F.col("r"), -1, 1)).alias(
-                    "spearman"
-                ),
-            )
-        )
-    return _union(frames)
-
-
 def _bin_expressions(df: DataFrame) -> dict[str, Column]:
     """Category text of every column: its own values, or one of ten equal-width bins."""
     numeric = numeric_columns(df)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablescope.functions.columns import col, number, numeric_columns, require_columns, require_key
 from tablescope.functions.numbers import share, zero_as
 from tablescope.operators.describe import column_moments
-from tablescope.operators.features import feature_vector
+from tablescope.operators.features import sparse_vector
 
 NOISE = "Outliers/Noise"
 
@@ -29,7 +29,7 @@ def kmeans_segments(
     rows = df.limit(k).count()
     if rows < 2:
         raise ValueError("clustering needs at least 2 rows")
-    vectors = feature_vector(df, columns, key)
+    vectors = sparse_vector(df, columns, key)
     model = KMeans(k=min(k, rows), seed=seed, maxIter=max_iter).fit(vectors)
     labelled = model.transform(vectors).select(*key, F.col("prediction").alias("centre"))
     first = labelled.groupBy("centre").agg(F.min(F.struct(*[col(x) for x in key])).alias("first_key"))

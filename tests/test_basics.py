@@ -122,14 +122,19 @@ def test_mixed_dates(spark):
     assert len({str(d) for d in got[:6]}) == 1
 
 
-def test_average_ranks_with_a_hot_value(spark):
-    values = [5.0] * 400 + [float(v) for v in range(200)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    placed = order_stats.with_order_buckets(df, ["v"], buckets=16)
-    counts = placed.groupBy(F.lit(1).alias("k"), F.col("v__bucket").alias("b"), "v").agg(F.count("*").alias("n"))
-    got = {r["v"]: r["avg_rank"] for r in order_stats.average_ranks(counts, ["k"], "b", "v", "n").collect()}
+def test_row_ranks_with_a_hot_value(spark, monkeypatch):
+    """Values within and across buckets, a hot value, gaps and a view with more gaps."""
     import pandas as pd
 
-    want = pd.Series(values).rank()
-    assert got == {v: r for v, r in zip(values, want)}
-    assert not any(math.isnan(r) for r in got.values())
+    monkeypatch.setattr(order_stats, "LEAST_BUCKETS", 16)
+    values = [5.0] * 400 + [float(v % 150) for v in range(200)] + [None] * 20 + [-math.inf, math.inf]
+    df = spark.createDataFrame([(i, v, i % 3 == 0) for i, v in enumerate(values)], "i long, v double, odd boolean").repartition(6)
+    views = {"all": ("v", F.col("v")), "some": ("v", F.when(F.col("odd"), F.col("v")))}
+    got = order_stats.row_ranks(df, views, len(values)).orderBy("i").toPandas()
+    frame = pd.Series(values, dtype=float)
+    assert got["all"].equals(frame.rank())
+    assert got["some"].equals(frame.where(frame.index % 3 == 0).rank())
+    # a column of few values is looked up: no shuffle beside the one of the facts
+    few = spark.range(3000).select((F.col("id") % 7).cast("double").alias("v"))
+    plan = order_stats.row_ranks(few, {"r": ("v", F.col("v"))}, 3000)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan

@@ -26,6 +26,51 @@ def test_features(spark):
         features.one_hot(df.select("k", F.lit("same").alias("s")), ["s"], "k")
 
 
+def test_sparse_vector_of_many_categories(spark):
+    """50,000 categories, one of them held by a third of the rows, against the dense definition."""
+    n, k = 90_000, 50_000
+    df = spark.range(n).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % k).cast("string"))).alias("c"),
+        F.when(F.col("id") % 7 > 0, F.lit("even")).alias("d"),
+        (F.col("id") % 11).cast("double").alias("x"),
+    )
+    got = {r["id"]: r["features"] for r in features.sparse_vector(df, ["c", "x", "d"], "id").where("id % 997 = 0").collect()}
+    frame = df.toPandas()
+    names = sorted(frame["c"].unique())
+    count = frame["c"].value_counts()
+    x, share = frame["x"], (frame["d"] == "even").mean()
+    for key, v in got.items():
+        row = frame.iloc[key]
+        want = {0: (row["x"] - x.mean()) / x.std(ddof=0)}
+        if names.index(row["c"]):
+            p = count[row["c"]] / n
+            want[names.index(row["c"])] = 1 / np.sqrt(p * (1 - p))
+        if row["d"] == "even":  # "Missing" sorts first
+            want[len(names)] = 1 / np.sqrt(share * (1 - share))
+        assert v.size == len(names) + 1
+        assert dict(zip(v.indices.tolist(), v.values.tolist())) == pytest.approx(want)
+    assert len(got) == len(range(0, n, 997))
+    with pytest.raises(ValueError):
+        features.one_hot(df, ["c"], "id")
+
+
+def test_sparse_and_dense_features_agree(spark):
+    """Distances between sparse features are those between the standardised ones."""
+    rows = [(i, "abc"[i % 3] if i % 5 else None, float(i * i % 17), "one") for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, s string, x double, c string")
+    dense = {r["k"]: np.array(r["features"].toArray()) for r in features.feature_vector(df, ["s", "x"], "k").collect()}
+    sparse = {r["k"]: np.array(r["features"].toArray()) for r in features.sparse_vector(df, ["s", "x", "c"], "k").collect()}
+    shift = dense[0] - sparse[0]
+    assert all(np.allclose(dense[k] - sparse[k], shift) for k in dense)
+    places = features.category_index(df, ["s", "c"]).orderBy("column", "value").collect()
+    assert [(r["column"], r["value"], r["n"], r["place"]) for r in places] == [
+        ("c", "one", 40, 0), ("s", "Missing", 8, 0), ("s", "a", 11, 1), ("s", "b", 11, 2), ("s", "c", 10, 3),
+    ]
+    with pytest.raises(ValueError):
+        features.sparse_vector(df, ["c"], "k")
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in (0, 5, 10)])

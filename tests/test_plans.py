@@ -27,14 +27,13 @@ def test_catalogue(spark):
         "people": spark.sql("SELECT 'x' email"),
         "money": spark.sql("SELECT 1 cost, 2 margin"),
     }
-    listed = catalog.column_catalogue(tables)
-    got = {r["table"]: r for r in catalog.catalog_profile(listed).collect()}
+    got = {r["table"]: r for r in catalog.catalog_profile(tables).collect()}
     assert got["sales"]["dataset_type"] == "Temporal Transaction Dataset"
     assert got["sales"]["modules"].startswith("Timeline Intelligence, Correlation Discovery")
     assert got["plain"]["dataset_type"] == "General Tabular Dataset"
     assert got["ticks"]["dataset_type"] == "Time Series Dataset"
     assert got["people"]["dataset_type"] == "Customer Dataset" and got["money"]["dataset_type"] == "Financial Dataset"
-    rich = {r["table"]: r["richness"] for r in catalog.richness_score(listed).collect()}
+    rich = {r["table"]: r["richness"] for r in catalog.richness_score(catalog.schema_catalogue(tables)).collect()}
     assert rich["plain"] == 1.5 and rich["sales"] > rich["money"]
 
 
