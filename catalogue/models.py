@@ -1,7 +1,8 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tablescope.operators import anomalies, features, segments
+from tablescope.functions.columns import beside
+from tablescope.operators import anomalies, features, segments, silhouettes
 from catalogue.registry import LABELLED_SQL, query, rounded
 
 
@@ -176,6 +177,24 @@ def _(t):
     return rounded(segments.silhouette(vectors, "embedding", "label"))
 
 
+EUCLIDEAN_SQL = PAIR_SQL.format(dist=f"sqrt({SQUARED})")
+
+
+@query("silhouette_euclidean_embeddings", EUCLIDEAN_SQL)
+def _(t):
+    return rounded(segments.silhouette(t("embeddings"), "embedding", "label", method="euclidean"))
+
+
+@query("silhouette_interval_embeddings", f"SELECT true AS holds, true AS narrow, silhouette FROM ({EUCLIDEAN_SQL})")
+def _(t):
+    """Whether the bounds hold the exact value, and whether they lie within 0.5 of each other."""
+    vectors = t("embeddings")
+    bounds = silhouettes.silhouette_interval(vectors, "embedding", "label")
+    both = beside(bounds, segments.silhouette(vectors, "embedding", "label", method="euclidean"))
+    holds = F.col("silhouette").between(F.col("low"), F.col("high"))
+    return rounded(both.select(holds.alias("holds"), (F.col("high") - F.col("low") < 0.5).alias("narrow"), "silhouette"))
+
+
 SCORED_SQL = """(SELECT event_id, user_id, event_type, value, (value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events) AS anomaly_score FROM events)"""
 FLAGGED_SQL = f"""(SELECT *, CASE WHEN anomaly_score > (SELECT quantile_cont(anomaly_score, 0.95) FROM {SCORED_SQL}) THEN 'Anomaly' ELSE 'Normal' END AS is_anomaly FROM {SCORED_SQL})"""
 

@@ -13,6 +13,7 @@ from tablescope.functions.columns import col, number, numeric_columns, require_c
 from tablescope.functions.numbers import share, zero_as
 from tablescope.operators.describe import column_moments
 from tablescope.operators.features import sparse_vector
+from tablescope.operators.silhouettes import euclidean_silhouette
 
 NOISE = "Outliers/Noise"
 
@@ -139,12 +140,19 @@ def attach_labels(df: DataFrame, labels: DataFrame, key) -> DataFrame:
     return df.join(labels, require_key(df, key), "left")
 
 
-def silhouette(df: DataFrame, features: str, label: str) -> DataFrame:
-    """One row, ``silhouette``: the mean over all rows with squared Euclidean distance.
+def silhouette(df: DataFrame, features: str, label: str, method: str = "squared") -> DataFrame:
+    """One row, ``silhouette``: the mean over all rows.
 
-    Needs one pass for the moments of each cluster and one to score, so it is
-    linear in the rows.  NULL where there are fewer than two labels.
+    ``squared`` takes squared Euclidean distances; it needs one pass for the
+    moments of each cluster and one to score, so it is linear in the rows.
+    ``euclidean`` takes plain distances and compares all rows in tiles;
+    ``silhouettes.silhouette_interval`` brackets it in linear time.  NULL where
+    there are fewer than two labels.
     """
+    if method == "euclidean":
+        return euclidean_silhouette(df, features, label)
+    if method != "squared":
+        raise ValueError("method must be squared or euclidean")
     codes = df.select(
         array_to_vector(col(features).cast("array<double>")).alias("features"), col(label).cast("double").alias("code")
     ).where("features IS NOT NULL AND code IS NOT NULL")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.operators import anomalies, datamap, dbscan, features, forest, neighbours, segments
+from tablescope.operators import anomalies, datamap, dbscan, features, forest, neighbours, segments, silhouettes
 from tablescope.operators.graph import connected_components
 from tablescope.plans import dna
 
@@ -71,6 +71,39 @@ def test_sparse_and_dense_features_agree(spark):
         features.sparse_vector(df, ["c"], "k")
 
 
+def plain_silhouette(x, labels):
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out = []
+    for i, own in enumerate(labels):
+        means = {c: gap[i, labels == c].sum() / ((labels == c).sum() - (c == own)) for c in set(labels) if (labels == c).sum() > (c == own)}
+        a, b = means.pop(own, None), min(v for c, v in means.items() if c != own)
+        out.append(0.0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("n, block", [(150, 40), (150, 2048), (9, 2)])
+def test_euclidean_silhouette(spark, n, block):
+    """Blocks, copies, a label of one row and a label that holds most rows."""
+    rng = np.random.default_rng(n)
+    labels = np.where(np.arange(n) % 5 > 0, "a", np.where(np.arange(n) % 2, "b", "c")).astype(object)
+    labels[0] = "single"
+    x = rng.normal(0, 1, (n, 3)) + (labels == "b")[:, None] * 3.0
+    x[n // 2 :: 4] = x[1]
+    rows = [(i, [float(v) for v in r], str(c)) for i, (r, c) in enumerate(zip(x, labels))]
+    df = spark.createDataFrame([*rows, (n, None, "a"), (n + 1, [0.0, 0.0, 0.0], None)], "id long, f array<double>, c string").repartition(5)
+    want = plain_silhouette(x, labels)
+    assert silhouettes.euclidean_silhouette(df, "f", "c", block).first()[0] == pytest.approx(want, abs=1e-9)
+    for cells in (1, 8, 10_000):
+        r = silhouettes.silhouette_interval(df, "f", "c", cells).first()
+        assert r["low"] - 1e-9 <= want <= r["high"] + 1e-9
+    assert r["high"] - r["low"] < 1e-6  # a cell for every point
+    one = df.where("c = 'a'")
+    assert segments.silhouette(one, "f", "c", "euclidean").first()[0] is None
+    assert silhouettes.silhouette_interval(one, "f", "c").first()["low"] is None
+    with pytest.raises(ValueError):
+        segments.silhouette(df, "f", "c", "other")
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in (0, 5, 10)])
