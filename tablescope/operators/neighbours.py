@@ -1,10 +1,13 @@
-"""Exact k nearest neighbours by pivots, in blocks of bounded size.
+"""Exact k nearest neighbours by a two-level pivot tree, in blocks of bounded size.
 
-Every point is assigned to its closest pivot.  The k smallest pivot distances
-of each cell give an upper bound on the neighbour distance of all points of a
-cell; a point is sent to another cell only if the triangle inequality or the
-bisecting plane leaves room for it within that bound.  Cells, however full, are
-split into blocks, and each pair of blocks yields at most k rows per point.
+There is a pivot for every block of points; the pivots themselves are grouped
+around some of them.  A point goes to its closest group and in it to its closest
+pivot.  The k smallest pivot distances of the cells around give an upper bound on
+the neighbour distance of all points of a cell; a point is sent to another cell
+only if the triangle inequality or the bisecting plane leaves room for it within
+that bound, first for whole groups, then for the cells of the groups that are
+left.  Cells, however full, are split into blocks, and each pair of blocks yields
+at most k rows per point.
 """
 
 from __future__ import annotations
@@ -18,8 +21,132 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tablescope.functions.columns import col, require_columns
 from tablescope.session import checkpoint
 
-MAX_PIVOTS = 1024
+PIVOT_BYTES = 256 << 20  # of pivots that are broadcast; beyond it cells grow, and are split into more blocks
 SLACK = 1e-9  # relative allowance for rounding in the pruning bounds
+PAIRS = 1 << 20  # numbers that are compared at a time
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances between two sets of points, from differences: equal points are 0 apart."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        out += (a[:, j, None] - b[None, :, j]) ** 2
+    return np.sqrt(out)
+
+
+class PivotTree:
+    """Pivots in groups, with what is known about their cells."""
+
+    def __init__(self, points: np.ndarray):
+        pivots = np.unique(points, axis=0)
+        self.top = pivots[np.linspace(0, len(pivots) - 1, ceil(len(pivots) ** 0.5)).astype(int)]
+        step = max(1, PAIRS // len(self.top))
+        group = np.concatenate([_distances(pivots[i : i + step], self.top).argmin(1) for i in range(0, len(pivots), step)])
+        order = np.argsort(group, kind="stable")
+        self.pivots, self.group = pivots[order], group[order]
+        self.first = np.searchsorted(self.group, np.arange(len(self.top) + 1))
+
+    def gaps(self, x: np.ndarray, point: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Distances between points and pivots, pair by pair."""
+        out = np.zeros(len(point))
+        for j in range(x.shape[1]):
+            out += (x[point, j] - self.pivots[cell, j]) ** 2
+        return np.sqrt(out)
+
+    def members(self, groups: np.ndarray, most: int = PAIRS):
+        """All cells of the groups, as (position in ``groups``, cell), about ``most`` pairs at a time."""
+        size = (self.first[1:] - self.first[:-1])[groups]
+        total = np.cumsum(size)
+        at = 0
+        while at < len(groups):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            index = np.repeat(np.arange(at, to), size[at:to])
+            inner = np.arange(len(index)) - np.repeat(np.cumsum(size[at:to]) - size[at:to], size[at:to])
+            yield index, self.first[groups[index]] + inner
+            at = to
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each point, the distance to its pivot and the one to its group's."""
+        step = max(1, PAIRS // len(self.top))
+        parts = [_distances(x[i : i + step], self.top) for i in range(0, len(x), step)]
+        group = np.concatenate([p.argmin(1) for p in parts]) if parts else np.zeros(0, int)
+        above = np.concatenate([p.min(1) for p in parts]) if parts else np.zeros(0)
+        cells, gaps = np.zeros(len(x), int), np.zeros(len(x))
+        for index, cell in self.members(group):
+            gap = self.gaps(x, index, cell)
+            order = np.lexsort([cell, gap, index])
+            best = order[np.unique(index[order], return_index=True)[1]]
+            cells[index[best]], gaps[index[best]] = cell[best], gap[best]
+        return cells, gaps, above
+
+    def measure(self, rows: list, k: int) -> None:
+        """Takes sizes, radii and nearest gaps; ``rows`` may lack cells, which are empty then."""
+        m = len(self.pivots)
+        self.k, self.size, self.radius = k, np.zeros(m), np.zeros(m)
+        self.near = np.full((m, k + 1), np.inf)
+        self.group_radius, self.group_size = np.zeros(len(self.top)), np.zeros(len(self.top))
+        for r in rows:
+            c = r["cell"]
+            self.size[c], self.radius[c] = r["size"], r["radius"]
+            self.near[c, : len(r["near"])] = r["near"]
+            g = self.group[c]
+            self.group_radius[g] = max(self.group_radius[g], r["above"])
+            self.group_size[g] += r["size"]
+        self.between_groups = _distances(self.top, self.top)
+
+    def bounds(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per cell: a distance within which all its points have k others, and the points of cells within reach.
+
+        The k others are sought in groups, closest first, until there are enough of them.
+        """
+        bound, candidates = np.zeros(len(cells)), np.zeros(len(cells))
+        for i, c in enumerate(cells.tolist()):
+            gap = _distances(self.pivots[c : c + 1], self.top)[0]
+            order = np.argsort(gap)
+            enough = int(np.searchsorted(np.cumsum(self.group_size[order]), self.k + 1)) + 1
+            close = np.concatenate([np.arange(self.first[g], self.first[g + 1]) for g in order[:enough]])
+            between = _distances(self.pivots[c : c + 1], self.pivots[close])[0]
+            reach = (self.radius[c] + between[:, None] + self.near[close]).ravel()
+            bound[i] = np.partition(reach, self.k)[self.k] * (1 + SLACK) + SLACK
+            left = np.flatnonzero(gap - self.group_radius - self.radius[c] <= bound[i])
+            for _, cell in self.members(left):
+                between = _distances(self.pivots[c : c + 1], self.pivots[cell])[0]
+                candidates[i] += self.size[cell][between - self.radius[c] - self.radius[cell] <= bound[i]].sum()
+        return bound, candidates
+
+    def settle(self, rows: list, block: int) -> None:
+        """Takes the bounds and divides cells and their candidates into blocks."""
+        m = len(self.pivots)
+        self.bound, candidates = np.full(m, -np.inf), np.zeros(m)
+        for r in rows:
+            self.bound[r["cell"]], candidates[r["cell"]] = r["bound"], r["candidates"]
+        self.left = np.maximum(1, np.ceil(self.size / block)).astype(int)
+        self.right = np.maximum(1, np.ceil(candidates / block)).astype(int)
+        self.group_bound = np.maximum.reduceat(self.bound, self.first[:-1])
+
+    def needed(self, x: np.ndarray, home: np.ndarray, own: np.ndarray):
+        """(point, cell) for all cells that may hold a neighbour's neighbour: whose points may have the point within their bound."""
+        step = max(1, PAIRS // len(self.top))
+        for i in range(0, len(x), step):
+            part, at = x[i : i + step], self.group[home[i : i + step]]
+            gap = _distances(part, self.top)
+            nearest = gap[np.arange(len(part)), at][:, None]
+            width = self.between_groups[at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(width > 0, (gap**2 - nearest**2) / (2 * width), 0.0)
+            point, group = np.nonzero((gap - self.group_radius <= self.group_bound) & (plane * (1 - SLACK) <= self.group_bound))
+            for index, cell in self.members(group):
+                who = point[index]
+                far = self.gaps(part, who, cell)
+                fits = far - self.radius[cell] <= self.bound[cell]
+                who, cell, far = who[fits], cell[fits], far[fits]
+                base = home[i + who]
+                apart = np.sqrt(((self.pivots[cell] - self.pivots[base]) ** 2).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = np.where(apart > 0, (far**2 - own[i + who] ** 2) / (2 * apart), 0.0)
+                # points of a group are closest to their own pivot among the group's only
+                fits = (self.group[base] != self.group[cell]) | (plane * (1 - SLACK) <= self.bound[cell])
+                yield i + who[fits], cell[fits]
 
 
 def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int = 8192) -> DataFrame:
@@ -27,85 +154,72 @@ def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int =
     require_columns(df, [key, features])
     kind = df.schema[key].dataType
     points = df.select(col(key).alias("id"), col(features).cast("array<double>").alias("x"))
-    n = points.count()
+    facts = points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    n = facts["n"]
     if not 1 <= k < n:
         raise ValueError(f"k must lie between 1 and {n - 1}")
-    wanted = max(1, min(MAX_PIVOTS, ceil(n / block)))
-    chosen = points.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # at most MAX_PIVOTS rows
-    pivots = np.unique(np.array([r["x"] for r in chosen], dtype=float), axis=0)
+    wanted = min(ceil(n / block), max(1, PIVOT_BYTES // (8 * max(1, facts["d"]))))
+    tree = PivotTree(np.array([r["x"] for r in points.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], dtype=float))
     context = df.sparkSession.sparkContext
-    shared = context.broadcast(pivots)
+    shared = context.broadcast(tree)
     base_type = [T.StructField("id", kind), T.StructField("x", T.ArrayType(T.DoubleType()))]
 
-    def to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
-
     def assign(batches):
         for batch in batches:
-            gaps = to_pivots(np.array(batch["x"].tolist(), dtype=float), shared.value)
-            cell = gaps.argmin(1)
-            yield batch.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(cell)), cell])
+            cell, gap, above = shared.value.place(np.array(batch["x"].tolist(), dtype=float))
+            yield batch.assign(cell=cell.astype("int32"), gap=gap, above=above)
 
-    cell_type = T.StructType([*base_type, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
+    cell_type = T.StructType(
+        [*base_type, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType()), T.StructField("above", T.DoubleType())]
+    )
     placed = checkpoint(points.mapInPandas(assign, cell_type))
 
-    # bounds per cell: at most MAX_PIVOTS cells with k + 1 distances each
+    # per cell: its size, radius and k + 1 smallest gaps, those of the cell's group beside them
     order = Window.partitionBy("cell").orderBy("gap", "id")
-    closest = placed.select("cell", "gap", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("gap").alias("radius")).collect()
-    m = len(pivots)
-    size, radius = np.zeros(m), np.zeros(m)
-    for r in sizes:
-        size[r["cell"]], radius[r["cell"]] = r["size"], r["radius"]
-    near = closest.select("cell", "gap").toPandas()
-    between = to_pivots(pivots, pivots)
-    bound = np.zeros(m)
-    for i in range(m):
-        reach = radius[i] + between[i][near["cell"].to_numpy()] + near["gap"].to_numpy()
-        bound[i] = np.partition(reach, k)[k] * (1 + SLACK) + SLACK
-    room = (between - radius[:, None] - radius[None, :]) <= bound[:, None]
-    candidates = (room * size[None, :]).sum(1)
-    left_blocks = np.maximum(1, np.ceil(size / block)).astype(int)
-    right_blocks = np.maximum(1, np.ceil(candidates / block)).astype(int)
-    plan = context.broadcast((between, radius, bound, room, left_blocks, right_blocks, size))
+    ranked = placed.select("cell", "gap", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    nearest = ranked.groupBy("cell").agg(F.array_sort(F.collect_list("gap")).alias("near"))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("gap").alias("radius"), F.max("above").alias("above"))
+    rows = cells.join(nearest, "cell").collect()  # at most one row per pivot
+    tree.measure(rows, k)
+    measured = context.broadcast(tree)
+
+    def bounds(batches):
+        for batch in batches:
+            bound, candidates = measured.value.bounds(batch["cell"].to_numpy())
+            yield batch.assign(bound=bound, candidates=candidates)
+
+    spread = df.sparkSession.createDataFrame([(r["cell"],) for r in rows], "cell int").repartition(max(1, len(rows) // 64))
+    found = spread.mapInPandas(bounds, "cell int, bound double, candidates double").collect()  # one row per pivot
+    tree.settle(found, block)
+    plan = context.broadcast(tree)
 
     def hashes(ids: pd.Series) -> np.ndarray:
         return pd.util.hash_pandas_object(ids, index=False).to_numpy()
 
     def ask(batches):
         """Each point once for every block of candidates of its cell."""
-        _, _, _, _, left, right, _ = plan.value
+        tree = plan.value
         for batch in batches:
             cell = batch["cell"].to_numpy()
-            own = (hashes(batch["id"]) % left[cell].astype("uint64")).astype("int32")
-            times = right[cell]
+            own = (hashes(batch["id"]) % tree.left[cell].astype("uint64")).astype("int32")
+            times = tree.right[cell]
             index = np.repeat(np.arange(len(batch)), times)
-            turn = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], dtype=int)
+            turn = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
             out = batch[["id", "x", "cell"]].iloc[index].reset_index(drop=True)
             yield out.assign(left=own[index], right=turn.astype("int32"))
 
     def offer(batches):
         """Each point to every block of the cells that may need it."""
-        between, radius, bound, room, left, right, size = plan.value
+        tree = plan.value
         for batch in batches:
-            x = np.array(batch["x"].tolist(), dtype=float)
-            home = batch["cell"].to_numpy()
-            gaps = to_pivots(x, shared.value)
-            own = gaps[np.arange(len(home)), home]
-            code = hashes(batch["id"])
-            for cell in range(len(bound)):
-                if not size[cell]:
-                    continue
-                width = between[cell][home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(width > 0, (gaps[:, cell] ** 2 - own**2) / (2 * width), 0.0)
-                fits = room[cell][home] & (gaps[:, cell] - radius[cell] <= bound[cell]) & (plane <= bound[cell])
-                picked = np.flatnonzero(fits)
-                if not len(picked):
-                    continue
-                part = ((code[picked] // np.uint64(7)) % np.uint64(right[cell])).astype("int32")
-                for turn in range(left[cell]):
-                    yield batch[["id", "x"]].iloc[picked].assign(cell=np.int32(cell), left=np.int32(turn), right=part)
+            x, code = np.array(batch["x"].tolist(), dtype=float), hashes(batch["id"])
+            for point, cell in tree.needed(x, batch["cell"].to_numpy(), batch["gap"].to_numpy()):
+                part = ((code[point] // np.uint64(7)) % tree.right[cell].astype("uint64")).astype("int32")
+                times = tree.left[cell]
+                index = np.repeat(np.arange(len(point)), times)
+                turn = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
+                out = batch[["id", "x"]].iloc[point[index]].reset_index(drop=True)
+                yield out.assign(cell=cell[index].astype("int32"), left=turn.astype("int32"), right=part[index])
 
     block_type = T.StructType(
         [*base_type, *[T.StructField(c, T.IntegerType()) for c in ("cell", "left", "right")]]

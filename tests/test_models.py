@@ -205,6 +205,36 @@ def test_neighbours(spark, n, d, k, block, hot):
         assert sorted(got[i]) == sorted((round(gap[i, j], 9), j) for j in range(n) if j != i)[:k]
 
 
+@pytest.mark.parametrize("n, d, block", [(3000, 2, 2), (400, 3, 8), (50, 1, 500)])
+def test_pivot_tree(n, d, block):
+    """As many pivots as blocks, cells of bounded size, and no lost candidate."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(0, 1, (n - n // 4, d)), rng.uniform(-9, 9, (n // 4, d))])
+    rng.shuffle(x)
+    tree = neighbours.PivotTree(x[: -(-n // block)])
+    assert len(tree.pivots) == -(-n // block)
+    cell, gap, above = tree.place(x)
+    assert np.allclose(gap, np.sqrt(((x - tree.pivots[cell]) ** 2).sum(1)))
+    assert np.bincount(cell).max() <= 25 * block  # cells follow the density
+    k = 4
+    rows = []
+    for c in np.unique(cell):
+        at = cell == c
+        rows.append({"cell": c, "size": at.sum(), "radius": gap[at].max(), "above": above[at].max(), "near": sorted(gap[at])[: k + 1]})
+    tree.measure(rows, k)
+    names = np.array([r["cell"] for r in rows])
+    bound, candidates = tree.bounds(names)
+    tree.settle([{"cell": c, "bound": b, "candidates": m} for c, b, m in zip(names, bound, candidates)], block)
+    pairs = {(int(p), int(c)) for point, cells in tree.needed(x, cell, gap) for p, c in zip(point, cells)}
+    if n == 3000:  # in the plane most cells are out of reach
+        assert len(pairs) < n * len(tree.pivots) / 4
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i in range(0, n, 7):
+        closest = np.argsort(far[i], kind="stable")[: k + 1]
+        assert far[i, closest[-1]] <= tree.bound[cell[i]]
+        assert all((int(j), int(cell[i])) in pairs for j in closest)
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (600, 2)), rng.normal(8, 0.1, (6, 2))])
