@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablescope.functions.columns import beside, clean, col, number, numeric_columns, require_columns, require_key
+from tablescope.functions.joins import hot_keys, lookup_join
 from tablescope.functions.numbers import share, zero_as
 from tablescope.operators.describe import column_moments
-from tablescope.operators.order_stats import exact_quantiles, quantile_scalar
+from tablescope.operators.order_stats import quantile_scalar, quantiles
 from tablescope.operators.segments import NOISE
 
 ANOMALY, NORMAL = "Anomaly", "Normal"
@@ -25,17 +26,22 @@ def normalize_scores(df: DataFrame, raw: str = "raw_score", out: str = "anomaly_
 
 
 def contamination_labels(
-    df: DataFrame, score: str = "anomaly_score", contamination: float = 0.05, out: str = "is_anomaly"
+    df: DataFrame, score: str = "anomaly_score", contamination: float = 0.05, out: str = "is_anomaly", approx: bool = False
 ) -> DataFrame:
-    """Rows above the exact (1 - contamination) quantile of the score are anomalies."""
+    """Rows above the (1 - contamination) quantile of the score, exact or from a sketch, are anomalies."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must lie in (0, 0.5]")
-    threshold = quantile_scalar(df, score, 1 - contamination)
+    threshold = quantile_scalar(df, score, 1 - contamination, approx)
     return df.withColumn(out, F.when(number(df, score) > threshold, ANOMALY).otherwise(NORMAL))
 
 
 def scored_labels(
-    df: DataFrame, raw: str = "raw_score", contamination: float = 0.05, score: str = "anomaly_score", out: str = "is_anomaly"
+    df: DataFrame,
+    raw: str = "raw_score",
+    contamination: float = 0.05,
+    score: str = "anomaly_score",
+    out: str = "is_anomaly",
+    approx: bool = False,
 ) -> DataFrame:
     """``normalize_scores`` and ``contamination_labels`` in one.
 
@@ -44,7 +50,7 @@ def scored_labels(
     """
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must lie in (0, 0.5]")
-    facts = exact_quantiles(df, [raw], [1 - contamination]).first()
+    facts = quantiles(df, [raw], [1 - contamination], approx).first()
     low, high, limit = (facts["min"], facts["max"], facts["q0"]) if facts else (0.0, 0.0, 0.0)
     value = number(df, raw)
     scaled = (value - F.lit(low)) / F.lit(high - low) if high > low else F.lit(0.0)
@@ -107,15 +113,19 @@ def explain_anomalies(
     )
     long = wide.unpivot([*key, "group_key"], columns, "feature", "value").where("value IS NOT NULL")
     joined = long.join(F.broadcast(whole), "feature")  # one row per column
+    blank = {"own_mean": F.lit(None).cast("double"), "own_std": F.lit(None).cast("double")}
     if segment:
         base = df.select(clean(df, segment).cast("string").alias("group_key"), *[number(df, c).alias(c) for c in columns])
         moments = base.groupBy("group_key").agg(
             *[F.struct(F.lit(c).alias("feature"), F.avg(c).alias("own_mean"), F.stddev_samp(c).alias("own_std")).alias(c) for c in columns]
         )
         own = moments.where("group_key IS NOT NULL").select("group_key", F.inline(F.array(*[col(c) for c in columns])))
-        joined = joined.join(own, ["group_key", "feature"], "left")
+        # a segment may hold most of the flagged rows; rows without one need no lookup
+        named = joined.where("group_key IS NOT NULL")
+        on = ["group_key", "feature"]
+        joined = joined.where("group_key IS NULL").withColumns(blank).unionByName(lookup_join(named, own, on, hot_keys(named, on)))
     else:
-        joined = joined.withColumns({"own_mean": F.lit(None).cast("double"), "own_std": F.lit(None).cast("double")})
+        joined = joined.withColumns(blank)
     grouped = F.col("group_key").isNotNull()
     mean = F.when(grouped, F.col("own_mean")).otherwise(F.col("whole_mean"))
     std = zero_as(F.when(grouped, F.col("own_std")).otherwise(F.col("whole_std")), 1.0)

@@ -17,7 +17,7 @@ from tablescope.functions.columns import (
 )
 from tablescope.functions.dates import as_timestamp
 from tablescope.functions.numbers import share
-from tablescope.operators.order_stats import exact_quantiles
+from tablescope.operators.order_stats import quantiles
 
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,11 +40,11 @@ def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles and max per numeric column."""
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Count, mean, sample std, min, quartiles (exact, or estimated from sketches) and max per numeric column."""
     columns = list(columns or numeric_columns(df))
     moments = column_moments(df, columns).drop("total")
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], approx).select(
         "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
     )
     # both sides hold one row per column

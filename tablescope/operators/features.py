@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablescope.functions.columns import clean, col, family, number, require_columns, require_key
 from tablescope.functions.dates import as_timestamp
 from tablescope.functions.joins import lookup_join
-from tablescope.operators.order_stats import exact_quantiles
+from tablescope.operators.order_stats import quantiles
 from tablescope.session import checkpoint
 
 MISSING = "Missing"
@@ -37,8 +37,8 @@ def to_epoch_seconds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: epoch_seconds(df, c) for c in columns})
 
 
-def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of the columns that have gaps, 0 where every value is missing."""
+def column_medians(df: DataFrame, columns: Sequence[str], approx: bool = False) -> dict[str, float]:
+    """Medians of the columns that have gaps, 0 where every value is missing."""
     columns = list(columns)
     if not columns:
         return {}
@@ -46,13 +46,13 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     holed = [c for i, c in enumerate(columns) if gaps[i]]
     if not holed:
         return {}
-    found = {r["column"]: r["q0"] for r in exact_quantiles(df, holed, [0.5]).collect()}  # one row per column
+    found = {r["column"]: r["q0"] for r in quantiles(df, holed, [0.5], approx).collect()}  # one row per column
     return {c: found.get(c, 0.0) for c in holed}
 
 
-def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numeric columns as double with gaps filled by the exact median."""
-    medians = column_medians(df, require_columns(df, columns))
+def impute_median(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """Numeric columns as double with gaps filled by the median, exact or estimated from a sketch."""
+    medians = column_medians(df, require_columns(df, columns), approx)
     return df.withColumns(
         {c: F.coalesce(number(df, c), F.lit(medians[c])) if c in medians else number(df, c) for c in columns}
     )

@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablescope.functions.columns import col, literal_rows, number, require_columns
+from tablescope.operators.sketches import quantile_sketches, quantiles_of
 
 RANK_ERROR = 1e-4
 SLOTS = 64
@@ -63,6 +64,13 @@ def _brackets(numbers: DataFrame, probs: Sequence[float], slack: float) -> list[
     return out
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], approx: bool = False) -> DataFrame:
+    """``exact_quantiles``, or estimates of the same form from one scan (``sketches``)."""
+    if approx:
+        return quantiles_of(quantile_sketches(df, columns), probs)
+    return exact_quantiles(df, columns, probs)
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], rank_error: float = RANK_ERROR
 ) -> DataFrame:
@@ -164,9 +172,9 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], sl
     )
 
 
-def quantile_scalar(df: DataFrame, column: str, p: float) -> Column:
-    """One exact quantile as a scalar subquery."""
-    return exact_quantiles(df, [column], [p]).select("q0").scalar()
+def quantile_scalar(df: DataFrame, column: str, p: float, approx: bool = False) -> Column:
+    """One quantile as a scalar subquery."""
+    return quantiles(df, [column], [p], approx).select("q0").scalar()
 
 
 def _edges(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:

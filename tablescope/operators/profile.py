@@ -86,8 +86,10 @@ def _column_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def schema_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column: type, non-null count, nulls, null share, distinct values.
 
-    One scan: all columns are unpivoted to a common cell type and grouped twice
-    (``approx=True`` sketches the distinct counts and shuffles nothing but sketches).
+    One scan: all columns are unpivoted to a common cell type and grouped twice,
+    first by value, then by column; both steps combine where the rows are read.
+    Texts are represented by 128-bit digests, so none is shuffled.
+    ``approx=True`` sketches the distinct counts and shuffles nothing but sketches.
     """
     columns = require_columns(df, columns or df.columns)
     cells = df.select(*[cell(df, c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
@@ -98,8 +100,11 @@ def schema_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
             F.approx_count_distinct("value").alias("distinct_values"),
         )
     else:
+        digest = F.unhex(F.md5(F.col("value.text").cast("binary"))).alias("digest")
+        short = F.when(F.col("value").isNotNull(), F.struct("value.whole", "value.real", digest))
         found = (
-            cells.groupBy("column", "value")
+            cells.select("column", short.alias("value"))
+            .groupBy("column", "value")
             .agg(F.count("*").alias("n"))
             .groupBy("column")
             .agg(
@@ -186,19 +191,24 @@ def low_cardinality_columns(df: DataFrame, limit: int = 30) -> list[str]:
     return numeric_columns(df) + [c for c in others if counts[c] is not None]
 
 
-def small_cardinalities(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int | None]:
+def small_cardinalities(
+    df: DataFrame, columns: Sequence[str], limit: int, sketched: bool = False
+) -> dict[str, int | None]:
     """Exact distinct counts of columns with at most ``limit`` values, None for the others.
 
     A sketch first rules out columns far above the limit, so that the exact
     count shuffles only columns with few values.  The sketch counts small sets
-    almost exactly, hence four times the limit is a safe margin.
+    almost exactly, hence four times the limit is a safe margin.  ``sketched``
+    says that the caller has ruled such columns out.
     """
     columns = list(columns)
     if not columns:
         return {}
     cells = df.select(*[cell(df, c).alias(c) for c in columns])
-    sketch = cells.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    near = [c for i, c in enumerate(columns) if sketch[i] <= 4 * limit + 20]
+    near = columns
+    if not sketched:
+        sketch = cells.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        near = [c for i, c in enumerate(columns) if sketch[i] <= 4 * limit + 20]
     counts: dict[str, int | None] = dict.fromkeys(columns)
     if near:
         found = (

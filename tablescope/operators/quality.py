@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablescope.functions.columns import beside, number, numeric_columns
 from tablescope.functions.labels import missing_flag, score_band
 from tablescope.functions.numbers import share
-from tablescope.operators.order_stats import exact_quantiles
+from tablescope.operators.order_stats import quantiles
 from tablescope.operators.profile import missing_cells, missing_distribution, row_copies, table_stats
 
 
@@ -40,14 +40,17 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     return row_copies(df).where("copies > 1").drop("missing_in_row")
 
 
-def iqr_audit(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
+def iqr_audit(
+    df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5, approx: bool = False
+) -> DataFrame:
     """Quartile fences and the number of values outside them, for every numeric column.
 
     The quartiles, one row per column, are read first; counting is then one
-    plain aggregate with the fences as literals.
+    plain aggregate with the fences as literals.  ``approx=True`` estimates the
+    quartiles from sketches; the values outside the fences are counted all the same.
     """
     columns = list(columns or numeric_columns(df))
-    quartiles = exact_quantiles(df, columns, [0.25, 0.75]).collect()
+    quartiles = quantiles(df, columns, [0.25, 0.75], approx).collect()
     rows = df.select(*[number(df, r["column"]).alias(f"v{i}") for i, r in enumerate(quartiles)])
     aggregates, out = [], []
     for i, r in enumerate(quartiles):
@@ -79,9 +82,11 @@ AUDIT_SCHEMA = (
 )
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
+def iqr_outliers(
+    df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5, approx: bool = False
+) -> DataFrame:
     """Numeric columns that hold values outside the quartile fences, worst first."""
-    return iqr_audit(df, columns, factor).where("outliers > 0").orderBy(F.desc("outlier_pct"), "column")
+    return iqr_audit(df, columns, factor, approx).where("outliers > 0").orderBy(F.desc("outlier_pct"), "column")
 
 
 def outlier_health(df: DataFrame) -> DataFrame:

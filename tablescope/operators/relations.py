@@ -27,7 +27,6 @@ from tablescope.session import checkpoint
 PAIRS_PER_PASS = 300
 LEAST_PAIRS = 5  # fixed value: complete pairs needed for a coefficient
 LEAST_MI_ROWS = 10  # fixed value: complete pairs needed for mutual information
-MERGED_ROWS = 1_000_000
 BINS = 10  # fixed value: equal-width bins, and the distinct values kept unbinned
 
 
@@ -108,38 +107,48 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return _union(frames).withColumn("spearman", enough)
 
 
-def _complete_views(frame: DataFrame, pairs: list[tuple[str, str]]):
+def _restricted(pairs: list[tuple[str, str]], gaps: set[str]):
     """Which restriction of a column each pair needs.
 
     A pair uses the rows where both columns are present.  If the partner has no
     gaps that is the column itself, shared by all such pairs.  Returns a function
-    from (column, partner) to a view name and the expressions of all views.
+    from (column, partner) to a view name and the columns of the other views.
     """
-    gaps = frame.agg(*[(F.count("*") - F.count(c)).alias(c) for c in frame.columns]).first().asDict()
 
     def given(x: str, y: str) -> str:
-        return x if x == y or gaps[y] == 0 else f"{x}_with_{y}"
+        return x if x == y or y not in gaps else f"{x}_with_{y}"
 
-    views: dict[str, Column] = {}
-    for x, y in [q for p in pairs for q in (p, p[::-1])]:
-        name = given(x, y)
-        views[name] = F.col(x) if name == x else F.when(F.col(y).isNotNull(), F.col(x))
-    return given, views
+    sides = [q for p in pairs for q in (p, p[::-1])]
+    return given, {given(x, y): F.when(F.col(y).isNotNull(), F.col(x)) for x, y in sides if given(x, y) != x}
 
 
-def _bin_expressions(df: DataFrame) -> dict[str, Column]:
-    """Category text of every column: its own values, or one of ten equal-width bins."""
+def _column_facts(df: DataFrame) -> dict[str, dict]:
+    """Gaps of every column; ends and a sketched number of distinct values of the numeric ones.  One scan."""
+    numeric = set(numeric_columns(df))
+    cells = []
+    for i, c in enumerate(df.columns):
+        value = number(df, c) if c in numeric else clean(df, c)
+        facts = {"gaps": F.count("*") - F.count(value)}
+        if c in numeric:
+            facts |= {"low": F.min(value), "high": F.max(value), "distinct": F.approx_count_distinct(value)}
+        cells.append(F.struct(*[e.alias(name) for name, e in facts.items()]).alias(f"c{i}"))
+    found = df.agg(*cells).first()
+    return {c: found[i].asDict() for i, c in enumerate(df.columns)}
+
+
+def _bin_expressions(df: DataFrame, facts: dict[str, dict]) -> dict[str, Column]:
+    """Category text of every column: its own values, or one of ten equal-width bins.
+
+    Values are counted exactly only where the sketch does not rule out that they are few.
+    """
     numeric = numeric_columns(df)
-    few = small_cardinalities(df, numeric, BINS)
-    wide = [c for c in numeric if few[c] is None]
-    ends = (
-        df.agg(*[F.struct(F.min(number(df, c)), F.max(number(df, c))).alias(f"c{i}") for i, c in enumerate(wide)]).first()
-        if wide
-        else []
-    )
+    near = [c for c in numeric if facts[c]["distinct"] <= 4 * BINS + 20]
+    few = small_cardinalities(df, near, BINS, sketched=True)
     out = {c: clean(df, c).cast("string") for c in df.columns}
-    for i, c in enumerate(wide):
-        low, high = ends[i]
+    for c in numeric:
+        if few.get(c) is not None:
+            continue
+        low, high = facts[c]["low"], facts[c]["high"]
         place = F.ceil((number(df, c) - F.lit(low)) / F.lit(high - low) * BINS) - 1
         out[c] = F.when(place.isNotNull(), F.greatest(place, F.lit(0))).cast("string")
     return out
@@ -149,37 +158,22 @@ def bin_for_mi(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     """The columns as categories: numeric ones with over ten distinct values in ten equal-width bins."""
     columns = require_columns(df, columns or df.columns)
     picked = df.select(*[col(c) for c in columns])
-    bins = _bin_expressions(picked)
+    bins = _bin_expressions(picked, _column_facts(picked))
     return picked.select(*[bins[c].alias(c) for c in columns])
 
 
-def _combine_rows(viewed: DataFrame, binned: DataFrame) -> DataFrame:
-    """The binned rows with a weight ``n``; equal rows are merged if few can differ.
-
-    With at most a million possible combinations the merge happens in the map
-    tasks and every later step works on that small table.
-    """
-    numeric = set(numeric_columns(viewed))
-    others = [c for c in viewed.columns if c not in numeric]
-    combinations_ = float((BINS + 1) ** len(numeric & set(viewed.columns)))
-    if others and combinations_ <= MERGED_ROWS:
-        kinds = viewed.agg(*[F.approx_count_distinct(c) for c in others]).first()
-        for k in kinds:
-            combinations_ *= 1.1 * k + 1
-    if combinations_ > MERGED_ROWS:
-        return binned.withColumn("n", F.lit(1).cast("bigint"))
-    return binned.groupBy(*binned.columns).agg(F.count("*").alias("n"))
-
-
 def mutual_information(
     df: DataFrame, columns: Sequence[str] | None = None, pairs: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
     """``var1, var2, pairs, mutual_info`` in nats over the complete rows of each pair.
 
     Bins of a pair come from its complete rows, so a column is binned once more
-    for every partner that has missing values.  Joint counts combine map-side;
-    the information is ln N - (S1 + S2 - S12) / N with S the sum of n ln n, so
-    the marginals are never joined back.
+    for every partner that has missing values.  One scan yields gaps, ends and
+    sketched cardinalities, another counts the values of columns that may have few
+    (and a third the facts of restricted columns, if there are gaps); then all
+    pairs are counted where the rows are read.  The information is
+    ln N - (S1 + S2 - S12) / N with S the sum of n ln n, so the marginals are
+    never joined back.
     """
     columns = require_columns(df, columns or df.columns)
     pairs = column_pairs(columns) if pairs is None else list(pairs)
@@ -188,25 +182,28 @@ def mutual_information(
     used = list(dict.fromkeys(c for p in pairs for c in p))
     names = {c: f"v{i}" for i, c in enumerate(used)}
     base = df.select(*[clean(df, c).alias(n) for c, n in names.items()])
+    facts = _column_facts(base)
+    gaps = {c for c, f in facts.items() if f["gaps"]}
     frames = []
     for chunk in _chunks(pairs):
         inner = [(names[a], names[b]) for a, b in chunk]
-        given, views = _complete_views(base, inner)
-        viewed = base.select(*[e.alias(name) for name, e in views.items()])
-        bins = _bin_expressions(viewed)
-        binned = viewed.select(*[bins[c].alias(c) for c in viewed.columns])
-        weighted = _combine_rows(viewed, binned)
+        given, restricted = _restricted(inner, gaps)
+        whole = list(dict.fromkeys(c for p in inner for c in p))
+        views = base.select(*whole, *[e.alias(name) for name, e in restricted.items()])
+        known = facts | (_column_facts(views.select(*restricted)) if restricted else {})
+        bins = _bin_expressions(views, known)
+        binned = views.select(*[bins[c].alias(c) for c in views.columns])
         cells = [
             F.struct(
-                F.lit(i).alias("pair"), F.col(given(x, y)).alias("x"), F.col(given(y, x)).alias("y"), F.col("n").alias("n")
+                F.lit(i).alias("pair"), F.col(given(x, y)).alias("x"), F.col(given(y, x)).alias("y")
             )
             for i, (x, y) in enumerate(inner)
         ]
         joint = (
-            weighted.select(F.inline(F.array(*cells)))
+            binned.select(F.inline(F.array(*cells)))
             .where("x IS NOT NULL AND y IS NOT NULL")
             .groupBy("pair", "x", "y")
-            .agg(F.sum("n").alias("n"))
+            .agg(F.count("*").alias("n"))
         )
         blank = F.lit(None).cast("string")
         views_of_joint = F.inline(

@@ -66,10 +66,17 @@ def test_mutual_information(df, table):
         assert value == pytest.approx(want, abs=1e-9)
 
 
-def test_unmerged_rows_give_the_same(df, monkeypatch):
-    merged = named(relations.mutual_information(df).collect(), "mutual_info")
-    monkeypatch.setattr(relations, "MERGED_ROWS", 0)
-    assert named(relations.mutual_information(df).collect(), "mutual_info") == pytest.approx(merged)
+def test_reads_of_mutual_information(spark, tmp_path):
+    """Facts, small cardinalities and the pair count: three scans of a table without gaps."""
+    spark.range(500).selectExpr("id % 7 AS a", "id * 1.0D AS b", "cast(id % 3 AS string) AS c").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("mi", "mi")
+    found = relations.mutual_information(df)
+    plans = found._jdf.queryExecution().executedPlan().toString()
+    jobs = len(tracker.getJobIdsForGroup("mi"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plans.split("Initial Plan")[-1].count("Scan parquet") == 1 and jobs <= 6  # two facts, each one or two stages
 
 
 def test_bins_match_cut(spark):
