@@ -1,4 +1,6 @@
-from tablescope.operators import describe
+from pyspark.sql import functions as F
+
+from tablescope.operators import describe, sketches
 from catalogue.registry import query, rounded
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -82,3 +84,27 @@ def _(t):
 def _(t):
     events = t("events").select("event_id", "user_id", "event_type", "value")
     return describe.filter_preview(events, "event_type", ["error"], ["event_id"])
+
+
+@query(
+    "sketched_quartiles_lineitem",
+    """SELECT c AS "column", n, low AS min, high AS max, true AS q1_holds, true AS median_holds, true AS q3_holds FROM (
+      SELECT 'l_quantity' AS c, count(l_quantity) AS n, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', count(l_extendedprice), CAST(min(l_extendedprice) AS DOUBLE), CAST(max(l_extendedprice) AS DOUBLE) FROM lineitem)""",
+)
+def _(t):
+    """Sketches per return flag, merged; each quartile lies within the stated rank error of its exact rank."""
+    rows, columns, probs = t("lineitem"), ["l_quantity", "l_extendedprice"], [0.25, 0.5, 0.75]
+    merged = sketches.merge_sketches(sketches.quantile_sketches(rows, columns, ["l_returnflag"]))
+    found = sketches.quantiles_of(merged, probs)
+    values = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    counts = values.join(F.broadcast(found), "column").groupBy("column")  # found: one row per column
+    ranks = counts.agg(
+        *[F.count(F.when(F.col("value") < F.col(f"q{i}"), 1)).alias(f"below{i}") for i in range(3)],
+        *[F.count(F.when(F.col("value") <= F.col(f"q{i}"), 1)).alias(f"upto{i}") for i in range(3)],
+    )
+    joined = found.join(ranks, "column")
+    low = [F.col(f"below{i}") / F.col("n") <= p + sketches.RANK_ERROR for i, p in enumerate(probs)]
+    high = [F.col(f"upto{i}") / F.col("n") >= p - sketches.RANK_ERROR for i, p in enumerate(probs)]
+    names = ("q1_holds", "median_holds", "q3_holds")
+    return joined.select("column", "n", "min", "max", *[(a & b).alias(c) for a, b, c in zip(low, high, names)])

@@ -54,6 +54,24 @@ def _(t):
     return rounded(features.standardize(t("customer"), ["c_acctbal", "c_nationkey"], "c_custkey"), 8)
 
 
+@query(
+    "sparse_vector_customer",
+    """WITH t AS (SELECT c_custkey, unnest(['c_name', 'c_mktsegment']) AS c, unnest([c_name, c_mktsegment]) AS v FROM customer),
+    d AS (SELECT c, v, count(*) * 1.0 / (SELECT count(*) FROM customer) AS p, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS place FROM t GROUP BY 1, 2),
+    e AS (SELECT c_custkey, CAST(place + CASE c WHEN 'c_name' THEN 0 ELSE (SELECT count(DISTINCT c_name) - 1 FROM customer) END AS INTEGER) AS slot,
+      CAST(round(1 / sqrt(p * (1 - p)), 8) AS DOUBLE) AS value FROM t JOIN d USING (c, v) WHERE place > 0)
+    SELECT * FROM e UNION ALL
+    SELECT c_custkey, 0, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 8) FROM customer""",
+)
+def _(t):
+    """The entries of sparse features with as many categories as rows."""
+    vectors = features.sparse_vector(t("customer"), ["c_acctbal", "c_name", "c_mktsegment"], "c_custkey")
+    parts = F.unwrap_udt("features")
+    pairs = F.arrays_zip(parts["indices"].alias("slot"), parts["values"].alias("value"))
+    rows = vectors.select("c_custkey", F.explode(pairs).alias("e")).select("c_custkey", "e.*").toDF("c_custkey", "slot", "value")
+    return rounded(rows, 8)
+
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SCALED = ["c_acctbal", "c_nationkey"] + [f"CAST(c_mktsegment = '{v}' AS INTEGER)" for v in SEGMENTS[1:]]
 

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablescope.operators import anomalies, relations
+from tablescope.operators import anomalies, features, forest, relations
 from tablescope.plans import catalog, dna, findings
 from tablescope.sources.csv import read_csv
 from tablescope.sources.sinks import write_findings, write_labeled_csv
@@ -193,6 +193,75 @@ def _(t):
     return dna.sample_rows(t("orders"), "o_orderkey", 5000)
 
 
+@query(
+    "sample_rows_digest_orders",
+    """SELECT * FROM (SELECT o_orderkey, o_totalprice, md5(CAST(o_orderkey AS VARCHAR) || ':42') AS digest FROM orders)
+    ORDER BY digest, o_orderkey LIMIT 5000""",
+)
+def _(t):
+    digest = F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(":42")).cast("binary")).alias("digest")
+    return dna.sample_rows(t("orders").select("o_orderkey", "o_totalprice", digest), "o_orderkey", 5000, by="digest")
+
+
+#: Three groups by the key in three columns, and a fourth column that has nothing to do with them.
+GROUPED_SQL = """(SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey % 3 AS g, (p_partkey % 3) * 10.0 + (p_partkey * 7 % 11) / 11.0 AS a,
+  (p_partkey % 3) * 10.0 + (p_partkey * 5 % 13) / 13.0 AS b, (p_partkey % 3) * 10.0 + (p_partkey * 2 % 7) / 7.0 AS d, (p_partkey * 7919 % 101) * 1.0 AS c FROM part)"""
+
+
+@query(
+    "clusterability_grouped_part",
+    f"""WITH z AS (SELECT k, g, unnest(['a', 'b', 'c', 'd']) AS f, unnest([(a - avg(a) OVER ()) / stddev_pop(a) OVER (),
+      (b - avg(b) OVER ()) / stddev_pop(b) OVER (), (c - avg(c) OVER ()) / stddev_pop(c) OVER (), (d - avg(d) OVER ()) / stddev_pop(d) OVER ()]) AS v FROM {GROUPED_SQL}),
+    m AS (SELECT g, f, avg(v) AS mean, var_pop(v) AS spread, count(*) AS n FROM z GROUP BY 1, 2),
+    d AS (SELECT k, z.g AS own, m.g AS other, sum((v - mean) * (v - mean) + spread) AS far, max(n) AS n FROM z JOIN m ON z.f = m.f GROUP BY 1, 2, 3),
+    s AS (SELECT k, max(CASE WHEN own = other THEN far * n / (n - 1) END) AS x, min(CASE WHEN own <> other THEN far END) AS y FROM d GROUP BY 1)
+    SELECT round(least(100, greatest(0, (avg((y - x) / greatest(x, y)) + 0.1) * 125)), 1) AS clusterability FROM s""",
+)
+def _(t):
+    number_ = F.col("p_partkey")
+    rows = t("part").select(
+        number_.cast("string").alias("k"),
+        (number_ % 3 * 10.0 + number_ * 7 % 11 / 11.0).alias("a"),
+        (number_ % 3 * 10.0 + number_ * 5 % 13 / 13.0).alias("b"),
+        (number_ % 3 * 10.0 + number_ * 2 % 7 / 7.0).alias("d"),
+        (number_ * 7919 % 101 * 1.0).alias("c"),
+    )
+    return dna.clusterability_score(rows, "k")
+
+
+def far_rows(t):
+    """Most rows hold one number, every 50th a large one and the next a small one: these are the isolated rows."""
+    place = F.col("o_orderkey") % 50
+    x = F.when(place == 0, 100.0).when(place == 1, -100.0).otherwise(0.0)
+    return t("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("k"), x.alias("x"), "o_orderstatus")
+
+
+STABILITY_SQL = "greatest(0, 100 - least(100, avg(CASE WHEN o_orderkey % 50 < 2 THEN 1.0 ELSE 0 END) * 500))"
+
+
+@query("isolation_stability_far_orders", f"SELECT CAST(round({STABILITY_SQL}, 8) AS DOUBLE) AS stability FROM orders")
+def _(t):
+    return rounded(forest.anomaly_rate_stability(features.prepare_features(far_rows(t), ["x"], "k"), "k"), 8)
+
+
+@query("stability_far_orders", f"SELECT CAST(round({STABILITY_SQL}, 1) AS DOUBLE) AS stability FROM orders")
+def _(t):
+    return dna.stability_score(far_rows(t), "k")
+
+
+@query(
+    "dataset_dna_far_orders",
+    f"""SELECT *, round((quality + complexity + clusterability + stability + richness) / 5, 1) AS overall FROM (
+      SELECT 100.0::DOUBLE AS quality, 100.0::DOUBLE AS clusterability, CAST(round({STABILITY_SQL}, 1) AS DOUBLE) AS stability,
+        CAST(round(least(100, 3 / greatest(1, count(*) / 1000.0) * 5) * 0.5
+          + least(100, (count(*) + count(DISTINCT o_orderstatus)) / 2.0 * 2) * 0.5, 1) AS DOUBLE) AS complexity,
+        round(-(ln(1 / 3.0) / 3 + ln(2 / 3.0) * 2 / 3) / 1.098 * 100 * 0.7 + 4.5, 1)::DOUBLE AS richness FROM orders)""",
+)
+def _(t):
+    """Three tight groups of which two are rare and far off: a silhouette of 1, and the rare rows isolated."""
+    return dna.dataset_dna(far_rows(t), "k")
+
+
 TOP_POSITIVE = f"(SELECT * FROM {MINED} WHERE pearson >= 0.5 ORDER BY greatest(abs(pearson), mutual_info) DESC, var1, var2 LIMIT 1)"
 TOP_NEGATIVE = f"(SELECT * FROM {MINED} WHERE pearson <= -0.5 ORDER BY pearson, var1, var2 LIMIT 1)"
 

@@ -27,15 +27,17 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return complete
 
 
-def sample_rows(df: DataFrame, key, rows: int, seed: int = SEED) -> DataFrame:
+def sample_rows(df: DataFrame, key, rows: int, seed: int = SEED, by: str | None = None) -> DataFrame:
     """At most ``rows`` complete rows, the same on any partitioning; no score uses it.
 
-    The sample is the smallest hashes of the key: a distributed top-k, not a sort.
+    The sample is the smallest values of the column ``by``, a hash of the key and
+    the seed if none is named: a distributed top-k, not a sort.
     """
     key = require_key(df, key)
     complete = complete_rows(df)
     by_key = [col(k) for k in key]
-    return complete.orderBy(F.xxhash64(*by_key, F.lit(seed)), *by_key).limit(rows)
+    first = F.xxhash64(*by_key, F.lit(seed)) if by is None else col(by)
+    return complete.orderBy(first, *by_key).limit(rows)
 
 
 def quality_score(df: DataFrame) -> DataFrame:
