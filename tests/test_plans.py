@@ -1,5 +1,6 @@
 """Catalogue, findings, questions, sources, sinks, and the shape of physical plans."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,43 @@ def test_csv_quoted_newline(spark, tmp_path):
     assert read_csv(spark, str(path)).count() == 2
 
 
+@pytest.mark.parametrize("split", [7, 40, 1 << 20])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_split_inside_quotes(spark, tmp_path, split, end):
+    """Byte ranges that begin or lie wholly inside a quoted field give the same as whole files."""
+    rng = np.random.default_rng(split)
+    for name in ("one.csv", "two.csv"):
+        rows = ['n,"text ""with""' + end + 'a break",x']
+        for i in range(60):
+            field = "".join(rng.choice(["a", end, '""', ",", " ", "é", "long word "]) for _ in range(rng.integers(0, 30)))
+            rows.append(f'{i},"{field}",{i / 4}' if i % 3 else f"{i},plain,")
+        (tmp_path / name).write_bytes((end.join(rows) + (end if name == "one.csv" else "")).encode())
+    path = str(tmp_path)
+    whole = spark.read.options(multiLine="true", escape='"', header="true", inferSchema="true").csv(path)
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = read_csv(spark, path)
+        assert [f.dataType for f in found.schema] == [f.dataType for f in whole.schema]
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+        assert found.rdd.getNumPartitions() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_latin1_with_breaks_and_no_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('a,b\n"Zoë\nÅsa",1\n"\x1e",2\n'.encode("latin1"))
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv")).collect()) == [("Zoë\nÅsa", 1), ("\x1e", 2)][::-1]
+    (tmp_path / "b.csv").write_text('"a\nb",c\n')
+    empty = read_csv(spark, str(tmp_path / "b.csv"))
+    assert empty.columns == ["a\nb", "c"] and empty.collect() == []
+    (tmp_path / "c.csv").write_bytes(b'a,b\r"x\ry",1\r')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "c.csv")).collect()] == [("x\ny", 1)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     labels = spark.createDataFrame([(1, "Anomaly")], "k int, is_anomaly string")
