@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablescope.functions.columns import col, require_key
 from tablescope.functions.joins import hot_keys, lookup_join, salted_join
 from tablescope.operators.features import prepare_features
-from tablescope.operators.graph import connected_components
+from tablescope.operators.graph import merged_components
 from tablescope.operators.segments import NOISE
 from tablescope.session import checkpoint
 
@@ -241,7 +241,8 @@ def dbscan_points(rows: DataFrame, key: Sequence[str], eps: float = 0.5, min_sam
     )
     dense_pairs = pairs.where("dense_a AND dense_b AND a < b").select(F.col("a").alias("left"), F.col("b").alias("right"))
     linked = _touching(checkpoint(dense_pairs), points, hot_cells, d, eps, side, n_points)
-    parts = connected_components(core_cells, to_dense.union(to_thin).union(linked).distinct())
+    # one row per cell: cluster names are needed twice
+    parts = checkpoint(merged_components(core_cells, to_dense.union(to_thin).union(linked).distinct()))
 
     # names in the order of the smallest key among a cluster's core points
     dense_first = points.where("dense").groupBy("cell").agg(F.min("first_key").alias("first_key"))

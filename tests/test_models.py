@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.operators import anomalies, datamap, dbscan, features, forest, neighbours, segments, silhouettes
-from tablescope.operators.graph import connected_components
+from tablescope.operators.graph import connected_components, merged_components
 from tablescope.plans import dna
 
 
@@ -191,6 +191,36 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 10 if 10 <= i < 30 else 40 if i >= 40 else i for i in range(60)}
 
 
+@pytest.mark.parametrize("task_edges", [1 << 20, 60])
+def test_merged_components(spark, task_edges):
+    """Chains in order and at random, a star and random edges, in one range or in many."""
+    rng = np.random.default_rng(task_edges)
+    path = rng.permutation(np.arange(300, 400)).tolist()
+    edges = [(i, i + 1) for i in range(10, 90)] + list(zip(path, path[1:])) + [(200, i) for i in range(201, 260)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(500, 600, (60, 2))]
+    rng.shuffle(edges)
+    edges = [tuple(int(x) for x in rng.permutation(e)) for e in edges]
+    nodes = spark.range(620).withColumnRenamed("id", "node")
+    frame = spark.createDataFrame(edges, "left long, right long").repartition(4)
+    want = {i: i for i in range(620)}
+    for _ in want:  # the smallest name spreads along the edges until nothing changes
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r["node"]: r["component"] for r in merged_components(nodes, frame, task_edges).collect()} == want
+    if task_edges == 60:
+        return
+    boxed = frame.select(F.array(F.col("left") % 7, "left").alias("left"), F.array(F.col("right") % 7, "right").alias("right"))
+    got = merged_components(nodes.select(F.array(F.col("node") % 7, "node").alias("node")), boxed, task_edges).collect()
+    groups, other = {}, {}
+    for r in got:
+        groups.setdefault(tuple(r["component"]), set()).add(r["node"][1])
+    for node, c in want.items():
+        other.setdefault(c, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, other.values()))
+    assert all(min([n % 7, n] for n in g) == list(c) for c, g in groups.items())
+    assert merged_components(nodes, frame.limit(0)).where("node <> component").count() == 0
+
+
 @pytest.mark.parametrize("n, d, k, block, hot", [(200, 2, 5, 30, False), (240, 4, 3, 40, True)])
 def test_neighbours(spark, n, d, k, block, hot):
     rng = np.random.default_rng(n)
