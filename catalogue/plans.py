@@ -134,10 +134,10 @@ SCORED = {
 @query(
     "recommend_analyses_lake",
     "\nUNION ALL\n".join(
-        f"""SELECT name, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, title FROM (
-          SELECT '{n}' AS name, 1 AS k, 'Timeline Intelligence' AS title WHERE {dated} UNION ALL
-          SELECT name, 4, 'Correlation Discovery' FROM ({complexity_sql(n, w, o) if o else f"SELECT '{n}' AS name, least(100, 3.0 / greatest(1, count(*) / 1000.0) * 5) * 0.5 AS complexity FROM {n}"}) WHERE complexity > 40
-          UNION ALL SELECT name, 5, 'Dataset DNA Profile' FROM ({complexity_sql(n, w, o) if o else f"SELECT '{n}' AS name, least(100, 3.0 / greatest(1, count(*) / 1000.0) * 5) * 0.5 AS complexity FROM {n}"}) WHERE complexity <= 40 AND NOT {dated})"""
+        f"""SELECT name, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, title, reason FROM (
+          SELECT '{n}' AS name, 1 AS k, 'Timeline Intelligence' AS title, 'the table has a date column' AS reason WHERE {dated} UNION ALL
+          SELECT name, 4, 'Correlation Discovery', printf('complexity is %.1f', complexity::DOUBLE) FROM ({complexity_sql(n, w, o) if o else f"SELECT '{n}' AS name, least(100, 3.0 / greatest(1, count(*) / 1000.0) * 5) * 0.5 AS complexity FROM {n}"}) WHERE complexity > 40
+          UNION ALL SELECT name, 5, 'Dataset DNA Profile', 'no score stands out' FROM ({complexity_sql(n, w, o) if o else f"SELECT '{n}' AS name, least(100, 3.0 / greatest(1, count(*) / 1000.0) * 5) * 0.5 AS complexity FROM {n}"}) WHERE complexity <= 40 AND NOT {dated})"""
         for n, (w, o, dated) in SCORED.items()
     ),
 )
@@ -155,16 +155,21 @@ def _(t):
     return findings.recommend_analyses(frames, "name")
 
 
+#: Scores of three cases from one mean, and the rules they meet.
+RULES_SQL = """(WITH s AS (SELECT avg(p_size) AS m FROM part), c AS (
+    SELECT 'all' AS name, true AS dated, 2 * m AS a, m AS b, m + 20 AS c FROM s UNION ALL
+    SELECT 'none', false, m, 3 * m, m - 10 FROM s UNION ALL SELECT 'two', false, 2 * m, m, NULL FROM s)
+  SELECT name, 1 AS k, 'Timeline Intelligence' AS title, 'the table has a date column' AS reason FROM c WHERE dated UNION ALL
+  SELECT name, 2, 'Segment Discovery', printf('clusterability is %.1f', a) FROM c WHERE a > 45 UNION ALL
+  SELECT name, 3, 'Anomaly Detection', printf('stability is %.1f', b) FROM c WHERE b < 65 UNION ALL
+  SELECT name, 4, 'Correlation Discovery', printf('complexity is %.1f', c) FROM c WHERE c > 40)"""
+
+
 @query(
     "recommend_analyses_scored",
-    """WITH s AS (SELECT 'all' AS name, avg(p_size) AS m FROM part)
-    SELECT name, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, title FROM (
-      SELECT name, 1 AS k, 'Timeline Intelligence' AS title FROM s UNION ALL
-      SELECT name, 2, 'Segment Discovery' FROM s WHERE 2 * m > 45 UNION ALL
-      SELECT name, 3, 'Anomaly Detection' FROM s WHERE m < 65 UNION ALL
-      SELECT name, 4, 'Correlation Discovery' FROM s WHERE m + 20 > 40)
-    UNION ALL SELECT 'none', 0, 'Dataset DNA Profile' FROM s WHERE m <= 45 AND 3 * m >= 65
-    UNION ALL SELECT 'two', CAST(k AS INTEGER), title FROM s, (VALUES (0, 'Segment Discovery'), (1, 'Anomaly Detection')) AS v(k, title) WHERE 2 * m > 45 AND m < 65""",
+    f"""SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS INTEGER) AS position, title, reason FROM {RULES_SQL}
+    UNION ALL SELECT name, 0, 'Dataset DNA Profile', 'no score stands out' FROM (VALUES ('all'), ('none'), ('two')) AS v(name)
+      WHERE name NOT IN (SELECT name FROM {RULES_SQL})""",
 )
 def _(t):
     m = t("part").agg(F.avg("p_size").alias("m"))

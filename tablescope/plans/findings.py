@@ -128,22 +128,31 @@ def generate_findings(
 
 
 def recommend_analyses(scores: DataFrame, by: str | None = None) -> DataFrame:
-    """``by, position, title``: at most four recommended analyses per row of scores.
+    """``by, position, title, reason``: at most four recommended analyses per row of scores, and why.
 
     Reads ``has_date, clusterability, stability, complexity``; a missing score
     never triggers its rule.
     """
     # fixed values: above 45, below 65, above 40
     rules = [
-        (F.coalesce(F.col("has_date"), F.lit(False)), "Timeline Intelligence"),
-        (F.coalesce(F.col("clusterability") > 45, F.lit(False)), "Segment Discovery"),
-        (F.coalesce(F.col("stability") < 65, F.lit(False)), "Anomaly Detection"),
-        (F.coalesce(F.col("complexity") > 40, F.lit(False)), "Correlation Discovery"),
+        (F.coalesce(F.col("has_date"), F.lit(False)), "Timeline Intelligence", F.lit("the table has a date column")),
+        (F.coalesce(F.col("clusterability") > 45, F.lit(False)), "Segment Discovery", _because("clusterability")),
+        (F.coalesce(F.col("stability") < 65, F.lit(False)), "Anomaly Detection", _because("stability")),
+        (F.coalesce(F.col("complexity") > 40, F.lit(False)), "Correlation Discovery", _because("complexity")),
     ]
-    titles = F.array_compact(F.array(*[F.when(test, F.lit(title)) for test, title in rules]))
-    shown = F.when(F.size(titles) > 0, titles).otherwise(F.array(F.lit("Dataset DNA Profile")))
+
+    def entry(title: str, reason: Column) -> Column:
+        return F.struct(F.lit(title).alias("title"), reason.cast("string").alias("reason"))
+
+    found = F.array_compact(F.array(*[F.when(test, entry(title, reason)) for test, title, reason in rules]))
+    plain = F.array(entry("Dataset DNA Profile", F.lit("no score stands out")))
     keep = [col(by)] if by else []
-    return scores.select(*keep, F.posexplode(shown).alias("position", "title"))
+    listed = scores.select(*keep, F.posexplode(F.when(F.size(found) > 0, found).otherwise(plain)).alias("position", "found"))
+    return listed.select(*keep, "position", "found.title", "found.reason")
+
+
+def _because(score: str) -> Column:
+    return F.format_string(f"{score} is %.1f", col(score).cast("double"))
 
 
 def _item(position: int, section: str, item: str, value: Column, text: Column | None = None) -> list[Column]:
