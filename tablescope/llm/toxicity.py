@@ -2,19 +2,23 @@
 
 Examples and documents are TF-IDF vectors over all terms of the examples; a
 term weighs the more, the more toxic the examples that hold it are, and none
-weighs nothing.  The examples sit in an inverted index whose posting lists are
-cut into blocks of examples; the largest weight of a term in a block bounds what
-the block can score, so only blocks are visited that can enter the k nearest.
-Cosines and neighbours are exact.
+weighs nothing.  The examples sit in an inverted index.  Posting lists of terms
+that few examples hold are essential and always added up.  The other terms are
+added only for examples that can enter the k nearest: the largest weight of each
+common term in a block of like examples, and the norm of an example in each
+group of common terms, bound what they can still give.  Cosines and neighbours
+are exact.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescope.llm.text import ALNUM, Words, col, extend, lists, mix, numbers, parts
@@ -25,6 +29,12 @@ PRIOR = 5  # examples with the overall toxic share that every term is taken to h
 PLAIN = 0.05  # what a term weighs that tells nothing, relative to one e times as toxic as all
 NEIGHBOURS = 25
 BLOCK = 64  # examples in a block
+COMMON = 0.1  # terms of a larger share of the examples are looked up only where they can matter
+GROUPS = 32  # groups of common terms, by the examples that hold them
+TOGETHER = 32  # texts whose bounds are computed at once
+SHORT = 64  # shorter posting lists are gathered in one step
+SKETCH = 64  # random signs that compare two common terms
+EXAMPLES_A_TASK = 512  # examples that vote on each other in one task
 NEAR = 0.05  # keeps the weight of an equal vector finite
 STEMS = (4, 5)  # bytes of a word's beginning that are terms too
 
@@ -71,106 +81,131 @@ def places(known: np.ndarray, term: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The examples, block by block, and the calibration of their votes."""
+    """The examples and the calibration of their votes.
+
+    Terms of few examples have posting lists, which are always added up.  Terms
+    of many examples (``COMMON``) are looked up example by example: a bound from
+    block maxima and from the norms of the examples by group of common terms
+    tells which examples can still enter the k nearest.
+    """
 
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
     ids: list
     toxic: np.ndarray
-    ends: np.ndarray  # ranges of groups by term; a group is the postings of a term in a block
-    block: np.ndarray
-    most: np.ndarray  # the largest weight of each group
-    group: np.ndarray  # posting ranges by group
-    example: np.ndarray
-    weight: np.ndarray
+    size: np.ndarray  # length of each example's vector before it is scaled to 1
+    example: np.ndarray  # of each posting, by term and example
+    count: np.ndarray
+    postings: np.ndarray  # of each term
     base: float  # the score without any neighbour
     votes: np.ndarray | None = None  # calibration steps: from this vote on ...
     scores: np.ndarray | None = None  # ... this score
-    count: np.ndarray | None = None  # of each posting
-    size: np.ndarray | None = None  # length of each example's vector before it is scaled to 1
 
     @staticmethod
     def build(terms, idf, ids, toxic, doc, term, count, base) -> Index:
-        """Postings from the examples' term counts; ``doc`` numbers the examples."""
+        """Postings from the examples' term counts; ``doc`` numbers the examples and rises."""
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         weight = (1 + np.log(count)) * idf[term]
         size = np.sqrt(np.bincount(doc, weight * weight, minlength=len(ids)))
-        keep = weight > 0
+        del weight
         size = np.where(size > 0, size, 1)
-        doc, term, count, weight = doc[keep], term[keep], count[keep], (weight / size[doc])[keep]
-        # examples with the same strongest term stand together, so that block bounds are tight
-        top = np.full(len(ids), len(terms))
-        order = np.lexsort((weight, doc))
-        top[doc[order]] = term[order]
-        del order
-        place = np.empty(len(ids), np.int64)
-        place[np.lexsort((np.arange(len(ids)), top))] = np.arange(len(ids))
-        example = place.astype(np.int32)[doc]
-        order = np.argsort(term * np.int64(max(1, len(ids))) + example)
-        back = np.argsort(place)
-        index = Index.grouped(terms, idf, [ids[i] for i in back], toxic[back], term[order], example[order], weight[order], base)
-        index.count, index.size = count[order], size[back]
-        return index
-
-    @staticmethod
-    def grouped(terms, idf, ids, toxic, term, example, weight, base, **more) -> Index:
-        """The index of postings that are ordered by term and example."""
-        blocks = max(1, -(-len(ids) // BLOCK))
-        cells = term * np.int64(blocks) + example // BLOCK
-        begin = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
-        cells = cells[begin]
-        ends = np.searchsorted(cells, np.arange(len(terms) + 1) * blocks)
-        most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
-        return Index(terms, idf, ids, toxic, ends, cells % blocks, most, np.append(begin, len(term)), example, weight, base, **more)
-
-    def packed(self) -> dict:
-        """What is broadcast: counts instead of weights, in as few bytes as hold them."""
-        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-        more = {"example": small(self.example), "count": small(self.count), "postings": np.diff(self.group[self.ends]).astype(np.int32)}
-        return {k: getattr(self, k) for k in ("terms", "idf", "ids", "toxic", "base", "votes", "scores", "size")} | more
-
-    @staticmethod
-    def unpacked(terms, idf, ids, toxic, example, count, postings, size, **more) -> Index:
-        term, example, count = np.repeat(np.arange(len(terms)), postings), example.astype(np.int32), count.astype(np.int64)
-        weight = (1 + np.log(count)) * idf[term] / size[example]
-        return Index.grouped(terms, idf, ids, toxic, term, example, weight, **more)
+        order = np.argsort(term, kind="stable")
+        example, count = small(doc)[order], small(count)[order]
+        postings = np.bincount(term, minlength=len(terms)).astype(np.int32)
+        return Index(terms, idf, list(ids), toxic, size, example, count, postings, base)
+
+    def prepare(self) -> Index:
+        """Lay out what ``nearest`` needs; done where the index is used, so that it travels in few bytes."""
+        n = len(self.ids)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.postings)
+        weight = (1 + np.log(self.count.astype(float))) * self.idf[term] / self.size[self.example]
+        many = self.postings > max(COMMON * n, 1)
+        self.slot = np.where(many, np.cumsum(many) - 1, -1)  # the number of each common term
+        width = int(many.sum())
+        apart = many[term]
+        self.listed, self.share = self.example[~apart].astype(np.int64), weight[~apart]
+        self.ends = np.concatenate([[0], np.cumsum(np.where(many, 0, self.postings), dtype=np.int64)])
+        example, slot, weight = self.example[apart].astype(np.int64), self.slot[term[apart]], weight[apart]
+        del term, apart
+        self.group = grouped(example, slot, weight, n, width)
+        norms = np.bincount(example * GROUPS + self.group[slot], weight * weight, minlength=n * GROUPS)
+        self.norms = np.sqrt(norms).reshape(n, GROUPS)
+        # examples that share their strongest group stand in the same blocks, so that maxima are tight
+        order = np.lexsort((self.norms.max(1), self.norms.argmax(1)))
+        self.block = np.empty(n, np.int64)
+        self.block[order] = np.arange(n) // BLOCK
+        self.most = np.zeros((int(self.block.max(initial=0)) + 1, width))
+        np.maximum.at(self.most, (self.block[example], slot), weight)
+        order = np.argsort(example, kind="stable")
+        self.slots, self.weights = slot[order].astype(np.int32), weight[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(example, minlength=n))])
+        self.opened = 0
+        return self
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
-        """Positions and cosines of the k nearest examples with a positive cosine; of equal ones the first."""
-        blocks = max(1, -(-len(self.ids) // BLOCK))
-        n = self.ends[term + 1] - self.ends[term]
-        owner = np.repeat(np.arange(len(term)), n)
-        group = np.arange(int(n.sum())) + np.repeat(self.ends[term] - np.cumsum(n) + n, n)
-        block = self.block[group]
-        bound = np.bincount(block, weight[owner] * self.most[group], minlength=blocks)
-        # the most promising blocks give a least cosine; then all blocks are opened that can reach it
-        opened = np.zeros(blocks, bool)
-        opened[np.argsort(-bound, kind="stable")[: 1 + k // BLOCK]] = True
-        cosine = self.cosines(weight[owner[opened[block]]], group[opened[block]], skip)
-        least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
-        rest = (bound > 0) & (bound >= least - 1e-9) & ~opened
-        if rest.sum() * 4 > blocks:  # then whole lists are faster
-            cosine = np.zeros(len(self.ids))
-            for a, z, w in zip(self.group[self.ends[term]], self.group[self.ends[term + 1]], weight):
-                cosine[self.example[a:z]] += w * self.weight[a:z]
-            if skip >= 0:
-                cosine[skip] = 0
-        elif rest.any():
-            cosine += self.cosines(weight[owner[rest[block]]], group[rest[block]], skip)
-        cosine = np.round(cosine, 12)
-        every = np.flatnonzero(cosine > 0)
+        """Positions and cosines of the k nearest examples with a positive cosine, with all that tie with the last."""
+        return next(self.search(np.array([0, len(term)]), term, weight, k, [skip]))
+
+    def search(self, starts: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: Sequence[int] | None = None):
+        """``nearest`` for each of the texts whose unit vectors begin at ``starts``."""
+        slot = self.slot[term]
+        for begin in range(0, len(starts) - 1, TOGETHER):
+            end = min(begin + TOGETHER, len(starts) - 1)
+            low = starts[begin]
+            some = slice(low, starts[end])
+            text = np.repeat(np.arange(end - begin), np.diff(starts[begin : end + 1]))
+            few, own, part = slot[some] < 0, slot[some], weight[some]
+            query = np.zeros((end - begin, self.most.shape[1]))
+            query[text[~few], own[~few]] = part[~few]
+            norm = np.bincount(text[~few] * GROUPS + self.group[own[~few]], part[~few] ** 2, minlength=len(query) * GROUPS)
+            bound = np.sqrt(norm).reshape(-1, GROUPS) @ self.norms.T
+            top = query @ self.most.T
+            for i in range(end - begin):
+                a, z = starts[begin + i] - low, starts[begin + i + 1] - low
+                there = few[a:z]
+                cosine = self.essential(term[some][a:z][there], part[a:z][there])
+                if skip is not None and skip[begin + i] >= 0:
+                    cosine[skip[begin + i]] = -9
+                yield self.common(cosine, cosine + np.minimum(bound[i], top[i][self.block]), query[i], k)
+
+    def essential(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What terms of few examples give to the cosine of each example."""
+        start, n = self.ends[term], self.ends[term + 1] - self.ends[term]
+        short = n < SHORT
+        long = [slice(a, a + m) for a, m in zip(start[~short].tolist(), n[~short].tolist())]
+        start, weight, n = start[short], np.concatenate([weight[short], weight[~short]]), np.concatenate([n[short], n[~short]])
+        m = n[: len(start)]
+        at = np.arange(int(m.sum())) + np.repeat(start - np.cumsum(m) + m, m)
+        share = np.concatenate([self.share[at], *[self.share[x] for x in long]])
+        share *= np.repeat(weight, n)
+        return np.bincount(np.concatenate([self.listed[at], *[self.listed[x] for x in long]]), share, minlength=len(self.ids))
+
+    def common(self, cosine: np.ndarray, bound: np.ndarray, query: np.ndarray, k: int):
+        """Add what common terms give, to all examples whose bound reaches the k-th best cosine."""
+        # nothing is negative, so the k-th best of what is known so far is a least cosine
+        least = max(1e-12, float(np.partition(cosine, -k)[-k]) if len(cosine) >= k else 0.0)
+        found, exact, step = np.zeros(0, np.int64), np.zeros(0), 2 * k
+        rest = np.flatnonzero(bound >= least - 1e-9)
+        while len(rest):
+            if len(rest) > step:
+                rest = rest[np.argpartition(-bound[rest], step)[:step]]
+            bound[rest] = -9
+            n = self.first[rest + 1] - self.first[rest]
+            at = np.arange(int(n.sum())) + np.repeat(self.first[rest] - np.cumsum(n) + n, n)
+            part = query[self.slots[at]] * self.weights[at]
+            part = cosine[rest] + np.bincount(np.repeat(np.arange(len(rest)), n), part, minlength=len(rest))
+            found, exact = np.concatenate([found, rest]), np.concatenate([exact, part])
+            self.opened += len(rest)
+            if len(exact) >= k:
+                least = max(least, float(np.partition(exact, -k)[-k]))
+            step *= 4
+            rest = np.flatnonzero(bound >= least - 1e-9)
+        exact = np.round(exact, 12)
+        every = np.flatnonzero(exact > 0)
         if len(every) > k:
-            every = every[cosine[every] >= np.partition(cosine[every], -k)[-k]]
-        order = np.lexsort((every, -cosine[every]))[:k]
-        return every[order], np.minimum(cosine[every[order]], 1.0)
-
-    def cosines(self, weight: np.ndarray, group: np.ndarray, skip: int) -> np.ndarray:
-        """What the given groups add to the cosine of each example."""
-        n = self.group[group + 1] - self.group[group]
-        posting = np.arange(int(n.sum())) + np.repeat(self.group[group] - np.cumsum(n) + n, n)
-        total = np.bincount(self.example[posting], np.repeat(weight, n) * self.weight[posting], minlength=len(self.ids))
-        if skip >= 0:
-            total[skip] = 0
-        return total
+            every = every[exact[every] >= np.partition(exact[every], -k)[-k]]
+        every = every[np.lexsort((found[every], -exact[every]))]
+        return found[every], np.minimum(exact[every], 1.0)
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """The share of toxic neighbours, weighted by the inverse of their distance."""
@@ -179,28 +214,31 @@ class Index:
 
     def vectors(self, doc, term, count, n):
         """Unit vectors of the texts: where each begins, the terms and the weights."""
-        weight = (1 + np.log(count)) * self.idf[term]
+        weight = (1 + np.log(count.astype(float))) * self.idf[term]
         size = np.sqrt(np.bincount(doc, weight * weight, minlength=n))
         return np.searchsorted(doc, np.arange(n + 1)), term, weight / np.where(size > 0, size, 1)[doc]
 
-    def calibrate(self, doc, term, count) -> None:
-        """Fit a rising step function from votes to labels, each example being left out of its own vote."""
-        place = {x: i for i, x in enumerate(self.ids)}
-        starts, term, weight = self.vectors(doc, term, count, len(self.ids))
-        rows = []
-        for i in range(len(self.ids)):
-            a, b = starts[i], starts[i + 1]
-            at, cosine = self.nearest(term[a:b], weight[a:b], skip=place[i])
+    def own_vote(self, some: np.ndarray) -> np.ndarray:
+        """The votes on the given examples, each left out of its own; NaN without neighbours."""
+        wanted = np.isin(self.example, some)
+        term, example, count = np.repeat(np.arange(len(self.terms)), self.postings)[wanted], self.example[wanted], self.count[wanted]
+        order = np.argsort(example, kind="stable")
+        starts, term, weight = self.vectors(example[order].astype(np.int64), term[order], count[order], len(self.ids))
+        votes = np.full(len(some), np.nan)
+        for i, (at, cosine) in enumerate(self.search(np.searchsorted(example[order], np.append(some, some[-1:] + 1)), term, weight, skip=some)):
             if len(at):
-                rows.append((self.vote(at, cosine), self.toxic[place[i]]))
-        rows.sort()
+                votes[i] = self.vote(at, cosine)
+        return votes
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit a rising step function from the examples' votes to their labels."""
         steps: list[list[float]] = []  # first vote, toxic, all
-        for vote, toxic in rows:
+        for vote, said in sorted(zip(votes.tolist(), toxic.tolist())):
             if steps and steps[-1][0] == vote:
-                steps[-1][1] += toxic
+                steps[-1][1] += said
                 steps[-1][2] += 1
             else:
-                steps.append([vote, float(toxic), 1.0])
+                steps.append([vote, float(said), 1.0])
             while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
                 last = steps.pop()
                 steps[-1][1] += last[1]
@@ -215,6 +253,31 @@ class Index:
         return float(self.scores[max(int(np.searchsorted(self.votes, vote, "right")) - 1, 0)])
 
 
+def grouped(example: np.ndarray, slot: np.ndarray, weight: np.ndarray, n: int, width: int) -> np.ndarray:
+    """A group for each common term; terms of the same examples share one."""
+    sketch = np.zeros((width, SKETCH))
+    for k in range(SKETCH):
+        sign = 1.0 - 2.0 * (numbers(n, k) >> np.uint64(63)).astype(float)
+        sketch[:, k] = np.bincount(slot, sign[example] * weight, minlength=width)
+    sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-300)
+    group, near = np.zeros(width, np.int64), np.full(width, -2.0)
+    for g in range(min(GROUPS, width)):
+        like = sketch @ sketch[np.argmin(near)]
+        group[like > near] = g
+        near = np.maximum(near, like)
+    return group
+
+
+READY: dict[str, Index] = {}  # the index that this Python worker has laid out, by name
+
+
+def ready(name: str, index: Index) -> Index:
+    if name not in READY:
+        READY.clear()
+        READY[name] = index.prepare()
+    return READY[name]
+
+
 def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
     """Rows that no label is learnt from: crc32 of the key as text, modulo ``folds``; never for a null key."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
@@ -317,12 +380,29 @@ def fit(
     alone = np.ones(len(labelled), bool)
     alone[doc] = False
     base = float((toxic[alone].sum() + p * bool(len(labelled))) / (alone.sum() + 1))
-    index = Index.build(known, idf, list(range(len(labelled))), toxic, doc, term, count, base)
-    index.calibrate(doc, term, count)
-    index.ids = [labelled[i] for i in index.ids]
+    index = Index.build(known, idf, labelled, toxic, doc, term, count, base)
+    del doc, term, count
+    leave_one_out(docs.sparkSession, index)
     return index
 
 
+def leave_one_out(spark: SparkSession, index: Index) -> None:
+    """Calibrate with the examples' votes on each other; tasks cast the votes."""
+    n, name = len(index.ids), uuid.uuid4().hex
+    held = spark.sparkContext.broadcast(index)
+
+    def cast(batches):
+        for batch in batches:
+            some = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready(name, held.value).own_vote(some))], names=["id", "vote"])
+
+    votes = spark.range(0, n, 1, -(-n // EXAMPLES_A_TASK) or 1).mapInArrow(cast, "id long, vote double").toArrow()
+    vote = votes["vote"].to_numpy()
+    some = ~np.isnan(vote)
+    index.calibrate(vote[some], index.toxic[votes["id"].to_numpy()[some]])
+    held.destroy()
+
+
 def score(
     docs: DataFrame, index: Index, text: str = "text", key_type: T.DataType | None = None, keep: list[str] | None = None, shown: int = 5
 ) -> DataFrame:
@@ -333,11 +413,11 @@ def score(
 
     A null or empty text, and one without any term of the examples, has no neighbours and
     the toxic share of such examples as its score.  Without labelled rows every
-    score is 0.  Equal texts have equal scores; ties among neighbours go to the
-    example that comes first in the index.  Input columns with the names of
+    score is 0.  Equal texts have equal scores; all examples that tie with the last
+    neighbour vote.  Input columns with the names of
     results are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index.packed())
+    held, name = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
     kind = key_type or T.LongType()
     fields = [
         T.StructField("score", T.DoubleType()),
@@ -353,15 +433,14 @@ def score(
     evidence = to_arrow_type(fields[1].dataType)
 
     def make():
-        index = Index.unpacked(**held.value)
+        index = ready(name, held.value)
 
         def work(texts):
             doc, term, count = terms_of(texts, index.terms)
             starts, term, weight = index.vectors(doc, term.astype(np.int64), count, len(texts))
             scores = np.full(len(texts), index.base)
             near: list[list[dict]] = [[] for _ in range(len(texts))]
-            for i in np.flatnonzero(np.diff(starts)):
-                at, cosine = index.nearest(term[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]])
+            for i, (at, cosine) in enumerate(index.search(starts, term, weight)):
                 if len(at):
                     scores[i] = index.score(index.vote(at, cosine))
                     near[i] = [

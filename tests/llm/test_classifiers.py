@@ -53,20 +53,44 @@ def test_neighbours_are_exact(seed, monkeypatch):
     count = rng.integers(1, 4, len(doc))
     idf = rng.uniform(0.5, 3, terms)
     index = toxicity.Index.build(np.arange(terms, dtype=np.uint64), idf, list(range(n)), rng.integers(0, 2, n).astype(float), doc, term, count, 0.1)
+    index.prepare()
     full = np.zeros((n, terms))
     full[doc, term] = (1 + np.log(count)) * idf[term]
     full /= np.linalg.norm(full, axis=1, keepdims=True)
-    full = full[index.ids]
     for i in range(20):
         q = np.sort(rng.choice(terms, 5, replace=False))
         w = rng.uniform(0.1, 1, 5)
         at, cosine = index.nearest(q, w / np.linalg.norm(w), k=7)
         every = np.round(full[:, q] @ (w / np.linalg.norm(w)), 12)
-        want = [j for j in np.lexsort((np.arange(n), -every)) if every[j] > 0][:7]
+        least = max(np.sort(every)[-7], 1e-12)
+        want = [j for j in np.lexsort((np.arange(n), -every)) if every[j] >= least]
         assert at.tolist() == want
         assert np.allclose(cosine, every[want])
 
 
+def test_bounds_leave_most_examples_unopened(tables):
+    """Common terms are looked up for few examples only, and no neighbour is lost by it."""
+    texts = pa.array([r["text"] for r in tables[0].orderBy("doc_id").limit(2000).collect()])
+    doc, term, count = toxicity.terms_of(texts)
+    known = np.unique(term)
+    term = toxicity.places(known, term)
+    idf = np.log(len(texts) / np.bincount(term, minlength=len(known))) + 1
+    own = doc < 1800
+    toxic = np.zeros(1800)
+    index = toxicity.Index.build(known, idf, list(range(1800)), toxic, doc[own], term[own], count[own], 0.1).prepare()
+    starts, places, weight = index.vectors(doc[~own] - 1800, term[~own], count[~own], 200)
+    found = list(index.search(starts, places, weight))
+    assert index.opened < 200 * 1800 / 3
+    share = (1 + np.log(count[own])) * idf[term[own]] / index.size[doc[own]]
+    for i, (at, cosine) in enumerate(found):
+        query = np.zeros(len(known))
+        query[places[starts[i] : starts[i + 1]]] = weight[starts[i] : starts[i + 1]]
+        every = np.round(np.bincount(doc[own], share * query[term[own]], minlength=1800), 12)
+        least = max(np.sort(every)[-toxicity.NEIGHBOURS], 1e-12)
+        assert sorted(at.tolist()) == np.flatnonzero(every >= least).tolist()
+        assert np.allclose(cosine, np.minimum(every[at], 1))
+
+
 def test_all_terms_of_examples_count(spark):
     """Neither few toxic examples nor ordinary words are left out of the cosines."""
     keys = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
