@@ -7,7 +7,9 @@ the neighbour distance of all points of a cell; a point is sent to another cell
 only if the triangle inequality or the bisecting plane leaves room for it within
 that bound, first for whole groups, then for the cells of the groups that are
 left.  Cells, however full, are split into blocks, and each pair of blocks yields
-at most k rows per point.
+at most k rows per point.  A pair of blocks is compared by a matrix product; what
+rounding could make a neighbour is measured again from differences, so that the
+result is exact.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescope.functions.columns import col, require_columns
 from tablescope.session import checkpoint
@@ -24,6 +29,11 @@ from tablescope.session import checkpoint
 PIVOT_BYTES = 256 << 20  # of pivots that are broadcast; beyond it cells grow, and are split into more blocks
 SLACK = 1e-9  # relative allowance for rounding in the pruning bounds
 PAIRS = 1 << 20  # numbers that are compared at a time
+BLOCK, LEAST_BLOCK, BLOCKS = 16_384, 2048, 32  # points in a block, smaller only if there are fewer blocks than these
+CANDIDATES = 131_072  # points that a block is compared with in one task
+BLOCK_BYTES, CANDIDATE_BYTES = 16 << 20, 64 << 20  # of these points, as 64-bit numbers
+SENT = 16_384  # rows in a batch
+TASKS = 4096  # that the pairs of blocks are dealt to at most
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,14 +124,14 @@ class PivotTree:
                 candidates[i] += self.size[cell][between - self.radius[c] - self.radius[cell] <= bound[i]].sum()
         return bound, candidates
 
-    def settle(self, rows: list, block: int) -> None:
-        """Takes the bounds and divides cells and their candidates into blocks."""
+    def settle(self, rows: list, block: int, others: int | None = None) -> None:
+        """Takes the bounds and divides cells into blocks, and their candidates into blocks of ``others``."""
         m = len(self.pivots)
         self.bound, candidates = np.full(m, -np.inf), np.zeros(m)
         for r in rows:
             self.bound[r["cell"]], candidates[r["cell"]] = r["bound"], r["candidates"]
         self.left = np.maximum(1, np.ceil(self.size / block)).astype(int)
-        self.right = np.maximum(1, np.ceil(candidates / block)).astype(int)
+        self.right = np.maximum(1, np.ceil(candidates / (others or block))).astype(int)
         self.group_bound = np.maximum.reduceat(self.bound, self.first[:-1])
 
     def needed(self, x: np.ndarray, home: np.ndarray, own: np.ndarray):
@@ -149,30 +159,104 @@ class PivotTree:
                 yield i + who[fits], cell[fits]
 
 
-def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int = 8192) -> DataFrame:
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """A list column of equally long lists as one array of numbers."""
+    if lists.null_count:
+        raise ValueError("features must not be null")
+    sizes = lists.value_lengths().to_numpy()
+    if len(sizes) and sizes.min() != sizes.max():
+        raise ValueError("features must have the same length in all rows")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+
+
+def closest(a: np.ndarray, b: np.ndarray, a_id: np.ndarray, b_id: np.ndarray, k: int):
+    """``row of a, row of b, distance``: the k nearest of ``b`` with another id, ties by position in ``b``.
+
+    A matrix product around the middle tells which points of ``b`` can be among
+    the k nearest; those are measured by differences.
+    """
+    order = np.argsort(b_id, kind="stable")
+    low, high = (np.searchsorted(b_id[order], a_id, side) for side in ("left", "right"))  # those with a row's own id
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = b.mean(0)
+        x, y = a - middle, b - middle
+        xx, yy = (x**2).sum(1), (y**2).sum(1)
+        # what rounding may add or take, for each row
+        slack = (8 + a.shape[1]) * 8 * np.finfo(float).eps * (np.sqrt(xx) + np.sqrt(yy.max())) ** 2
+        plain = not np.isfinite(xx.sum() + yy.sum())
+    turned = -2 * y.T
+    last = min(k, len(b)) - 1
+
+    def exact(rows: np.ndarray):
+        """All of ``b`` measured against some rows."""
+        step = max(1, 4 * PAIRS // max(1, b.size))
+        for i in range(0, len(rows), step):
+            some = rows[i : i + step]
+            gap = np.sqrt(((a[some, None, :] - b[None, :, :]) ** 2).sum(2))
+            for r, f, t in zip(range(len(some)), low[some], high[some]):
+                gap[r, order[f:t]] = np.inf
+            edge = np.partition(gap, last, axis=1)[:, last][:, None]
+            closer, level = gap < edge, gap == edge
+            room = k - closer.sum(1, keepdims=True)
+            r, pick = np.nonzero(closer | (level & (level.cumsum(1) <= room)))
+            yield some[r], pick, gap[r, pick]
+
+    step = max(1, PAIRS // len(b))
+    for i in range(0, len(a), step):
+        rows = np.arange(i, min(i + step, len(a)))
+        if plain:
+            yield from exact(rows)
+            continue
+        near = x[rows] @ turned
+        near += yy
+        for r, f, t in zip(range(len(rows)), low[rows], high[rows]):
+            near[r, order[f:t]] = np.inf
+        edge = np.partition(near, last, axis=1)[:, last] + 2 * slack[rows]
+        r, pick = np.nonzero(near <= edge[:, None])
+        many = np.bincount(r, minlength=len(rows)) > k + len(b) // 8  # most at the same distance
+        if many.any():
+            yield from exact(rows[many])
+            r, pick = r[~many[r]], pick[~many[r]]
+        gap, some = np.empty(len(r)), max(1, PAIRS // max(1, a.shape[1]))
+        for j in range(0, len(r), some):
+            gap[j : j + some] = np.sqrt(((a[rows[r[j : j + some]]] - b[pick[j : j + some]]) ** 2).sum(1))
+        best = np.lexsort([pick, gap, r])
+        r, pick, gap = r[best], pick[best], gap[best]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        yield rows[r[place < k]], pick[place < k], gap[place < k]
+
+
+def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int = BLOCK) -> DataFrame:
     """``key, neighbour, distance, position``: the k nearest other rows, ties by key."""
     require_columns(df, [key, features])
-    kind = df.schema[key].dataType
-    points = df.select(col(key).alias("id"), col(features).cast("array<double>").alias("x"))
+    kind, given = df.schema[key].dataType, df.schema[features].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)  # half the bytes
+    numbers = T.ArrayType(T.FloatType() if single else T.DoubleType())
+    points = df.select(col(key).alias("id"), col(features).cast(numbers).alias("x"))
     facts = points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     n = facts["n"]
     if not 1 <= k < n:
         raise ValueError(f"k must lie between 1 and {n - 1}")
-    wanted = min(ceil(n / block), max(1, PIVOT_BYTES // (8 * max(1, facts["d"]))))
+    width = 8 * max(1, facts["d"] or 0)
+    block = max(1, min(block, max(LEAST_BLOCK, ceil(n / BLOCKS)), BLOCK_BYTES // width))
+    others = max(block, min(CANDIDATES, CANDIDATE_BYTES // width))
+    wanted = min(ceil(n / block), max(1, PIVOT_BYTES // width))
     tree = PivotTree(np.array([r["x"] for r in points.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], dtype=float))
     context = df.sparkSession.sparkContext
     shared = context.broadcast(tree)
-    base_type = [T.StructField("id", kind), T.StructField("x", T.ArrayType(T.DoubleType()))]
+    base_type = [T.StructField("id", kind), T.StructField("x", numbers)]
 
     def assign(batches):
         for batch in batches:
-            cell, gap, above = shared.value.place(np.array(batch["x"].tolist(), dtype=float))
-            yield batch.assign(cell=cell.astype("int32"), gap=gap, above=above)
+            cell, gap, above = shared.value.place(_matrix(batch.column("x")))
+            found = [pa.array(cell.astype(np.int32)), pa.array(gap, pa.float64()), pa.array(above, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["id", "x", "cell", "gap", "above"])
 
     cell_type = T.StructType(
         [*base_type, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType()), T.StructField("above", T.DoubleType())]
     )
-    placed = checkpoint(points.mapInPandas(assign, cell_type))
+    placed = checkpoint(points.mapInArrow(assign, cell_type))
 
     # per cell: its size, radius and k + 1 smallest gaps, those of the cell's group beside them
     order = Window.partitionBy("cell").orderBy("gap", "id")
@@ -190,70 +274,65 @@ def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int =
 
     spread = df.sparkSession.createDataFrame([(r["cell"],) for r in rows], "cell int").repartition(max(1, len(rows) // 64))
     found = spread.mapInPandas(bounds, "cell int, bound double, candidates double").collect()  # one row per pivot
-    tree.settle(found, block)
+    tree.settle(found, block, others)
     plan = context.broadcast(tree)
 
-    def hashes(ids: pd.Series) -> np.ndarray:
-        return pd.util.hash_pandas_object(ids, index=False).to_numpy()
+    def hashes(ids: pa.Array) -> np.ndarray:
+        return pd.util.hash_pandas_object(ids.to_pandas(), index=False).to_numpy()
+
+    def send(batch, point, cell, left, right):
+        """Some rows of a batch for some blocks, not too many at a time."""
+        for i in range(0, len(point), SENT):
+            some = slice(i, i + SENT)
+            parts = [batch.column(c).take(pa.array(point[some])) for c in ("id", "x")]
+            parts += [pa.array(v[some].astype(np.int32)) for v in (cell, left, right)]
+            yield pa.RecordBatch.from_arrays(parts, names=["id", "x", "cell", "left", "right"])
 
     def ask(batches):
         """Each point once for every block of candidates of its cell."""
         tree = plan.value
         for batch in batches:
-            cell = batch["cell"].to_numpy()
-            own = (hashes(batch["id"]) % tree.left[cell].astype("uint64")).astype("int32")
+            cell = batch.column("cell").to_numpy()
+            own = hashes(batch.column("id")) % tree.left[cell].astype("uint64")
             times = tree.right[cell]
-            index = np.repeat(np.arange(len(batch)), times)
+            index = np.repeat(np.arange(len(cell)), times)
             turn = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
-            out = batch[["id", "x", "cell"]].iloc[index].reset_index(drop=True)
-            yield out.assign(left=own[index], right=turn.astype("int32"))
+            yield from send(batch, index, cell[index], own[index], turn)
 
     def offer(batches):
         """Each point to every block of the cells that may need it."""
         tree = plan.value
         for batch in batches:
-            x, code = np.array(batch["x"].tolist(), dtype=float), hashes(batch["id"])
-            for point, cell in tree.needed(x, batch["cell"].to_numpy(), batch["gap"].to_numpy()):
-                part = ((code[point] // np.uint64(7)) % tree.right[cell].astype("uint64")).astype("int32")
+            x, code = _matrix(batch.column("x")), hashes(batch.column("id"))
+            for point, cell in tree.needed(x, batch.column("cell").to_numpy(), batch.column("gap").to_numpy()):
+                part = (code[point] // np.uint64(7)) % tree.right[cell].astype("uint64")
                 times = tree.left[cell]
                 index = np.repeat(np.arange(len(point)), times)
                 turn = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
-                out = batch[["id", "x"]].iloc[point[index]].reset_index(drop=True)
-                yield out.assign(cell=cell[index].astype("int32"), left=turn.astype("int32"), right=part[index])
-
-    block_type = T.StructType(
-        [*base_type, *[T.StructField(c, T.IntegerType()) for c in ("cell", "left", "right")]]
-    )
-
-    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        theirs = theirs.sort_values("id")
-        a, b = np.array(mine["x"].tolist(), dtype=float), np.array(theirs["x"].tolist(), dtype=float)
-        a_id, b_id = mine["id"].to_numpy(), theirs["id"].to_numpy()
-        out = []
-        step = max(1, 4_000_000 // max(1, b.size))
-        for start in range(0, len(a), step):
-            gap = np.sqrt(((a[start : start + step, None, :] - b[None, :, :]) ** 2).sum(2))
-            gap[a_id[start : start + step, None] == b_id[None, :]] = np.inf
-            edge = np.partition(gap, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1][:, None]
-            closer, level = gap < edge, gap == edge
-            room_left = k - closer.sum(1, keepdims=True)
-            rows, picks = np.nonzero(closer | (level & (level.cumsum(1) <= room_left)))  # ties: smallest keys
-            out.append(pd.DataFrame({"id": a_id[start + rows], "neighbour": b_id[picks], "distance": gap[rows, picks]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
+                yield from send(batch, point[index], cell[index], turn, part[index])
 
+    block_type = T.StructType([*base_type, *[T.StructField(c, T.IntegerType()) for c in ("cell", "left", "right")]])
     pair_type = T.StructType(
         [T.StructField("id", kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType())]
     )
+    id_type = to_arrow_type(kind)
+
+    def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not len(mine) or not len(theirs):
+            return pa.table({"id": pa.array([], id_type), "neighbour": pa.array([], id_type), "distance": pa.array([], pa.float64())})
+        theirs = theirs.take(pc.sort_indices(theirs, [("id", "ascending")]))
+        a, b = (_matrix(t.column("x").combine_chunks()) for t in (mine, theirs))
+        codes, _ = pd.factorize(pd.concat([t.column("id").to_pandas() for t in (mine, theirs)], ignore_index=True), use_na_sentinel=False)
+        found = [*closest(a, b, codes[: len(a)], codes[len(a) :], k)]
+        rows, picks, gap = (np.concatenate(c) for c in zip(*found))
+        some = np.isfinite(gap)
+        ids = [t.column("id").take(pa.array(at[some])) for t, at in ((mine, rows), (theirs, picks))]
+        return pa.table([*ids, pa.array(gap[some])], names=["id", "neighbour", "distance"])
+
     keys = ["cell", "left", "right"]
-    partial = (
-        placed.mapInPandas(ask, block_type)
-        .groupBy(*keys)
-        .cogroup(placed.mapInPandas(offer, block_type).groupBy(*keys))
-        .applyInPandas(compare, pair_type)
-    )
+    tasks = min(TASKS, int((tree.left * tree.right).sum()))  # as many as pairs of blocks, however few their bytes
+    asked, offered = (placed.mapInArrow(f, block_type).repartition(tasks, *keys) for f in (ask, offer))
+    partial = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(compare, pair_type)
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (
         partial.withColumn("position", F.row_number().over(best))

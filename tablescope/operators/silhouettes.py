@@ -16,22 +16,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tablescope.functions.columns import col, require_columns
 from tablescope.session import checkpoint
 
-BLOCK = 2048  # points in a block; a tile holds two blocks
-STRIP = 1 << 21  # distances that are held at a time
+BLOCK = 32_768  # points in a block at most; a tile holds two blocks
+BLOCK_BYTES = 16 << 20  # of the points of a block, as 64-bit numbers
+LEAST_BLOCK, BLOCKS = 2048, 16  # smaller blocks than the first are not made to have more than so many
+TASKS = 4096  # that tiles are dealt to at most
+STRIP = 1 << 20  # distances that are held at a time
+NEAR = 1e-6  # closer points, relative to their distances from the middle, are compared by differences
 CELLS = 256  # cells whose moments bracket the silhouette, at least one for each label
 
 
 def _points(df: DataFrame, features: str, label: str) -> DataFrame:
     """``row, x, label``: written once, so that the row numbers hold."""
     require_columns(df, [features, label])
-    rows = df.select(col(features).cast("array<double>").alias("x"), col(label).cast("string").alias("label"))
+    kind = df.schema[features].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # half the bytes
+    x = col(features).cast("array<float>" if single else "array<double>")
+    rows = df.select(x.alias("x"), col(label).cast("string").alias("label"))
     rows = rows.where("x IS NOT NULL AND label IS NOT NULL")
     return checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     """A list column of equally long lists as one array of numbers."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
@@ -43,32 +50,74 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def _sums(x: np.ndarray, others: np.ndarray, codes: np.ndarray, n_codes: int) -> np.ndarray:
-    """For every point the sum of its distances to the others of each code."""
-    order = np.argsort(codes, kind="stable")
-    others, starts = others[order], np.searchsorted(codes[order], np.arange(n_codes))
-    step = max(1, STRIP // max(1, len(others)))
-    strips = [np.add.reduceat(_distances(x[i : i + step], others), starts, axis=1) for i in range(0, len(x), step)]
-    return np.concatenate(strips)
+class Gaps:
+    """Distances between two sets of points from one matrix product.
+
+    The product of points taken from their common middle loses digits only where
+    two points are much closer to each other than to the middle; those distances
+    are taken from differences, and so are all where numbers are missing or huge.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle = (a.mean(0) + b.mean(0)) / 2
+            self.x, self.y = a - middle, b - middle
+            self.xx, self.yy = (self.x**2).sum(1), (self.y**2).sum(1)
+            self.plain = not np.isfinite(self.xx.sum() + self.yy.sum())
+
+    def rows(self, some: slice) -> np.ndarray:
+        """The distances from some points of ``a`` to all of ``b``."""
+        if self.plain:
+            return _distances(self.a[some], self.b)
+        both = self.xx[some, None] + self.yy
+        out = self.x[some] @ (-2 * self.y.T)
+        out += both
+        both *= NEAR
+        i, j = np.nonzero(out <= both)
+        if len(i) > out.size // 16:
+            return _distances(self.a[some], self.b)
+        out[i, j] = ((self.a[some][i] - self.b[j]) ** 2).sum(1)
+        return np.sqrt(out, out=out)
+
+
+def _sums(a: np.ndarray, b: np.ndarray, a_codes: np.ndarray, b_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all points of ``a`` the sum of distances to each label in ``b``, and of those of ``b`` to each label in ``a``.
+
+    Points are sorted by label; every distance is computed once.
+    """
+    a_first, b_first = (np.flatnonzero(np.append(True, c[1:] != c[:-1])) for c in (a_codes, b_codes))
+    gaps, there, back = Gaps(a, b), np.empty((len(a), len(b_first))), np.zeros((len(a_first), len(b)))
+    step = max(1, STRIP // len(b))
+    for i in range(0, len(a), step):
+        strip = gaps.rows(slice(i, i + step))
+        there[i : i + step] = np.add.reduceat(strip, b_first, axis=1)
+        low, high = np.searchsorted(a_first, [i, i + len(strip)])  # labels that begin in the strip
+        starts = a_first[low:high] - i
+        if not len(starts) or starts[0] > 0:
+            low, starts = low - 1, np.append(0, starts)
+        back[low:high] += np.add.reduceat(strip, starts, axis=0)
+    return there, back.T
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """The distance sums of one tile: block ``a`` against block ``b`` and back, or a block against itself."""
     table = table.combine_chunks()
-    x, rows = _matrix(table.column("x").combine_chunks()), table.column("row").to_numpy()
     labels = table.column("label").combine_chunks().dictionary_encode()
     labels = labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels
-    code, names = labels.indices.to_numpy(zero_copy_only=False), labels.dictionary
-    side = table.column("side").to_numpy()
+    names, code = labels.dictionary, labels.indices.to_numpy(zero_copy_only=False)
+    side, rows = table.column("side").to_numpy(), table.column("row").to_numpy()
+    x = _matrix(table.column("x").combine_chunks())
+    one, two = ((at := np.flatnonzero(side == s))[np.argsort(code[at], kind="stable")] for s in (0, 1))
+    alone = not len(two) and table.column("a")[0] == table.column("b")[0]
     out = []
-    for one, two in [(0, 1), (1, 0)] if side.any() else [(0, 0)]:
-        mine, theirs = np.flatnonzero(side == one), np.flatnonzero(side == two)
-        if not len(mine) or not len(theirs):
-            continue
-        used, local = np.unique(code[theirs], return_inverse=True)
-        sums = _sums(x[mine], x[theirs], local, len(used))
-        out.append((np.repeat(rows[mine], len(used)), np.tile(used, len(mine)), sums.ravel()))
-    row, which, total = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out) if out else ([], [], [])))
+    if len(one) and (len(two) or alone):
+        two = one if alone else two
+        there, back = _sums(x[one], x[two], code[one], code[two])
+        for mine, theirs, sums in [(one, two, there)] if alone else [(one, two, there), (two, one, back)]:
+            used = np.unique(code[theirs])
+            out.append((np.repeat(rows[mine], len(used)), np.tile(used, len(mine)), sums.ravel()))
+    row, which, total = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0),) * 3
     return pa.table({"row": pa.array(row, pa.int64()), "other": names.take(pa.array(which, pa.int64())), "total": pa.array(total, pa.float64())})
 
 
@@ -80,9 +129,9 @@ def _mean_silhouette(inside: Column, outside: Column, size: Column) -> Column:
 def euclidean_silhouette(df: DataFrame, features: str, label: str, block: int = BLOCK) -> DataFrame:
     """One row, ``silhouette``: the mean over all rows with Euclidean distance, exact.
 
-    Points are dealt to blocks of about ``block`` rows; every pair of blocks is
-    one tile, compared in both directions at once, and yields one sum per point
-    and label.  NULL where there are fewer than two labels; rows without features
+    Points are dealt to blocks of about ``block`` rows at most; every pair of blocks
+    is one tile, whose distances are computed once for both directions, and yields
+    one sum per point and label.  NULL where there are fewer than two labels; rows without features
     or label do not count; the only row of a label scores 0.
     """
     points = _points(df, features, label)
@@ -90,7 +139,9 @@ def euclidean_silhouette(df: DataFrame, features: str, label: str, block: int =
     facts = counts.agg(F.count("*").alias("labels"), F.sum("size").alias("rows")).first()
     if facts["labels"] < 2:
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    groups = -(-facts["rows"] // block)
+    width = max(1, points.agg(F.max(F.size("x"))).first()[0])
+    block = max(1, min(block, BLOCK_BYTES // (8 * width)))
+    groups = max(-(-facts["rows"] // block), min(BLOCKS, -(-facts["rows"] // LEAST_BLOCK)))
     own = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
     dealt = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = dealt.select(
@@ -102,6 +153,7 @@ def euclidean_silhouette(df: DataFrame, features: str, label: str, block: int =
     schema = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("other", T.StringType()), T.StructField("total", T.DoubleType())]
     )
+    dealt = dealt.repartition(min(TASKS, groups * (groups + 1) // 2), "a", "b")  # as many tasks as tiles, however few their bytes
     sums = dealt.groupBy("a", "b").applyInArrow(_compare, schema).groupBy("row", "other").agg(F.sum("total").alias("total"))
     rows = sums.join(points.select("row", "label"), "row").join(
         counts.withColumnRenamed("label", "other"), "other"

@@ -1,6 +1,7 @@
 """Features, clusters, neighbours, forests and maps against direct computations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,42 @@ def test_kmeans(spark):
     assert segments.kmeans_segments(df.limit(2), ["a", "b"], "id", k=4).count() == 2
 
 
+def tile(x, labels, side, blocks=(0, 1)):
+    return pa.table(
+        {
+            "a": pa.array([blocks[0]] * len(x)),
+            "b": pa.array([blocks[1]] * len(x)),
+            "side": pa.array(side, pa.int32()),
+            "row": pa.array(range(len(x)), pa.int64()),
+            "x": pa.array(x.tolist(), pa.list_(pa.float64())),
+            "label": pa.array(labels),
+        }
+    )
+
+
+@pytest.mark.parametrize("strip", [1 << 20, 150])
+def test_silhouette_tiles_by_products(monkeypatch, strip):
+    """No distance of ordinary points is summed dimension by dimension; those of copies and near points stay exact."""
+    rng = np.random.default_rng(strip)
+    n = 90
+    x, labels, side = 1e6 + rng.normal(0, 1, (n, 5)), rng.choice(list("abc"), n), np.arange(n) % 2
+    x[7] = x[8] = x[9] + 1e-7
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    with monkeypatch.context() as m:
+        m.setattr(silhouettes, "STRIP", strip)
+        m.setattr(silhouettes, "_distances", None)
+        found = silhouettes._compare(tile(x, labels, side)).to_pylist()
+        within = silhouettes._compare(tile(x, labels, side * 0, (1, 1))).to_pylist()
+    assert len(found) == len(within) == 3 * n
+    for r in found:
+        assert r["total"] == pytest.approx(far[r["row"]][(side != side[r["row"]]) & (labels == r["other"])].sum(), rel=1e-12)
+    for r in within:
+        assert r["total"] == pytest.approx(far[r["row"]][labels == r["other"]].sum(), rel=1e-12)
+    x[3, 2] = 1e200  # its square has no 64-bit number
+    gaps = silhouettes.Gaps(x, x[:20]).rows(slice(0, n))
+    assert gaps[7, 8] == 0 and np.isinf(gaps[3, 4]) and gaps[5, 6] == pytest.approx(far[5, 6])
+
+
 def test_silhouettes(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (20, 3)), rng.normal(4, 1, (25, 3)), [[50.0, 50, 50]]])
@@ -235,6 +272,36 @@ def test_neighbours(spark, n, d, k, block, hot):
         assert sorted(got[i]) == sorted((round(gap[i, j], 9), j) for j in range(n) if j != i)[:k]
 
 
+def test_closest_by_products():
+    """Blocks are compared by products; copies, ties by position, own ids and far-off points are exact."""
+    rng = np.random.default_rng(3)
+    x = np.round(1e5 + rng.normal(0, 1, (300, 3)), 1)  # on a grid: many ties
+    x[20:60] = x[20]
+    ids = np.arange(300)
+    ids[100] = 99
+    for points in (x, np.where(np.arange(300)[:, None] == 250, 1e200, x)):
+        with np.errstate(over="ignore"):
+            gap = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+        gap[ids[:, None] == ids] = np.inf
+        got = {}
+        for row, pick, far in neighbours.closest(points, points, ids, ids, 7):
+            for i, j, g in zip(row.tolist(), pick.tolist(), far.tolist()):
+                got.setdefault(i, []).append((g, j))
+        for i in range(300):
+            if np.isfinite(np.sort(gap[i])[6]):
+                assert sorted(got[i]) == sorted((gap[i, j], j) for j in range(300))[:7]
+
+
+def test_neighbour_blocks_follow_the_rows(spark):
+    """A block is compared with many others in one task, so that fewer than k rows for each pair of blocks remain."""
+    x = np.random.default_rng(5).normal(0, 1, (400, 24))  # nothing can be left out in so many dimensions
+    frame = points(spark, x)
+    graph = neighbours.knn_graph(frame, "id", "features", 3, 10)
+    plan = graph._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "FlatMapCoGroupsInPandas" not in plan
+    assert graph.count() == 1200
+
+
 @pytest.mark.parametrize("n, d, block", [(3000, 2, 2), (400, 3, 8), (50, 1, 500)])
 def test_pivot_tree(n, d, block):
     """As many pivots as blocks, cells of bounded size, and no lost candidate."""
