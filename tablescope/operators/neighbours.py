@@ -32,6 +32,7 @@ PAIRS = 1 << 20  # numbers that are compared at a time
 BLOCK, LEAST_BLOCK, BLOCKS = 16_384, 2048, 32  # points in a block, smaller only if there are fewer blocks than these
 CANDIDATES = 131_072  # points that a block is compared with in one task
 BLOCK_BYTES, CANDIDATE_BYTES = 16 << 20, 64 << 20  # of these points, as 64-bit numbers
+SAMPLE = 8192  # points that bound the k-th distance, and columns of a product
 SENT = 16_384  # rows in a batch
 TASKS = 4096  # that the pairs of blocks are dealt to at most
 
@@ -173,8 +174,9 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 def closest(a: np.ndarray, b: np.ndarray, a_id: np.ndarray, b_id: np.ndarray, k: int):
     """``row of a, row of b, distance``: the k nearest of ``b`` with another id, ties by position in ``b``.
 
-    A matrix product around the middle tells which points of ``b`` can be among
-    the k nearest; those are measured by differences.
+    Some points of ``b`` bound the distance of the k-th nearest; a matrix product
+    around the middle tells which points can be that near.  Those are measured by
+    differences.
     """
     order = np.argsort(b_id, kind="stable")
     low, high = (np.searchsorted(b_id[order], a_id, side) for side in ("left", "right"))  # those with a row's own id
@@ -185,8 +187,8 @@ def closest(a: np.ndarray, b: np.ndarray, a_id: np.ndarray, b_id: np.ndarray, k:
         # what rounding may add or take, for each row
         slack = (8 + a.shape[1]) * 8 * np.finfo(float).eps * (np.sqrt(xx) + np.sqrt(yy.max())) ** 2
         plain = not np.isfinite(xx.sum() + yy.sum())
-    turned = -2 * y.T
     last = min(k, len(b)) - 1
+    enough = k - 1 + int((high - low).max())  # so many others are closer than the point of this rank, its own id aside
 
     def exact(rows: np.ndarray):
         """All of ``b`` measured against some rows."""
@@ -202,31 +204,60 @@ def closest(a: np.ndarray, b: np.ndarray, a_id: np.ndarray, b_id: np.ndarray, k:
             r, pick = np.nonzero(closer | (level & (level.cumsum(1) <= room)))
             yield some[r], pick, gap[r, pick]
 
-    step = max(1, PAIRS // len(b))
+    if plain:
+        yield from exact(np.arange(len(a)))
+        return
+    turned = np.ascontiguousarray(-2 * y.T)
+    some = np.arange(0, len(b), -(-len(b) // SAMPLE))  # bounds the distance of the k-th nearest
+    sample, most = np.ascontiguousarray(turned[:, some]), k + len(b) // 8
+    step = max(1, PAIRS // SAMPLE)
     for i in range(0, len(a), step):
         rows = np.arange(i, min(i + step, len(a)))
-        if plain:
-            yield from exact(rows)
-            continue
-        near = x[rows] @ turned
-        near += yy
-        for r, f, t in zip(range(len(rows)), low[rows], high[rows]):
-            near[r, order[f:t]] = np.inf
-        edge = np.partition(near, last, axis=1)[:, last] + 2 * slack[rows]
-        r, pick = np.nonzero(near <= edge[:, None])
-        many = np.bincount(r, minlength=len(rows)) > k + len(b) // 8  # most at the same distance
-        if many.any():
-            yield from exact(rows[many])
-            r, pick = r[~many[r]], pick[~many[r]]
-        gap, some = np.empty(len(r)), max(1, PAIRS // max(1, a.shape[1]))
-        for j in range(0, len(r), some):
-            gap[j : j + some] = np.sqrt(((a[rows[r[j : j + some]]] - b[pick[j : j + some]]) ** 2).sum(1))
+        edge = np.full(len(rows), np.inf)
+        if enough < len(some):
+            near = x[rows] @ sample + yy[some]
+            edge = np.partition(near, enough, axis=1)[:, enough] + 2 * slack[rows]
+        found, count = [], np.zeros(len(rows), int)
+        for j in range(0, len(b), SAMPLE):
+            near = x[rows] @ turned[:, j : j + SAMPLE]
+            near += yy[j : j + SAMPLE]
+            r, pick = np.divmod(np.flatnonzero(near <= edge[:, None]), near.shape[1])
+            found.append((r, pick + j, near[r, pick]))
+            count += np.bincount(r, minlength=len(rows))
+            edge[count > most] = -np.inf  # too many at nearly the same distance
+        if (count > most).any():
+            yield from exact(rows[count > most])
+        r, pick, near = (np.concatenate(c) for c in zip(*found))
+        some_ = (count <= most)[r] & (a_id[rows[r]] != b_id[pick])
+        r, pick, near = r[some_], pick[some_], near[some_]
+        best = np.lexsort([near, r])
+        place = np.arange(len(r)) - np.searchsorted(r[best], r[best])
+        edge = np.full(len(rows), np.inf)
+        edge[r[best][place == k - 1]] = near[best][place == k - 1]
+        fits = near <= (edge + 2 * slack[rows])[r]
+        r, pick = r[fits], pick[fits]
+        gap, part = np.empty(len(r)), max(1, PAIRS // max(1, a.shape[1]))
+        for j in range(0, len(r), part):
+            gap[j : j + part] = np.sqrt(((a[rows[r[j : j + part]]] - b[pick[j : j + part]]) ** 2).sum(1))
         best = np.lexsort([pick, gap, r])
         r, pick, gap = r[best], pick[best], gap[best]
         place = np.arange(len(r)) - np.searchsorted(r, r)
         yield rows[r[place < k]], pick[place < k], gap[place < k]
 
 
+def first_copies(x: np.ndarray, most: int) -> np.ndarray:
+    """The rows of ``x`` without those that have ``most`` equal rows before them."""
+    bits = np.ascontiguousarray(x).view(np.uint64)
+    with np.errstate(over="ignore"):
+        code = (bits * (np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sum(1)
+    order = np.argsort(code, kind="stable")
+    place = np.arange(len(x)) - np.searchsorted(code[order], code[order])
+    late = order[place >= most]
+    first = order[np.searchsorted(code[order], code[late])]
+    drop = late[(bits[late] == bits[first]).all(1)]  # rows with one code may still differ
+    return np.setdiff1d(np.arange(len(x)), drop, assume_unique=True)
+
+
 def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int = BLOCK) -> DataFrame:
     """``key, neighbour, distance, position``: the k nearest other rows, ties by key."""
     require_columns(df, [key, features])
@@ -323,7 +354,11 @@ def knn_graph(df: DataFrame, key: str, features: str, k: int = 15, block: int =
         theirs = theirs.take(pc.sort_indices(theirs, [("id", "ascending")]))
         a, b = (_matrix(t.column("x").combine_chunks()) for t in (mine, theirs))
         codes, _ = pd.factorize(pd.concat([t.column("id").to_pandas() for t in (mine, theirs)], ignore_index=True), use_na_sentinel=False)
-        found = [*closest(a, b, codes[: len(a)], codes[len(a) :], k)]
+        codes, others = codes[: len(a)], codes[len(a) :]
+        # later copies of a point are no nearest: so many of the earlier ones have another id
+        some = first_copies(b, k + int(np.bincount(others).max()))
+        theirs, b, others = theirs.take(pa.array(some)), b[some], others[some]
+        found = [*closest(a, b, codes, others, k)]
         rows, picks, gap = (np.concatenate(c) for c in zip(*found))
         some = np.isfinite(gap)
         ids = [t.column("id").take(pa.array(at[some])) for t, at in ((mine, rows), (theirs, picks))]
