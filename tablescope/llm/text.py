@@ -139,8 +139,9 @@ def extend(
     make: Callable,
     keep: Sequence[str] | None = None,
     also: Sequence[str] = (),
+    limit: int = 4 << 20,
 ) -> DataFrame:
-    """Add ``fields`` computed from the text column, some megabytes of text at a time.
+    """Add ``fields`` computed from the text column, about ``limit`` bytes of text at a time.
 
     ``make()`` runs once per task and returns a function from the Arrow array of
     texts (and those of the columns ``also``) to the new arrays.  ``keep`` names
@@ -157,7 +158,7 @@ def extend(
     def run(batches):
         work = make()
         for batch in batches:
-            for at, to in parts(batch.columns[-1]):
+            for at, to in parts(batch.columns[-1], limit):
                 part = batch.slice(at, to - at)
                 new = work(part.columns[-1], *part.columns[n:-1])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], names=schema.fieldNames())

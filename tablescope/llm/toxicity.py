@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,6 +31,8 @@ PLAIN = 0.05  # what a term weighs that tells nothing, relative to one e times a
 NEIGHBOURS = 25
 BLOCK = 64  # examples in a block
 COMMON = 0.1  # terms of a larger share of the examples are looked up only where they can matter
+COMMON_BYTES = 64 << 20  # of their weights, as one table; less common terms beyond it have posting lists
+PART_BYTES = 1 << 20  # of texts that are taken apart at once
 GROUPS = 32  # groups of common terms, by the examples that hold them
 TOGETHER = 32  # texts whose bounds are computed at once
 SHORT = 64  # shorter posting lists are gathered in one step
@@ -39,11 +42,12 @@ NEAR = 0.05  # keeps the weight of an equal vector finite
 STEMS = (4, 5)  # bytes of a word's beginning that are terms too
 
 
-def terms_of(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def terms_of(texts: pa.Array, known: np.ndarray | None = None, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``doc, term, count`` of the distinct terms of each text, by text and term.
 
     Terms are words and the first bytes of longer words, as 64-bit hashes; with
-    ``known`` (sorted) only those are counted and given by their position.
+    ``known`` (sorted, ``starts`` as ``places`` takes it) only those are counted and
+    given by their position.
     """
     words = Words(texts, ALNUM)
     docs, terms = [words.doc], [words.hashes()]
@@ -53,7 +57,7 @@ def terms_of(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarr
         terms.append(words.hashes(n)[longer] ^ flip)
     doc, term = np.concatenate(docs), np.concatenate(terms)
     if known is not None:
-        place = places(known, term)
+        place = places(known, term, starts)
         there = place >= 0
         cells, count = np.unique(doc[there] * max(len(known), 1) + place[there], return_counts=True)
         return cells // max(len(known), 1), (cells % max(len(known), 1)).astype(np.uint64), count
@@ -65,11 +69,16 @@ def terms_of(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarr
     return doc[at], term[at], np.diff(np.append(at, len(doc)))
 
 
-def places(known: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """The position of each term in ``known`` (sorted hashes), -1 if it is not there."""
+def starts_of(known: np.ndarray) -> np.ndarray:
+    """Where the hashes of each range begin in ``known``."""
     bits = max(len(known).bit_length(), 1)
-    shift = np.uint64(64 - bits)
-    starts = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << shift)
+    return np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+
+
+def places(known: np.ndarray, term: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The position of each term in ``known`` (sorted hashes), -1 if it is not there."""
+    shift = np.uint64(64 - max(len(known).bit_length(), 1))
+    starts = starts_of(known) if starts is None else starts
     padded = np.append(known, np.uint64(2**64 - 1))
     at = starts[(term >> shift).astype(np.int64)]
     late = np.flatnonzero(padded[at] < term)
@@ -118,12 +127,20 @@ class Index:
         """Lay out what ``nearest`` needs; done where the index is used, so that it travels in few bytes."""
         n = len(self.ids)
         term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.postings)
-        weight = (1 + np.log(self.count.astype(float))) * self.idf[term] / self.size[self.example]
+        weight = self.count.astype(float)
+        np.log(weight, out=weight)
+        weight += 1
+        weight *= self.idf[term]
+        weight /= self.size[self.example]
         many = self.postings > max(COMMON * n, 1)
+        room = COMMON_BYTES // (8 * max(n, 1))
+        if many.sum() > room:
+            many[np.argsort(-self.postings, kind="stable")[room:]] = False
+        self.starts = starts_of(self.terms)
         self.slot = np.where(many, np.cumsum(many) - 1, -1)  # the number of each common term
         width = int(many.sum())
         apart = many[term]
-        self.listed, self.share = self.example[~apart].astype(np.int64), weight[~apart]
+        self.listed, self.share = self.example[~apart], weight[~apart]
         self.ends = np.concatenate([[0], np.cumsum(np.where(many, 0, self.postings), dtype=np.int64)])
         example, slot, weight = self.example[apart].astype(np.int64), self.slot[term[apart]], weight[apart]
         del term, apart
@@ -136,9 +153,8 @@ class Index:
         self.block[order] = np.arange(n) // BLOCK
         self.most = np.zeros((int(self.block.max(initial=0)) + 1, width))
         np.maximum.at(self.most, (self.block[example], slot), weight)
-        order = np.argsort(example, kind="stable")
-        self.slots, self.weights = slot[order].astype(np.int32), weight[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(example, minlength=n))])
+        self.table = np.zeros((n, width))
+        self.table[example, slot] = weight
         self.opened = 0
         return self
 
@@ -190,10 +206,7 @@ class Index:
             if len(rest) > step:
                 rest = rest[np.argpartition(-bound[rest], step)[:step]]
             bound[rest] = -9
-            n = self.first[rest + 1] - self.first[rest]
-            at = np.arange(int(n.sum())) + np.repeat(self.first[rest] - np.cumsum(n) + n, n)
-            part = query[self.slots[at]] * self.weights[at]
-            part = cosine[rest] + np.bincount(np.repeat(np.arange(len(rest)), n), part, minlength=len(rest))
+            part = cosine[rest] + self.table[rest] @ query
             found, exact = np.concatenate([found, rest]), np.concatenate([exact, part])
             self.opened += len(rest)
             if len(exact) >= k:
@@ -271,10 +284,11 @@ def grouped(example: np.ndarray, slot: np.ndarray, weight: np.ndarray, n: int, w
 READY: dict[str, Index] = {}  # the index that this Python worker has laid out, by name
 
 
-def ready(name: str, index: Index) -> Index:
+def ready(name: str, held: Broadcast) -> Index:
+    """The laid-out index; one before it goes first, so that no worker holds two."""
     if name not in READY:
         READY.clear()
-        READY[name] = index.prepare()
+        READY[name] = held.value.prepare()
     return READY[name]
 
 
@@ -349,11 +363,12 @@ def fit(
 
     def frequencies(batches):
         known = held.value
+        starts = starts_of(known)
         total, rows = np.zeros(len(known), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for at, to in parts(batch.column(0)):
-                _, term, _ = terms_of(batch.column(0).slice(at, to - at), known)
+            for at, to in parts(batch.column(0), PART_BYTES):
+                _, term, _ = terms_of(batch.column(0).slice(at, to - at), known, starts)
                 total += np.bincount(term.astype(np.int64), minlength=len(known))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["term", "n"])
@@ -394,7 +409,7 @@ def leave_one_out(spark: SparkSession, index: Index) -> None:
     def cast(batches):
         for batch in batches:
             some = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready(name, held.value).own_vote(some))], names=["id", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready(name, held).own_vote(some))], names=["id", "vote"])
 
     votes = spark.range(0, n, 1, -(-n // EXAMPLES_A_TASK) or 1).mapInArrow(cast, "id long, vote double").toArrow()
     vote = votes["vote"].to_numpy()
@@ -433,10 +448,10 @@ def score(
     evidence = to_arrow_type(fields[1].dataType)
 
     def make():
-        index = ready(name, held.value)
+        index = ready(name, held)
 
         def work(texts):
-            doc, term, count = terms_of(texts, index.terms)
+            doc, term, count = terms_of(texts, index.terms, index.starts)
             starts, term, weight = index.vectors(doc, term.astype(np.int64), count, len(texts))
             scores = np.full(len(texts), index.base)
             near: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -450,7 +465,7 @@ def score(
 
         return work
 
-    return extend(docs, text, fields, make, keep)
+    return extend(docs, text, fields, make, keep, limit=PART_BYTES)
 
 
 def toxicity(

@@ -129,3 +129,30 @@ def test_text_features():
     named = dict(zip(quality.FEATURES, rows[0]))
     assert named["words"] == np.log1p(3) and named["distinct words"] == 2 / 3 and named["upper case"] == 1 / 11
     assert not rows[1:].any()
+
+
+def test_one_table_of_common_terms(monkeypatch):
+    """Common terms beyond the table's bytes have posting lists, with the same neighbours; a worker holds one index."""
+    rng = np.random.default_rng(2)
+    n, terms = 200, 24
+    doc, term = np.nonzero(rng.random((n, terms)) < rng.uniform(0.05, 0.9, terms))
+    count, idf = rng.integers(1, 4, len(doc)), rng.uniform(0.5, 3, terms)
+    make = lambda: toxicity.Index.build(np.arange(terms, dtype=np.uint64), idf, list(range(n)), np.zeros(n), doc, term, count, 0.1)
+    whole = make().prepare()
+    monkeypatch.setattr(toxicity, "COMMON_BYTES", 8 * n * 3)
+    cut = make().prepare()
+    assert cut.table.shape == (n, 3) and whole.table.shape[1] > 3
+    for i in range(20):
+        q, w = np.sort(rng.choice(terms, 6, replace=False)), rng.uniform(0.1, 1, 6)
+        (a, x), (b, y) = (index.nearest(q, w / np.linalg.norm(w), k=5) for index in (whole, cut))
+        assert a.tolist() == b.tolist() and np.allclose(x, y)
+
+    class Held:
+        @property
+        def value(self):
+            assert not toxicity.READY  # the index before it is gone by then
+            return make()
+
+    toxicity.READY["old"] = whole
+    assert toxicity.ready("new", Held()).table.shape == (n, 3) and list(toxicity.READY) == ["new"]
+    toxicity.READY.clear()
