@@ -21,7 +21,7 @@ def texts(df):
 def test_registered():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
     assert {"pipeline"} | {n for n in entries.queries() if n.startswith("op")} >= {"pipeline"}
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_line_stage_against_plain_version(spark, docs):
