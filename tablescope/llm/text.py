@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-BLOCK_BYTES = 2 << 20  # bytes that are widened to 64-bit numbers at a time
+SPAN = 1 << 16  # bytes that are widened to 64-bit numbers at a time
 LONG_WORD = 1 << 14  # longer words are hashed one by one
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,7 +38,9 @@ def numbers(n: int, seed: int) -> np.ndarray:
 
 
 BYTE_CODE = numbers(256, 1)
-PLACE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(LONG_WORD, 0x5851F42D4C957F2D, dtype=np.uint64))])
+FACTOR = 0x5851F42D4C957F2D
+PLACE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(SPAN, FACTOR, dtype=np.uint64))])
+BACK = np.concatenate([[np.uint64(1)], np.cumprod(np.full(SPAN, pow(FACTOR, -1, 1 << 64), dtype=np.uint64))])  # inverses of PLACE
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +89,16 @@ class Words:
         if longest is not None:
             size = np.minimum(size, longest)
         out = np.zeros(len(size), np.uint64)
-        total = np.concatenate([[0], np.cumsum(np.minimum(size, LONG_WORD))])
+        n = np.minimum(size, LONG_WORD)
         at = 0
         while at < len(size):
-            to = max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_BYTES, "right")) - 1)
-            n = np.minimum(size[at:to], LONG_WORD)
-            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-            place = np.arange(int(n.sum())) - np.repeat(begin, n)
-            letters = self.data[np.repeat(self.start[at:to], n) + place]
-            out[at:to] = np.add.reduceat(BYTE_CODE[letters] * PLACE[place], begin)
+            low = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, low + SPAN, "right")))
+            begin, stop = self.start[at:to] - low, self.start[at:to] - low + n[at:to]
+            # differences of one running sum over all letters, taken back to the word's first place
+            sums = np.zeros(stop[-1] + 1, np.uint64)
+            np.cumsum(BYTE_CODE.take(self.data[low : low + stop[-1]]) * PLACE[: stop[-1]], out=sums[1:])
+            out[at:to] = (sums[stop] - sums[begin]) * BACK[begin]
             at = to
         for i in np.flatnonzero(size > LONG_WORD):
             out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.start[i] + size[i]].tobytes())

@@ -31,11 +31,10 @@ PLAIN = 0.05  # what a term weighs that tells nothing, relative to one e times a
 NEIGHBOURS = 25
 BLOCK = 64  # examples in a block
 COMMON = 0.1  # terms of a larger share of the examples are looked up only where they can matter
-COMMON_BYTES = 64 << 20  # of their weights, as one table; less common terms beyond it have posting lists
+COMMON_BYTES = 64 << 20  # of their counts, as one table of 64-bit numbers, which narrower ones undercut; less common terms beyond it have posting lists
 PART_BYTES = 1 << 20  # of texts that are taken apart at once
 GROUPS = 32  # groups of common terms, by the examples that hold them
 TOGETHER = 32  # texts whose bounds are computed at once
-SHORT = 64  # shorter posting lists are gathered in one step
 SKETCH = 64  # random signs that compare two common terms
 EXAMPLES_A_TASK = 512  # examples that vote on each other in one task
 NEAR = 0.05  # keeps the weight of an equal vector finite
@@ -88,6 +87,15 @@ def places(known: np.ndarray, term: np.ndarray, starts: np.ndarray | None = None
     return np.where((padded[at] == term) & (at < len(known)), at, -1)
 
 
+def spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    n = end - start
+    last = np.cumsum(n)
+    out = np.arange(int(last[-1]) if len(n) else 0)
+    out += np.repeat(start - last + n, n)
+    return out
+
+
 @dataclass
 class Index:
     """The examples and the calibration of their votes.
@@ -127,11 +135,9 @@ class Index:
         """Lay out what ``nearest`` needs; done where the index is used, so that it travels in few bytes."""
         n = len(self.ids)
         term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.postings)
-        weight = self.count.astype(float)
-        np.log(weight, out=weight)
-        weight += 1
-        weight *= self.idf[term]
-        weight /= self.size[self.example]
+        # a weight is the factor of its count by those of its term and its example, so postings need no weights
+        self.factor = np.zeros(int(self.count.max(initial=0)) + 1)
+        self.factor[1:] = 1 + np.log(np.arange(1, len(self.factor)))
         many = self.postings > max(COMMON * n, 1)
         room = COMMON_BYTES // (8 * max(n, 1))
         if many.sum() > room:
@@ -140,9 +146,18 @@ class Index:
         self.slot = np.where(many, np.cumsum(many) - 1, -1)  # the number of each common term
         width = int(many.sum())
         apart = many[term]
-        self.listed, self.share = self.example[~apart], weight[~apart]
+        # the list of a term is made of runs of one count each
+        listed, times, heads = self.example[~apart], self.count[~apart], term[~apart]
+        order = np.lexsort((times, heads))
+        self.listed, times, heads = listed[order], times[order], heads[order]
         self.ends = np.concatenate([[0], np.cumsum(np.where(many, 0, self.postings), dtype=np.int64)])
-        example, slot, weight = self.example[apart].astype(np.int64), self.slot[term[apart]], weight[apart]
+        fresh = np.flatnonzero(np.append(True, (heads[1:] != heads[:-1]) | (times[1:] != times[:-1]))[: len(heads)])
+        self.long = np.diff(np.append(fresh, len(heads))).astype(np.int32)
+        self.by = self.factor[times[fresh]]
+        self.runs = np.searchsorted(heads[fresh], np.arange(len(self.terms) + 1))
+        del listed, times, heads, order, fresh
+        example, count, term = self.example[apart].astype(np.int64), self.count[apart], term[apart]
+        slot, weight = self.slot[term], self.factor[count] * self.idf[term] / self.size[example]
         del term, apart
         self.group = grouped(example, slot, weight, n, width)
         norms = np.bincount(example * GROUPS + self.group[slot], weight * weight, minlength=n * GROUPS)
@@ -153,8 +168,9 @@ class Index:
         self.block[order] = np.arange(n) // BLOCK
         self.most = np.zeros((int(self.block.max(initial=0)) + 1, width))
         np.maximum.at(self.most, (self.block[example], slot), weight)
-        self.table = np.zeros((n, width))
-        self.table[example, slot] = weight
+        self.table = np.zeros((n, width), count.dtype)
+        self.table[example, slot] = count
+        self.common_idf = self.idf[many]
         self.opened = 0
         return self
 
@@ -186,27 +202,25 @@ class Index:
 
     def essential(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """What terms of few examples give to the cosine of each example."""
-        start, n = self.ends[term], self.ends[term + 1] - self.ends[term]
-        short = n < SHORT
-        long = [slice(a, a + m) for a, m in zip(start[~short].tolist(), n[~short].tolist())]
-        start, weight, n = start[short], np.concatenate([weight[short], weight[~short]]), np.concatenate([n[short], n[~short]])
-        m = n[: len(start)]
-        at = np.arange(int(m.sum())) + np.repeat(start - np.cumsum(m) + m, m)
-        share = np.concatenate([self.share[at], *[self.share[x] for x in long]])
-        share *= np.repeat(weight, n)
-        return np.bincount(np.concatenate([self.listed[at], *[self.listed[x] for x in long]]), share, minlength=len(self.ids))
+        at = spread(self.ends[term], self.ends[term + 1])
+        run = spread(self.runs[term], self.runs[term + 1])
+        weight = np.repeat(weight * self.idf[term], self.runs[term + 1] - self.runs[term]) * self.by[run]
+        share = np.bincount(self.listed.take(at), np.repeat(weight, self.long[run]), minlength=len(self.ids))
+        return share / self.size
 
     def common(self, cosine: np.ndarray, bound: np.ndarray, query: np.ndarray, k: int):
         """Add what common terms give, to all examples whose bound reaches the k-th best cosine."""
         # nothing is negative, so the k-th best of what is known so far is a least cosine
         least = max(1e-12, float(np.partition(cosine, -k)[-k]) if len(cosine) >= k else 0.0)
         found, exact, step = np.zeros(0, np.int64), np.zeros(0), 2 * k
+        own = np.flatnonzero(query)
+        query = query[own] * self.common_idf[own]
         rest = np.flatnonzero(bound >= least - 1e-9)
         while len(rest):
             if len(rest) > step:
                 rest = rest[np.argpartition(-bound[rest], step)[:step]]
             bound[rest] = -9
-            part = cosine[rest] + self.table[rest] @ query
+            part = cosine[rest] + self.factor.take(self.table[rest[:, None], own], mode="clip") @ query / self.size[rest]
             found, exact = np.concatenate([found, rest]), np.concatenate([exact, part])
             self.opened += len(rest)
             if len(exact) >= k:
@@ -284,11 +298,21 @@ def grouped(example: np.ndarray, slot: np.ndarray, weight: np.ndarray, n: int, w
 READY: dict[str, Index] = {}  # the index that this Python worker has laid out, by name
 
 
-def ready(name: str, held: Broadcast) -> Index:
-    """The laid-out index; one before it goes first, so that no worker holds two."""
+def ready(name: str, held: Broadcast, votes: bool = False) -> Index:
+    """The laid-out index; one before it goes first, so that no worker holds two.
+
+    Spark hands tasks to all workers it has started for a job's longest chain of
+    steps, so each of them comes to hold one.  Only ``votes`` of the examples on
+    each other need their own terms.
+    """
     if name not in READY:
         READY.clear()
-        READY[name] = held.value.prepare()
+        index = held.value
+        if not hasattr(index, "table"):  # an index that comes back is laid out already
+            index.prepare()
+        if not votes:
+            index.example = index.count = None
+        READY[name] = index
     return READY[name]
 
 
@@ -409,7 +433,7 @@ def leave_one_out(spark: SparkSession, index: Index) -> None:
     def cast(batches):
         for batch in batches:
             some = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready(name, held).own_vote(some))], names=["id", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready(name, held, votes=True).own_vote(some))], names=["id", "vote"])
 
     votes = spark.range(0, n, 1, -(-n // EXAMPLES_A_TASK) or 1).mapInArrow(cast, "id long, vote double").toArrow()
     vote = votes["vote"].to_numpy()

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.llm import quality, toxicity
+from tablescope.llm import quality, text, toxicity
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -156,3 +156,42 @@ def test_one_table_of_common_terms(monkeypatch):
     toxicity.READY["old"] = whole
     assert toxicity.ready("new", Held()).table.shape == (n, 3) and list(toxicity.READY) == ["new"]
     toxicity.READY.clear()
+
+
+def test_index_holds_counts(monkeypatch):
+    """A worker keeps a few bytes for each posting and no 64-bit weights; one that only scores drops the examples' own terms."""
+    rng = np.random.default_rng(4)
+    n, terms = 3000, 60
+    doc, term = np.nonzero(rng.random((n, terms)) < rng.uniform(0.02, 0.4, terms))
+    count, idf = rng.choice([1, 1, 1, 2, 5, 300], len(doc)), rng.uniform(0.5, 3, terms)
+    make = lambda: toxicity.Index.build(np.arange(terms, dtype=np.uint64), idf, list(range(n)), np.zeros(n), doc, term, count, 0.1)
+
+    class Held:
+        value = property(lambda self: make())
+
+    index = toxicity.ready("scores", Held())
+    assert index.example is None and index.count is None
+    assert toxicity.ready("votes", Held(), votes=True).own_vote(np.arange(5)).shape == (5,)
+    toxicity.READY.clear()
+    held = [x for x in vars(index).values() if isinstance(x, np.ndarray) and x.size >= n * 4 and x is not index.norms]
+    assert held and all(x.itemsize <= 2 for x in held)
+    full = np.zeros((n, terms))
+    full[doc, term] = (1 + np.log(count)) * idf[term] / index.size[doc]
+    for _ in range(20):
+        q, w = np.sort(rng.choice(terms, 12, replace=False)), rng.uniform(0.1, 1, 12)
+        w /= np.linalg.norm(w)
+        at, cosine = index.nearest(q, w, k=9)
+        every = np.round(full[:, q] @ w, 12)
+        assert sorted(at.tolist()) == np.flatnonzero(every >= np.sort(every)[-9]).tolist() and np.allclose(cosine, every[at])
+
+
+def test_word_hashes(monkeypatch):
+    """Hashes by running sums equal those of each word on its own, also across spans and in long words."""
+    texts = pa.array(["Ab cd ab", None, "", "x" * 20000 + " " + "y" * 16384, "é" * 300 + " tail", " ".join(f"w{i}" for i in range(20000))])
+    words = text.Words(texts, text.NOT_SPACE)
+    for longest in (None, 4):
+        got = words.hashes(longest)
+        monkeypatch.setattr(text, "SPAN", 1)
+        assert (got == words.hashes(longest)).all()  # each word is a span of its own
+        monkeypatch.undo()
+    assert got[0] == got[2] != got[1]
