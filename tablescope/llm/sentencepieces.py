@@ -26,8 +26,10 @@ from tablescope.session import checkpoint
 
 CHUNK = 32_768  # characters
 SPACE = "▁"
-MEMORY = 100_000  # pairs that a task remembers
-SEGMENTS = 150_000  # short segments that a task remembers
+MEMORY = 200_000  # pairs that a worker remembers
+SEGMENTS = 150_000  # short segments that a worker remembers
+NODES = 400_000  # beginnings of short segments that a worker remembers
+SHORT = 64  # characters of a short segment
 LOWEST = -np.inf
 IDS = T.ArrayType(T.IntegerType(), False)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -88,18 +90,32 @@ class Encoder:
         self.pairs: dict[str | None, dict[str, bool]] = {}
         self.n_pairs = 0
         self.known: dict[str, list[int]] = {}
+        self.nodes: dict[str, str] = {}
         self.segments = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if model.breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a few letters: the best adjacent pair is merged first, of equal ones the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            scores = [self.score.get(a + b, LOWEST) for a, b in zip(parts, parts[1:])]
+        return self.merge(list(text), 0)
+
+    def merge(self, parts: list[str], border: int) -> list[str]:
+        """``merged`` from single letters; empty as soon as the letters on the two sides of a border (not 0) merge."""
+        score = self.score.get
+        scores = [score(a + b, LOWEST) for a, b in zip(parts, parts[1:])]
+        while scores:
             best = max(scores)
             if best == LOWEST:
                 break
             i = scores.index(best)
+            if i < border:
+                border -= 1
+                if i == border:
+                    return []
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], LOWEST)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], LOWEST)
         return parts
 
     def apart(self, before: str | None, piece: str) -> bool:
@@ -108,7 +124,7 @@ class Encoder:
             self.pairs.clear()
             self.n_pairs = 0
         alone = before is None or before not in self.ids
-        found = self.merged(piece) == [piece] if alone else self.merged(before + piece) == [before, piece]
+        found = self.merged(piece) == [piece] if alone else self.merge(list(before + piece), len(before)) == [before, piece]
         self.pairs.setdefault(before, {})[piece] = found
         self.n_pairs += 1
         return found
@@ -137,6 +153,42 @@ class Encoder:
                 break
         return value, last
 
+    def beginnings(self, text: str) -> list[str]:
+        """The pieces of a short segment, as ``merge_paths`` finds them.
+
+        The node at a place depends on the letters before it alone, so segments
+        that begin alike share their nodes; only those after the longest known
+        beginning are looked for.
+        """
+        ids, longest, pairs, nodes = self.ids, self.model.longest, self.pairs, self.nodes
+        if len(nodes) >= NODES:
+            nodes.clear()
+        n = len(text)
+        at = n
+        while at and text[:at] not in nodes:
+            at -= 1
+        for j in range(at + 1, n + 1):
+            for i in range(j - 1, max(0, j - longest) - 1, -1):
+                piece = text[i:j]
+                if piece in ids:
+                    before = nodes[text[:i]] if i else None
+                    known = pairs.get(before)
+                    fits = None if known is None else known.get(piece)
+                    if fits is None:
+                        fits = self.apart(before, piece)
+                    if not fits:
+                        continue
+                elif i + 1 < j:
+                    continue
+                nodes[text[:j]] = piece
+                break
+        pieces = []
+        while n:
+            piece = nodes[text[:n]]
+            pieces.append(piece)
+            n -= len(piece)
+        return pieces[::-1]
+
     def paths(self, text: str, start: int, before: str | None, limit: int | None = None):
         """Best weights and last pieces of all places reached from ``start``, a piece having ended there.
 
@@ -182,9 +234,12 @@ class Encoder:
         """The ids of a stretch at whose ends every path has a node."""
         found = self.known.get(text)
         if found is None:
-            _, last = self.paths(text, 0, None)
-            found = self.traced(last, 0, len(text))
-            if len(text) <= 64:
+            short = len(text) <= SHORT
+            if short and self.bpe:
+                found = self.ids_of(self.beginnings(text))
+            else:
+                found = self.traced(self.paths(text, 0, None)[1], 0, len(text))
+            if short:
                 if len(self.known) >= SEGMENTS:
                     self.known.clear()
                 self.known[text] = found

@@ -96,3 +96,31 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "m").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         sp.read_model(str(tmp_path / "m"))
+
+
+def test_beginnings_share_nodes(monkeypatch):
+    """Segments that begin alike look for the nodes after their common letters only; the ids stay those of the merges."""
+    encoder = sp.Encoder(sp.read_model(MODEL_FILE))
+    encoder.segment("▁internation")
+    asked = []
+    apart = encoder.apart
+    monkeypatch.setattr(encoder, "apart", lambda before, piece: asked.append(piece) or apart(before, piece))
+    encoder.pairs.clear()
+    assert encoder.segment("▁internationsh") == encoder.ids_of(encoder.merged("▁internationsh"))
+    assert asked and all(p[-1] in "sh" for p in asked)
+    rng = random.Random(3)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    monkeypatch.setattr(sp, "NODES", 40)  # forgets its nodes again and again
+    monkeypatch.setattr(sp, "MEMORY", 30)
+    for _ in range(300):
+        text = "".join(rng.choice(LETTERS) for _ in range(rng.randint(1, 40)))
+        assert encoder.encode(encoder.normal(text)) == library.encode(text)
+
+
+def test_merges_across_a_border():
+    """The pieces of a pair are given up as soon as letters of both merge, and else are those of plain merging."""
+    encoder = sp.Encoder(sp.read_model(MODEL_FILE))
+    pieces = random.Random(1).sample([p for p in encoder.ids if 1 < len(p) < 9], 400)
+    for a, b in zip(pieces, pieces[1:]):
+        b = b.lstrip(sp.SPACE) or "x"
+        assert (encoder.merge(list(a + b), len(a)) == [a, b]) == (encoder.merged(a + b) == [a, b])
