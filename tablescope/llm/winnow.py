@@ -8,6 +8,8 @@ kept with it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,6 +21,7 @@ WINDOW = 32  # hashes in a window
 PIECE = 16384  # windows that are examined at a time, so that a long text takes no more memory
 PRIME = 2**31 - 1
 BASE = 911  # so small that two code points need no remainder yet
+NEAR = 6  # hashes on either side that are looked at before a window's minimum
 PLACES = 1 << 16  # more than a piece has places
 BLOCK_BYTES = 128 << 20  # bytes of text in a block of neighbours, about
 
@@ -187,8 +190,12 @@ def selected(rows: DataFrame, parts: str, gram: int, window: int) -> DataFrame:
     i = F.col("i")
     inside = F.slice("hashes", i + 1, F.lit(window))
     least, newest, left = F.array_min(inside), F.get("hashes", i + (window - 1)), F.get("hashes", i - 1)
+    # most windows are told apart by a few hashes next to the two that decide, without their minimum
+    few = range(1, min(NEAR, window - 1) + 1)
+    came = reduce(and_, [newest <= F.get("hashes", i + (window - 1 - k)) for k in few], F.lit(True))
+    went = reduce(and_, [left < F.get("hashes", i + (k - 1)) for k in few], F.lit(True))
     # one comparison, so that the minimum is computed once: least >= newest or least > left
-    rows = rows.where(i.isNull() | (i == 0) | (least >= F.least(newest, left + 1)))
+    rows = rows.where(i.isNull() | (i == 0) | ((came | went) & (least >= F.least(newest, left + 1))))
     from_end = F.array_position(F.reverse(inside), least)  # of equal hashes the rightmost
     return rows.select(*carried, "kind", mark_of(least, F.col("at") + i + F.size(inside) - from_end).alias("mark"))
 

@@ -117,3 +117,14 @@ def test_parameters(spark):
     for gram, window in [(3, 8), (8, 3), (8192, 8)]:
         with pytest.raises(ValueError):
             winnow.marks(F.lit("x"), gram, window)
+
+
+def test_windows_told_apart_by_neighbours(spark):
+    """Rising, falling, equal and wave-like hashes, where the hashes next to those that decide tell little."""
+    waves = ["a" * 300, "abcdefghijklmnopqrstuvwxyz" * 12, "zyxwvutsrqponmlkjihgfedcba" * 12, ("ab" * 40 + "b" * 40) * 3]
+    waves += ["".join(chr(97 + abs(k % (2 * p) - p)) for k in range(400)) for p in (3, 5, 7, 13, 25)]
+    docs = spark.createDataFrame(list(enumerate(waves)), "doc_id long, text string")
+    for gram, window in ((1, 2), (1, 8), (2, 16), (16, 32)):
+        got = {r["doc_id"]: r["text_marks"] for r in winnow.edited_fingerprints(docs, gram=gram, window=window).collect()}
+        for k, t in enumerate(waves):
+            assert [(m >> 31, m & (2**31 - 1)) for m in got[k]] == plain_marks(t, gram, window)
