@@ -301,9 +301,7 @@ READY: dict[str, Index] = {}  # the index that this Python worker has laid out,
 def ready(name: str, held: Broadcast, votes: bool = False) -> Index:
     """The laid-out index; one before it goes first, so that no worker holds two.
 
-    Spark hands tasks to all workers it has started for a job's longest chain of
-    steps, so each of them comes to hold one.  Only ``votes`` of the examples on
-    each other need their own terms.
+    Only ``votes`` of the examples on each other need their own terms.
     """
     if name not in READY:
         READY.clear()
