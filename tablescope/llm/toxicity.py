@@ -33,6 +33,8 @@ BLOCK = 64  # examples in a block
 COMMON = 0.1  # terms of a larger share of the examples are looked up only where they can matter
 COMMON_BYTES = 64 << 20  # of their counts, as one table of 64-bit numbers, which narrower ones undercut; less common terms beyond it have posting lists
 PART_BYTES = 1 << 20  # of texts that are taken apart at once
+RANGES = 64  # of terms, whose postings are put in order by a task each
+SIZES = 1 << 18  # postings whose weights the driver holds at once
 GROUPS = 32  # groups of common terms, by the examples that hold them
 TOGETHER = 32  # texts whose bounds are computed at once
 SKETCH = 64  # random signs that compare two common terms
@@ -122,13 +124,20 @@ class Index:
     def build(terms, idf, ids, toxic, doc, term, count, base) -> Index:
         """Postings from the examples' term counts; ``doc`` numbers the examples and rises."""
         small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-        weight = (1 + np.log(count)) * idf[term]
-        size = np.sqrt(np.bincount(doc, weight * weight, minlength=len(ids)))
-        del weight
-        size = np.where(size > 0, size, 1)
         order = np.argsort(term, kind="stable")
-        example, count = small(doc)[order], small(count)[order]
         postings = np.bincount(term, minlength=len(terms)).astype(np.int32)
+        return Index.posted(terms, idf, ids, toxic, small(doc)[order], small(count)[order], postings, base)
+
+    @staticmethod
+    def posted(terms, idf, ids, toxic, example, count, postings, base) -> Index:
+        """An index of postings that are in order; ``SIZES`` of them are weighed at a time."""
+        size, ends = np.zeros(len(ids)), np.cumsum(postings, dtype=np.int64)
+        for at in range(0, len(example), SIZES):
+            some = slice(at, at + SIZES)
+            term = np.searchsorted(ends, np.arange(at, min(at + SIZES, len(example))), "right")
+            np.add.at(size, example[some], ((1 + np.log(count[some].astype(float))) * idf[term]) ** 2)
+        size = np.sqrt(size)
+        size = np.where(size > 0, size, 1)
         return Index(terms, idf, list(ids), toxic, size, example, count, postings, base)
 
     def prepare(self) -> Index:
@@ -319,6 +328,83 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def telling_terms(facts: Broadcast):
+    """``term, n, toxic``: in how many different sets of a task's examples each term is, and how many of them are toxic."""
+
+    def run(batches):
+        rows, _, once, worst = facts.value
+        for batch in batches:
+            at, sizes = np.searchsorted(rows, batch.column(0).to_numpy()), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            term, back = np.unique(batch.column(1).flatten().to_numpy(), return_inverse=True)
+            n = np.bincount(back, np.repeat(once[at], sizes), minlength=len(term)).astype(np.int64)
+            bad = np.bincount(back, np.repeat(once[at] * worst[at], sizes), minlength=len(term)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), pa.array(bad)], names=["term", "n", "toxic"])
+
+    return run
+
+
+def ranges_of_terms(facts: Broadcast, held: Broadcast):
+    """The postings of a task's examples, dealt to ``RANGES`` ranges of terms; numbers as bytes of 32 bits."""
+
+    def run(batches):
+        rows, number, _, _ = facts.value
+        known = held.value
+        starts = starts_of(known)
+        for batch in batches:
+            at, sizes = np.searchsorted(rows, batch.column(0).to_numpy()), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            term = places(known, batch.column(1).flatten().to_numpy().view(np.uint64), starts)
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            part = term * RANGES // max(len(known), 1)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            doc = np.repeat(number[at], sizes)[order]
+            count = batch.column(2).flatten().to_numpy()[order]
+            sides = [[x[a:z].astype(np.int32).tobytes() for a, z in zip(cut, [*cut[1:], len(part)])] for x in (term, doc, count)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[cut], pa.int32()), *(pa.array(x, pa.binary()) for x in sides)], names=["part", "term", "doc", "count"]
+            )
+
+    return run
+
+
+def merged_postings(table: pa.Table) -> pa.Table:
+    """The postings of one range, by term and example; an example of several texts has the largest count.
+
+    Counts come back in the least ``width`` that holds them.
+    """
+    term, doc, count = (np.frombuffer(b"".join(table[c].to_pylist()), np.int32) for c in ("term", "doc", "count"))
+    order = np.lexsort((doc, term))
+    term, doc, count = term[order], doc[order], count[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max())))
+    count = small(np.maximum.reduceat(count, first))
+    heads, n = np.unique(term[first], return_counts=True)
+    packed = [np.stack([heads, n.astype(np.int32)]), doc[first].astype(np.uint16 if doc.max() < 1 << 16 else np.int32), count]
+    widths = packed[1].itemsize * 16 + count.itemsize
+    return pa.table(
+        {
+            "part": table["part"].combine_chunks().slice(0, 1),
+            **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("term", "doc", "count"), packed)},
+            "width": pa.array([widths], pa.int32()),
+        }
+    )
+
+
+def laid_out(found: pa.Table, n: int, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``example, count, postings`` of an index from the ranges that ``merged_postings`` gave."""
+    postings = np.zeros(terms, np.int32)
+    ranges = sorted(range(found.num_rows), key=found["part"].to_pylist().__getitem__)
+    examples, counts = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
+    for i in ranges:
+        width = found["width"][i].as_py()
+        heads = np.frombuffer(found["term"][i].as_buffer(), np.int32).reshape(2, -1)
+        postings[heads[0]] = heads[1]
+        examples.append(np.frombuffer(found["doc"][i].as_buffer(), np.uint16 if width // 16 == 2 else np.int32))
+        counts.append(np.frombuffer(found["count"][i].as_buffer(), f"u{width % 16}"))
+    kind = np.min_scalar_type(max(n - 1, 0))
+    return np.concatenate([x.astype(kind, copy=False) for x in examples]), np.concatenate(counts), postings
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -344,44 +430,48 @@ def fit(
         def work(texts):
             n = len(texts)
             doc, term, count = terms_of(texts)
+            mark = np.zeros(n, np.uint64)  # of the set of terms
+            np.add.at(mark, doc, mix(term))
             sizes = np.bincount(doc, minlength=n)
             return [
                 lists(term.view(np.int64), sizes, pa.int64()),
                 lists(count.astype(np.int32), sizes, pa.int32()),
+                pa.array(mark.view(np.int64)),
             ]
 
         return work
 
     fields = [T.StructField("terms", T.ArrayType(T.LongType(), False)), T.StructField("counts", T.ArrayType(T.IntegerType(), False))]
-    examples = checkpoint(extend(source, "text", fields, make, ["key", "toxic"]).dropDuplicates(["key", "terms", "counts"]))
-    # the driver holds the examples' terms as 32-bit numbers, and their hashes only for a moment
-    table = examples.orderBy("key").toArrow()
+    examples = extend(source, "text", [*fields, T.StructField("mark", T.LongType())], make, ["key", "toxic"])
+    examples = checkpoint(examples.dropDuplicates(["key", "terms", "counts"]).withColumn("row", F.monotonically_increasing_id()))
+    # terms stay in the tasks; the driver has the rows, what all examples say of a term, and the finished postings
+    table = examples.select("key", "toxic", "mark", "row").orderBy("key").toArrow()
     keys, said = table["key"].to_pylist(), table["toxic"].to_numpy().astype(float)
-    sizes = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy(zero_copy_only=False) for x in table["terms"].chunks)]).astype(np.int64)
-    known = np.zeros(0, np.uint64)
-    for x in table["terms"].chunks:
-        known = np.union1d(known, x.flatten().to_numpy().view(np.uint64))
-    term = np.concatenate(
-        [np.zeros(0, np.int32), *(places(known, x.flatten().to_numpy().view(np.uint64)).astype(np.int32) for x in table["terms"].chunks)]
-    )
-    count = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in table["counts"].chunks)])
-    del table
-    pa.default_memory_pool().release_unused()
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    rows = table["row"].to_numpy()
 
     # examples with the same set of terms count once, as toxic if one of them is
-    mark = np.zeros(len(sizes), np.uint64)
-    np.add.at(mark, row, mix(known)[term])
-    _, one, alike = np.unique(mark, return_index=True, return_inverse=True)
+    _, one, alike = np.unique(table["mark"].to_numpy(), return_index=True, return_inverse=True)
     worst = np.zeros(len(one))
     np.maximum.at(worst, alike, said)
     p = min(max(float(worst.mean()) if len(one) else 0.0, 1e-6), 1 - 1e-6)
-    once = np.isin(np.arange(len(sizes)), one)[row]
-    n = np.bincount(term[once], minlength=len(known))
-    t = np.bincount(term[once], worst[alike[row[once]]], minlength=len(known))
+    once = np.isin(np.arange(len(rows)), one)
+    # one example per key; the texts of a repeated key are one
+    fresh = np.array([i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))], bool)
+    number = np.cumsum(fresh) - 1
+    labelled = [keys[i] for i in np.flatnonzero(fresh)]
+    toxic = said[fresh]
+
+    context, order = docs.sparkSession.sparkContext, np.argsort(rows)
+    facts = context.broadcast((rows[order], number[order], once[order], worst[alike][order]))
+    sums = examples.select("row", "terms").mapInArrow(telling_terms(facts), "term long, n long, toxic long")
+    sums = sums.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    known = sums["term"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, n, t = known[order], sums["n"].to_numpy()[order], sums["toxic"].to_numpy()[order]
     telling = PLAIN + np.maximum(np.log((t + PRIOR * p) / (n + PRIOR) / p), 0)
+    del sums, order, n, t
 
-    held = docs.sparkSession.sparkContext.broadcast(known)
+    held = context.broadcast(known)
 
     def frequencies(batches):
         known = held.value
@@ -401,24 +491,17 @@ def fit(
     df = np.zeros(len(known))
     df[place[place >= 0]] = n[place >= 0]
     idf = (np.log((n[place < 0].sum() + 1) / (df + 1)) + 1) * telling
+    del sums, place, n
 
-    # one example per key; the texts of a repeated key are one
-    fresh = np.array([i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))], bool)
-    number = np.cumsum(fresh) - 1
-    labelled = [keys[i] for i in np.flatnonzero(fresh)]
-    toxic = said[fresh]
-    doc = number.astype(np.int32)[row]
-    if len(labelled) < len(keys):
-        order = np.lexsort((term, doc))
-        doc, term, count = doc[order], term[order], count[order]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))
-        doc, term, count = doc[first], term[first], np.maximum.reduceat(count, first)
-    del row
+    dealt = examples.select("row", "terms", "counts").mapInArrow(ranges_of_terms(facts, held), "part int, term binary, doc binary, count binary")
+    found = dealt.groupBy("part").applyInArrow(merged_postings, "part int, term binary, doc binary, count binary, width int").toArrow()
+    example, count, postings = laid_out(found, len(labelled), len(known))
+    del found
+    pa.default_memory_pool().release_unused()
     alone = np.ones(len(labelled), bool)
-    alone[doc] = False
+    alone[example] = False
     base = float((toxic[alone].sum() + p * bool(len(labelled))) / (alone.sum() + 1))
-    index = Index.build(known, idf, labelled, toxic, doc, term, count, base)
-    del doc, term, count
+    index = Index.posted(known, idf, labelled, toxic, example, count, postings, base)
     leave_one_out(docs.sparkSession, index)
     return index
 

@@ -195,3 +195,29 @@ def test_word_hashes(monkeypatch):
         assert (got == words.hashes(longest)).all()  # each word is a span of its own
         monkeypatch.undo()
     assert got[0] == got[2] != got[1]
+
+
+def test_terms_of_examples_stay_in_the_tasks(spark, monkeypatch):
+    """The driver gets no example's terms, only finished postings; those of a repeated key are one example's."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, collect = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: sent.append(self.schema.simpleString()) or collect(self))
+    monkeypatch.setattr(toxicity, "SIZES", 3)
+    learnt = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    texts = {k: f"w{k % 7} w{k % 7} w{k % 5} common" for k in learnt}
+    rows = [*texts.items(), (learnt[0], "w0 extra common"), (learnt[0], "common common common extra w0"), (learnt[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    index = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 7 == 0)) for k in learnt], "doc_id long, toxic int"))
+    assert sent and not any("array<" in x for x in sent)
+    want = {}
+    for k, text in rows:
+        doc, term, count = toxicity.terms_of(pa.array([text or ""]))
+        for t, c in zip(term.tolist(), count.tolist()):
+            want[t, k] = max(c, want.get((t, k), 0))
+    term = np.repeat(index.terms, index.postings).tolist()
+    got = [(t, index.ids[e], int(c)) for t, e, c in zip(term, index.example, index.count)]
+    assert got == sorted((t, k, c) for (t, k), c in want.items())
+    size = np.zeros(len(index.ids))
+    np.add.at(size, index.example, ((1 + np.log(index.count.astype(float))) * np.repeat(index.idf, index.postings)) ** 2)
+    assert np.allclose(index.size, np.where(size > 0, np.sqrt(size), 1))
