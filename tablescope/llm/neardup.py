@@ -27,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablescope.llm.text import NOT_SPACE, Words, col, extend, mix, numbers, parts as pieces
-from tablescope.operators.graph import connected_components
+from tablescope.llm.text import NOT_SPACE, Words, col, extend, lists, mix, numbers, parts as pieces
+from tablescope.operators.graph import merged_components
 from tablescope.session import checkpoint
 
 BLOCK = 512  # members of a key in one block of signature comparisons
 SPREAD = 256  # members that are confirmed against one class in a task
 SLOTS = 1 << 24  # of the bitmap that tells which sets are worth sending
+TASK_LINKS = 1 << 18  # links that one task merges
 PAIRS = 1 << 17  # signature pairs compared at a time
 
 
@@ -123,8 +124,9 @@ class Join:
         fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())]
         return extend(docs, self.text, fields + [T.StructField("signature", T.BinaryType())] * signed, make, keep)
 
-    def keys(self, classes: DataFrame) -> DataFrame:
-        """``pick, key, node``: a row for every class and selection."""
+    def keys(self, classes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+        """``pick, key, node``: a row for every class and selection, without keys whose slot in ``bits`` is empty."""
+        held = None if bits is None else classes.sparkSession.sparkContext.broadcast(bits)
         chosen = selections(self.symbols, self.chunks, self.distance // self.chunks)
         symbols = self.symbols
 
@@ -138,12 +140,16 @@ class Join:
                     for k in places:
                         value = mix(value * np.uint64(0x2545F4914F6CDD1D) + rows[:, k])
                     out[:, i] = value
-                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(chosen), pa.int32())
-                keys = pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), keys], names=["node", "keys"])
+                slot = out % np.uint64(SLOTS)
+                there = np.ones(out.shape, bool) if held is None else taken(held.value, slot)
+                sizes = there.sum(axis=1)
+                picks = np.broadcast_to(np.arange(len(chosen), dtype=np.int32), out.shape)
+                keys = lists(out[there].view(np.int64), sizes, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), lists(picks[there], sizes, pa.int32()), keys], names=["node", "picks", "keys"])
 
-        listed = classes.select("node", "signature").mapInArrow(run, "node binary, keys array<bigint>")
-        return listed.select(F.posexplode("keys").alias("pick", "key"), "node")
+        found = classes.select("node", "signature").mapInArrow(run, "node binary, picks array<int>, keys array<bigint>")
+        single = found.select(F.explode(F.arrays_zip("picks", "keys")).alias("k"), "node")
+        return single.select(F.col("k.picks").alias("pick"), F.col("k.keys").alias("key"), "node")
 
     def sets(self, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         """``node, values``: the sets of the given nodes, made anew from the texts.
@@ -151,7 +157,8 @@ class Join:
         A bitmap of fixed size keeps most other sets from being sent; a join
         drops the rest.
         """
-        held = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))
+        slot = F.pmod(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint"), F.lit(SLOTS))
+        held = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select(slot.alias("slot"))))
         size = self.shingle
 
         def run(batches):
@@ -241,16 +248,20 @@ class Join:
         return found.where(100 * F.col("common") >= self.percent * F.col("n"))
 
 
-def bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bit for every slot that holds a node: at most SLOTS bits, however many nodes there are."""
-    slot = F.pmod(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint"), F.lit(SLOTS))
-    words = nodes.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """A bit for every ``slot`` (below SLOTS): at most SLOTS bits, however many rows there are."""
+    words = slots.groupBy(F.expr("slot div 32").alias("word"))
     found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toArrow()
     bits = np.zeros(SLOTS // 32, np.uint32)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return bits
 
 
+def taken(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether the bits of the slots are set."""
+    return (bits[slots // np.uint64(32)] >> (slots % np.uint64(32)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def listed(bits: np.ndarray, node: bytes) -> bool:
     slot = int.from_bytes(node[:4], "big") % SLOTS
     return bool(bits[slot // 32] >> np.uint32(slot % 32) & np.uint32(1))
@@ -331,8 +342,8 @@ def close_pairs(join: Join):
     return run
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """Deal the members of each key to blocks: ``block, side`` and what is known of the member.
+def blocks(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Deal the members of each key to blocks: ``block, side`` and what is known of the member, with its signature from ``signed``.
 
     ``major`` members have the label of the key's center and are compared
     with the others only, which are also compared among themselves.  A major
@@ -345,7 +356,7 @@ def blocks(members: DataFrame) -> DataFrame:
         F.ceil(F.greatest(minor, F.lit(1)) / BLOCK).alias("minors"),
     )
     zero = F.lit(0).cast("bigint")
-    dealt = members.join(sizes, "key")
+    dealt = members.join(sizes, "key").join(signed, "node")
     spot = F.xxhash64("node")
     own = F.pmod(spot, F.col("minors"))
     every = F.sequence(zero, F.col("minors") - 1)
@@ -425,9 +436,12 @@ def near_duplicates(
 def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, component`` for the classes that share a key with another one, and for the rest."""
     keys = join.keys(classes)
-    ends = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    shared = checkpoint(keys.join(ends, "key"))
-    sets = checkpoint(join.sets(docs, shared.select("node").distinct()))
+    # a class has a key once, so counting rows finds the shared ones; no digest is sent for it
+    ends = checkpoint(keys.select("key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    # a bitmap of fixed size keeps most other keys from being sent; the join drops the rest
+    bits = bitmap(ends.select(F.pmod("key", F.lit(SLOTS)).alias("slot")))
+    shared = checkpoint(join.keys(classes, bits).join(ends, "key"))
+    sets = checkpoint(join.sets(docs, checkpoint(shared.select("node").distinct())))
     shared = checkpoint(shared.join(join.linkable(sets), "node"))
     order = F.struct((1 - F.col("common") / F.col("n")).alias("own"), "node")
     centers = shared.groupBy("key").agg(F.min(order)["node"].alias("center"), F.max("node").alias("b"), F.min("node").alias("a"))
@@ -436,26 +450,25 @@ def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     votes = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
     best = votes.groupBy("node").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     stars = checkpoint(join.confirm(sets, checkpoint(best.select(F.col("node").alias("left"), F.col("center").alias("right")))))
-    first = connected_components(shared.select("node").distinct(), stars.where("similar").select("left", "right"))
+    first = merged_components(shared.select("node").distinct(), stars.where("similar").select("left", "right"), TASK_LINKS)
     own = stars.select(F.col("left").alias("node"), F.col("right").alias("own_center"), F.col("common").alias("held"))
     first = checkpoint(first.withColumnRenamed("component", "label").join(own, "node", "left"))
     # keys whose classes are still apart
-    labelled = shared.join(first, "node")
-    apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rest = labelled.join(apart, "key")
-    rest = rest.join(first.select(F.col("node").alias("center"), F.col("label").alias("first_label")), "center")
-    rest = rest.join(classes.select("node", "signature"), "node")
+    labelled = checkpoint(shared.join(first, "node"))
+    of_center = F.max(F.when(F.col("node") == F.col("center"), F.col("label"))).alias("first_label")
+    apart = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), of_center).where("a <> b")
+    rest = labelled.join(apart.select("key", "first_label"), "key")
     major = (F.col("label") == F.col("first_label")).alias("major")
     center = F.coalesce("own_center", "node").alias("own_center")
     held = F.coalesce("held", "n").alias("held")
-    members = checkpoint(rest.select("key", "pick", "node", "label", "signature", "n", "common", major, center, held))
-    dealt = blocks(members).repartition("block").sortWithinPartitions("block")
+    members = checkpoint(rest.select("key", "pick", "node", "label", "n", "common", major, center, held))
+    dealt = blocks(members, classes.select("node", "signature")).repartition("block").sortWithinPartitions("block")
     pairs = dealt.mapInArrow(close_pairs(join), "left binary, right binary")
     links = join.confirm(sets, checkpoint(pairs)).where("similar")
     named = first.select(F.col("node").alias("n"), "label")
     edges = links.join(named, links["left"] == named["n"]).select(F.col("label").alias("l"), "right")
     edges = edges.join(named, edges["right"] == named["n"]).select(F.col("l").alias("left"), F.col("label").alias("right"))
-    joined = connected_components(first.select(F.col("label").alias("node")).distinct(), edges.where("left <> right").distinct())
+    joined = merged_components(first.select(F.col("label").alias("node")).distinct(), edges.where("left <> right").distinct(), TASK_LINKS)
     joined = joined.withColumnRenamed("node", "label")
     done = first.join(joined, "label").select("node", "component")
     alone = classes.join(first, "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -113,3 +113,28 @@ def test_pigeonhole():
         at = rng.choice(64, 25, replace=False)
         b[at] = (b[at] + 1) % (1 << 16)
         assert any((a[c] == b[c]).all() for c in chosen)
+
+
+def test_only_shared_keys_are_sent(spark, monkeypatch):
+    """Keys whose slot no shared key has are left out before the join; links merged a few at a time give the same groups."""
+    from tablescope.llm import neardup
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(60)])) for i in range(40)]
+    rows += [(100 + i, " ".join(words[: 60 - i] + ["z"] * i)) for i in range(4)]  # a chain of edited copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    join = neardup.Join("text", 3, 85, 64, 12, 23)
+    classes = join.scan(docs, ["doc_id"], True)
+    everything = join.keys(classes)
+    shared = everything.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    assert everything.groupBy("key", "node").count().where("count > 1").isEmpty()
+    bits = neardup.bitmap(shared.select(F.pmod("key", F.lit(neardup.SLOTS)).alias("slot")))
+    sent = {tuple(r) for r in join.keys(classes, bits).collect()}
+    wanted = {tuple(r) for r in everything.join(shared, "key", "left_semi").select("pick", "key", "node").collect()}
+    assert wanted and wanted <= sent and len(sent) < everything.count() / 2
+    found = neardup.near_duplicates(docs, shingle=3, percent=85, keep=["doc_id"]).collect()
+    monkeypatch.setattr(neardup, "TASK_LINKS", 1)
+    again = neardup.near_duplicates(docs, shingle=3, percent=85, keep=["doc_id"]).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    assert {r["component_id"] for r in found if r["doc_id"] >= 100} == {100}
