@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablescope.llm.text import ALNUM, Words, col, extend, lists, lowered
+from tablescope.llm.text import ALNUM, Words, col, extend, lists, lowered, tidy
 from tablescope.session import checkpoint
 
 WINDOW = 10
@@ -160,7 +160,7 @@ def remove_spans(df: DataFrame, text: str, spans: str) -> DataFrame:
                 [*batch.columns[:-2], pc.replace_with_mask(old, changed, pa.array(new, old.type))], names=schema.fieldNames()
             )
 
-    return source.mapInArrow(run, schema).select(*[col(c) for c in df.columns if c != spans])
+    return source.mapInArrow(tidy(run), schema).select(*[col(c) for c in df.columns if c != spans])
 
 
 def remove_contamination(

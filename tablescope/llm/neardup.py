@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablescope.llm.text import NOT_SPACE, Words, col, extend, lists, mix, numbers, parts as pieces
+from tablescope.llm.text import NOT_SPACE, Words, col, extend, lists, mix, numbers, parts as pieces, tidy
 from tablescope.operators.graph import merged_components
 from tablescope.session import checkpoint
 
@@ -147,7 +147,7 @@ class Join:
                 keys = lists(out[there].view(np.int64), sizes, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("node"), lists(picks[there], sizes, pa.int32()), keys], names=["node", "picks", "keys"])
 
-        found = classes.select("node", "signature").mapInArrow(run, "node binary, picks array<int>, keys array<bigint>")
+        found = classes.select("node", "signature").mapInArrow(tidy(run), "node binary, picks array<int>, keys array<bigint>")
         single = found.select(F.explode(F.arrays_zip("picks", "keys")).alias("k"), "node")
         return single.select(F.col("k.picks").alias("pick"), F.col("k.keys").alias("key"), "node")
 
@@ -177,7 +177,7 @@ class Join:
                         [pa.array(found, pa.binary()), pa.array(packed, pa.binary())], names=["node", "values"]
                     )
 
-        made = docs.select(col(self.text).cast("string").alias("text")).mapInArrow(run, "node binary, values binary")
+        made = docs.select(col(self.text).cast("string").alias("text")).mapInArrow(tidy(run), "node binary, values binary")
         return made.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def confirm(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ class Join:
                 )
 
         met = sets.join(left.unionByName(right), "node").repartition("group", "part").sortWithinPartitions("group", "part", "role")
-        return met.mapInArrow(compare, "left binary, right binary, common bigint, similar boolean")
+        return met.mapInArrow(tidy(compare), "left binary, right binary, common bigint, similar boolean")
 
     def linkable(self, sets: DataFrame) -> DataFrame:
         """``node, n, common`` of the sets that may be linked at all.
@@ -241,7 +241,7 @@ class Join:
                     rows = np.concatenate(values)[i : i + len(some)] if len(values) > 1 else values[0][i : i + len(some)]
                     yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("node").take(pa.array(some))], names=["value", "node"])
 
-        single = sets.mapInArrow(run, "value bigint, node binary").groupBy("value").agg(F.count("*").alias("n"), F.first("node").alias("node"))
+        single = sets.mapInArrow(tidy(run), "value bigint, node binary").groupBy("value").agg(F.count("*").alias("n"), F.first("node").alias("node"))
         own = single.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
         sizes = sets.select("node", (F.octet_length("values") / 8).cast("bigint").alias("n")).join(own, "node", "left")
         found = sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
@@ -463,7 +463,7 @@ def components(join: Join, docs: DataFrame, classes: DataFrame) -> DataFrame:
     held = F.coalesce("held", "n").alias("held")
     members = checkpoint(rest.select("key", "pick", "node", "label", "n", "common", major, center, held))
     dealt = blocks(members, classes.select("node", "signature")).repartition("block").sortWithinPartitions("block")
-    pairs = dealt.mapInArrow(close_pairs(join), "left binary, right binary")
+    pairs = dealt.mapInArrow(tidy(close_pairs(join)), "left binary, right binary")
     links = join.confirm(sets, checkpoint(pairs)).where("similar")
     named = first.select(F.col("node").alias("n"), "label")
     edges = links.join(named, links["left"] == named["n"]).select(F.col("label").alias("l"), "right")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from tablescope.llm.text import col, extend, lists
+from tablescope.llm.text import col, extend, lists, tidy
 from tablescope.session import checkpoint
 
 CHUNK = 32_768  # characters
@@ -30,6 +30,7 @@ MEMORY = 200_000  # pairs that a worker remembers
 SEGMENTS = 150_000  # short segments that a worker remembers
 NODES = 400_000  # beginnings of short segments that a worker remembers
 SHORT = 64  # characters of a short segment
+ROWS = 256  # whose ids are decoded together
 LOWEST = -np.inf
 IDS = T.ArrayType(T.IntegerType(), False)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -423,12 +424,12 @@ def ids_of_long_texts(model, texts: DataFrame, size: int) -> DataFrame:
             ids = lists(np.concatenate([np.array(x, np.int32) for x in found] or [[]]), [len(x) for x in found], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), ids], names=["key", "k", "ids"])
 
-    cut = texts.mapInArrow(chunks, "key string, k bigint, before string, core string, after string")
+    cut = texts.mapInArrow(tidy(chunks), "key string, k bigint, before string, core string, after string")
     cut = checkpoint(cut.dropDuplicates(["key", "k"]))  # deals the chunks out and leaves one of equal texts
-    weighed = cut.mapInArrow(matrices, "key string, k bigint, entries bigint, weights binary")
+    weighed = cut.mapInArrow(tidy(matrices), "key string, k bigint, entries bigint, weights binary")
     parts = weighed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "entries", "weights"))).alias("parts"))
-    ends = parts.mapInArrow(states, "key string, k bigint, entry bigint, exit bigint")
-    found = cut.join(ends, ["key", "k"]).mapInArrow(traces, "key string, k bigint, ids array<int>")
+    ends = parts.mapInArrow(tidy(states), "key string, k bigint, entry bigint, exit bigint")
+    found = cut.join(ends, ["key", "k"]).mapInArrow(tidy(traces), "key string, k bigint, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("k", "ids")))
     return found.groupBy("key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
@@ -485,7 +486,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", into: str = "decode
         m = Model(*model.value)
         spelt = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[1:-1], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
         table = np.array([spelt.get(t, lambda p: b"")(p) for p, t in zip(m.pieces, m.types)] + [" ⁇ ".encode()], object)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             lists_ = batch.columns[-1]
             out: list[str | None] = []
             for i in range(len(lists_)):
@@ -499,7 +500,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", into: str = "decode
                 out.append(text[1:] if m.prefix and text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def ids_digest(ids: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -135,6 +136,29 @@ def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def give_back() -> None:
+    """Hand freed memory to the system, which Arrow and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; when it is over, its worker keeps nothing.
+
+    A Python worker outlives its task, and an executor has more idle workers than
+    cores if earlier plans had several such steps in one stage.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def extend(
     df: DataFrame,
     text: str,
@@ -143,11 +167,13 @@ def extend(
     keep: Sequence[str] | None = None,
     also: Sequence[str] = (),
     limit: int = 4 << 20,
+    done: Callable | None = None,
 ) -> DataFrame:
     """Add ``fields`` computed from the text column, about ``limit`` bytes of text at a time.
 
     ``make()`` runs once per task and returns a function from the Arrow array of
-    texts (and those of the columns ``also``) to the new arrays.  ``keep`` names
+    texts (and those of the columns ``also``) to the new arrays; ``done()`` runs
+    at the task's end.  ``keep`` names
     the input columns to return (all by default); those that clash with a new
     name are replaced.
     """
@@ -165,5 +191,7 @@ def extend(
                 part = batch.slice(at, to - at)
                 new = work(part.columns[-1], *part.columns[n:-1])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], names=schema.fieldNames())
+        if done is not None:
+            done()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

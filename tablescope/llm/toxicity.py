@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tablescope.llm.text import ALNUM, Words, col, extend, lists, mix, numbers, parts
+from tablescope.llm.text import ALNUM, Words, col, extend, lists, mix, numbers, parts, tidy
 from tablescope.session import checkpoint
 
 MAX_EXAMPLES = 8192  # labelled rows in the index, the smallest by hash of their key
@@ -143,7 +144,6 @@ class Index:
     def prepare(self) -> Index:
         """Lay out what ``nearest`` needs; done where the index is used, so that it travels in few bytes."""
         n = len(self.ids)
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.postings)
         # a weight is the factor of its count by those of its term and its example, so postings need no weights
         self.factor = np.zeros(int(self.count.max(initial=0)) + 1)
         self.factor[1:] = 1 + np.log(np.arange(1, len(self.factor)))
@@ -151,25 +151,37 @@ class Index:
         room = COMMON_BYTES // (8 * max(n, 1))
         if many.sum() > room:
             many[np.argsort(-self.postings, kind="stable")[room:]] = False
-        self.starts = starts_of(self.terms)
-        self.slot = np.where(many, np.cumsum(many) - 1, -1)  # the number of each common term
+        self.starts = starts_of(self.terms).astype(np.int32)
+        self.slot = np.where(many, np.cumsum(many, dtype=np.int32) - 1, np.int32(-1))  # the number of each common term
         width = int(many.sum())
-        apart = many[term]
-        # the list of a term is made of runs of one count each
-        listed, times, heads = self.example[~apart], self.count[~apart], term[~apart]
-        order = np.lexsort((times, heads))
-        self.listed, times, heads = listed[order], times[order], heads[order]
         self.ends = np.concatenate([[0], np.cumsum(np.where(many, 0, self.postings), dtype=np.int64)])
-        fresh = np.flatnonzero(np.append(True, (heads[1:] != heads[:-1]) | (times[1:] != times[:-1]))[: len(heads)])
-        self.long = np.diff(np.append(fresh, len(heads))).astype(np.int32)
-        self.by = self.factor[times[fresh]]
-        self.runs = np.searchsorted(heads[fresh], np.arange(len(self.terms) + 1))
-        del listed, times, heads, order, fresh
-        example, count, term = self.example[apart].astype(np.int64), self.count[apart], term[apart]
-        slot, weight = self.slot[term], self.factor[count] * self.idf[term] / self.size[example]
-        del term, apart
+        self.listed = np.empty(int(self.ends[-1]), self.example.dtype)
+        # the list of a term is made of runs of one count each; lists are put in order some at a time
+        last, at = np.cumsum(self.postings, dtype=np.int64), 0
+        long, times, heads, often = [np.zeros(0, np.int32)], [self.count[:0]], [np.zeros(0, np.int32)], [np.zeros((3, 0), np.int32)]
+        while at < len(self.terms):
+            begin = int(last[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(last, begin + SIZES, "right")))
+            example, count = self.example[begin : last[to - 1]], self.count[begin : last[to - 1]]
+            term = np.repeat(np.arange(at, to, dtype=np.int32), self.postings[at:to])
+            apart = many[term]
+            often.append(np.stack([example[apart].astype(np.int32), count[apart].astype(np.int32), self.slot[term[apart]]]))
+            example, count, term = example[~apart], count[~apart], term[~apart]
+            order = np.lexsort((count, term))
+            self.listed[self.ends[at] : self.ends[to]] = example[order]
+            count, term = count[order], term[order]
+            fresh = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (count[1:] != count[:-1]))[: len(term)])
+            long.append(np.diff(np.append(fresh, len(term))).astype(np.int32))
+            times.append(count[fresh])
+            heads.append(term[fresh])
+            at = to
+        self.long, self.by = np.concatenate(long), self.factor[np.concatenate(times)]
+        self.runs = np.searchsorted(np.concatenate(heads), np.arange(len(self.terms) + 1, dtype=np.int32)).astype(np.int32)
+        example, count, slot = np.concatenate(often, axis=1)
+        del long, times, heads, often
+        weight = self.factor[count] * self.idf[many][slot] / self.size[example]
         self.group = grouped(example, slot, weight, n, width)
-        norms = np.bincount(example * GROUPS + self.group[slot], weight * weight, minlength=n * GROUPS)
+        norms = np.bincount(example.astype(np.int64) * GROUPS + self.group[slot], weight * weight, minlength=n * GROUPS)
         self.norms = np.sqrt(norms).reshape(n, GROUPS)
         # examples that share their strongest group stand in the same blocks, so that maxima are tight
         order = np.lexsort((self.norms.max(1), self.norms.argmax(1)))
@@ -177,7 +189,7 @@ class Index:
         self.block[order] = np.arange(n) // BLOCK
         self.most = np.zeros((int(self.block.max(initial=0)) + 1, width))
         np.maximum.at(self.most, (self.block[example], slot), weight)
-        self.table = np.zeros((n, width), count.dtype)
+        self.table = np.zeros((n, width), self.count.dtype)
         self.table[example, slot] = count
         self.common_idf = self.idf[many]
         self.opened = 0
@@ -256,8 +268,8 @@ class Index:
 
     def own_vote(self, some: np.ndarray) -> np.ndarray:
         """The votes on the given examples, each left out of its own; NaN without neighbours."""
-        wanted = np.isin(self.example, some)
-        term, example, count = np.repeat(np.arange(len(self.terms)), self.postings)[wanted], self.example[wanted], self.count[wanted]
+        wanted = np.flatnonzero(np.isin(self.example, some))
+        term, example, count = np.searchsorted(np.cumsum(self.postings), wanted, "right"), self.example[wanted], self.count[wanted]
         order = np.argsort(example, kind="stable")
         starts, term, weight = self.vectors(example[order].astype(np.int64), term[order], count[order], len(self.ids))
         votes = np.full(len(some), np.nan)
@@ -304,25 +316,31 @@ def grouped(example: np.ndarray, slot: np.ndarray, weight: np.ndarray, n: int, w
     return group
 
 
-READY: dict[str, Index] = {}  # the index that this Python worker has laid out, by name
+READY: dict[str, Index] = {}  # the index that this Python worker's task has laid out, by name
 
 
 def ready(name: str, held: Broadcast, votes: bool = False) -> Index:
     """The laid-out index; one before it goes first, so that no worker holds two.
 
-    Only ``votes`` of the examples on each other need their own terms.
+    Only ``votes`` of the examples on each other need their own terms.  A task
+    ends with ``release``: Spark keeps several idle workers beside those at
+    work, and what they still hold counts as much.
     """
     if name not in READY:
         READY.clear()
-        index = held.value
-        if not hasattr(index, "table"):  # an index that comes back is laid out already
-            index.prepare()
+        index = copy(held.value)  # what came stays as it was
+        index.prepare()
         if not votes:
             index.example = index.count = None
         READY[name] = index
     return READY[name]
 
 
+def release() -> None:
+    """At the end of a task."""
+    READY.clear()
+
+
 def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
     """Rows that no label is learnt from: crc32 of the key as text, modulo ``folds``; never for a null key."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
@@ -463,7 +481,7 @@ def fit(
 
     context, order = docs.sparkSession.sparkContext, np.argsort(rows)
     facts = context.broadcast((rows[order], number[order], once[order], worst[alike][order]))
-    sums = examples.select("row", "terms").mapInArrow(telling_terms(facts), "term long, n long, toxic long")
+    sums = examples.select("row", "terms").mapInArrow(tidy(telling_terms(facts)), "term long, n long, toxic long")
     sums = sums.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
     known = sums["term"].to_numpy().view(np.uint64)
     order = np.argsort(known)
@@ -486,14 +504,14 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["term", "n"])
 
     texts = docs.select(col(text).cast("string").alias("text"))
-    sums = texts.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.mapInArrow(tidy(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     place, n = sums["term"].to_numpy(), sums["n"].to_numpy()
     df = np.zeros(len(known))
     df[place[place >= 0]] = n[place >= 0]
     idf = (np.log((n[place < 0].sum() + 1) / (df + 1)) + 1) * telling
     del sums, place, n
 
-    dealt = examples.select("row", "terms", "counts").mapInArrow(ranges_of_terms(facts, held), "part int, term binary, doc binary, count binary")
+    dealt = examples.select("row", "terms", "counts").mapInArrow(tidy(ranges_of_terms(facts, held)), "part int, term binary, doc binary, count binary")
     found = dealt.groupBy("part").applyInArrow(merged_postings, "part int, term binary, doc binary, count binary, width int").toArrow()
     example, count, postings = laid_out(found, len(labelled), len(known))
     del found
@@ -515,8 +533,9 @@ def leave_one_out(spark: SparkSession, index: Index) -> None:
         for batch in batches:
             some = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready(name, held, votes=True).own_vote(some))], names=["id", "vote"])
+        release()
 
-    votes = spark.range(0, n, 1, -(-n // EXAMPLES_A_TASK) or 1).mapInArrow(cast, "id long, vote double").toArrow()
+    votes = spark.range(0, n, 1, -(-n // EXAMPLES_A_TASK) or 1).mapInArrow(tidy(cast), "id long, vote double").toArrow()
     vote = votes["vote"].to_numpy()
     some = ~np.isnan(vote)
     index.calibrate(vote[some], index.toxic[votes["id"].to_numpy()[some]])
@@ -570,7 +589,7 @@ def score(
 
         return work
 
-    return extend(docs, text, fields, make, keep, limit=PART_BYTES)
+    return extend(docs, text, fields, make, keep, limit=PART_BYTES, done=release)
 
 
 def toxicity(

@@ -221,3 +221,49 @@ def test_terms_of_examples_stay_in_the_tasks(spark, monkeypatch):
     size = np.zeros(len(index.ids))
     np.add.at(size, index.example, ((1 + np.log(index.count.astype(float))) * np.repeat(index.idf, index.postings)) ** 2)
     assert np.allclose(index.size, np.where(size > 0, np.sqrt(size), 1))
+
+
+def test_workers_let_go_of_the_index(spark):
+    """No worker holds a laid-out index once its task has ended, and what was sent stays as it was."""
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} common") for k in range(400)], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(400)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == 400
+
+    def held(batches):
+        from tablescope.llm import toxicity
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(toxicity.READY)])], names=["n"])
+
+    found = spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()
+    assert len(found) == 64 and not any(r["n"] for r in found)
+
+    index = toxicity.Index.build(np.arange(2, dtype=np.uint64), np.ones(2), [0, 1], np.zeros(2), np.array([0, 1]), np.array([0, 1]), np.array([1, 2]), 0.1)
+
+    class Held:
+        value = index
+
+    for _ in range(2):
+        assert toxicity.ready("some", Held()).example is None
+        toxicity.release()
+    assert index.example is not None and not hasattr(index, "table")
+
+
+def test_lists_are_put_in_order_some_at_a_time(monkeypatch):
+    """However many postings are laid out at once, the index is the same."""
+    rng = np.random.default_rng(8)
+    doc, term = np.nonzero(rng.random((300, 50)) < rng.uniform(0.01, 0.3, 50))
+    count, idf = rng.choice([1, 1, 2, 300], len(doc)), rng.uniform(0.5, 3, 50)
+    build = lambda: toxicity.Index.build(np.arange(50, dtype=np.uint64), idf, list(range(300)), np.zeros(300), doc, term, count, 0.1)
+    whole = build().prepare()
+    monkeypatch.setattr(toxicity, "SIZES", 7)
+    parts = build().prepare()
+    for name, x in vars(whole).items():
+        if isinstance(x, np.ndarray):
+            assert x.dtype == vars(parts)[name].dtype and np.allclose(x, vars(parts)[name]), name
+    full = np.zeros((300, 50))
+    full[doc, term] = (1 + np.log(count)) * idf[term] / whole.size[doc]
+    for _ in range(20):
+        q, w = np.sort(rng.choice(50, 9, replace=False)), rng.uniform(0.1, 1, 9)
+        at, cosine = parts.nearest(q, w / np.linalg.norm(w), k=9)
+        assert np.allclose(cosine, np.minimum(np.round(full[:, q] @ w / np.linalg.norm(w), 12), 1)[at])
