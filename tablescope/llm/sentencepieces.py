@@ -14,6 +14,7 @@ ends each chunk is traced back on its own.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,9 +28,10 @@ from tablescope.session import checkpoint
 CHUNK = 32_768  # characters
 SPACE = "▁"
 MEMORY = 200_000  # pairs that a worker remembers
-SEGMENTS = 150_000  # short segments that a worker remembers
-NODES = 400_000  # beginnings of short segments that a worker remembers
+SEGMENTS = 100_000  # short segments that a worker remembers, before those of the texts at hand
+NODES = 100_000  # ends of beginnings, with the pieces that may stop there, that a worker remembers
 SHORT = 64  # characters of a short segment
+PART_BYTES = 2 << 20  # of texts whose segments are looked for together
 ROWS = 256  # whose ids are decoded together
 LOWEST = -np.inf
 IDS = T.ArrayType(T.IntegerType(), False)
@@ -90,8 +92,13 @@ class Encoder:
         self.unknown = min(self.score.values()) - 10.0
         self.pairs: dict[str | None, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.known: dict[str, list[int]] = {}
-        self.nodes: dict[str, str] = {}
+        self.known: dict[str, bytes] = {}
+        self.code = {p: i.to_bytes(4, sys.byteorder) for p, i in self.ids.items()}
+        self.histories: dict[str, tuple | None] = {}
+        self.openings = {p[:i] for p in self.ids for i in range(1, len(p) + 1)} if self.bpe else set()
+        self.moves: dict[str, tuple[str, tuple]] = {}
+        # the places of the last short segment: its letters, what of a piece ends there, the last piece, what may follow, the ids so far
+        self.letters, self.open, self.last, self.follows, self.so_far = "", [""], [None], [{}], [b""]
         self.segments = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if model.breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def merged(self, text: str) -> list[str]:
@@ -119,17 +126,60 @@ class Encoder:
                 scores[i] = score(parts[i] + parts[i + 1], LOWEST)
         return parts
 
+    def history(self, piece: str) -> tuple | None:
+        """How a piece comes about when its letters alone are merged: the score of each step and the outer parts before it.
+
+        The last score stands for the end; nothing if the letters merge to something else.
+        """
+        score, parts = self.score.get, list(piece)
+        steps, first, last = [], [parts[0]], [parts[-1]]
+        while len(parts) > 1:
+            scores = [score(a + b, LOWEST) for a, b in zip(parts, parts[1:])]
+            best = max(scores)
+            if best == LOWEST:
+                break
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            steps.append(best)
+            first.append(parts[0])
+            last.append(parts[-1])
+        self.histories[piece] = found = ([*steps, LOWEST], first, last) if len(parts) == 1 else None
+        return found
+
     def apart(self, before: str | None, piece: str) -> bool:
-        """Whether the piece may follow ``before`` (nothing at a text's start)."""
+        """Whether the piece may follow ``before`` (nothing at a text's start).
+
+        The steps of both go on as in ``merge``, the higher score first and of equal
+        ones the left; they stay apart if no pair across the border comes first.
+        """
         if self.n_pairs >= MEMORY:
             self.pairs.clear()
             self.n_pairs = 0
-        alone = before is None or before not in self.ids
-        found = self.merged(piece) == [piece] if alone else self.merge(list(before + piece), len(before)) == [before, piece]
+        histories = self.histories
+        right = histories[piece] if piece in histories else self.history(piece)
+        if before is None or before not in self.ids:
+            found = right is not None
+        else:
+            left = histories[before] if before in histories else self.history(before)
+            found = left is not None and right is not None and self.stay(left, right)
         self.pairs.setdefault(before, {})[piece] = found
         self.n_pairs += 1
         return found
 
+    def stay(self, left: tuple, right: tuple) -> bool:
+        (ahead, _, ends), (behind, starts, _), score = left, right, self.score.get
+        i = j = 0
+        while True:
+            a, b, across = ahead[i], behind[j], score(ends[i] + starts[j], LOWEST)
+            if across > a and across >= b:
+                return False
+            if a == b == LOWEST:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
     def merge_paths(self, text: str, start: int, before: str | None, limit: int):
         """``paths`` of a BPE model: one piece at most ends each place, so the first that fits is it."""
         n, ids, longest, pairs = len(text), self.ids, self.model.longest, self.pairs
@@ -154,41 +204,45 @@ class Encoder:
                 break
         return value, last
 
-    def beginnings(self, text: str) -> list[str]:
-        """The pieces of a short segment, as ``merge_paths`` finds them.
+    def move(self, letters: str) -> tuple[str, tuple]:
+        """The longest end of the letters that begins a piece, and the pieces (with lengths and ids) that stop there."""
+        if len(self.moves) >= NODES:
+            self.moves.clear()
+        end = letters
+        while end and end not in self.openings:
+            end = end[1:]
+        stop = [end[-k:] for k in range(1, len(end) + 1) if end[-k:] in self.ids] or [letters[-1]]
+        found = self.moves[letters] = (end, tuple((len(p), p, self.code.get(p) or self.packed(self.ids_of([p]))) for p in stop))
+        return found
+
+    def beginnings(self, text: str) -> bytes:
+        """The ids, as bytes of 32 bits, of a short segment's pieces, as ``merge_paths`` finds them.
 
         The node at a place depends on the letters before it alone, so segments
-        that begin alike share their nodes; only those after the longest known
-        beginning are looked for.
+        that begin alike share their nodes; only those after the letters that the
+        segment before begins with are looked for.  Of the pieces that stop at a
+        place one fits.
         """
-        ids, longest, pairs, nodes = self.ids, self.model.longest, self.pairs, self.nodes
-        if len(nodes) >= NODES:
-            nodes.clear()
-        n = len(text)
-        at = n
-        while at and text[:at] not in nodes:
-            at -= 1
-        for j in range(at + 1, n + 1):
-            for i in range(j - 1, max(0, j - longest) - 1, -1):
-                piece = text[i:j]
-                if piece in ids:
-                    before = nodes[text[:i]] if i else None
-                    known = pairs.get(before)
-                    fits = None if known is None else known.get(piece)
-                    if fits is None:
-                        fits = self.apart(before, piece)
-                    if not fits:
-                        continue
-                elif i + 1 < j:
-                    continue
-                nodes[text[:j]] = piece
-                break
-        pieces = []
-        while n:
-            piece = nodes[text[:n]]
-            pieces.append(piece)
-            n -= len(piece)
-        return pieces[::-1]
+        before, state, last, follows, ids = self.letters, self.open, self.last, self.follows, self.so_far
+        moves, pairs = self.moves, self.pairs
+        at, most = 0, min(len(before), len(text))
+        while at < most and text[at] == before[at]:
+            at += 1
+        del state[at + 1 :], last[at + 1 :], follows[at + 1 :], ids[at + 1 :]
+        end = state[at]
+        for letter in text[at:]:
+            end += letter
+            end, stop = moves.get(end) or self.move(end)
+            for k, piece, code in stop:
+                fits = follows[-k].get(piece)
+                if fits or (fits is None and self.apart(last[-k], piece)):
+                    break
+            state.append(end)
+            last.append(piece)
+            follows.append(pairs.get(piece) or pairs.setdefault(piece, {}))
+            ids.append(ids[-k] + code)
+        self.letters = text
+        return ids[-1]
 
     def paths(self, text: str, start: int, before: str | None, limit: int | None = None):
         """Best weights and last pieces of all places reached from ``start``, a piece having ended there.
@@ -231,29 +285,40 @@ class Encoder:
             end -= len(last[end])
         return self.ids_of(pieces[::-1])
 
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, np.int32).tobytes()
+
+    def look_for(self, text: str) -> bytes:
+        """The ids of a stretch at whose ends every path has a node, as bytes of 32 bits."""
+        if len(text) <= SHORT and self.bpe:
+            return self.beginnings(text)
+        return self.packed(self.traced(self.paths(text, 0, None)[1], 0, len(text)))
+
     def segment(self, text: str) -> list[int]:
-        """The ids of a stretch at whose ends every path has a node."""
-        found = self.known.get(text)
-        if found is None:
-            short = len(text) <= SHORT
-            if short and self.bpe:
-                found = self.ids_of(self.beginnings(text))
-            else:
-                found = self.traced(self.paths(text, 0, None)[1], 0, len(text))
-            if short:
-                if len(self.known) >= SEGMENTS:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+        return np.frombuffer(self.look_for(text), np.int32).tolist()
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a normalised text; word marks and line breaks are ends of segments."""
-        out: list[int] = []
-        known, segment = self.known, self.segment
-        for part in self.segments.findall(text):
-            out += known.get(part) or segment(part)
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of normalised texts; word marks and line breaks are ends of segments.
+
+        New segments are looked for in order, so that those that begin alike come together.
+        """
+        cut = [self.segments.findall(t) for t in texts]
+        every = set().union(*cut)
+        if len(self.known) >= SEGMENTS:
+            self.known = {s: self.known[s] for s in every if s in self.known}
+        ids = self.known
+        new = sorted([s for s in every if s not in ids])
+        for part in new:
+            ids[part] = self.look_for(part)
+        out = [np.frombuffer(b"".join(map(ids.__getitem__, parts)), np.int32) for parts in cut]
+        for part in new:
+            if len(part) > SHORT:
+                del ids[part]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def normal(self, text: str) -> str:
         return (SPACE if self.model.prefix else "") + text.replace(" ", SPACE) if text else ""
 
@@ -452,14 +517,14 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", size: int = CHU
         encoder = Encoder(Model(*model.value))
 
         def work(texts):
-            found = [np.array(encoder.encode(encoder.normal(t.as_py() or "")), np.int32) for t in texts]
+            found = encoder.encode_all([encoder.normal(t or "") for t in texts.to_pylist()])
             return [lists(np.concatenate(found) if found else [], [len(x) for x in found], pa.int32())]
 
         return work
 
     fields = [T.StructField("ids", IDS)]
     length = F.coalesce(F.char_length(col(text)), F.lit(0))
-    short = extend(docs.where(length <= size), text, fields, make, keep)
+    short = extend(docs.where(length <= size), text, fields, make, keep, limit=PART_BYTES)
     kept = [c for c in docs.columns if c.lower() != "ids" and (keep is None or c in keep)]
     long = docs.where(length > size).select(*[col(c) for c in kept], col(text).alias("__llm_text"))
     key = F.sha2(F.col("__llm_text").cast("binary"), 256).alias("key")

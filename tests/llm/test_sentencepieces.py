@@ -124,3 +124,36 @@ def test_merges_across_a_border():
     for a, b in zip(pieces, pieces[1:]):
         b = b.lstrip(sp.SPACE) or "x"
         assert (encoder.merge(list(a + b), len(a)) == [a, b]) == (encoder.merged(a + b) == [a, b])
+
+
+def test_pairs_by_the_steps_of_both_pieces():
+    """Whether two pieces stay apart follows from how each comes about, also where scores tie or rise again."""
+    rng = random.Random(11)
+    for model in [sp.read_model(MODEL_FILE)] + [None] * 20:
+        if model is None:
+            pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(25)} | set("abc"))
+            rows = [(f"<0x{b:02X}>", 0.0, sp.BYTE) for b in range(256)] + [(p, float(-rng.randint(0, 9)), sp.NORMAL) for p in pieces]
+            model = sp.Model(sp.BPE, *map(list, zip(*rows)), False)
+        encoder = sp.Encoder(model)
+        some = rng.sample(sorted(encoder.ids), min(len(encoder.ids), 300))
+        for a, b in zip(some, rng.sample(some, len(some))):
+            assert encoder.apart(a, b) == (encoder.merge(list(a + b), len(a)) == [a, b]), (a, b)
+        for a in some:
+            assert encoder.apart(None, a) == encoder.apart("\x01", a) == (encoder.merged(a) == [a])
+
+
+def test_new_segments_without_merging(monkeypatch):
+    """Texts are encoded together, their new segments in order; no letters are merged, and long segments are not kept."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    encoder = sp.Encoder(sp.read_model(MODEL_FILE))
+    monkeypatch.setattr(encoder, "merge", None)
+    asked, found = [], encoder.beginnings
+    monkeypatch.setattr(encoder, "beginnings", lambda text: asked.append(text) or found(text))
+    monkeypatch.setattr(sp, "SEGMENTS", 5)
+    for texts in (["zebra apple", "apples " + "x" * 100, "", "zebra é😀"], ["apple pear", "zebra pear"]):
+        asked.clear()
+        got = encoder.encode_all([encoder.normal(t) for t in texts])
+        assert [x.tolist() for x in got] == [library.encode(t) for t in texts]
+        assert asked == sorted(set(asked))
+        assert all(len(s) <= sp.SHORT for s in encoder.known)
+    assert asked == ["▁pear"]
